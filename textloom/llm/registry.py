@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.llm import op9_mixing, op10_quality
+from textloom.llm import op3_warc, op9_mixing, op10_quality
 
 
 def queries() -> dict:
-    return {"op9_mixing": op9_mixing.op9_mixing, "op10_quality": op10_quality.op10_quality}
+    return {"op3_warc": op3_warc.op3_warc, "op9_mixing": op9_mixing.op9_mixing, "op10_quality": op10_quality.op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": op9_mixing.ORACLE_SQL, "op10_quality": op10_quality.ORACLE_SQL}
+    return {"op3_warc": op3_warc.ORACLE_SQL, "op9_mixing": op9_mixing.ORACLE_SQL, "op10_quality": op10_quality.ORACLE_SQL}
