@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from textloom.llm import op3_warc, op9_mixing, op10_quality
+from textloom.llm import op3_warc, op4_minhash, op9_mixing, op10_quality
+
+MODULES = {"op3_warc": op3_warc, "op4_minhash": op4_minhash, "op9_mixing": op9_mixing, "op10_quality": op10_quality}
 
 
 def queries() -> dict:
-    return {"op3_warc": op3_warc.op3_warc, "op9_mixing": op9_mixing.op9_mixing, "op10_quality": op10_quality.op10_quality}
+    return {name: getattr(module, name) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": op3_warc.ORACLE_SQL, "op9_mixing": op9_mixing.ORACLE_SQL, "op10_quality": op10_quality.ORACLE_SQL}
+    return {name: module.ORACLE_SQL for name, module in MODULES.items() if hasattr(module, "ORACLE_SQL")}
