@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.llm import op3_warc, op4_minhash, op9_mixing, op10_quality
+from textloom.llm import op3_warc, op4_minhash, op5_suffix, op9_mixing, op10_quality
 
-MODULES = {"op3_warc": op3_warc, "op4_minhash": op4_minhash, "op9_mixing": op9_mixing, "op10_quality": op10_quality}
+MODULES = {m.__name__.rpartition(".")[2]: m for m in (op3_warc, op4_minhash, op5_suffix, op9_mixing, op10_quality)}
 
 
 def queries() -> dict:
