@@ -28,7 +28,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     p = p.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")
     first = p.groupBy("digest", "page_id").agg(F.count("*").alias("n")).groupBy("digest").agg(F.min(order).alias("f"))
-    j = p.join(first, "digest").withColumn("is_first", F.expr("page_id <=> f.page_id"))
+    # Written as a range so that both branches below join on the digest alone and share the pages' exchange.
+    j = p.join(first, "digest").withColumn("is_first", F.expr("coalesce(page_id >= f.page_id and page_id <= f.page_id, f.none and page_id is null)"))
     alone = j.where("not is_first or f.n = 1").withColumn("nth", F.lit(0))
     ties = j.where("is_first and f.n > 1").withColumn("nth", F.row_number().over(W.partitionBy("digest", "page_id").orderBy("url")) - 1)
     r = alone.unionByName(ties)

@@ -2,8 +2,9 @@
 
 Reading plans one partition for each file. Equality and IN predicates on record_type, page_id and the
 header-backed columns are pushed down; each record's headers are parsed first and its block is skipped by
-Content-Length, unread, if a predicate rejects it or the schema asks for no payload. Gzip-compressed
-archives (*.gz, one member per record or one for the file) are read as a stream.
+Content-Length, unread, if a predicate rejects it or the schema asks for no payload. In gzip-compressed
+archives (*.gz) whose members state their length in an "sl" extra field, as this writer's do, only a
+member's first kilobytes are inflated until its payload is wanted; others are read as a stream.
 Writing gives each task files of its own under temporary names; the driver's commit renames them, so
 retried and speculative tasks leave no second copy."""
 
@@ -13,7 +14,9 @@ import base64
 import gzip
 import hashlib
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
@@ -25,9 +28,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+#: Of these a record's headers alone tell the value.
 HEAD_COLUMNS = ("page_id", "url", "record_type", "payload_digest", "refers_to")
 FILE_BYTES = 256 << 20
-EMPTY_DIGEST = base64.b32encode(hashlib.sha1(b"").digest()).decode()
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -53,6 +56,62 @@ def record_bytes(page_id: int | None, nth: int, url: str | None, record_type: st
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member of its own for one record, with its compressed and plain length in the extra field."""
+    z = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    head = b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H2sHII", 12, b"sl", 8, 24 + len(body) + 8, len(data))
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def sized(store: fs.FileSystem, path: str) -> bool:
+    """Whether the archive's first member has the extra field."""
+    with store.open_input_stream(path, compression=None) as f:
+        head = f.read(14)
+    return head[:4] == b"\x1f\x8b\x08\x04" and head[10:14] == b"\x0c\x00sl"
+
+
+class _Members:
+    """readline, read and relative seek inside the records of an archive written by member()."""
+
+    def __init__(self, f):
+        self.f, self.plain, self.z, self.at = f, b"", None, 0
+
+    def readline(self) -> bytes:
+        while (end := self.plain.find(b"\n", self.at)) < 0 and self._more(4096):
+            pass
+        end = len(self.plain) - 1 if end < 0 else end
+        line, self.at = self.plain[self.at : end + 1], end + 1
+        return line if line or not self._next() else self.readline()
+
+    def read(self, n: int) -> bytes:
+        while len(self.plain) - self.at < n and self._more(max(4096, n)):
+            pass
+        out, self.at = self.plain[self.at : self.at + n], self.at + n
+        return out
+
+    def seek(self, _n: int, _whence: int) -> None:
+        """The block and what follows it are the rest of the member, which needn't be inflated."""
+        self.z, self.plain, self.at = None, b"", 0
+
+    def _next(self) -> bool:
+        head = self.f.read(24)
+        if len(head) < 24:
+            return False
+        size = struct.unpack_from("<I", head, 16)[0]
+        self.z, self.left = zlib.decompressobj(-15), self.f.read(size - 24)
+        self.plain, self.at = b"", 0
+        return True
+
+    def _more(self, n: int) -> bool:
+        if self.z is None or self.z.eof:
+            return False
+        got = self.z.decompress(self.left, n)
+        self.left = self.z.unconsumed_tail
+        self.plain += got
+        return bool(got)
+
+
 def headers(f: BinaryIO) -> dict[str, str] | None:
     """The named fields of the next record (names in lower case), with the position before its block; None at the end."""
     line = f.readline()
@@ -103,8 +162,9 @@ class WarcReader(DataSourceReader):
     def read(self, partition: WarcFile) -> Iterator[tuple]:
         store, path = opened(partition.path)
         payloads = "payload" in self.names
-        with store.open_input_stream(path, compression=None, buffer_size=1 << 20) if path.endswith(".gz") else store.open_input_file(path) as raw:
-            f = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else _Lines(raw)
+        packed = path.endswith(".gz")
+        with store.open_input_stream(path, compression=None, buffer_size=1 << 20) if packed else store.open_input_file(path) as raw:
+            f = (_Members(raw) if sized(store, path) else gzip.GzipFile(fileobj=raw)) if packed else _Lines(raw)
             while (h := headers(f)) is not None:
                 size = int(h.get("content-length", 0))
                 digest = h.get("warc-payload-digest", "")
@@ -172,10 +232,11 @@ class WarcWriter(DataSourceArrowWriter):
             for batch in batches:
                 for r in batch.to_pylist():
                     if out is None:
-                        names.append(f"part-{uuid.uuid4().hex}.warc")
+                        names.append(f"part-{uuid.uuid4().hex}.warc.gz")
                         out, size = store.open_output_stream(f"{path}/{names[-1]}.writing"), 0
                     digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
                     data = record_bytes(r["page_id"], r["nth"], r["url"], r["record_type"], r["payload"] or b"", r["payload_bytes"], digest, r["refers_to"])
+                    data = member(data)
                     out.write(data)
                     size += len(data)
                     if size >= FILE_BYTES:
