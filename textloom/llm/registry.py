@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.llm import op3_warc, op4_minhash, op5_suffix, op6_secrets, op7_decontaminate, op9_mixing, op10_quality
+from textloom.llm import op3_warc, op4_minhash, op5_suffix, op6_secrets, op7_decontaminate, op8_toxicity, op9_mixing, op10_quality
 
-MODULES = {m.__name__.rpartition(".")[2]: m for m in (op3_warc, op4_minhash, op5_suffix, op6_secrets, op7_decontaminate, op9_mixing, op10_quality)}
+MODULES = {m.__name__.rpartition(".")[2]: m for m in (op3_warc, op4_minhash, op5_suffix, op6_secrets, op7_decontaminate, op8_toxicity, op9_mixing, op10_quality)}
 
 
 def queries() -> dict:
