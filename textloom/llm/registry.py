@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from textloom.llm import op3_warc, op4_minhash, op5_suffix, op6_secrets, op7_decontaminate, op8_toxicity, op9_mixing, op10_quality
+import corpus_pipeline
+from textloom.llm import op1_pii, op2_language, op3_warc, op4_minhash, op5_suffix, op6_secrets, op7_decontaminate, op8_toxicity, op9_mixing, op10_quality
 
-MODULES = {m.__name__.rpartition(".")[2]: m for m in (op3_warc, op4_minhash, op5_suffix, op6_secrets, op7_decontaminate, op8_toxicity, op9_mixing, op10_quality)}
+MODULES = {m.__name__.rpartition(".")[2]: m for m in (op1_pii, op2_language, op3_warc, op4_minhash, op5_suffix, op6_secrets, op7_decontaminate, op8_toxicity, op9_mixing, op10_quality)}
 
 
 def queries() -> dict:
-    return {name: getattr(module, name) for name, module in MODULES.items()}
+    return {name: getattr(module, name) for name, module in MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
