@@ -21,22 +21,22 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     """One record for each row: of equal payloads the smallest page_id is the response, others revisit it.
 
     A null body is an empty payload; empty payloads are equal as any others. A null page_id comes after all
-    numbers. Of repeated rows of the smallest page_id one is the response (the first by URL). Minima are
-    pre-aggregated; the join back is on the digest alone, so Spark can split a hot payload's rows."""
+    numbers. Of repeated rows of the smallest page_id one is the response (the first by URL). Which page a
+    payload belongs to is settled on digests and ids alone; bodies are shuffled once, by digest and id, which
+    spreads the pages of a hot payload."""
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
     p = p.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")
-    first = p.groupBy("digest", "page_id").agg(F.count("*").alias("n")).groupBy("digest").agg(F.min(order).alias("f"))
-    # Written as a range so that both branches below join on the digest alone and share the pages' exchange.
-    j = p.join(first, "digest").withColumn("is_first", F.expr("coalesce(page_id >= f.page_id and page_id <= f.page_id, f.none and page_id is null)"))
-    alone = j.where("not is_first or f.n = 1").withColumn("nth", F.lit(0))
-    ties = j.where("is_first and f.n > 1").withColumn("nth", F.row_number().over(W.partitionBy("digest", "page_id").orderBy("url")) - 1)
-    r = alone.unionByName(ties)
-    response = F.col("is_first") & (F.col("nth") == 0)
+    p = p.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    keys = p.groupBy("digest", "key").agg(F.first("page_id").alias("id"))
+    first = keys.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+    decided = keys.join(first, "digest").select("digest", "key", "first")
+    nth = F.row_number().over(W.partitionBy("digest", "key").orderBy("url")) - 1
+    r = p.join(decided, ["digest", "key"]).withColumn("nth", nth)
+    response = (F.col("key") == F.col("first.key")) & (F.col("nth") == 0)
     return r.select(
         "page_id", "nth", "url", F.when(response, "response").otherwise("revisit").alias("record_type"), "payload_bytes", "digest",
-        F.when(~response, F.col("f.page_id")).alias("refers_to"), F.when(response, F.col("payload")).alias("payload"),
+        F.when(~response, F.col("first.id")).alias("refers_to"), F.when(response, F.col("payload")).alias("payload"),
     )
 
 
