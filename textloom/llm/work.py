@@ -52,31 +52,30 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a long, b long): returns (node, root), root the smallest node reachable.
 
     Each partition first reduces its edges to a spanning forest by union-find; then large-star and
-    small-star rounds hook every node to its smallest neighbour until nothing changes. Minima are
+    small-star rounds hook every node to its smallest neighbour until all trees are stars. Minima are
     pre-aggregated, so a node of any degree costs its task one row per map task."""
-    spark = edges.sparkSession
     links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     now = stored(links.mapInArrow(_forests, "a long, b long").distinct())
-    before = None
     for _ in range(60):
+        if _stars(now):
+            return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b")
-        large = stored(large.where("a <> b").distinct())
+        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b")
-        small = small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
-        after = stored(small)
-        drop_stored(large)
-        size, total = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        small = small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
+        after = stored(small.mapInArrow(_forests, "a long, b long").distinct())
         drop_stored(now)
         now = after
-        if (size, total) == before:
-            break
-        before = (size, total)
-    else:
-        raise RuntimeError("components: no fixpoint after 60 rounds")
-    return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    raise RuntimeError("components: no fixpoint after 60 rounds")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one root and no root hangs on another."""
+    up = edges.select("b", F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(edges.select(F.col("a").alias("b"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    n = up.groupBy("b").agg(F.sum("child").alias("c"), F.max("root").alias("r"))
+    return n.where("c > 1 or (c = 1 and r = 1)").isEmpty()
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
