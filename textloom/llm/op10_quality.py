@@ -64,7 +64,7 @@ def sketch_bin(x: Column) -> Column:
 
 def bin_top(b: Column) -> Column:
     """The largest value of a bin."""
-    return F.when(b < 16, b).otherwise(F.call_function("shiftleft", b % 8 + 9, (F.expr("bin div 8") - 1).cast("int")) - 1)
+    return F.when(b < 16, b).otherwise(F.call_function("shiftleft", b % 8 + 9, (F.floor(b / 8) - 1).cast("int")) - 1)
 
 
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
