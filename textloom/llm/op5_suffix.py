@@ -1,11 +1,11 @@
 """Exact repeated passages across documents, by bucket-pointer refinement of sampled suffixes.
 
 Suffixes are first bucketed by the q-gram that has the smallest fingerprint in their 50-byte string;
-neighbouring suffixes with one such gram form a run, so about one suffix in 16 stands for all. Buckets
+neighbouring suffixes with one such gram form a run, so about one suffix in 17 stands for all. Buckets
 that one document owns alone are done. The others are refined: by the fingerprint of the whole region
-that a run covers, which settles copies, and then, where a bucket still holds different regions, per
-suffix by the bucket identifiers of the grams at offsets 0, q and 50 - q, which together are the
-50-byte string. Every refinement sorts inside buckets that the one before left shared, and reuses its
+that a run covers, which settles copies; then, for each quarter of a run's suffixes, by an 8-bit code of the string
+around the gram that they all hold; and what is left, per suffix, by the bucket identifiers of the
+grams at offsets 0, q, 2q and 50 - q, which together are the 50-byte string. Every refinement sorts inside buckets that the one before left shared, and reuses its
 fingerprints as the pointers.
 
 Tasks resolve what they can before the shuffle: of equal regions seen by one task only those of its
@@ -19,14 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.work import BASE, mixed, prefix_hash, spans_hash
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 16
 FLUSH = 1_000_000
-_48 = np.uint64((1 << 48) - 1)
+#: The 8-bit code of a quarter that may equal any other's.
+WILD = 255
+_56, _48, _32, _24, _16, _8 = (np.uint64((1 << b) - 1) for b in (56, 48, 32, 24, 16, 8))
+
+
+def quarters(rest: int) -> list[tuple[int, int, int, int]]:
+    """Suffixes by the characters before their gram: from, to (exclusive), and how much all of them hold on its left and right."""
+    cut = [0, rest // 4, rest // 2, rest - rest // 4, rest + 1]
+    return [(cut[i], cut[i + 1], cut[i], rest - cut[i + 1] + 1) for i in range(4)]
 
 
 class Runs:
@@ -47,6 +56,27 @@ class Runs:
         self.first, self.last = first, np.r_[first[1:], n] - 1
         self.bucket = low[first]
         self.region = spans_hash(prefix, first, self.last + length)
+        # Where the gram stands; each suffix of the run holds it there unless it occurs twice (then the codes are WILD).
+        self.gram = first + self.grams[first[:, None] + np.arange(width)].argmin(1)
+        self.wild = self.last > self.gram
+        self.sides = np.zeros(len(first), np.uint64)
+        for i, (low, high, left, right) in enumerate(quarters(length - q)):
+            some = (self.gram - self.last < high) & (self.gram - first >= low)
+            at, end = np.where(some, self.gram - left, 0), np.where(some, self.gram + q + right, 0)
+            code = np.where(some, spans_hash(prefix, at, end) % np.uint64(WILD - 1) + np.uint64(1), np.uint64(0))
+            self.sides |= np.where(self.wild, np.uint64(WILD), code) << np.uint64(8 * i)
+
+    def suffixes(self, run: np.ndarray, bits: np.ndarray, length: int = LENGTH, q: int = GRAM) -> np.ndarray:
+        """Starts of the suffixes of these runs that lie in the quarters of their bits."""
+        out = []
+        for i, (low, high, _, _) in enumerate(quarters(length - q)):
+            r = run[(bits >> i) & 1 > 0]
+            wild = self.wild[r]
+            begin = np.where(wild, self.first[r], np.maximum(self.first[r], self.gram[r] - high + 1))
+            size = np.maximum(0, np.where(wild, self.last[r], np.minimum(self.last[r], self.gram[r] - low)) - begin + 1)
+            if len(r) and size.sum():
+                out.append(np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()))
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
     def pointers(self, at: np.ndarray, length: int = LENGTH, q: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of the length-byte strings from the identifiers of their grams: a key and a check."""
@@ -76,45 +106,53 @@ class Entries:
     def __init__(self, widths: tuple[int, int]):
         self.widths, self.parts, self.docs, self.size = widths, [], [], 0
 
-    def add(self, k1: np.ndarray, k2: np.ndarray, number: np.ndarray, doc: tuple[int, int]) -> None:
-        self.parts.append((k1, k2, number, np.full(len(k1), len(self.docs))))
+    def add(self, k1: np.ndarray, k2: np.ndarray, number: np.ndarray, bucket: np.ndarray, doc: tuple[int, int]) -> None:
+        self.parts.append((k1, k2, number.astype(np.uint32), np.full(len(k1), len(self.docs), np.int32), bucket.astype(np.int32)))
         self.docs.append(doc)
         self.size += len(k1)
 
     def columns(self) -> tuple[np.ndarray, ...]:
-        k1, k2, number, d = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        k1, k2, number, d, *bucket = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.bucket = bucket[0] if bucket else None
         return k1, k2, number, d, np.array(self.docs, np.int64).reshape(-1, 2)
 
     def add_packed(self, data: bytes) -> None:
-        n, m = np.frombuffer(data, np.int64, 2)
-        view, at = memoryview(data), 16
+        n, m, wide = np.frombuffer(data, np.int64, 3).tolist()
+        view, at = memoryview(data), 24
         take = lambda size: (view[at : at + size], at + size)
-        part, at = take(16 * m)
-        docs = np.frombuffer(part, np.int64).reshape(m, 2)
+        part, at = take(8 * m)
+        ids = np.frombuffer(part, np.int64)
+        part, at = take(4 * m)
+        docs = np.stack([ids, np.frombuffer(part, np.int32)], 1)
         part, at = take(4 * m)
         counts = np.frombuffer(part, np.uint32)
-        part, at = take(4 * n)
-        number = np.frombuffer(part, np.uint32)
+        part, at = take(wide * n)
+        number = np.cumsum(np.frombuffer(part, f"<u{wide}").astype(np.int64))
+        first = np.cumsum(counts, dtype=np.int64) - counts
+        number = (number - np.repeat(np.r_[0, number[first[1:] - 1]], counts)).astype(np.uint32)
         part, at = take(self.widths[0] * n)
         k1 = unpacked(part, n, self.widths[0])
         part, at = take(self.widths[1] * n)
-        self.parts.append((k1, unpacked(part, n, self.widths[1]), number, np.repeat(np.arange(len(self.docs), len(self.docs) + m), counts)))
+        self.parts.append((k1, unpacked(part, n, self.widths[1]), number, np.repeat(np.arange(len(self.docs), len(self.docs) + m, dtype=np.int32), counts)))
         self.docs.extend(map(tuple, docs.tolist()))
         self.size += n
 
-    def bucketed(self, rows: np.ndarray, cols: tuple, buckets: int) -> Iterator[tuple[int, bytes]]:
+    def bucketed(self, rows: np.ndarray, cols: tuple) -> Iterator[tuple[int, bytes]]:
         k1, k2, number, d, docs = cols
-        b = (k1[rows] >> np.uint64(20)) % np.uint64(buckets)
+        b = self.bucket[rows]
         o = np.argsort(b, kind="stable")
         rows, b = rows[o], b[o]
         edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else [0]
         for i, j in zip(edges[:-1], edges[1:], strict=True):
             r = rows[i:j]
-            r = r[np.argsort(d[r], kind="stable")]
+            r = r[np.lexsort((number[r], d[r]))]
             first = np.flatnonzero(np.r_[True, d[r][1:] != d[r][:-1]])
             counts = np.diff(np.r_[first, len(r)]).astype(np.uint32)
-            head = np.array([len(r), len(first)], np.int64).tobytes() + docs[d[r][first]].tobytes() + counts.tobytes()
-            yield int(b[i]), head + number[r].astype(np.uint32).tobytes() + packed(k1[r], self.widths[0]) + packed(k2[r], self.widths[1])
+            delta = np.diff(number[r].astype(np.int64), prepend=0)
+            delta[first] = number[r][first]
+            wide = 4 if len(r) and delta.max() > 65535 else 2
+            head = np.array([len(r), len(first), wide], np.int64).tobytes() + docs[d[r][first], 0].tobytes() + docs[d[r][first], 1].astype(np.int32).tobytes() + counts.tobytes()
+            yield int(b[i]), head + delta.astype(f"<u{wide}").tobytes() + packed(k1[r], self.widths[0]) + packed(k2[r], self.widths[1])
 
 
 def lowest(k1: np.ndarray, k2: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +170,7 @@ def per_document(d: np.ndarray, numbers: np.ndarray, docs: np.ndarray) -> pa.Rec
     lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(d)].astype(np.int32)), pa.array(numbers))
     ids = docs[d[first]]
     n = len(first)
-    return pa.RecordBatch.from_arrays([pa.array((ids[:, 1] & 0xFFFF).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), lists], NAMES)
+    return pa.RecordBatch.from_arrays([pa.array((ids[:, 1] & 0x3FFFFFFF).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), lists], NAMES)
 
 
 def asked(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -144,7 +182,7 @@ NAMES = ["bucket", "payload", "doc_id", "row_key", "numbers"]
 KIND = "bucket int, payload binary, doc_id long, row_key long, numbers array<int>"
 
 
-def sent(e: Entries, buckets: int, hit_numbers) -> Iterator[pa.RecordBatch]:
+def sent(e: Entries, hit_numbers) -> Iterator[pa.RecordBatch]:
     """What a task has gathered: entries of classes' smallest documents go to their buckets, all others are hits."""
     if e.size:
         cols = e.columns()
@@ -152,7 +190,7 @@ def sent(e: Entries, buckets: int, hit_numbers) -> Iterator[pa.RecordBatch]:
         o, _, low = lowest(k1, k2, docs[d, 0])
         hit = docs[d[o], 0] > low
         yield per_document(*hit_numbers(d[o[hit]], number[o[hit]].astype(np.int64)), docs)
-        yield asked(list(e.bucketed(o[~hit], cols, buckets)))
+        yield asked(list(e.bucketed(o[~hit], cols)))
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch], widths: tuple[int, int]) -> Iterator[pa.RecordBatch | Entries]:
@@ -160,7 +198,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch], widths: tuple[int, int]) -> Ite
     held: dict[int, list[bytes]] = {}
     for batch in batches:
         t = pa.Table.from_batches([batch])
-        ready = t.filter(pa.compute.is_null(t.column("payload")))
+        ready = t.filter(pc.is_null(t.column("payload")))
         yield from ready.to_batches()
         for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if x is not None:
@@ -187,78 +225,88 @@ def _ranges(d: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _initial(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Entries((6, 6))
-        even = lambda d, n: (d, 2 * n)  # noqa: E731  a hit of the whole run
+        e = Entries((7, 6))
+        even = lambda d, n: (d, 16 * n)  # noqa: E731  a hit of the whole run
         for batch in batches:
             for i, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = as_bytes(text)
                 if len(x) >= LENGTH:
                     r = Runs(x)
-                    e.add(r.bucket & _48, r.region & _48, np.arange(len(r.first)), (i, key))
+                    e.add((r.bucket & _24) << np.uint64(32) | r.sides, r.region & _48, np.arange(len(r.first)), (r.bucket >> np.uint64(32)) % np.uint64(buckets), (i, key))
                 if e.size >= FLUSH:
-                    yield from sent(e, buckets, even)
-                    e = Entries((6, 6))
-        yield from sent(e, buckets, even)
+                    yield from sent(e, even)
+                    e = Entries((7, 6))
+        yield from sent(e, even)
 
     return run
 
 
 def _refine_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers out: 2 x run where the run's region occurs in an earlier document, 2 x run + 1 where its suffixes must be refined."""
-    for e in by_bucket(batches, (6, 6)):
+    """Numbers out: 16 x run where the run's region occurs in an earlier document, else plus a bit for each quarter of
+    its suffixes that must be refined."""
+    for e in by_bucket(batches, (7, 6)):
         if not isinstance(e, Entries):
             yield e
             continue
         k1, k2, number, d, docs = e.columns()
-        o = np.argsort(k1, kind="stable")
-        new = np.r_[True, k1[o][1:] != k1[o][:-1]]
+        gram = k1 >> np.uint64(32)
+        o = np.argsort(gram, kind="stable")
+        new = np.r_[True, gram[o][1:] != gram[o][:-1]]
         shared = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
         o = o[shared]
         if not len(o):
             continue
         p, new, low = lowest(k1[o], k2[o], docs[d[o], 0])
         o = o[p]
-        ids = docs[d[o], 0]
-        start = np.r_[True, k1[o][1:] != k1[o][:-1]]
-        gram = np.cumsum(start) - 1
+        ids, of = docs[d[o], 0], np.cumsum(new) - 1  # the class of each entry
+        start = np.r_[True, gram[o][1:] != gram[o][:-1]]
         first = np.flatnonzero(start)
-        several = (np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)) & (np.add.reduceat(new.astype(np.int64), first) > 1)
-        hit, expand = ids > low, (ids == low) & several[gram]
-        some = hit | expand
-        yield per_document(d[o[some]], 2 * number[o[some]].astype(np.int64) + expand[some], docs)
+        several = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
+        group = (np.cumsum(start) - 1)[new]  # the gram of each class
+        sides = k1[o][new] & _32
+        wild = (np.bincount(group, (sides & _8) == WILD) > 0)[group] & (np.bincount(group)[group] > 1)
+        mate = np.zeros(len(group), np.int64)
+        for i in range(4):
+            side = (sides >> np.uint64(8 * i)) & _8
+            _, at, n = np.unique(group.astype(np.uint64) << np.uint64(8) | side, return_inverse=True, return_counts=True)
+            mate += (((((n[at] > 1) & (side > 0)) | wild) & several[group]).astype(np.int64)) << i
+        hit = ids > low
+        code = np.where(hit, 0, mate[of])
+        some = hit | (code > 0)
+        yield per_document(d[o[some]], 16 * number[o[some]].astype(np.int64) + code[some], docs)
 
 
 def _suffixes(buckets: int):
     """Numbers out: pairs first, last of suffixes that are hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Entries((8, 4))
+        e = Entries((7, 2))
         for batch in batches:
             known, spans = [], []
             for i, key, text, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 c = np.unique(np.concatenate([np.asarray(x, np.int64) for x in codes]))
                 r = Runs(as_bytes(text))
-                hits, more = c[c % 2 == 0] // 2, c[c % 2 == 1] // 2
+                hits, more = c[c % 16 == 0] // 16, c[c % 16 > 0]
                 if len(hits):
                     known.append((i, key))
                     spans.append(np.stack([r.first[hits], r.last[hits]], 1).ravel())
-                more = np.setdiff1d(more, hits, assume_unique=True)
-                if len(more):
-                    size = r.last[more] - r.first[more] + 1
-                    at = np.repeat(r.first[more] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-                    e.add(*r.pointers(at), at, (i, key))
+                more = more[~np.isin(more // 16, hits)]
+                at = r.suffixes(more // 16, more % 16)
+                if len(at):
+                    k1, k2 = r.pointers(at)
+                    e.add(k1 & _56, k2 & _16, at, (k1 >> np.uint64(32)) % np.uint64(buckets), (i, key))
                 if e.size >= 2 * FLUSH:
-                    yield from sent(e, buckets, _ranges)
-                    e = Entries((8, 4))
+                    yield from sent(e, _ranges)
+                    e = Entries((7, 2))
             if known:
                 yield per_document(np.repeat(np.arange(len(known)), [len(s) for s in spans]), np.concatenate(spans), np.array(known, np.int64))
-        yield from sent(e, buckets, _ranges)
+        yield from sent(e, _ranges)
 
     return run
 
 
 def _refine_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for e in by_bucket(batches, (8, 4)):
+    for e in by_bucket(batches, (7, 2)):
         if not isinstance(e, Entries):
             yield e
             continue
@@ -295,12 +343,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    d = d.withColumn("row_key", F.xxhash64("doc_id", "text")).select("doc_id", "row_key", "text")
-    deal = lambda df: df.repartition(n, "bucket")
-    runs = deal(d.mapInArrow(_initial(4 * n), KIND)).mapInArrow(_refine_regions, KIND)
+    d = d.withColumn("row_key", F.xxhash64("doc_id", "text").bitwiseAND(0x7FFFFFFF)).select("doc_id", "row_key", "text")
+    deal = lambda df: df.repartitionById(n, "bucket")
+    runs = deal(d.mapInArrow(_initial(n), KIND)).mapInArrow(_refine_regions, KIND)
     runs = runs.groupBy("doc_id", "row_key").agg(F.collect_list("numbers").alias("codes"))
     todo = d.join(runs, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "codes")
-    hits = deal(todo.mapInArrow(_suffixes(4 * n), KIND)).mapInArrow(_refine_suffixes, KIND)
+    hits = deal(todo.mapInArrow(_suffixes(n), KIND)).mapInArrow(_refine_suffixes, KIND)
     hits = hits.groupBy("doc_id", "row_key").agg(F.collect_list("numbers").alias("ranges"))
     return d.join(hits, ["doc_id", "row_key"], "left")
 
