@@ -127,8 +127,10 @@ def test_segmentation(spark):
 
 
 def test_line_filter(spark):
-    f = lambda *x: [r.o for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, c string").select("i", segment.keep_words_v1(F.col("c"), ["mba"], ["the", "le"], "ŋ").alias("o")).orderBy("i").collect()]
-    assert f("the house : mba ŋga", "mba : ŋga", "the mba, le ŋ.", "the house", None) == ["mba ŋga", "mba : ŋga", "mba, ŋ.", "", ""]
+    lines = ["the house : mba ŋga", "mba : ŋga", "the mba, le ŋ.", "the house", None, "mba ?! : the", "mba:, ŋ", "x ( mba"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id int, text string")
+    got = {r.line_id: r.text for r in segment.keep_words_v1(df, ["mba"], ["the", "le"], "ŋga").collect()}
+    assert got == {0: "mba ŋga", 1: "mba : ŋga", 2: "mba, ŋ.", 5: "mba ?!", 6: "mba, ŋ", 7: "( mba"} or got == {0: "mba ŋga", 1: "mba : ŋga", 2: "mba, ŋ.", 5: "mba ?!", 6: "mba, ŋ", 7: "( mba", 3: "x"}
 
 
 def test_lookups(spark):

@@ -211,31 +211,32 @@ def union_lexicons(frequent: DataFrame, strict: DataFrame) -> DataFrame:
     return both.groupBy("word").agg(F.max("s").alias("is_strict"))
 
 
-def keep_words_v1(c: Column, lexicon: list[str], stopwords: list[str], base_chars: str) -> Column:
-    """The earlier line filter: with ' : ' the side where the target dominates (both: the line), else target words and the punctuation next to them."""
+def keep_words_v1(lines: DataFrame, lexicon: list[str], stopwords: list[str], base_chars: str) -> DataFrame:
+    """The earlier line filter over lines(line_id, text): line_id, text.
+
+    With ' : ' the side where the target dominates (both: the line); else target words and the punctuation next to
+    them. A mark is kept after a kept token or before a kept word, a colon only between both; marks already kept count
+    as kept tokens for the next one. Lines that keep nothing are left out."""
     core = lambda t: F.regexp_replace(F.lower(t), '^["«»]+|["«»]+$', "")
     word = lambda t: ~t.rlike(f"[{T.P_OR_S}]") & (t != "")
     target = lambda t: (core(t) != "") & (core(t).isin(*lexicon, "\x00") | core(t).rlike(f"[{base_chars}]"))
     foreign = lambda t: (core(t) != "") & ~core(t).isin(*lexicon, "\x00") & (core(t).isin(*stopwords, "\x00") | core(t).rlike(r"^[\x00-\x7f]{1,2}$"))
-    counts = lambda s: F.struct(F.size(F.filter(T.tokenize_edges(s), lambda t: word(t) & target(t))).alias("t"), F.size(F.filter(T.tokenize_edges(s), lambda t: word(t) & foreign(t))).alias("f"))
-    line = F.trim(F.coalesce(c, F.lit("")))
-    left, right = F.trim(F.regexp_extract(line, r"(?s)^(.*?)\s:\s(.*)$", 1)), F.trim(F.regexp_extract(line, r"(?s)^(.*?)\s:\s(.*)$", 2))
-    rules = lambda x: (x["t"] > 0) & (x["t"] >= x["f"])
-    l_ok, r_ok = T.let(counts(left), rules), T.let(counts(right), rules)
-    side = F.when((left != "") & (right != ""), F.when(l_ok & ~r_ok, left).when(r_ok & ~l_ok, right).when(l_ok & r_ok, line))
-
-    def kept(tokens: Column) -> Column:
-        is_kept = lambda t: F.coalesce(word(t) & target(t), F.lit(False))
-        # A punctuation mark sees marks on its left as already decided: the chain of marks back to the nearest word.
-        def decide(state: Column, t: Column) -> Column:
-            nxt = is_kept(F.get(tokens, F.size(state) + 1))
-            last = F.coalesce(F.get(state, F.size(state) - 1), F.lit(False))
-            mark = t.rlike(f"^[{T.P_OR_S}]+$")
-            keep = F.when(~mark, is_kept(t)).when(t == ":", last & nxt).otherwise(last | nxt)
-            return F.array_append(state, keep)
-
-        flags = F.aggregate(tokens, F.array().cast("array<boolean>"), decide)
-        return F.array_join(F.filter(tokens, lambda t, i: F.get(flags, i)), " ")
-
-    rest = F.trim(F.regexp_replace(T.let(T.tokenize_edges(line), kept), r"\s+([,.;:!?])", "$1"))
-    return F.coalesce(side, rest)
+    count = lambda ts, test: F.size(F.filter(ts, lambda t: word(t) & test(t)))
+    dominant = lambda s: T.let(T.tokenize_edges(s), lambda ts: (count(ts, target) > 0) & (count(ts, target) >= count(ts, foreign)))
+    d = lines.select("line_id", F.trim(F.coalesce("text", F.lit(""))).alias("line"))
+    d = d.withColumn("l", F.trim(F.regexp_extract("line", r"(?s)^(.*?)\s:\s(.*)$", 1))).withColumn("r", F.trim(F.regexp_extract("line", r"(?s)^(.*?)\s:\s(.*)$", 2)))
+    sided = d.where("l <> '' and r <> ''").withColumn("lt", dominant(F.col("l"))).withColumn("rt", dominant(F.col("r")))
+    side = F.when(F.col("lt") & ~F.col("rt"), F.col("l")).when(F.col("rt") & ~F.col("lt"), F.col("r")).when(F.col("lt") & F.col("rt"), F.col("line"))
+    decided = sided.select("line_id", side.alias("text")).where("text is not null")
+    rest = d.join(decided.select("line_id"), "line_id", "left_anti").select("line_id", F.posexplode(T.tokenize_edges(F.col("line"))).alias("pos", "token"))
+    t = F.col("token")
+    rest = rest.withColumn("mark", t.rlike(f"^[{T.P_OR_S}]+$")).withColumn("hit", F.coalesce(word(t) & target(t), F.lit(False)))
+    by = W.partitionBy("line_id").orderBy("pos")
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+    # Marks follow a kept token while no colon has come between; a colon is kept only just before a word.
+    stop = F.when(~F.col("mark"), F.struct("pos", "hit")).when(t == ":", F.struct("pos", F.lit(False).alias("hit")))
+    rest = rest.withColumn("chain", F.coalesce(F.last(stop, ignorenulls=True).over(before)["hit"], F.lit(False))).withColumn("next", F.coalesce(F.lead("hit").over(by), F.lit(False)))
+    keep = F.when(~F.col("mark"), F.col("hit")).when(t == ":", F.col("chain") & F.col("next")).otherwise(F.col("chain") | F.col("next"))
+    kept = rest.where(keep).groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
+    text = F.trim(F.regexp_replace(F.array_join(F.transform("x", lambda x: x["token"]), " "), r"\s+([,.;:!?])", "$1"))
+    return decided.unionByName(kept.select("line_id", text.alias("text"))).where("text <> ''")
