@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.operators.predict import longest_match
+from textloom.operators.search import search_corpus
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -67,3 +68,16 @@ def flag_known(texts: DataFrame, sentences: DataFrame) -> DataFrame:
     """status 'original' for texts that are sentences of the corpus."""
     known = sentences.select(F.col("sentence").alias("s")).distinct().withColumn("known", F.lit(True))
     return texts.join(known, F.col("text") == F.col("s"), "left").withColumn("status", F.when(F.col("known"), "original").otherwise(F.col("status"))).drop("s", "known")
+
+
+def generation_report(requests: DataFrame, model: DataFrame, sentences: DataFrame, k: int = 5, match_limit: int = 8, max_sources: int = 3, **settings) -> DataFrame:
+    """request_id, text, settings, primary, candidates, matches, match_count: the candidates of each request, the first one's
+    status against the corpus, and the sentences found for the first one. Requests without text are left out."""
+    made = flag_known(candidates(requests.where("text <> ''"), model, k, **settings), sentences)
+    each = made.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "status"))).alias("candidates"))
+    first = each.select("request_id", "candidates", F.col("candidates")[0].alias("primary"))
+    found = search_corpus(first.select(F.col("request_id").alias("query_id"), F.col("primary.text").alias("query")), sentences, match_limit, max_sources)
+    m = found.groupBy(F.col("query_id").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "sentence", "is_exact", "source_count", "sources"))).alias("matches"))
+    told = F.create_map(*[F.lit(str(x)) for kv in {"num_candidates": k, "match_limit": match_limit, "max_sources": max_sources, **settings}.items() for x in kv])
+    out = requests.select("request_id", "text").join(first, "request_id").join(m, "request_id", "left")
+    return out.select("request_id", "text", told.alias("settings"), "primary", "candidates", "matches", F.coalesce(F.size("matches"), F.lit(0)).alias("match_count"))

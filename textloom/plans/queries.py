@@ -525,3 +525,19 @@ def q_debounce(spark, sf_dir):
 @query(f"WITH {RECORDS} SELECT row_number() OVER (ORDER BY encode(sentence)) AS row_id, sentence FROM sents WHERE regexp_matches(sentence, '\\pL')")
 def q_number_rows(spark, sf_dir):
     return corpus.number_rows(corpus.letters_only(sentences(spark, sf_dir)).select("sentence"), "sentence")
+
+
+@query()
+def q_generation_report(spark, sf_dir):
+    s = sentences(spark, sf_dir)
+    m = generate._stored(ngram.combined_model(s, 3))
+    r = generate.generation_report(requests(spark, sf_dir), m, s, k=1, max_ctx=2, max_tokens=6, temperature=0.0)
+    return r.select("request_id", "text", F.col("primary.text").alias("made"), F.col("primary.status").alias("status"), "match_count")
+
+
+@query("SELECT day::VARCHAR AS day, printf('%s %s (%s) %d %s %d', 'Today', 'd' || (dayofweek(day) + 1), dayname(day), day(day), 'month' || month(day), year(day)) AS text FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders)")
+def q_calendar_phrase(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    d = d.withColumn("day_name", F.concat(F.lit("d"), F.dayofweek("day").cast("string")))
+    months = spark.range(1, 13).select(F.col("id").cast("int").alias("month_no"), F.concat(F.lit("month"), "id").alias("name"))
+    return lookup.calendar_phrase(d, months, "Today").select(F.col("day").cast("string").alias("day"), "text")
