@@ -16,7 +16,7 @@ from textloom.llm.work import WORD, stored
 
 #: The fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
-WEIGHTS, MAX_REPEATS, BLOCK, CHUNK = (5, 2, 1), 3, 128, 4096
+WEIGHTS, MAX_REPEATS, BLOCK, CHUNK = (5, 2, 1), 3, 32, 4096
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
