@@ -20,6 +20,7 @@ RULES = [("tion", "syon"), ("the", "ðe"), ("th", "þ"), ("syon", "ʃon"), ("qu"
 TONE_RULES = [("é", "e"), ("è", "e"), ("ê", "e")]
 META = ["license", "all rights", "that the"]
 PATTERNS = ["of the", "the", "of", "and to", "an"]
+PARTS = [("e1", "ê"), ("1", "one"), ("20", "xx"), ("#2", "h-")]
 PHRASES = [("of the", "o'the"), ("to be", "2b"), ("o'the and", "o&")]
 
 
@@ -132,6 +133,11 @@ def q_clean_document(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.clean_document(F.col("text"), RULES, TONE_RULES).alias("cleaned"))
 
 
+@query()
+def q_clean_document_all(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_document(F.col("text"), RULES, TONE_RULES).alias("cleaned"))
+
+
 @query(r"SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, '|')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(text, '[\pL\pN\pM''’ʼ]+|[^\s]') AS t FROM documents)")
 def q_tokenize(spark, sf_dir):
     t = T.tokenize(F.col("text"))
@@ -447,6 +453,12 @@ def q_expand_tokens(spark, sf_dir):
     return expand.expand_tokens(t, keys(spark, sf_dir))
 
 
+@query()
+def q_expand_tokens_all(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return expand.expand_tokens(t, keys(spark, sf_dir).unionByName(spark.createDataFrame(PARTS, "key string, value string")))
+
+
 @query(f"WITH {RECORDS}, {LEX}, {KEYS}, amb AS (SELECT DISTINCT left(key, i) AS key FROM (SELECT key, unnest(range(1, length(key))) AS i FROM keys)) SELECT t.word AS token, value FROM (SELECT DISTINCT word FROM wc) t JOIN keys ON key = word WHERE key NOT IN (SELECT key FROM amb)")
 def q_auto_complete(spark, sf_dir):
     return expand.auto_complete(words(spark, sf_dir).select(F.col("word").alias("token")), keys(spark, sf_dir))

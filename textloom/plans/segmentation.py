@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -24,6 +25,16 @@ def lines(spark, sf_dir) -> DataFrame:
     return b.unionByName(c.select((F.col("conv_id") + 1_000_000).alias("line_id"), "text"))
 
 
+def all_lines(spark, sf_dir) -> DataFrame:
+    """Every line of documents, every turn of conversations and every benchmark item. The ids start with the table
+    and have the number of the line, or of the row among those of one turn, so repeated rows stay apart."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    c = table(spark, sf_dir, "conversations").withColumn("copy", F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("text", "role")))
+    b = table(spark, sf_dir, "benchmark")
+    name = lambda kind, *ids: F.concat(F.lit(kind), *[F.concat(F.lit(":"), F.coalesce(F.col(x).cast("string"), F.lit(""))) for x in ids]).alias("line_id")
+    return d.select(name("d", "doc_id", "line_no"), "text").unionByName(c.select(name("c", "conv_id", "turn", "copy"), "text")).unionByName(b.select(name("b", "item_id"), "text"))
+
+
 def _ends(c: str, suffixes) -> str:
     return "(" + (" OR ".join(f"suffix({c}, '{s}')" for s in suffixes) or "false") + ")"
 
@@ -99,8 +110,8 @@ def q_classify_tokens(spark, sf_dir):
     return segment.classify_types(segment.token_rows(lines(spark, sf_dir)), lexicon(spark, sf_dir), CFG).drop("core")
 
 
-def _smoothed(spark, sf_dir) -> DataFrame:
-    return segment.smooth_labels(segment.label_tokens(lines(spark, sf_dir), lexicon(spark, sf_dir), CFG), CFG.score_threshold)
+def _smoothed(spark, sf_dir, of=lines) -> DataFrame:
+    return segment.smooth_labels(segment.label_tokens(of(spark, sf_dir), lexicon(spark, sf_dir), CFG), CFG.score_threshold)
 
 
 @query(f"WITH {CTE} SELECT line_id, pos::INT AS pos, token, label FROM smooth")
@@ -119,13 +130,38 @@ def q_spans(spark, sf_dir):
     + " FROM spans GROUP BY line_id"
 )
 def q_grouped(spark, sf_dir):
-    g = segment.group_by_language(segment.merge_spans(_smoothed(spark, sf_dir)))
+    return _grouped(_smoothed(spark, sf_dir))
+
+
+def _grouped(smoothed: DataFrame) -> DataFrame:
+    g = segment.group_by_language(segment.merge_spans(smoothed))
     return g.select("line_id", *[F.array_join(F.col(f"`{x}`"), " | ").alias(x) for x in segment.LABELS])
 
 
 @query()
 def q_keep_lang(spark, sf_dir):
-    return segment.keep_language(lines(spark, sf_dir), lexicon(spark, sf_dir), CFG)
+    return segment.keep_language(all_lines(spark, sf_dir), lexicon(spark, sf_dir), CFG)
+
+
+# The whole job of the four queries with SQL above, whose SQL covers only lines().
+@query()
+def q_classify_tokens_all(spark, sf_dir):
+    return segment.classify_types(segment.token_rows(all_lines(spark, sf_dir)), lexicon(spark, sf_dir), CFG).drop("core")
+
+
+@query()
+def q_smooth_labels_all(spark, sf_dir):
+    return _smoothed(spark, sf_dir, all_lines).select("line_id", "pos", "token", "label")
+
+
+@query()
+def q_spans_all(spark, sf_dir):
+    return segment.merge_spans(_smoothed(spark, sf_dir, all_lines)).drop("tokens")
+
+
+@query()
+def q_grouped_all(spark, sf_dir):
+    return _grouped(_smoothed(spark, sf_dir, all_lines))
 
 
 @query()
