@@ -185,6 +185,16 @@ def test_toxicity_held_out_accuracy(spark, edge_docs, no_docs):
     assert op8_toxicity.toxicity(edge_docs, none).count() == edge_docs.count() and op8_toxicity.toxicity(no_docs, none).count() == 0
 
 
+def test_shouting_is_counted_over_the_whole_text():
+    import sys
+
+    shouts = op8_toxicity.N_LEXICONS + 5
+    vote = lambda text: op8_toxicity.Lexicon([]).read(text)[0][shouts]
+    assert vote("calm words " * 300 + "LOUD ÉCRITS " * 900) == 1 and vote("LOUD WORDS " * 250 + "calm words " * 9000) == 0
+    assert vote("LOUD ÉCRITS " * 3) == 1 and vote("calm words " * 3) == 0 and vote("LOUD") == 0
+    assert all(op8_toxicity.n_upper(chr(i)) == chr(i).isupper() for i in range(sys.maxunicode + 1))
+
+
 # ---- mixing ---------------------------------------------------------------------------------------
 def test_mixing_meets_targets(spark, edge_docs, no_docs):
     rng = random.Random(11)

@@ -33,6 +33,8 @@ SEED_WORDS = frozenset("idiot moron stupid loser scum trash clown pathetic worth
 YOU = frozenset("you your ur du dein dich tu te vous vos usted tus".split())
 WORDS = re.compile(r"\w+")
 MASKED = re.compile(r"\b[a-z][*@#$]{1,4}[a-z]+", re.IGNORECASE)
+#: Whether a code point is an upper-case character; beyond the table none is.
+UPPER = np.array([chr(i).isupper() for i in range(0x20000)])
 KINDS, TIERS = ("w", "4", "5"), 2
 N_LEXICONS = len(KINDS) * TIERS
 N_VOTERS = N_LEXICONS + 8
@@ -52,6 +54,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], ["term", "toxic", "clean"])
 
 
+def n_upper(text: str) -> int:
+    """Upper-case characters of the whole text."""
+    if text.isascii():
+        return int(np.count_nonzero(UPPER[np.frombuffer(text.encode(), np.uint8)]))
+    return int(np.count_nonzero(UPPER[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), len(UPPER) - 1)]))
+
+
 class Lexicon:
     """term -> (number, voter); the voter goes by kind and precision tier of the term."""
 
@@ -79,8 +88,8 @@ class Lexicon:
         votes += [1 if len(bad) >= k else 0 if bad else clean for k in (2, 3, 5)]
         seeds = sum(counts[w] for w in SEED_WORDS if w in counts)
         near = bool(bad) and any(w in YOU and any(x in bad for x in words[max(0, i - 3) : i + 4]) for i, w in enumerate(words))
-        letters = sum(map(str.isupper, text[:2000])) if len(text) > 20 else 0
-        votes += [1 if seeds else clean, int(near), int(letters > 0.5 * min(len(text), 2000)), int("!!!" in text), int(bool(MASKED.search(text)))]
+        letters = n_upper(text) if len(text) > 20 else 0
+        votes += [1 if seeds else clean, int(near), int(letters > 0.5 * len(text)), int("!!!" in text), int(bool(MASKED.search(text)))]
         return votes, sorted(set(found)), len(words)
 
 
