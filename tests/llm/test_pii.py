@@ -68,3 +68,20 @@ def test_edges_and_clean_texts(edge_docs, no_docs):
     out = p.pseudonymise(edge_docs)
     assert {(r.doc_id, r.text) for r in out.collect()} == before and set(edge_docs.columns) < set(out.columns)
     assert p.pseudonymise(no_docs, counts=False).columns == no_docs.columns
+
+
+def test_cards_beside_other_digits(spark):
+    card = "4111111111111111"
+    want = permuted(card[:-1], "card", "k")
+    texts = [
+        "4111 1111 1111 1111 123", "4111-1111-1111-1111 12/26", "7 4111111111111111", "42 4111 1111 1111 1111", "4111111111111111/123", "4111 1111 1111 1111", "1234 4111 1111 1111 1111 99",
+        "4111 1111 1111 1111 4111-1111-1111-1111", "12 " * 3000 + "4111 1111 1111 1111", "7" * 20_000 + " 4111111111111111",
+    ]
+    for r, text in zip(p.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").orderBy("doc_id").collect(), texts, strict=True):
+        hits = re.findall("4111([ -]?)1111\\1?1111\\1?1111", text)
+        assert r.n_card == len(hits) and re.sub("[ -]", "", r.text).count(want) == len(hits), text[:60]
+        assert not re.search("4111[ -]?1111[ -]?1111", r.text) and len(r.text) == len(text)
+    mixed = ["4111 1111 1111 1111 555-123-4567", "4111 1111 1111 1111 078-05-1120", "4111 1111 1111 1111 12/05/1990", "4111 1111 1111 1111 70.123.182.155", "3782 822463 10005 2024-02-28", "4111 1111 1111 1112 123"]
+    rows = p.pseudonymise(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string"), key="k").orderBy("doc_id").collect()
+    assert [(r.n_card, r.n_phone, r.n_ssn, r.n_date, r.n_ip) for r in rows] == [(1, 1, 0, 0, 0), (1, 0, 1, 0, 0), (1, 0, 0, 1, 0), (1, 0, 0, 0, 1), (1, 0, 0, 1, 0), (0, 0, 0, 0, 0)]
+    assert rows[5].text == mixed[5]

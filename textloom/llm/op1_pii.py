@@ -20,7 +20,14 @@ DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\d-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
-PATTERN = "|".join((EMAIL, IP, DATE, SSN, PHONE, CARD))
+#: Groups of digits, 13 digits or more, one space or hyphen between them; stops before an address or date. Possessive, so that runs of any length need no stack.
+RUN = rf"(?<!\d)\d(?:(?! (?:{IP}|{DATE}))[ -]?\d){{12,}}+"
+PATTERN = "|".join((EMAIL, IP, DATE, SSN, PHONE, RUN))
+#: Card formats inside a run: numbers of groups, and the digits of these.
+SHAPES = {1: r"\d{13,19}", 3: r"\d{4}[ -]\d{6}[ -]\d{4,5}", 4: r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,4}", 5: r"(?:\d{4}[ -]){4}\d{1,3}"}
+#: A run again, its cards between marks; what is left is searched for the other kinds and for cards in other groups.
+OPEN, CLOSE = "\x01", "\x02"
+INSIDE = "|".join((f"{OPEN}[^{CLOSE}]*{CLOSE}", DATE, SSN, PHONE, CARD))
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 #: The first day of the permuted dates and the two moduli whose product is the number of days.
 FIRST_DAY, HIGH, LOW = "1800-01-01", 189, 773
@@ -94,6 +101,44 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def marked(run: Column) -> Column:
+    """The run with each valid card of a known format between marks; from the left, at one place the format first that has four groups of four."""
+    groups = F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0))
+
+    def chosen(g: Column, i: Column) -> Column:
+        """How many groups from this one on are a card, 0 if none."""
+        out = F.lit(0)
+        for n in (5, 3, 1, 4):  # the last one is tried first
+            text = F.array_join(F.slice(g, i + 1, F.lit(n)), "")
+            valid = (F.size(g) >= i + n) & text.rlike(f"^[ -]?{SHAPES[n]}$") & F.length(digits_of(text)).between(13, 19) & (luhn_sum(digits_of(text), 1) % 10 == 0)
+            out = F.when(valid, n).otherwise(out)
+        return out
+
+    def step(s: Column, i: Column, g: Column) -> Column:
+        n = F.when(i >= s["next"], chosen(g, i)).otherwise(0)
+        sep = F.regexp_extract(g[i], "^[ -]?", 0)
+        put = lambda n: F.struct(
+            F.when(n > 0, i + n).otherwise(s["next"]).alias("next"),
+            F.array_append(s["out"], F.when(n > 0, F.concat(sep, F.lit(OPEN), F.regexp_replace(F.array_join(F.slice(g, i + 1, n), ""), "^[ -]", ""), F.lit(CLOSE))).when(i >= s["next"], g[i]).otherwise("")).alias("out"),
+        )
+        return let(n, put)
+
+    def walk(g: Column) -> Column:
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, lambda s, i: step(s, i, g), lambda s: F.array_join(s["out"], ""))
+
+    return let(groups, walk)
+
+
+def pieces(m: Column) -> Column:
+    """struct(gaps, found): what a candidate consists of; each of found is struct(m, kind)."""
+    strip = lambda x: F.translate(x, OPEN + CLOSE, "")
+    inner = lambda x: F.when(x.startswith(OPEN), F.struct(strip(x).alias("m"), F.lit("card").alias("kind"))).otherwise(F.struct(x.alias("m"), kind_of(x).alias("kind")))
+    run = let(marked(m), lambda t: F.struct(F.split(t, INSIDE, -1).alias("gaps"), F.transform(F.regexp_extract_all(t, F.lit(INSIDE), F.lit(0)), inner).alias("found")))
+    one = F.struct(F.array(F.lit(""), F.lit("")).alias("gaps"), F.array(F.struct(m.alias("m"), kind_of(m).alias("kind"))).alias("found"))
+    return F.when(m.rlike(f"^(?:{RUN})$"), run).otherwise(one)
+
+
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     last = F.length(m) - F.length(F.substring_index(m, ".", -1))
     email = F.concat(permuted_text(F.left(m, (last - 1).cast("int")), "email", key), F.substr(m, last.cast("int")))
@@ -113,7 +158,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 
 
 def _count(found: str, kind: str) -> Column:
-    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+    return F.size(F.filter(F.flatten(F.transform(found, lambda s: s["kinds"])), lambda k: k == kind)).cast("long")
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, counts: bool = True) -> DataFrame:
@@ -121,12 +166,15 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, counts
 
     Null texts stay null, with counts of 0; texts without candidates, empty ones included, are returned as they
     are; repeated rows get equal results; an empty table gives no rows. Other columns pass through, whatever
-    their names, except n_<kind> ones, which the counts replace. Dates outside 1800 to 2199 stay."""
+    their names, except n_<kind> ones, which the counts replace. Dates are yyyy-mm-dd, dd/mm/yyyy and dd.mm.yyyy, no
+    other order; those outside 1800 to 2199 stay. Cards are looked for beside other digits too: as 13 to 19 digits on
+    end, in fours (4-4-4-4, its last group of 1 to 4, or a fifth of 1 to 3), as 4-6-5 or 4-6-4; in other groups only
+    where the digits beside them, up to 19, are the card's."""
     text = F.col(text_col)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    each = lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))
-    replaced = lambda ms: F.transform(ms, lambda s: F.struct(s["kind"].alias("kind"), pseudonym(s["m"], s["kind"], key).alias("new")))
-    d = docs.withColumn("__pii", let(F.transform(F.coalesce(found, F.array().cast("array<string>")), each), replaced))
+    new = lambda p: F.array_join(F.zip_with(p["gaps"], p["found"], lambda x, s: F.concat(x, F.coalesce(pseudonym(s["m"], s["kind"], key), F.lit("")))), "")
+    replaced = lambda ps: F.transform(ps, lambda p: F.struct(F.transform(p["found"], lambda s: s["kind"]).alias("kinds"), new(p).alias("new")))
+    d = docs.withColumn("__pii", let(F.transform(F.coalesce(found, F.array().cast("array<string>")), pieces), replaced))
     parts = F.zip_with(F.split(text, PATTERN, -1), F.col("__pii"), lambda x, s: F.concat(x, F.coalesce(s["new"], F.lit(""))))
     d = d.withColumn(text_col, F.when(F.size("__pii") > 0, F.array_join(parts, "")).otherwise(text))
     for k in KINDS if counts else ():
