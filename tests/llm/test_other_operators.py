@@ -212,6 +212,21 @@ def test_mixing_meets_targets(spark, edge_docs, no_docs):
     assert e.count() == edge_docs.count() and op9_mixing.mix(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(1, 5, 33, 100), (5, 20, 33, 40), tuple(range(1, 90))])
+def test_mixing_fills_small_sources(spark, sizes):
+    """Small sources beside a large one repeat as often as they may."""
+    rows = [(i, "x " * n, f"s{i:02}") for i, n in enumerate(sizes)] + [(1000 + i, "x " * 500, "z") for i in range(100)]
+    out = op9_mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source <> 'z'").collect()
+    assert len(out) == len(sizes) and all(r.target == r.taken == 3 * r.size for r in out)
+
+
+def test_mixing_fills_blocks_of_a_small_corpus(spark):
+    """Sources below their cap, the weights 5, 2, 1 in turn: within two of their own blocks."""
+    rows = [(i, "x " * n, f"s{i}") for i, n in enumerate((60, 33, 40, 65))]
+    for r in op9_mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        assert abs(r.target - r.taken) < 2 * -(-r.size // -(-r.size // 32)) and r.target < 3 * r.size
+
+
 # ---- quality --------------------------------------------------------------------------------------
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")

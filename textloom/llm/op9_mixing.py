@@ -3,12 +3,13 @@
 Golden-ratio points map through the cumulative target shares, which gives every slot of the mix a
 source such that each prefix of the schedule is close to the targets. Slots are ranked per source and
 joined to that source's equal-token blocks of documents in shuffled order; the blocks repeat once all
-are used. Ranks and block offsets come from two-level prefix sums (per chunk, then inside a chunk),
+are used. A source's blocks have the least size that keeps their number, at most BLOCK words, and its slots
+are its target over that size, so small sources aren't charged for words that their last block lacks. Ranks and block offsets come from two-level prefix sums (per chunk, then inside a chunk),
 so no source, however large, is ordered in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,22 +45,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null and blank texts have size 0 and are never taken; a null source is a source of its own, the last.
     Repeated rows count as documents of their own. An empty table gives no rows. No document is taken
-    more than max_repeats times: slots beyond a source's last repetition are left out, which costs its
-    target no more than the schedule's discrepancy."""
+    more than max_repeats times: a source whose target is
+    max_repeats times its size gets it to the word, any other one up to the schedule's discrepancy and
+    what its last block lacks, under one block for each repetition."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     d = stored(d)
     targets = stored(source_targets(d, weights, max_repeats))
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
-    slots = slot_counts(spark, targets, int(-(-total // block)), block, max_repeats)
-    t = targets.select(F.col("source").alias("s"), "source_no", "source_size", "target")
+    t = targets.withColumn("block", block_words(block))
+    total = t.agg(F.sum(F.col("target") / F.col("block"))).first()[0] or 0.0
+    slots = slot_counts(spark, t, int(-(-total // 1)), max_repeats)
+    t = t.select(F.col("source").alias("s"), "source_no", "source_size", "target", "block")
     d = d.join(F.broadcast(t) if t.limit(10_001).count() <= 10_000 else t, F.expr("source <=> s")).drop("s")
     laid = stored(_offsets(d))
-    pieces = laid.where("size > 0").withColumn("block_no", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
-    part = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest("start", F.col("block_no") * block)
+    # A source whose target is its cap repeats whole, each document max_repeats times, so it needs no slots.
+    capped = F.col("target") >= max_repeats * F.col("source_size")
+    pieces = laid.where("size > 0").where(~capped).withColumn("block_no", F.explode(F.sequence(F.expr("start div block"), F.expr("(start + size - 1) div block"))))
+    part = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * F.col("block")) - F.greatest("start", F.col("block_no") * F.col("block"))
     taken = pieces.withColumn("part", part).join(slots, ["source_no", "block_no"]).groupBy("source_no", "row_key", "start").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     out = laid.where("size > 0").join(taken, ["source_no", "row_key", "start"], "left").unionByName(laid.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.when(capped, max_repeats * F.col("size")).otherwise(F.coalesce("taken", F.lit(0))).cast("long").alias("taken"))
+
+
+def block_words(block: int) -> Column:
+    """Words in a block of a source: source_size over the number of blocks of at most block words, rounded up."""
+    n = F.greatest(F.expr(f"(source_size + {block - 1}) div {block}"), F.lit(1))
+    return F.greatest(F.ceil(F.col("source_size") / n), F.lit(1)).cast("long")
 
 
 def _offsets(d: DataFrame) -> DataFrame:
@@ -76,24 +87,25 @@ def _offsets(d: DataFrame) -> DataFrame:
 def slot_schedule(spark: SparkSession, targets: DataFrame, n_slots: int) -> DataFrame:
     """(slot, source_no): the slot's golden-ratio point falls into the source's part of [0, 1)."""
     by = W.orderBy("source_no")
-    total = F.sum("target").over(W.partitionBy())
-    parts = targets.where("target > 0").withColumn("high", F.sum("target").over(by.rowsBetween(W.unboundedPreceding, 0)) / total)
+    total = F.sum("share").over(W.partitionBy())
+    parts = targets.where("target > 0").withColumn("share", F.col("target") / F.col("block"))
+    parts = parts.withColumn("high", F.sum("share").over(by.rowsBetween(W.unboundedPreceding, 0)) / total)
     parts = parts.withColumn("low", F.coalesce(F.lag("high").over(by), F.lit(0.0))).withColumn("high", F.when(F.lead("high").over(by).isNull(), 1.0).otherwise(F.col("high")))
     # Each source's points lie in one range of [0, 1): both sides are cut into 1024 cells and joined by cell.
     parts = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * 1024), F.least(F.floor(F.col("high") * 1024), F.lit(1023)))))
     point = F.col("slot") * GOLDEN - F.floor(F.col("slot") * GOLDEN)
     slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", F.floor(F.col("point") * 1024))
-    return slots.join(parts.select("cell", "low", "high", "source_no", "source_size"), "cell").where("point >= low and point < high").select("slot", "source_no", "source_size")
+    return slots.join(parts.select("cell", "low", "high", "source_no", "source_size", "block"), "cell").where("point >= low and point < high").select("slot", "source_no", "source_size", "block")
 
 
-def slot_counts(spark: SparkSession, targets: DataFrame, n_slots: int, block: int, max_repeats: int) -> DataFrame:
+def slot_counts(spark: SparkSession, targets: DataFrame, n_slots: int, max_repeats: int) -> DataFrame:
     """(source_no, block_no, times): ranks each source's slots and gives slot rank r the block r modulo blocks."""
     s = slot_schedule(spark, targets, n_slots).withColumn("chunk", F.expr(f"slot div {CHUNK}"))
     sums = s.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("source_no").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     s = s.withColumn("rank", F.row_number().over(W.partitionBy("source_no", "chunk").orderBy("slot")) - 1)
     s = s.join(sums.select("source_no", "chunk", "base"), ["source_no", "chunk"]).withColumn("rank", F.col("base") + F.col("rank"))
-    s = s.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}")).where(f"rank < {max_repeats} * blocks")
+    s = s.withColumn("blocks", F.expr("(source_size + block - 1) div block")).where(f"rank < {max_repeats} * blocks")
     return s.groupBy("source_no", F.expr("rank % blocks").alias("block_no")).agg(F.count("*").alias("times"))
 
 
