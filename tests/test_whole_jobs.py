@@ -2,6 +2,7 @@
 
 import pytest
 
+from textloom.operators import reshape
 from textloom.plans import queries as plans
 from textloom.plans import segmentation
 
@@ -34,3 +35,10 @@ def test_all_documents_are_cleaned_and_expanded(spark, small):
     assert {r.doc_id for r in plans.QUERIES["q_clean_document_all"](spark, small).collect()} == {1, 2}
     got = {r.text_id: r.text for r in plans.QUERIES["q_expand_tokens_all"](spark, small).collect()}
     assert set(got) == {1, 2} and got[2] == "abcone ê Hund4xx"
+
+
+def test_more_than_ten_thousand_keys(spark):
+    required = spark.range(10_500).selectExpr("cast(id as string) as k")
+    assert reshape.missing_keys(spark.createDataFrame([("a", "7"), (None, "8")], "e string, k string"), required, "e", "k").count() == 2 * 10_499
+    rows = spark.range(10_500).selectExpr("'v' as verb", "cast(id as string) as tense", "id as row_no", "'x' as value")
+    assert reshape.group_tenses(rows, spark.range(10_500).selectExpr("cast(id as string) as tense", "'g' as grp", "'h' as header"), ["h"]).count() == 10_500

@@ -20,14 +20,15 @@ def zip_lists(df: DataFrame, lists: list[str], keys: list[str]) -> DataFrame:
 
 def group_tenses(rows: DataFrame, mapping: DataFrame, headers: list[str]) -> DataFrame:
     """rows(verb, tense, row_no, value) by mapping(tense, grp, header) to one column per header, aligned by row_no."""
-    j = rows.join(F.broadcast(mapping.limit(10_000)), "tense")
+    j = rows.join(mapping, "tense")
     return j.groupBy("verb", "grp", "row_no").pivot("header", headers).agg(F.min("value"))
 
 
 def missing_keys(rows: DataFrame, required: DataFrame, entity: str, key: str) -> DataFrame:
-    """entity, key: required keys that an entity lacks; required is a small fixed list."""
-    have = rows.groupBy(entity).agg(F.collect_set(key).alias("have"))
-    return have.select(entity, F.explode(F.array_except(F.array(*[F.lit(r[0]) for r in required.select(key).distinct().orderBy(key).limit(10_000).collect()]), "have")).alias(key))
+    """entity, key: required keys that an entity lacks."""
+    want = rows.select(entity).distinct().crossJoin(required.select(key).distinct())
+    have = rows.select(F.col(entity).alias("__entity"), F.col(key).alias("__key")).distinct()
+    return want.join(have, (F.col(key) == F.col("__key")) & F.col(entity).eqNullSafe(F.col("__entity")), "left_anti")
 
 
 def take_quota(items: DataFrame, quotas: list[tuple[str, int]], text: str = "name", order: str = "item_id") -> DataFrame:
