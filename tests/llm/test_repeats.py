@@ -1,7 +1,11 @@
 import hashlib
 import random
 
-from textloom.llm.op5_suffix import Runs, as_bytes, remove_repeats
+import numpy as np
+import pytest
+
+from textloom.llm import op5_suffix
+from textloom.llm.op5_suffix import Runs, as_bytes, refined, remove_repeats, suffix_spans
 
 
 def brute(rows):
@@ -42,12 +46,34 @@ def test_against_brute_force(spark):
 
 
 def test_runs_cover_all_suffixes_and_their_quarters():
-    r = Runs(as_bytes("".join(random.Random(5).choice("abcd") for _ in range(3000))))
-    assert r.first[0] == 0 and (r.first[1:] == r.last[:-1] + 1).all() and r.last[-1] == 3000 - 50
-    import numpy as np
+    for text in ("".join(random.Random(5).choice("abcd") for _ in range(3000)), "ab" * 1500):
+        r = Runs(as_bytes(text))
+        assert r.first[0] == 0 and (r.first[1:] == r.last[:-1] + 1).all() and r.last[-1] == 3000 - 50
+        low, high = suffix_spans(r.first, r.last, r.gram, np.full(len(r.first), 15))
+        assert (low == r.first).all() and (high == r.last).all()
+
+
+def test_refinement_separates_grams_with_equal_fingerprints(monkeypatch):
+    """With fingerprints that all collide, the bytes still decide."""
+    x = as_bytes("a" * 60 + "b" * 60 + "a" * 60)
+    at, ids = np.array([0, 60, 120]), np.array([1, 2, 3])
+    assert refined(x, at, ids)[0].tolist() == [0, 2]
+    monkeypatch.setattr(op5_suffix, "spans_hash", lambda prefix, a, b: np.zeros(len(a), np.uint64))
+    left, bucket = refined(x, at, ids)
+    assert left.tolist() == [0, 1, 2] and bucket[0] == bucket[2] != bucket[1]
+
+
+@pytest.mark.parametrize("n", [4, 64])
+def test_rows_of_each_step_do_not_depend_on_partitions(spark, n):
+    """Rows between the steps, for 4 and 64 partitions."""
+    from pyspark.sql import functions as F
 
-    every = r.suffixes(np.arange(len(r.first)), np.full(len(r.first), 15))
-    assert (every == np.arange(3000 - 49)).all()
+    d = spark.createDataFrame([(i, k, t) for k, (i, t) in enumerate(texts(4)) if i is not None], "doc_id long, row_key long, text string").repartition(3, "doc_id").cache()
+    spans = op5_suffix.region_spans(d, 8 * n, n).cache()
+    counts = spans.count(), spans.where("gram is null").count(), op5_suffix.suffix_hits(d, spans, n).count()
+    seen = test_rows_of_each_step_do_not_depend_on_partitions.__dict__.setdefault("counts", counts)
+    assert all(abs(a - b) <= 0.02 * a for a, b in zip(seen, counts))
+    assert spans.where(F.col("last") < F.col("first")).count() == 0
 
 
 def test_edges(edge_docs, no_docs):
