@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Lexicons are mined from the labelled rows that aren't held out: whole words and word beginnings whose
-texts are mostly toxic. Many voters (one per lexicon kind and tier, numbers of different bad words, a small fixed lexicon, and patterns)
+Lexicons are mined from the labelled rows that aren't held out: whole words, word beginnings, and beginnings that
+come twice or thrice in one text, whose texts are mostly toxic. Many voters (one per lexicon kind, numbers of different bad words, a small fixed lexicon, and patterns)
 vote toxic, clean or abstain on every document. A generative label model takes the voters' means and
 covariances over all documents: triplets of covariances give each voter's accuracy without labels, what
 the accuracies don't explain is correlation and shrinks the correlated voters' weights. The model's
@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from textloom.llm.work import stored
 
-#: Texts a mined term needs, the share of them that must be toxic, and the most terms kept.
-SUPPORT, PRECISION, MAX_TERMS = 3, 0.6, 5000
-#: Labelled rows that the lexicons are mined from: all of them up to this many, beyond it those with the smallest hash.
+#: Texts a mined term needs, and the share of them that must be toxic.
+SUPPORT, PRECISION = 3, 0.6
+#: Labelled rows that the lexicons are mined from: all of them up to about this many, beyond it those below a hash.
 LABELLED_ROWS = 50_000
-#: Rows that the linear classifier is fitted on, the smallest by a hash of their features.
+#: Rows that the linear classifier is fitted on, about: those below a hash of their id, equal ones as one with a weight.
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
 #: Fixed: a few common insults, so that an untrained model isn't blind.
@@ -35,21 +35,30 @@ WORDS = re.compile(r"\w+")
 MASKED = re.compile(r"\b[a-z][*@#$]{1,4}[a-z]+", re.IGNORECASE)
 #: Whether a code point is an upper-case character; beyond the table none is.
 UPPER = np.array([chr(i).isupper() for i in range(0x20000)])
-KINDS, TIERS = ("w", "4", "5"), 2
-N_LEXICONS = len(KINDS) * TIERS
+#: Whole words, beginnings of 4 and 5 letters, beginnings of 5 letters with two and with three words in the text.
+KINDS = ("w", "4", "5", "d", "t")
+N_LEXICONS = len(KINDS)
+#: A term's share of toxic texts from which it votes for its kind; weaker ones only count among a text's bad words.
+SURE = 0.95
+#: Of so many lexicons a text without a hit is clean; without a repeated beginning it may be anything.
+SAYS_CLEAN = 3
 N_VOTERS = N_LEXICONS + 8
 
 
-def terms_of(words: set[str]) -> set[str]:
-    """The words and the beginnings of the longer ones, tagged by kind."""
-    return {"w" + w for w in words} | {f"{n}{w[:n]}" for n in (4, 5) for w in words if len(w) > n}
+def terms_of(counts: Counter) -> set[str]:
+    """The terms of a text's word counts, tagged by kind."""
+    five = Counter()
+    for w, n in counts.items():
+        if len(w) > 5:
+            five[w[:5]] += n
+    return {"w" + w for w in counts} | {"4" + w[:4] for w in counts if len(w) > 4} | {k + p for p, n in five.items() for k in "5dt"[:n]}
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n[bool(toxic)].update(terms_of(set(WORDS.findall(text.lower()))))
+            n[bool(toxic)].update(terms_of(Counter(WORDS.findall(text.lower()))))
         keys = list({*n[0], *n[1]})
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], ["term", "toxic", "clean"])
 
@@ -62,29 +71,38 @@ def n_upper(text: str) -> int:
 
 
 class Lexicon:
-    """term -> (number, voter); the voter goes by kind and precision tier of the term."""
+    """term -> (number, voter); the voter goes by the term's kind, None for weak terms."""
 
     def __init__(self, mined: list[tuple[str, int, int]]):
-        self.terms: dict[str, tuple[int, int]] = {}
+        self.terms: dict[str, tuple[int, int | None]] = {}
         for i, (term, toxic, clean) in enumerate(mined):
-            tier = int(toxic / (toxic + clean) < 0.95)
-            self.terms[term] = i, KINDS.index(term[0]) * TIERS + tier
+            self.terms[term] = i, KINDS.index(term[0]) if toxic >= SURE * (toxic + clean) else None
+        self.five = {t[1:] for t in self.terms if t[0] in "5dt"}
 
     def read(self, text: str) -> tuple[list[int], list[int], int]:
         """Votes of all voters, the numbers of the terms found, and the word count."""
         words = WORDS.findall(text.lower())
-        hits, found, bad = [0] * N_LEXICONS, [], set()
-        get = self.terms.get
-        counts = Counter(words)
-        for w, n in counts.items():
-            for t in ("w" + w, "4" + w[:4] if len(w) > 4 else None, "5" + w[:5] if len(w) > 5 else None):
-                if t is not None and (x := get(t)) is not None:
-                    hits[x[1]] += n
-                    found.append(x[0])
-                    bad.add(w)
+        counts, hits, found, bad = Counter(words), [0] * N_LEXICONS, [], set()
+        get, five = self.terms.get, {}
+
+        def hit(term: str, of: list[str]) -> None:
+            if (x := get(term)) is not None:
+                found.append(x[0])
+                bad.update(of)
+                if x[1] is not None:
+                    hits[x[1]] = 1
+
+        for w in counts:
+            hit("w" + w, [w])
+            if len(w) > 4:
+                hit("4" + w[:4], [w])
+            if len(w) > 5 and w[:5] in self.five:
+                five.setdefault(w[:5], []).append(w)
+        for p, of in five.items():
+            for k in "5dt"[: sum(counts[w] for w in of)]:
+                hit(k + p, of)
         clean = -1 if len(words) >= 5 else 0
-        # The second tier of a lexicon is the weaker one: one hit of it says nothing.
-        votes = [(1 if h > i % TIERS else 0) if h else clean for i, h in enumerate(hits)]
+        votes = [h or (clean if i < SAYS_CLEAN else 0) for i, h in enumerate(hits)]
         votes += [1 if len(bad) >= k else 0 if bad else clean for k in (2, 3, 5)]
         seeds = sum(counts[w] for w in SEED_WORDS if w in counts)
         near = bool(bad) and any(w in YOU and any(x in bad for x in words[max(0, i - 3) : i + 4]) for i, w in enumerate(words))
@@ -93,10 +111,16 @@ class Lexicon:
         return votes, sorted(set(found)), len(words)
 
 
+def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """About n rows, all where there are fewer: those whose key's hash is below a threshold that the row count gives."""
+    share = n / max(1, df.count())
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 def distinct_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of up to LABELLED_ROWS labelled documents, one of each text. The ids are bounded, so they are
+    """(text, toxic) of about LABELLED_ROWS labelled documents at most, one of each text. The ids are bounded, so they are
     broadcast, and texts are never shuffled."""
-    some = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
+    some = sampled(labels, LABELLED_ROWS, "doc_id")
     one = docs.join(F.broadcast(some), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
     return docs.join(F.broadcast(some.join(F.broadcast(one.select("doc_id").distinct()), "doc_id")), "doc_id").select("text", "toxic")
 
@@ -106,7 +130,7 @@ def mine(labelled: DataFrame) -> list[tuple[str, int, int]]:
     n = labelled.mapInArrow(_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     n = n.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
     strength = F.col("toxic") / F.sqrt(F.col("clean") + 1.0)
-    return [(r.term, r.toxic, r.clean) for r in n.orderBy(strength.desc(), "term").limit(MAX_TERMS).collect()]
+    return [(r.term, r.toxic, r.clean) for r in n.orderBy(strength.desc(), "term").collect()]  # terms of LABELLED_ROWS texts
 
 
 def voted(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -170,10 +194,11 @@ def _dense(votes: np.ndarray, found: list, n_words: np.ndarray) -> np.ndarray:
 
 
 class Linear:
-    """Logistic regression on lexicon terms and votes, fitted to soft labels by full-batch gradient steps."""
+    """Logistic regression on lexicon terms and votes, fitted to weighted soft labels by full-batch gradient steps."""
 
-    def __init__(self, votes: np.ndarray, found: list, n_words: np.ndarray, target: np.ndarray, n_terms: int, steps: int = 400):
+    def __init__(self, votes: np.ndarray, found: list, n_words: np.ndarray, target: np.ndarray, weight: np.ndarray, n_terms: int, steps: int = 400):
         x = _dense(votes, found, n_words)
+        weight = weight / weight.sum()
         row = np.repeat(np.arange(len(found)), [len(f) for f in found])
         col = np.concatenate([np.asarray(f, np.int64) for f in found]) if len(row) else np.zeros(0, np.int64)
         self.w, self.t = np.zeros(x.shape[1]), np.zeros(n_terms)
@@ -181,7 +206,7 @@ class Linear:
         s = [np.zeros_like(self.w), np.zeros_like(self.t)]
         for k in range(1, steps + 1):
             z = x @ self.w + np.bincount(row, self.t[col], len(x))
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(x)
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight
             for i, (p, g) in enumerate(((self.w, x.T @ e + 1e-5 * self.w), (self.t, np.bincount(col, e[row], n_terms) + 1e-5 * self.t))):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 s[i] = 0.99 * s[i] + 0.01 * g * g
@@ -210,12 +235,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     lexicon = Lexicon(mined)
     votes = stored(voted(d, lexicon))
     labelling = label_model(votes, share)
-    sample = votes.select("votes", "found", "n_words", F.xxhash64("found", "n_words", "votes").alias("h")).orderBy("h").limit(FIT_ROWS).collect()
+    sample = sampled(votes, FIT_ROWS, "doc_id").groupBy("votes", "found", "n_words").agg(F.count("*").alias("n")).orderBy("votes", "found", "n_words").collect()
     if not sample:
         return d.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     matrix = np.array([r.votes for r in sample])
     found, n_words = [np.asarray(r.found, np.int64) for r in sample], np.array([r.n_words for r in sample])
-    linear = Linear(matrix, found, n_words, labelling.posterior(matrix), max(1, len(mined)))
+    linear = Linear(matrix, found, n_words, labelling.posterior(matrix), np.array([r.n for r in sample], float), max(1, len(mined)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
