@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.work import BASE, components, mixed, shingle_set, stored
+from textloom.llm.work import BASE, components, drop_stored, mixed, shingle_set, stored
 
 SLOTS = 192
 #: The bands are chosen so that a pair at the threshold is missed with at most this probability.
@@ -212,8 +212,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
     star = shared.join(lead, "key").select(F.col("rep").alias("b"), "n", F.col("lead.rep").alias("a"), F.col("lead.n").alias("m")).where(f"a <> b and {near}")
     star = stored(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = stored(verified(star, texts, shingle, num, den))
+    drop_stored(star)
     groups = stored(components(links))
+    drop_stored(links)
     more = stored(stragglers(shared, lead, groups, texts, shingle, num, den))
+    drop_stored(shared), drop_stored(texts)
     roots = _grouped(more, groups)
     # Class members take the label of their class; the label of a group is its smallest member.
     rep = classes.select("d1", "d2", "n", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("root", "rep").alias("root"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,9 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in tests, where it is unset, a temporary one."""
+    """The folder that driver and executors share. In local mode, where it may be unset, a temporary one takes its place."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -43,6 +46,17 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows up to which a table that was counted is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Stores the table, counts it, and marks it for broadcast if it has at most so many rows; a larger one is joined by
+    shuffle, where adaptive execution splits hot keys."""
+    df = stored(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, even where body's lambdas read it often."""
     return F.transform(F.array(value), body)[0]
@@ -53,7 +67,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each partition first reduces its edges to a spanning forest by union-find; then large-star and
     small-star rounds hook every node to its smallest neighbour until all trees are stars. Minima are
-    pre-aggregated, so a node of any degree costs its task one row per map task."""
+    aggregated before they are shuffled, so the minimum of a node of any degree costs its task one row per map
+    task; where a node's edges meet its minimum, adaptive execution splits the partition of a hub
+    (spark.sql.adaptive.skewJoin). A driver loop of at most 60 rounds looks at one boolean for each."""
     links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     now = stored(links.mapInArrow(_forests, "a long, b long").distinct())
     for _ in range(60):
