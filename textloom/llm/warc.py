@@ -2,11 +2,11 @@
 
 Reading plans one partition for each file. Equality and IN predicates on record_type, page_id and the
 header-backed columns are pushed down; each record's headers are parsed first and its block is skipped by
-Content-Length, unread, if a predicate rejects it or the schema asks for no payload. In gzip-compressed
-archives (*.gz) whose members state their length in an "sl" extra field, as this writer's do, only a
-member's first kilobytes are inflated until its payload is wanted; others are read as a stream.
-Writing gives each task files of its own under temporary names; the driver's commit renames them, so
-retried and speculative tasks leave no second copy."""
+Content-Length if a predicate rejects it or the schema asks for no payload. In gzip-compressed archives
+(*.gz) whose members state their length in an "sl" extra field, as this writer's do, a member's first
+kilobytes are read and inflated and the rest is seeked over unless its payload is wanted; other archives
+are read as a stream. Writing gives each task files of its own under temporary names; the driver's commit
+renames them and deletes those of failed attempts, so retried and speculative tasks leave nothing behind."""
 
 from __future__ import annotations
 
@@ -74,8 +74,8 @@ def sized(store: fs.FileSystem, path: str) -> bool:
 class _Members:
     """readline, read and relative seek inside the records of an archive written by member()."""
 
-    def __init__(self, f):
-        self.f, self.plain, self.z, self.at = f, b"", None, 0
+    def __init__(self, f: "_Lines"):
+        self.f, self.plain, self.z, self.at, self.left = f, b"", None, 0, 0
 
     def readline(self) -> bytes:
         while (end := self.plain.find(b"\n", self.at)) < 0 and self._more(4096):
@@ -91,25 +91,30 @@ class _Members:
         return out
 
     def seek(self, _n: int, _whence: int) -> None:
-        """The block and what follows it are the rest of the member, which needn't be inflated."""
-        self.z, self.plain, self.at = None, b"", 0
+        """The block and what follows it are the rest of the member, which needn't be read."""
+        self.f.seek(self.left, 1)
+        self.z, self.plain, self.at, self.left = None, b"", 0, 0
 
     def _next(self) -> bool:
+        self.f.seek(self.left, 1)
         head = self.f.read(24)
         if len(head) < 24:
             return False
-        size = struct.unpack_from("<I", head, 16)[0]
-        self.z, self.left = zlib.decompressobj(-15), self.f.read(size - 24)
+        self.z, self.left = zlib.decompressobj(-15), struct.unpack_from("<I", head, 16)[0] - 24
         self.plain, self.at = b"", 0
         return True
 
     def _more(self, n: int) -> bool:
+        """Inflates up to n bytes more; compressed bytes are read as they are needed."""
         if self.z is None or self.z.eof:
             return False
-        got = self.z.decompress(self.left, n)
-        self.left = self.z.unconsumed_tail
+        data = self.z.unconsumed_tail
+        if not data:
+            data = self.f.read(min(self.left - 8, max(2048, n)))
+            self.left -= len(data)
+        got = self.z.decompress(data, n)
         self.plain += got
-        return bool(got)
+        return bool(got) or (bool(data) and not self.z.eof)
 
 
 def headers(f: BinaryIO) -> dict[str, str] | None:
@@ -154,17 +159,19 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         store, path = opened(self.path)
         info = store.get_file_info(path)
-        files = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
+        files = [info] if info.is_file else store.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
         scheme = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
         names = sorted(f.path for f in files if f.is_file and re.search(r"\.warc(\.gz)?$", f.path))
         return [WarcFile(scheme + n) for n in names]
 
-    def read(self, partition: WarcFile) -> Iterator[tuple]:
+    def read(self, partition: WarcFile | None) -> Iterator[tuple]:
+        if partition is None:  # a folder without archives
+            return
         store, path = opened(partition.path)
         payloads = "payload" in self.names
         packed = path.endswith(".gz")
-        with store.open_input_stream(path, compression=None, buffer_size=1 << 20) if packed else store.open_input_file(path) as raw:
-            f = (_Members(raw) if sized(store, path) else gzip.GzipFile(fileobj=raw)) if packed else _Lines(raw)
+        with store.open_input_file(path) as raw:
+            f = (_Members(_Lines(raw)) if sized(store, path) else gzip.GzipFile(fileobj=raw)) if packed else _Lines(raw)
             while (h := headers(f)) is not None:
                 size = int(h.get("content-length", 0))
                 digest = h.get("warc-payload-digest", "")
@@ -203,8 +210,10 @@ class _Lines:
         return line
 
     def read(self, n: int) -> bytes:
+        while len(self.buffer) - self.at < n and (more := self.f.read(max(self.size, n))):
+            self.buffer, self.at = self.buffer[self.at :] + more, 0
         got, self.at = self.buffer[self.at : self.at + n], min(len(self.buffer), self.at + n)
-        return got if len(got) == n else got + self.f.read(n - len(got))
+        return got
 
     def seek(self, n: int, _whence: int) -> None:
         left = len(self.buffer) - self.at
@@ -222,7 +231,7 @@ class WarcWriter(DataSourceArrowWriter):
     """Takes page_id, nth, url, record_type, payload_bytes, digest (hex SHA-1), refers_to and payload columns."""
 
     def __init__(self, options: dict):
-        self.path = options["path"].rstrip("/")
+        self.path, self.job = options["path"].rstrip("/"), uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, path = opened(self.path)
@@ -232,7 +241,7 @@ class WarcWriter(DataSourceArrowWriter):
             for batch in batches:
                 for r in batch.to_pylist():
                     if out is None:
-                        names.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                        names.append(f"part-{self.job}-{uuid.uuid4().hex}.warc.gz")
                         out, size = store.open_output_stream(f"{path}/{names[-1]}.writing"), 0
                     digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
                     data = record_bytes(r["page_id"], r["nth"], r["url"], r["record_type"], r["payload"] or b"", r["payload_bytes"], digest, r["refers_to"])
@@ -249,16 +258,21 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         store, path = opened(self.path)
+        store.create_dir(path, recursive=True)
         for m in messages:
             for n in m.names if m else []:
                 store.move(f"{path}/{n}.writing", f"{path}/{n}")
+        self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        """Deletes what is left of this job under temporary names, failed attempts' files included."""
         store, path = opened(self.path)
-        for m in messages:
-            for n in m.names if m else []:
-                if store.get_file_info(f"{path}/{n}.writing").type != fs.FileType.NotFound:
-                    store.delete_file(f"{path}/{n}.writing")
+        for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            if f.base_name.startswith(f"part-{self.job}-") and f.base_name.endswith(".writing"):
+                store.delete_file(f.path)
 
 
 class WarcSource(DataSource):
