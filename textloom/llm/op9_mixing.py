@@ -1,23 +1,31 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Golden-ratio points map through the cumulative target shares, which gives every slot of the mix a
-source such that each prefix of the schedule is close to the targets. Slots are ranked per source and
-joined to that source's equal-token blocks of documents in shuffled order; the blocks repeat once all
-are used. A source's blocks have the least size that keeps their number, at most BLOCK words, and its slots
-are its target over that size, so small sources aren't charged for words that their last block lacks. Ranks and block offsets come from two-level prefix sums (per chunk, then inside a chunk),
-so no source, however large, is ordered in one task."""
+source such that each prefix of the schedule is close to the targets. Points are integers modulo 2^48, so
+they keep all their bits at any number of slots. Slots are ranked per source and joined to that source's
+equal-token blocks of documents in shuffled order; the blocks repeat once all are used. A block's size goes
+by its source: about a BLOCKS-th of it, from MIN_BLOCK to MAX_BLOCK words, and the least that keeps the number
+of blocks, so small sources aren't charged for words that their last block lacks and large ones don't need
+a slot for every few words. A source's slots are its target over its block size. Ranks and block offsets
+come from two-level prefix sums (per chunk, then inside a chunk), so no source, however large, is ordered in
+one task."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm.work import WORD, stored
 
-#: The fractional part of the golden ratio.
-GOLDEN = 0.6180339887498949
-WEIGHTS, MAX_REPEATS, BLOCK, CHUNK = (5, 2, 1), 3, 32, 4096
+#: The fractional part of the golden ratio in units of 2^-48, rounded to an odd number.
+GOLDEN, UNIT = 173961102589771, 1 << 48
+WEIGHTS, MAX_REPEATS, CHUNK = (5, 2, 1), 3, 4096
+MIN_BLOCK, MAX_BLOCK, BLOCKS = 32, 4096, 4096
+#: Documents that a chunk of a source's shuffled order should have at most, if it held all of them.
+CHUNK_ROWS = 1_000_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -40,7 +48,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     return s.select("source", "source_no", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """Adds size, source_size, target and taken to (id, source) of every row.
 
     Null and blank texts have size 0 and are never taken; a null source is a source of its own, the last.
@@ -51,13 +59,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     d = stored(d)
+    rows = d.count()
     targets = stored(source_targets(d, weights, max_repeats))
-    t = targets.withColumn("block", block_words(block))
+    t = targets.withColumn("block", block_words())
     total = t.agg(F.sum(F.col("target") / F.col("block"))).first()[0] or 0.0
     slots = slot_counts(spark, t, int(-(-total // 1)), max_repeats)
     t = t.select(F.col("source").alias("s"), "source_no", "source_size", "target", "block")
     d = d.join(F.broadcast(t) if t.limit(10_001).count() <= 10_000 else t, F.expr("source <=> s")).drop("s")
-    laid = stored(_offsets(d))
+    laid = stored(_offsets(d, rows))
     # A source whose target is its cap repeats whole, each document max_repeats times, so it needs no slots.
     capped = F.col("target") >= max_repeats * F.col("source_size")
     pieces = laid.where("size > 0").where(~capped).withColumn("block_no", F.explode(F.sequence(F.expr("start div block"), F.expr("(start + size - 1) div block"))))
@@ -67,16 +76,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select("doc_id", "source", "size", "source_size", "target", F.when(capped, max_repeats * F.col("size")).otherwise(F.coalesce("taken", F.lit(0))).cast("long").alias("taken"))
 
 
-def block_words(block: int) -> Column:
-    """Words in a block of a source: source_size over the number of blocks of at most block words, rounded up."""
-    n = F.greatest(F.expr(f"(source_size + {block - 1}) div {block}"), F.lit(1))
+def block_words() -> Column:
+    """Words in a block of a source: source_size over the number of blocks of the wanted size, rounded up."""
+    wanted = F.greatest(F.lit(MIN_BLOCK), F.least(F.lit(MAX_BLOCK), F.expr(f"source_size div {BLOCKS}")))
+    n = F.greatest(F.ceil(F.col("source_size") / wanted), F.lit(1))
     return F.greatest(F.ceil(F.col("source_size") / n), F.lit(1)).cast("long")
 
 
-def _offsets(d: DataFrame) -> DataFrame:
-    """start: tokens of the source before the document, in the order of md5(doc_id), which shuffles each source."""
+def _offsets(d: DataFrame, rows: int) -> DataFrame:
+    """start: tokens of the source before the document, in the order of md5(doc_id), which shuffles each source; its
+    first digits make the chunks, more of them where there are more rows."""
+    digits = max(3, math.ceil(math.log(max(1, rows / CHUNK_ROWS), 16)))
     d = d.withColumn("row_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    d = d.withColumn("chunk", F.substring("row_key", 1, 3))
+    d = d.withColumn("chunk", F.substring("row_key", 1, digits))
     inside = W.partitionBy("source_no", "chunk").orderBy("row_key", "size").rowsBetween(W.unboundedPreceding, -1)
     sums = d.groupBy("source_no", "chunk").agg(F.sum("size").alias("chunk_size"))
     sums = sums.withColumn("base", F.coalesce(F.sum("chunk_size").over(W.partitionBy("source_no").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -93,7 +105,9 @@ def slot_schedule(spark: SparkSession, targets: DataFrame, n_slots: int) -> Data
     parts = parts.withColumn("low", F.coalesce(F.lag("high").over(by), F.lit(0.0))).withColumn("high", F.when(F.lead("high").over(by).isNull(), 1.0).otherwise(F.col("high")))
     # Each source's points lie in one range of [0, 1): both sides are cut into 1024 cells and joined by cell.
     parts = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * 1024), F.least(F.floor(F.col("high") * 1024), F.lit(1023)))))
-    point = F.col("slot") * GOLDEN - F.floor(F.col("slot") * GOLDEN)
+    # slot * GOLDEN modulo UNIT, by 15 bits of the slot at a time, so that no product overflows; exact below 2^45 slots.
+    digit = lambda i: F.call_function("shiftright", F.col("slot"), F.lit(15 * i)).bitwiseAND(F.lit((1 << 15) - 1)) * F.lit((GOLDEN << 15 * i) % UNIT) % UNIT
+    point = ((digit(0) + digit(1) + digit(2)) % UNIT) / float(UNIT)
     slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", F.floor(F.col("point") * 1024))
     return slots.join(parts.select("cell", "low", "high", "source_no", "source_size", "block"), "cell").where("point >= low and point < high").select("slot", "source_no", "source_size", "block")
 
@@ -123,19 +137,20 @@ s2 AS (SELECT *, (all_size - coalesce(sum(cap) OVER (ORDER BY cap / weight, sour
     / sum(weight) OVER (ORDER BY cap / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
 s3 AS (SELECT *, first_value(CASE WHEN level * weight <= cap THEN level END IGNORE NULLS)
     OVER (ORDER BY cap / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lv FROM s2),
-t AS MATERIALIZED (SELECT source, source_no, source_size, coalesce(least(cap, lv * weight), cap) AS target FROM s3),
-p0 AS (SELECT *, sum(target) OVER (ORDER BY source_no ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS high FROM t WHERE target > 0),
-p AS (SELECT source_no, source_size, coalesce(lag(high) OVER (ORDER BY source_no), 0.0) AS low,
+t0 AS (SELECT source, source_no, source_size, coalesce(least(cap, lv * weight), cap) AS target, greatest({MIN_BLOCK}, least({MAX_BLOCK}, source_size // {BLOCKS})) AS wanted FROM s3),
+t AS MATERIALIZED (SELECT *, greatest(ceil(source_size / greatest(ceil(source_size / wanted), 1)), 1)::BIGINT AS block FROM t0),
+p0 AS (SELECT *, sum(target / block) OVER (ORDER BY source_no ROWS UNBOUNDED PRECEDING) / sum(target / block) OVER () AS high FROM t WHERE target > 0),
+p AS (SELECT source_no, source_size, block, coalesce(lag(high) OVER (ORDER BY source_no), 0.0) AS low,
     CASE WHEN lead(high) OVER (ORDER BY source_no) IS NULL THEN 1.0 ELSE high END AS high FROM p0),
-slots AS (SELECT slot, source_no, source_size, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS rnk
-    FROM (SELECT range AS slot, range * {GOLDEN}::DOUBLE - floor(range * {GOLDEN}::DOUBLE) AS point
-          FROM range((SELECT ceil(sum(target) / {BLOCK})::BIGINT FROM t))) JOIN p ON point >= low AND point < high),
-blocks AS (SELECT source_no, rnk % ((source_size + {BLOCK - 1}) // {BLOCK}) AS block_no, count(*) AS times FROM slots
-    WHERE rnk < {MAX_REPEATS} * ((source_size + {BLOCK - 1}) // {BLOCK}) GROUP BY 1, 2),
-laid AS MATERIALIZED (SELECT d.*, t.source_no, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY t.source_no ORDER BY row_key, size
+slots AS (SELECT slot, source_no, source_size, block, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS rnk
+    FROM (SELECT range AS slot, (range::HUGEINT * {GOLDEN} % {UNIT})::DOUBLE / {UNIT} AS point
+          FROM range((SELECT ceil(sum(target / block))::BIGINT FROM t))) JOIN p ON point >= low AND point < high),
+blocks AS (SELECT source_no, rnk % ((source_size + block - 1) // block) AS block_no, count(*) AS times FROM slots
+    WHERE rnk < {MAX_REPEATS} * ((source_size + block - 1) // block) GROUP BY 1, 2),
+laid AS MATERIALIZED (SELECT d.*, t.source_no, t.source_size, t.target, t.block, coalesce(sum(size) OVER (PARTITION BY t.source_no ORDER BY row_key, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, row_number() OVER () AS rid FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-pieces AS (SELECT rid, source_no, size, start, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block_no FROM laid WHERE size > 0),
-taken AS (SELECT rid, sum((least(start + size, (block_no + 1) * {BLOCK}) - greatest(start, block_no * {BLOCK})) * times)::BIGINT AS taken
+pieces AS (SELECT rid, source_no, size, block, start, unnest(range(start // block, (start + size - 1) // block + 1)) AS block_no FROM laid WHERE size > 0),
+taken AS (SELECT rid, sum((least(start + size, (block_no + 1) * pieces.block) - greatest(start, block_no * pieces.block)) * times)::BIGINT AS taken
     FROM pieces JOIN blocks USING (source_no, block_no) GROUP BY rid)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM laid LEFT JOIN taken USING (rid)
+SELECT doc_id, size, source_size, target, CASE WHEN target >= {MAX_REPEATS} * source_size THEN {MAX_REPEATS} * size ELSE coalesce(taken, 0) END::BIGINT AS taken FROM laid LEFT JOIN taken USING (rid)
 """
