@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from textloom.llm.work import MIX1, MIX2, stored
 
 Q, PIECE, STRIDE, EDIT_SHARE = 12, 80, 40, 0.05
-#: Normalised items below this length are too short to say that a text took them from the benchmark.
+#: Normalised items below this length are matched whole and exactly, between spaces or the text's ends; decontaminate()
+#: doesn't drop a document for such a short one.
 MIN_ITEM = 32
 BLOCK_CHARS = 4_000_000
 BITS = 21
@@ -38,6 +39,10 @@ def normalised(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return x[keep], keep
 
 
+def as_text(x: np.ndarray) -> str:
+    return x.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def grams(x: np.ndarray, q: int = Q) -> np.ndarray:
     """64-bit fingerprints of the q-grams of a text's characters (of their low byte; verification sees them whole)."""
     if len(x) < q:
@@ -53,6 +58,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.piece, self.edits = [], [], []
+        self.short: dict[str, list[int]] = {}
         for item_id, text in items:
             x, _ = normalised(text)
             x = x[1:] if len(x) and x[0] == 32 else x
@@ -63,6 +69,9 @@ class Index:
                     p = x[at : at + PIECE]
                     self.item.append(item_id), self.piece.append(p)
                     self.edits.append(max(0, min(int(EDIT_SHARE * len(p)), (len(p) - Q) // Q)))
+            elif len(x):
+                self.short.setdefault(as_text(x), []).append(item_id)
+        self.n_words = sorted({k.count(" ") + 1 for k in self.short})
         g = [grams(p) for p in self.piece]
         self.bound = np.array([len(p) - Q + 1 - k * Q for p, k in zip(self.piece, self.edits, strict=True)], np.int64)
         every = np.concatenate(g) if g else np.zeros(0, np.uint64)
@@ -74,6 +83,17 @@ class Index:
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[self.slot(self.grams)] = True
 
+    def whole(self, x: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, start, end) of the short items that stand in x between spaces: windows of as many words are looked up."""
+        if not self.short or not len(x):
+            return []
+        edge = np.flatnonzero(np.r_[True, x == 32, True])  # word i is between edges i and i + 1
+        text, out = as_text(x), []
+        for n in self.n_words:
+            for a, b in zip((edge[:-n]).tolist(), (edge[n:] - 1).tolist(), strict=True):
+                out += [(item, a, b) for item in self.short.get(text[a:b], ())]
+        return out
+
     @staticmethod
     def slot(g: np.ndarray) -> np.ndarray:
         return (g * MIX1) >> np.uint64(64 - BITS)
@@ -136,6 +156,9 @@ def _matches(index: Index):
                         e, s, t = m
                         f = found.setdefault(index.item[piece], [e, s, t])
                         f[:] = min(f[0], e), min(f[1], s), max(f[2], t)
+                for item, s, t in index.whole(x):
+                    f = found.setdefault(item, [0, s, t])
+                    f[:] = 0, min(f[1], s), max(f[2], t)
                 out += [(doc_id, key, item, e, int(at[s]), int(at[t - 1]) + 1) for item, (e, s, t) in sorted(found.items())]
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "row_key", "item_id", "edits", "start", "end"])
@@ -148,9 +171,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     A piece is PIECE characters of the item (the whole item where it is shorter), lower-cased and with white
     space folded, with at most EDIT_SHARE edits. edits: of the item's best piece; start and end: code points of
-    the text from the first matching piece to the last. row_key is a hash of the row's id and text. Null and
-    empty texts match nothing; items under MIN_ITEM characters are never matched; repeated items under one id
-    count as one; rows without an item_id are ignored; a repeated document gives its rows again."""
+    the text from the first matching piece to the last. row_key is a hash of the row's id and text. Items under
+    MIN_ITEM characters must stand whole, without edits and between spaces. Null and empty texts and items match
+    nothing; repeated items under one id count as one; rows without an item_id are ignored; a repeated document
+    gives its rows again; other columns are not read."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     b = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     blocks = max(1, -(-(b.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
@@ -165,10 +189,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that hold a piece of a benchmark item; same columns."""
-    bad = matches(docs, benchmark).select("doc_id", "row_key").distinct()
-    on = (F.xxhash64(docs["doc_id"], docs["text"]) == bad["row_key"]) & docs["doc_id"].eqNullSafe(bad["doc_id"])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_item: int = MIN_ITEM) -> DataFrame:
+    """The documents without those that hold a piece of a benchmark item of min_item characters or more; same columns,
+    whatever their names. Null and empty texts stay, with or without doc_id; repeated rows go or stay together."""
+    long = benchmark.where(F.length(F.trim(F.regexp_replace("text", r"(?U)\s+", " "))) >= min_item)
+    bad = matches(docs, long).select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_key")).distinct()
+    on = (F.xxhash64(docs["doc_id"], docs["text"]) == bad["bad_key"]) & docs["doc_id"].eqNullSafe(bad["bad_id"])
     return docs.join(bad, on, "left_anti")
 
 
