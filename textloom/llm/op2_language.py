@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.work import stored
+from textloom.llm.work import broadcast_if_small, stored
 
 BUCKETS, HOST_WEIGHT, DOMAIN_WEIGHT = 1 << 14, 5.0, 20.0
-#: Trigrams of a text repeat each other's evidence: a text counts as this many at most.
+#: Trigrams of a text repeat each other's evidence: all are read, but their mean log-likelihood counts as that of so many at most.
 EVIDENCE = 60
 #: Fixed: country domains that suggest a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
@@ -96,7 +96,8 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
 
     Missing evidence (null text, markup, address, host) says nothing; a row without any goes by the languages
     of all rows. Declared languages that the model doesn't know say nothing either. Ties go to the first
-    language by name. Repeated rows agree; an empty table gives no rows."""
+    language by name. Repeated rows agree; an empty table gives no rows; further columns are not read. Counts per host
+    and per domain are broadcast while there are few of them, so a hot host isn't gathered in one task."""
     langs = model.langs
     number = lambda c: F.array_position(F.array(*[F.lit(x) for x in langs]), c)  # noqa: E731  1-based, 0 if unknown
     best = lambda logs: F.array_position(logs, F.array_max(logs))
@@ -109,7 +110,8 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     everything = [(x or 0.0) + 1.0 for x in total]
     share = F.array(*[F.lit(x / sum(everything)) for x in everything])
     counted = lambda key: s.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{key}_key")).agg(*seen).select(f"{key}_key", n.alias(f"{key}_n"))
-    s = s.join(counted("host"), F.col("host") == F.col("host_key"), "left").join(counted("domain"), F.col("domain") == F.col("domain_key"), "left")
+    for key in ("host", "domain"):
+        s = s.join(broadcast_if_small(counted(key)), F.col(key) == F.col(f"{key}_key"), "left")
     zero = F.array(*[F.lit(0.0) for _ in langs])
     own = F.transform(zero, lambda z, i: F.when(i + 1 == F.col("first"), 1.0).otherwise(0.0))
     without = lambda c: F.when(F.col(c).isNull(), zero).otherwise(F.zip_with(F.col(c), own, lambda x, y: F.greatest(x - y, F.lit(0.0))))
