@@ -166,7 +166,8 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, counts
 
     Null texts stay null, with counts of 0; texts without candidates, empty ones included, are returned as they
     are; repeated rows get equal results; an empty table gives no rows. Other columns pass through, whatever
-    their names, except n_<kind> ones, which the counts replace. Dates are yyyy-mm-dd, dd/mm/yyyy and dd.mm.yyyy, no
+    their names, except n_<kind> ones, which the counts replace (the struct of what was found takes a name that
+    no column has). Dates are yyyy-mm-dd, dd/mm/yyyy and dd.mm.yyyy, no
     other order; those outside 1800 to 2199 stay. Cards are looked for beside other digits too: as 13 to 19 digits on
     end, in fours (4-4-4-4, its last group of 1 to 4, or a fifth of 1 to 3), as 4-6-5 or 4-6-4; in other groups only
     where the digits beside them, up to 19, are the card's."""
@@ -174,12 +175,13 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, counts
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     new = lambda p: F.array_join(F.zip_with(p["gaps"], p["found"], lambda x, s: F.concat(x, F.coalesce(pseudonym(s["m"], s["kind"], key), F.lit("")))), "")
     replaced = lambda ps: F.transform(ps, lambda p: F.struct(F.transform(p["found"], lambda s: s["kind"]).alias("kinds"), new(p).alias("new")))
-    d = docs.withColumn("__pii", let(F.transform(F.coalesce(found, F.array().cast("array<string>")), pieces), replaced))
-    parts = F.zip_with(F.split(text, PATTERN, -1), F.col("__pii"), lambda x, s: F.concat(x, F.coalesce(s["new"], F.lit(""))))
-    d = d.withColumn(text_col, F.when(F.size("__pii") > 0, F.array_join(parts, "")).otherwise(text))
+    pii = "__pii" + "_" * max(map(len, docs.columns))
+    d = docs.withColumn(pii, let(F.transform(F.coalesce(found, F.array().cast("array<string>")), pieces), replaced))
+    parts = F.zip_with(F.split(text, PATTERN, -1), F.col(pii), lambda x, s: F.concat(x, F.coalesce(s["new"], F.lit(""))))
+    d = d.withColumn(text_col, F.when(F.size(pii) > 0, F.array_join(parts, "")).otherwise(text))
     for k in KINDS if counts else ():
-        d = d.withColumn(f"n_{k}", _count("__pii", k))
-    return d.drop("__pii")
+        d = d.withColumn(f"n_{k}", _count(pii, k))
+    return d.drop(pii)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
