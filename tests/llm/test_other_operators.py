@@ -24,6 +24,59 @@ def test_language_fuses_evidence(spark, sf_dir, edge_docs, no_docs):
     assert op2_language.identify(op2_language.document_evidence(no_docs), op2_language.TextModel(no_docs)).count() == 0
 
 
+def test_language_of_held_out_documents(spark):
+    """Trained on two thirds of the documents, judged on the rest, which the model has never counted."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
+    model = op2_language.TextModel(docs.where("not out"))
+    held = docs.where("out and length(text) >= 20").select("doc_id", "text", F.lit(None).cast("string").alias("source"), F.col("lang").alias("want"))
+    out = op2_language.identify(op2_language.document_evidence(held), model).join(held.select("doc_id", "want"), "doc_id").collect()
+    assert len(out) > 200 and sum(r.lang == r.want for r in out) >= 0.97 * len(out)
+
+
+def plain_fusion(rows, model):
+    """rows of (id, text, declared, suffix, host, domain): the same fusion in plain Python."""
+    import numpy as np
+
+    k, n = len(model.langs), {}
+    for r in rows:
+        g = op2_language.trigrams(r[1])
+        s = model.log_p[:, g].sum(1, dtype=np.float64) * (min(1.0, op2_language.EVIDENCE / len(g)) if len(g) else 0.0)
+        n[r[0]] = s, int(np.argmax(s))
+    seen = {c: Counter((r[c], n[r[0]][1]) for r in rows if r[c]) for c in (2, 3, 4, 5)}
+    base = np.array([1.0 + sum(f == i for _, f in n.values()) for i in range(k)])
+    base /= base.sum()
+    out = {}
+    for r in rows:
+        s, first = n[r[0]]
+        own = np.eye(k)[first]
+        count = lambda c: np.array([float(seen[c][r[c], i]) for i in range(k)]) - own if r[c] else np.zeros(k)
+        d = count(5)
+        prior = (d + op2_language.DOMAIN_WEIGHT * base) / (d.sum() + op2_language.DOMAIN_WEIGHT)
+        c = count(4)
+        z = s + np.log((c + op2_language.HOST_WEIGHT * prior) / (c.sum() + op2_language.HOST_WEIGHT))
+        for col in (2, 3):
+            if r[col] in model.langs:
+                at = model.langs.index(r[col])
+                per = np.array([sum(seen[col][x, i] for x in model.langs) for i in range(k)])
+                z = z + np.log((np.array([seen[col][r[col], i] for i in range(k)]) + np.where(np.arange(k) == at, 2.0, 0.5)) / (per + 1.5 + 0.5 * k))
+        e = np.exp(z - z.max())
+        out[r[0]] = model.langs[int(np.argmax(z))], round(float(e.max() / e.sum()), 6)
+    return out
+
+
+def test_language_equals_a_plain_fusion(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = op2_language.TextModel(docs)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    more = spark.createDataFrame([(1000 + i, f"http://a{i % 3}.b.de/{'fr' if i % 2 else 'x'}/{i}", f'<html lang="{["de", "fr", "xx"][i % 3]}">der die das und ein {i}') for i in range(30)], "page_id long, url string, html string")
+    rows = op2_language.page_evidence(pages.unionByName(more))
+    want = plain_fusion([(r.page_id, r.text, r.declared, r.suffix, r.host, r.domain) for r in rows.collect()], model)
+    got = {r.page_id: (r.lang, r.posterior) for r in op2_language.identify(rows, model).collect()}
+    assert got.keys() == want.keys()
+    for i, (lang, p) in want.items():
+        assert got[i][0] == lang and got[i][1] == pytest.approx(p, abs=2e-5)
+
+
 # ---- WARC -----------------------------------------------------------------------------------------
 PAGES = [(3, "http://a/é b", "same"), (1, None, "same"), (2, "u", None), (4, "u", ""), (5, "u", "x\r\n\r\ny\x00é"), (1, "again", "same"), (None, "u", "same"), (6, "u", "w" * 300_000)]
 
@@ -58,6 +111,57 @@ def test_warc_reads_plain_and_foreign_archives_and_pushes_predicates(tmp_path):
     assert len(left) == 1 and [list(reader.read(x)) for x in reader.partitions()] == [[(2, "revisit", 9)]] * 3
 
 
+def test_warc_of_no_pages_and_of_repeated_payloads_against_plain_python(spark, tmp_path):
+    schema = "page_id long, url string, html string"
+    assert op3_warc.read_warc(spark, f"{tmp_path}/missing").count() == 0
+    op3_warc.write_warc(spark.createDataFrame([], schema), f"{tmp_path}/none")
+    assert op3_warc.read_warc(spark, f"{tmp_path}/none").count() == 0
+    rng = random.Random(3)
+    rows = [(i, f"http://h{i % 5}/{i}", rng.choice([None, "", "a", "b" * 70_000, f"own {i}", "hot", "hot", "hot"])) for i in rng.sample(range(1000), 200)]
+    first = {}
+    for i, _, body in rows:
+        first[body or ""] = min(i, first.get(body or "", i))
+    want = {(i, len((b or "").encode()), warc.digest_of((b or "").encode()), "response" if first[b or ""] == i else "revisit", None if first[b or ""] == i else first[b or ""]) for i, _, b in rows}
+    d = spark.createDataFrame(rows, schema).repartition(7)
+    op3_warc.write_warc(d, f"{tmp_path}/w")  # no scheme: Spark's default file system
+    got = op3_warc.read_warc(spark, f"{tmp_path}/w").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 200
+    heads = op3_warc.read_warc(spark, f"{tmp_path}/w", payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert {tuple(r) for r in heads.collect()} == want
+    assert not [f for f in (tmp_path / "w").iterdir() if f.name.endswith(".writing")]
+
+
+def test_warc_skips_members_by_seeking(tmp_path):
+    body = bytes(random.Random(4).randrange(256) for _ in range(3_000_000))
+    record = lambda i: warc.member(warc.record_bytes(i, 0, "u", "response", body, len(body), warc.digest_of(body), None))
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(record(1) + record(2))
+    read = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, n):
+            read.append(len(out := self.f.read(n)))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+    with path.open("rb") as f:
+        m = warc._Members(warc._Lines(Counted(f), 4096))
+        for i in (1, 2):
+            h = warc.headers(m)
+            assert warc.page_of(h["warc-record-id"]) == i
+            m.seek(int(h["content-length"]), 1)
+        assert warc.headers(m) is None
+    assert sum(read) < 40_000
+    with path.open("rb") as f:
+        m = warc._Members(warc._Lines(f))
+        assert m.read(int(warc.headers(m)["content-length"])).endswith(body)
+
+
 # ---- secrets --------------------------------------------------------------------------------------
 def plain_base(text):
     out = []
@@ -86,6 +190,39 @@ def test_secrets(spark, edge_docs, no_docs):
     assert op6_secrets.secrets(edge_docs, op6_secrets.fit(no_docs)).count() == edge_docs.count() and op6_secrets.secrets(no_docs, model).count() == 0
 
 
+def planted(seed, n):
+    """(text, what kind is hidden in it): credentials that no base pattern takes, among ordinary words."""
+    rng = random.Random(seed)
+    tok = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    alnum, upper, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+    vocabulary = [tok("etaoinshrdlu", rng.randrange(2, 16)) for _ in range(600)]
+    words = lambda: " ".join(rng.choices(vocabulary, k=150))
+    labelled = [f"{words()} password={tok(alnum, rng.randrange(20, 33))} {words()} AKIA{tok(upper, 16)} {tok(hexa, rng.choice([32, 40]))} {words()}" for _ in range(n)]
+    hidden = [("assign", tok(alnum, rng.randrange(20, 33))) for _ in range(n)] + [("access", rng.choice(["ASIA", "AGPA"]) + tok(upper, 16)) for _ in range(n)] + [("hex", f"{tok(hexa, 15)}-{tok(hexa, 15)}") for _ in range(n)]
+    return labelled, [(k, h, f"{words()} {h} {words()}") for k, h in hidden], [words() for _ in range(n)]
+
+
+def test_secrets_finds_planted_variants_and_leaves_words_alone(spark):
+    labelled, hidden, ordinary = planted(31, 150)
+    rows = [(i, t) for i, t in enumerate([*labelled, *(t for _, _, t in hidden), *ordinary])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in op6_secrets.secrets(d, op6_secrets.fit(d)).collect()}
+    for kind in op6_secrets.KINDS:
+        mine = [(len(labelled) + i, h, t) for i, (k, h, t) in enumerate(hidden) if k == kind]
+        found = sum(f"model:{t.index(h)}:{t.index(h) + len(h)}" in got[i].spans.split(",") for i, h, t in mine)
+        assert found >= 0.9 * len(mine), kind
+    assert sum(got[len(labelled) + len(hidden) + i].n_model for i in range(len(ordinary))) == 0
+
+
+def test_samples_of_values_merge_to_the_smallest_ranks():
+    values = [f"value-{i:05}" for i in range(9000)]
+    s = op6_secrets.Smallest()
+    for v in values + values[::-1]:
+        s.add("hex", v)
+    s.cut("hex")
+    assert set(s.kept["hex"]) == set(sorted(values, key=op6_secrets._rank)[: op6_secrets.TRAIN])
+
+
 def test_automaton_merges_states_and_prefers_its_format():
     rng = random.Random(7)
     words = ["A" * 4 + "".join(rng.choice("A9") for _ in range(16)) for _ in range(400)]
@@ -128,6 +265,45 @@ def test_decontamination(spark, edge_docs, no_docs):
     assert op7_decontaminate.decontaminate(edge_docs, b).count() == edge_docs.count()
 
 
+def test_short_items_match_whole_between_spaces(spark):
+    b = spark.createDataFrame([(1, "Two words"), (2, "a  rather short item here"), (3, "x"), (4, " "), (5, "two"), (6, None)], "item_id long, text string")
+    rows = [(1, "these are\ttwo  WORDS indeed"), (2, "two wordsmiths"), (3, "it has a rather short\nitem here"), (4, "rather short item here"), (5, "x"), (6, ""), (7, None), (8, "two two words")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.start, r.end) for r in op7_decontaminate.matches(d, b).collect()}
+    plain = lambda t: " ".join((t or "").lower().split())
+    want = {(i, j) for i, t in rows for j, x in ((r.item_id, r.text) for r in b.collect()) if plain(x) and f" {plain(x)} " in f" {plain(t)} "}
+    assert set(got) == want and got[1, 1] == (0, 10, 20) and got[8, 5] == (0, 0, 7)
+    assert op7_decontaminate.decontaminate(d, b).count() == len(rows)
+
+
+def test_every_excerpt_with_few_edits_is_found_by_brute_force(spark):
+    """Whole items and long excerpts with edits, against the best local alignment of every piece with every text."""
+    rng = random.Random(18)
+    item = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    bench = [(i, item(rng.randrange(8, 40))) for i in range(6)]
+    rows = []
+    for i in range(24):
+        t = list(bench[i % 6][1])
+        for _ in range(rng.randrange(9)):
+            t[rng.randrange(len(t))] = rng.choice(["", "#", "zz"])
+        rows.append((i, f"{item(12)} {''.join(t)} {item(12)}"))
+    index = op7_decontaminate.Index(bench)
+    want = set()
+    for i, t in rows:
+        x = op7_decontaminate.normalised(t)[0]
+        for j, (p, k) in enumerate(zip(index.piece, index.edits, strict=True)):
+            row = [0] * (len(x) + 1)
+            for n, c in enumerate(p, 1):
+                new = [n]
+                for m in range(1, len(x) + 1):
+                    new.append(min(row[m - 1] + (x[m - 1] != c), row[m] + 1, new[-1] + 1))
+                row = new
+            if min(row) <= k:
+                want.add((i, index.item[j]))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in op7_decontaminate.matches(d, b).collect()} == want and 10 < len(want) < 60
+
+
 def test_alignment_equals_plain_dynamic_programming():
     import numpy as np
 

@@ -1,4 +1,6 @@
+import datetime
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -43,6 +45,51 @@ def test_against_a_plain_feistel(spark):
     assert got[0][:-1] == body and luhn(got[0]) and got[1].replace("-", "") == got[0] and [i for i, c in enumerate(got[1]) if c == "-"] == [4, 9, 14]
 
 
+def pair(left, right, a, b, kind, key):
+    for i in range(p.ROUNDS):
+        if i % 2 == 0:
+            left = (left + h(key, kind, i, right)) % a
+        else:
+            right = (right + h(key, kind, i, left)) % b
+    return left, right
+
+
+def test_addresses_dates_and_numbers_against_a_plain_feistel(spark):
+    rng, key = random.Random(14), "k"
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(20)] + ["0.0.0.0", "255.255.255.255"]
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(rng.randrange(p.HIGH * p.LOW)) for _ in range(20)] + [datetime.date(1800, 1, 1), datetime.date(2199, 12, 31)]
+    ssns = [f"{rng.randrange(1000):03}-{rng.randrange(100):02}-{rng.randrange(10_000):04}" for _ in range(20)]
+    phones = [(f"+{rng.randrange(1, 999)}", f" ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}") for _ in range(20)] + [("", "988-555-0101")]
+    texts, want = [], []
+    for ip in ips:
+        a, b, c, d = map(int, ip.split("."))
+        x, y = pair(256 * a + b, 256 * c + d, 65536, 65536, "ip", key)
+        texts.append(ip), want.append(f"{x // 256}.{x % 256}.{y // 256}.{y % 256}")
+    for day in days:
+        x, y = pair(*divmod((day - datetime.date(1800, 1, 1)).days, p.LOW), p.HIGH, p.LOW, "date", key)
+        new = datetime.date(1800, 1, 1) + datetime.timedelta(x * p.LOW + y)
+        for form in ("%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y"):
+            texts.append(day.strftime(form)), want.append(new.strftime(form))
+
+    def refilled(text, kind):
+        digits = iter(permuted(re.sub("[^0-9]", "", text), kind, key))
+        return re.sub("[0-9]", lambda _: next(digits), text)
+
+    for x in ssns:
+        texts.append(x), want.append(refilled(x, "ssn"))
+    for country, rest in phones:
+        texts.append(country + rest), want.append(country + refilled(rest, "phone"))
+    got = p.pseudonymise(spark.createDataFrame([(i, f"see {x} now") for i, x in enumerate(texts)], "doc_id long, text string"), key=key).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [f"see {x} now" for x in want]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    d = spark.createDataFrame([(1, "mail a.b@c.org", 5, "x"), (2, None, None, None)], "doc_id long, text string, __pii long, __pii_ string")
+    got = p.pseudonymise(d).orderBy("doc_id").collect()
+    assert [(r["__pii"], r["__pii_"]) for r in got] == [(5, "x"), (None, None)] and got[0].n_email == 1 and got[1].text is None
+    assert p.pseudonymise(d, counts=False).columns == d.columns
+
+
 def test_permutations(spark):
     n = p.HIGH * p.LOW
     assert spark.range(n).select(p.permuted_pair(F.floor(F.col("id") / p.LOW), F.col("id") % p.LOW, p.HIGH, p.LOW, "date", "k").alias("x")).distinct().count() == n == 146_097
