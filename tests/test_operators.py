@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import corpus, generate, lexical, lookup, ngram, predict, reshape, search, segment
+from textloom.operators import corpus, expand, generate, lexical, lookup, ngram, predict, reshape, search, segment
+from textloom.operators.shared import stored
 
 
 def sents(spark, *texts):
@@ -21,6 +22,75 @@ def test_sentence_table(spark):
     assert len(got) == 1 and got[0].sentence == "a b" and got[0].source_count == 3 and [s.reference for s in got[0].sources] == ["line 1", "line 2", "line 9"]
 
 
+def test_sources_are_counted_whole_and_listed_to_the_limit(spark):
+    r = spark.createDataFrame([("a b", f"f{i % 7}", f"line {i}", 0, i, "txt") for i in range(300)] + [("c", "f", "line 1", 0, 1, "txt")], "text string, source_path string, reference string, source_rank int, unit_no long, source_type string")
+    got = {x.sentence: x for x in corpus.sentence_table(r, max_sources=2).collect()}
+    assert got["a b"].source_count == 300 and [(s.path, s.reference) for s in got["a b"].sources] == [("f0", "line 0"), ("f0", "line 7")] and got["c"].source_count == 1
+    assert corpus.sentence_sources(r).count() == 301 and {x.sentence: x.tokens for x in corpus.distinct_sentences(r).collect()} == {"a b": ["a", "b"], "c": ["c"]}
+    n = corpus.number_rows(r.repartition(5), "unit_no", "source_path").orderBy("row_id").collect()
+    assert [x.row_id for x in n] == list(range(1, 302)) and [x.unit_no for x in n] == sorted(x.unit_no for x in n)
+
+
+def test_the_model_of_asked_contexts_is_a_part_of_the_whole_one(spark):
+    s = sents(spark, "a b c", "a b d", "b c", "x a b", "c")
+    r = reqs(spark, "a b", "zz", "x a b", "")
+    whole, part = ngram.combined_model(s, 3), ngram.context_model(s, 3, predict.wanted_contexts(r, 2))
+    asked = {("b",), ("a", "b"), ("zz",)}
+    rows = lambda m: {(x.n, tuple(x.ctx), x.next, x.cnt, x.p) for x in m.collect()}
+    assert rows(part) == {x for x in rows(whole) if x[1] in asked} and len(rows(part)) > 3
+
+
+def test_search_with_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 3)
+    s = sents(spark, "one two three four", "two three", "a two three b", "xtwo three fourx", "two")
+    queries = ["two three", "one two three", "two three four", "o three f", "two", "e", "zz", "a two three b"]
+    hits = search.search_corpus(spark.createDataFrame(list(enumerate(queries)), "query_id int, query string"), s, limit=9).collect()
+    assert {(h.query_id, h.sentence) for h in hits} == {(i, x.sentence) for i, q in enumerate(queries) for x in s.collect() if q in x.sentence}
+
+
+def test_expansion_says_where_it_came_to_no_end(spark):
+    d = spark.createDataFrame([("x1",), ("ping",), ("y",)], "token string")
+    keys = spark.createDataFrame([("x1", "y2"), ("p1", "q1"), ("q1", "p1")], "key string, value string")
+    types = {r.token: (r.expanded, r.how, r.stable) for r in expand.expand_types(spark.createDataFrame([("x1",), ("ap1",), ("y",)], "token string"), keys).collect()}
+    assert types == {"x1": ("y2", "exact", True), "ap1": ("ap1", "none", False), "y": ("y", "none", True)}  # eight passes lead back to ap1
+    got = {r.token: r.x for r in d.select("token", expand.finalize(F.col("token"), [("ing", "in"), ("in", "ing")]).alias("x")).collect()}
+    assert not got["ping"].stable and got["y"].stable and got["y"].text == "y"
+
+
+def test_relative_dates(spark):
+    import datetime
+
+    keys = spark.createDataFrame([("now", "taken")], "key string, value string")
+    aliases = spark.createDataFrame([("Tom", 1, "next day"), ("now", 0, None), ("tod", 0, None), ("far", 90, None), ("yes", -1, "the day before")], "token string, offset_days int, intro string")
+    calendar = spark.createDataFrame([(datetime.date(2024, 2, 28 + i), t) for i, t in enumerate(["market a", "market b"])] + [(datetime.date(2024, 2, 27), "quiet")], "day date, text string")
+    got = {r.key: r.value for r in expand.dated_shortcuts(keys, aliases, calendar, datetime.date(2024, 2, 28), "market").collect()}
+    assert got == {"now": "taken", "tod": "market a", "tom": "next day b", "yes": "the day before, quiet"}
+
+
+def test_long_prefixes_and_repeated_months(spark):
+    long = "abcdefghijklmnopqrstuvwxyz"
+    keys = spark.createDataFrame([(long, "1"), (long[:20], "2")], "key string, value string")
+    assert [r.key for r in lookup.prefix_hints(spark.createDataFrame([(long[:18],)], "prefix string"), keys).orderBy("rank").collect()] == [long[:20], long]
+    import datetime
+
+    months = spark.createDataFrame([(m, f"m{m}") for m in range(1, 13)] * 3 + [(13, "x"), (None, "y")], "month_no int, name string")
+    days = spark.createDataFrame([(datetime.date(2024, 12, 5), "thu")], "day date, day_name string")
+    assert [r.text for r in lookup.calendar_phrase(days, months, "On").collect()] == ["On thu (Thursday) 5 m12 2024"]
+
+
+def test_overlapping_quotas_take_in_turn(spark):
+    items = spark.createDataFrame([(i, "ab") for i in range(3)], "item_id long, name string")
+    assert [(r.quota, r.rank, r.item_id) for r in reshape.take_quota(items, [("ab", 1), ("a", 2)]).orderBy("item_id").collect()] == [(0, 1, 0), (1, 1, 1), (1, 2, 2)]
+
+
+def test_filtered_records_keep_their_provenance(spark):
+    lex = spark.createDataFrame([("en", "house", 5.0), ("target", "mba", 0.0)], "lang string, word string, zipf double")
+    rows = [("house mba", "f", "txt", "line 1", 0, 1), ("house", "f", "txt", "line 2", 0, 2), ("mba", "f", "srt", "subtitle 1", 1, 1)]
+    r = spark.createDataFrame(rows, "text string, source_path string, source_type string, reference string, source_rank int, unit_no long")
+    got = segment.filter_records(r, lex)
+    assert got.columns == r.columns and {(x.text, x.source_type, x.reference) for x in got.collect()} == {("mba", "txt", "line 1"), ("mba", "srt", "subtitle 1")}
+
+
 def test_ngrams_sum_to_one_and_count_all_windows(spark):
     s = sents(spark, "a b a", "a", "c a b")
     m = ngram.combined_model(s, 4)
@@ -53,7 +123,7 @@ def test_fallback_takes_the_first_attempt_with_rows(spark):
 
 def test_generate(spark):
     s = sents(spark, "a b c", "a b c", "a d")
-    m = generate._stored(ngram.combined_model(s, 3))
+    m = stored(ngram.combined_model(s, 3))
     g = generate.flag_known(generate.generate(reqs(spark, "a", "nope"), m, temperature=0.0), s)
     assert {(r.request_id, r.text, r.status) for r in g.collect()} == {(0, "a b c", "original"), (1, "nope", "not_in_corpus")}
     one = generate.candidates(reqs(spark, "a"), m, k=2, temperature=1.0, seed=1).orderBy("rank").collect()

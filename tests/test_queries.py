@@ -2,8 +2,8 @@ import duckdb
 import pandas as pd
 import pytest
 
+from textloom.plans import functions, segmentation, sources  # noqa: F401
 from textloom.plans import queries as plans
-from textloom.plans import segmentation  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

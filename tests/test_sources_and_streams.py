@@ -67,10 +67,10 @@ def test_model_round_trip_and_exports(spark, tmp_path):
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    (src / "1.txt").write_text("the house mba ŋga\nthe house\n")
+    (src / "1.txt").write_text("the house mba ŋga\nthe house\nmba ŋga\nmba ŋga\n")
     lex = spark.createDataFrame([("en", "house", 5.0), ("en", "the", 7.0), ("target", "mba", 0.0)], "lang string, word string, zipf double")
     streams.stream_keep_language(spark, str(src), f"{tmp_path}/kept", f"{tmp_path}/c1", lex).awaitTermination(120)
-    assert [r.value for r in spark.read.text(f"{tmp_path}/kept").select("value").collect()] == ["mba ŋga"]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/kept").select("value").collect()] == ["mba ŋga"] * 3
     streams.stream_ngram_counts(spark, str(src), f"{tmp_path}/counts", f"{tmp_path}/c2", 2).awaitTermination(120)
     (src / "2.txt").write_text("the sea\n")
     streams.stream_ngram_counts(spark, str(src), f"{tmp_path}/counts", f"{tmp_path}/c2", 2).awaitTermination(120)
@@ -83,12 +83,41 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/sug").where("rank = 1").first().word == "house"
 
 
-def test_debounce_stream_is_part_of_the_batch_result(spark, tmp_path):
-    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    batch = {(r.user_id, r.ts) for r in streams.debounce(e, "user_id", "ts").collect()}
-    stream = spark.readStream.schema(e.schema).parquet("/root/testdata/sf0.001/events.parquet*")
-    out = streams.debounce_stream(stream, "user_id", "ts", "event_id")
-    out.writeStream.outputMode("append").format("memory").queryName("debounced").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
-    got = {(r.user_id, r.ts) for r in spark.sql("select * from debounced").collect()}
-    assert got and got <= batch
-    assert segment.PUNCT == "PUNCT"
+def test_debounce_stream_equals_the_batch(spark, tmp_path):
+    """A late event of another key closes the watermark, so that every session is out."""
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", "ts")
+    end = e.agg((F.max("ts") + F.expr("interval 2 days")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), "ts")
+    src = str(tmp_path / "events")
+    e.coalesce(1).write.parquet(src)
+    out = streams.debounce_stream(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src), "user_id", "ts", "event_id")
+
+    def run():
+        out.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(180)
+
+    run()
+    for _ in range(2):  # the first raises the watermark, the second emits what it closed
+        end.write.mode("append").parquet(src)
+        run()
+    got = {(r.user_id, r.event_id, r.ts) for r in spark.read.parquet(f"{tmp_path}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect() if r.user_id >= 0}
+    assert got == {(r.user_id, r.event_id, r.ts) for r in streams.debounce(e, "user_id", "ts").collect()}
+
+
+def test_sheets_of_several_files_keep_their_order(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"{n}.csv").write_text("k,v\n" + "".join(f"key{i},{n}-{i}\n" for i in range(40)))
+    rows, twice = readers.read_sheet(spark, str(tmp_path), "k", "v")
+    assert {r.key: r.value for r in rows.collect()} == {f"key{i}": f"2-{i}" for i in range(40)}
+    assert {r.key: r.rows for r in twice.collect()}["key5"] == [7, 7, 7]
+
+
+def test_exports_line_by_line(spark, tmp_path):
+    source = "array<struct<path:string,type:string,reference:string>>"
+    s = spark.createDataFrame([("b a", ["b", "a"], [("f", "txt", "line 1"), ("g", "txt", "line 2")], 2), ("c, d", ["c,", "d"], [], 0), ("12", ["12"], [], 0)], f"sentence string, tokens array<string>, sources {source}, source_count int")
+    writers.export_sources(s, f"{tmp_path}/1")
+    assert sorted(map(tuple, spark.read.csv(f"{tmp_path}/1", header=True).collect()), key=str) == [("b a", "2", "f", "txt", "line 1"), ("b a", "2", "g", "txt", "line 2"), ("c, d", "0", None, None, None)]
+    writers.export_unique(s, f"{tmp_path}/2")
+    assert sorted(map(tuple, spark.read.csv(f"{tmp_path}/2", header=True).collect())) == [("b a", "2"), ("c, d", "0")]
+    writers.export_document(s, f"{tmp_path}/3")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/3").collect()] == ["b a", "  - f, line 1", "  - g, line 2", "c, d"]
+    writers.write_clean_tree(spark.createDataFrame([("x", "p/a.txt", "txt"), ("y", "p/b.docx", "docx")], "text string, source_path string, source_type string"), f"{tmp_path}/4")
+    assert {(r.text, r.source_file) for r in writers.clean_set(spark, f"{tmp_path}/4", "docx").collect()} == {("y", "b.clean")} and writers.clean_set(spark, f"{tmp_path}/4").count() == 2

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
 from textloom.operators.lookup import ambiguous_keys
+from textloom.operators.shared import broadcast_if_small, stored
 
 DATE = r"(?<!\w)\d{1,2}-\d{1,2}-\d{4}(?!\w)|(?<!\w)\d{1,2} \d{1,2} \d{4}(?!\w)"
 MAX_RULES, MAX_PASSES = 5000, 8
@@ -44,8 +48,7 @@ def expand_phrases(c: Column, phrases: list[tuple[str, str]], passes: int = MAX_
     return F.struct(end.alias("text"), (once(end) == end).alias("stable"))
 
 
-def compose(c: Column, rules: list[tuple[str, str]], passes: int = MAX_PASSES) -> Column:
-    """Inside tokens of ASCII only, keys are replaced, longest first, until nothing changes or the pass limit."""
+def _composed(c: Column, rules: list[tuple[str, str]], passes: int) -> Column:
     if not rules:
         return c
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rules])
@@ -58,43 +61,69 @@ def compose(c: Column, rules: list[tuple[str, str]], passes: int = MAX_PASSES) -
     return F.aggregate(F.array(*[F.lit(i) for i in range(passes)]), c, lambda s, _: once(s))
 
 
+def compose(c: Column, rules: list[tuple[str, str]], passes: int = MAX_PASSES) -> Column:
+    """struct(text, stable): inside tokens of ASCII only, keys are replaced, longest first, until nothing changes or the
+    pass limit; stable is false where one more pass would change the text, as rules that feed each other may."""
+    end = lambda x: F.struct(x.alias("text"), _composed(x, rules, 1).eqNullSafe(x).alias("stable"))
+    return let(_composed(c, rules, passes), end)
+
+
 def _tokens(texts: DataFrame, key: str) -> DataFrame:
     """Tokens and the white space between them, in order."""
     return texts.select(key, F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\s+|[^\s]+"), F.lit(0))).alias("pos", "token"))
 
 
+def dated_shortcuts(shortcuts: DataFrame, aliases: DataFrame, calendar: DataFrame, today: date, default_intro: str = "") -> DataFrame:
+    """shortcuts(key, value) and, where they don't list it, each alias(token, offset_days, intro) of a day that the calendar
+    has: its text, with the alias's own intro in place of the default one or, where there is none, in front."""
+    days = aliases.select(F.lower("token").alias("key"), F.date_add(F.lit(today), F.col("offset_days")).alias("d"), "intro")
+    text = F.col("text")
+    rest = F.substr(text, F.lit(len(default_intro) + 1))
+    new = F.when(F.col("intro").isNull(), text).when(text.startswith(default_intro + " "), F.concat("intro", rest)).otherwise(F.concat("intro", F.lit(", "), text))
+    found = days.join(calendar.select("day", "text"), F.col("d") == F.col("day")).select("key", new.alias("value"))
+    return shortcuts.select("key", "value").unionByName(found.join(shortcuts.select("key"), "key", "left_anti"))
+
+
 def expand_types(types: DataFrame, shortcuts: DataFrame) -> DataFrame:
-    """token, expanded, how: exact key, ASCII case-folded key, a letter with one or two digits as part key, composition, or as it is."""
+    """token, expanded, how, stable: exact key, ASCII case-folded key, a letter with one or two digits as part key,
+    composition, or as it is. stable is false where composition hasn't come to an end."""
     s = shortcuts.select("key", "value").dropDuplicates(["key"])
     folded = s.groupBy(F.lower("key").alias("lk")).agg(F.min_by("value", "key").alias("lv"))
     t = types.select("token").distinct().join(s.select(F.col("key").alias("k"), F.col("value").alias("v")), F.col("token") == F.col("k"), "left")
     t = t.join(folded, F.lower("token") == F.col("lk"), "left")
-    composed = compose(F.col("token"), _pairs(shortcuts.where(r"key rlike '^[A-Za-z]?[^A-Za-z\\s]*[0-9]{1,2}$'")))
-    out = F.coalesce("v", F.when(F.col("token").rlike(r"^[\x00-\x7f]*$"), F.col("lv")), composed)
-    how = F.when(F.col("v").isNotNull(), "exact").when(F.col("lv").isNotNull() & F.col("token").rlike(r"^[\x00-\x7f]*$"), "folded").when(composed != F.col("token"), "composed").otherwise("none")
-    return t.select("token", out.alias("expanded"), how.alias("how"))
+    t = t.withColumn("c", compose(F.col("token"), _pairs(shortcuts.where(r"key rlike '^[A-Za-z]?[^A-Za-z\\s]*[0-9]{1,2}$'"))))
+    ascii_ = F.col("token").rlike(r"^[\x00-\x7f]*$")
+    out = F.coalesce("v", F.when(ascii_, F.col("lv")), F.col("c.text"))
+    how = F.when(F.col("v").isNotNull(), "exact").when(F.col("lv").isNotNull() & ascii_, "folded").when(F.col("c.text") != F.col("token"), "composed").otherwise("none")
+    return t.select("token", out.alias("expanded"), how.alias("how"), (how.isin("exact", "folded") | F.col("c.stable")).alias("stable"))
 
 
 def expand_tokens(texts: DataFrame, shortcuts: DataFrame, key: str = "text_id") -> DataFrame:
-    """key, text with every token expanded; white space stays as it is."""
+    """key, text with every token expanded, and stable, whether all of its expansions came to an end; white space stays as it is.
+
+    Distinct tokens are expanded once and stored; while there are few of them they are broadcast to the texts, so a
+    frequent token isn't gathered in one task."""
     rows = _tokens(texts, key)
-    j = rows.join(expand_types(rows.where(~F.col("token").rlike(r"^\s")), shortcuts), "token", "left")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("expanded", "token").alias("t")))).alias("x"))
-    return texts.select(key).join(g, key, "left").select(key, F.coalesce(F.array_join(F.transform("x", lambda x: x["t"]), ""), F.lit("")).alias("text"))
+    types = broadcast_if_small(stored(expand_types(rows.where(~F.col("token").rlike(r"^\s")), shortcuts)))
+    j = rows.join(types, "token", "left")
+    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("expanded", "token").alias("t")))).alias("x"), F.min(F.coalesce("stable", F.lit(True))).alias("stable"))
+    text = F.coalesce(F.array_join(F.transform("x", lambda x: x["t"]), ""), F.lit(""))
+    return texts.select(key).join(g, key, "left").select(key, text.alias("text"), F.coalesce("stable", F.lit(True)).alias("stable"))
 
 
 def finalize(c: Column, rules: list[tuple[str, str]], passes: int = MAX_PASSES) -> Column:
-    """The longest key at the end of the token is replaced, then composition, until stable."""
-    if not rules:
-        return c
+    """struct(text, stable): the longest key at the end of the token is replaced, then composition, until stable or the pass limit."""
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rules])
 
     def once(s: Column) -> Column:
         hit = F.get(F.filter(table, lambda r: s.endswith(r["a"])), F.lit(0))
         tail = F.when(hit.isNotNull(), F.concat(F.left(s, F.length(s) - F.length(hit["a"])), hit["b"])).otherwise(s)
-        return compose(tail, rules, 2)
+        return _composed(tail, rules, 2)
 
-    return F.aggregate(F.array(*[F.lit(i) for i in range(passes)]), c, lambda s, _: once(s))
+    if not rules:
+        return F.struct(c.alias("text"), F.lit(True).alias("stable"))
+    end = F.aggregate(F.array(*[F.lit(i) for i in range(passes)]), c, lambda s, _: once(s))
+    return let(end, lambda x: F.struct(x.alias("text"), once(x).eqNullSafe(x).alias("stable")))
 
 
 def expand_live(tokens: DataFrame, shortcuts: DataFrame) -> DataFrame:

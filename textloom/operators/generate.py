@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.operators.predict import longest_match
 from textloom.operators.search import search_corpus
+from textloom.operators.shared import stored
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/generated-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def uniform(*parts: Column) -> Column:
+    """A number in (0, 1) that the parts decide: 48 bits of the md5 of their texts, joined by |."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
+    return (F.conv(F.left(digest, F.lit(12)), 16, 10).cast("long") + 0.5) / float(1 << 48)
 
 
 def generate(requests: DataFrame, model: DataFrame, max_ctx: int = 4, max_tokens: int = 40, temperature: float = 1.0, tries: int = 1, seed: int = 42) -> DataFrame:
     """request_id, try, tokens, text, status for requests(request_id, tokens).
 
-    Each step draws from the longest matched context: the likeliest at temperature 0, else by Gumbel's trick with a
-    hash of seed, request, try, step and word, so equal calls agree. A draw of the end, no match, or max_tokens tokens
+    Each step draws from the longest matched context: the likeliest at temperature 0, else by Gumbel's trick with the
+    md5 of seed, request, try, step and word, so equal calls agree. A draw of the end, no match, or max_tokens tokens
     ends a text; 'not_in_corpus' is a text whose seed matches nothing. Ties go to the first word, the end last.
     Rounds end when no request is active; each is stored in the shared folder."""
     keys = ["request_id", "try"]
@@ -41,11 +34,10 @@ def generate(requests: DataFrame, model: DataFrame, max_ctx: int = 4, max_tokens
         if temperature <= 0:
             weight = F.col("p")
         else:
-            u = (F.pmod(F.xxhash64(F.lit(seed), *keys, F.lit(step), F.coalesce("next", F.lit("\x00"))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-            weight = F.log("p") / temperature - F.log(-F.log(u))
+            weight = F.log("p") / temperature - F.log(-F.log(uniform(F.lit(seed), *[F.col(k) for k in keys], F.lit(step), F.coalesce("next", F.lit("")))))
         best = W.partitionBy(*keys).orderBy(weight.desc(), F.col("next").asc_nulls_last())
         drawn = hits.withColumn("r", F.row_number().over(best)).where("r = 1").select(*keys, "next", F.lit(True).alias("hit"))
-        stepped = _stored(active.join(drawn, keys, "left"))
+        stepped = stored(active.join(drawn, keys, "left"))
         ended = stepped.where("next is null").select(*keys, "tokens", F.when(F.col("hit").isNull() & F.lit(step == 0), "not_in_corpus").otherwise("generated").alias("status"))
         ended = ended.unionByName(full)
         done = ended if done is None else done.unionByName(ended)

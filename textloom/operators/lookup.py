@@ -50,17 +50,19 @@ def calendar_lookup(requests: DataFrame, calendar: DataFrame, offset_days: int =
 
 def calendar_phrase(days: DataFrame, months: DataFrame, intro: str) -> DataFrame:
     """day, text: intro, day name (English day name), number, month's own name, year; months(month_no, name)."""
-    d = days.withColumn("m", F.month("day")).join(F.broadcast(months.limit(12)), F.col("m") == F.col("month_no"), "left")
+    names = months.where("month_no between 1 and 12").groupBy("month_no").agg(F.min("name").alias("name"))  # twelve rows at most
+    d = days.withColumn("m", F.month("day")).join(F.broadcast(names), F.col("m") == F.col("month_no"), "left")
     return d.select("day", F.format_string("%s %s (%s) %d %s %d", F.lit(intro), "day_name", F.date_format("day", "EEEE"), F.dayofmonth("day"), "name", F.year("day")).alias("text"))
 
 
-def prefix_hints(prefixes: DataFrame, keys: DataFrame, limit: int = 6, max_len: int = 16) -> DataFrame:
+def prefix_hints(prefixes: DataFrame, keys: DataFrame, limit: int = 6) -> DataFrame:
     """prefix, key, value, rank: longer keys that start with the prefix, exact case before folded, then by length and key.
 
-    Keys are exploded into their proper prefixes (folded), which makes the range lookup an equi-join. 'key?' is left
-    out where 'key' itself is listed."""
+    Keys are exploded into their proper prefixes (folded) of the lengths that are asked for, which makes the range
+    lookup an equi-join. 'key?' is left out where 'key' itself is listed."""
+    max_len = prefixes.agg(F.max(F.length("prefix"))).first()[0] or 0
     k = keys.where((F.length("key") > 1)).withColumn("stem", F.regexp_replace("key", r"\?$", ""))
-    k = k.withColumn("p", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key") - 1, F.lit(max_len))), lambda n: F.lower(F.left("key", n)))))
+    k = k.withColumn("p", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key") - 1, F.lit(max(1, max_len)))), lambda n: F.lower(F.left("key", n)))))
     j = prefixes.select("prefix").distinct().join(k, F.lower("prefix") == F.col("p"))
     j = j.withColumn("exact", F.col("key").startswith(F.col("prefix")))
     j = j.withColumn("twin", F.max(~F.col("key").endswith("?")).over(W.partitionBy("prefix", "stem"))).where(~(F.col("key").endswith("?") & F.col("twin")))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import let
+from textloom.operators.shared import broadcast_if_small, stored
 
 
 def padded_ngrams(tokens: Column, n: int) -> Column:
@@ -22,6 +23,14 @@ def ngram_counts(sentences: DataFrame, orders: range) -> DataFrame:
     return sentences.where(F.size("tokens") > 0).select(F.inline(grams)).groupBy("n", "ctx", "next").agg(F.count("*").alias("cnt"))
 
 
+def context_counts(sentences: DataFrame, orders: range, wanted: DataFrame) -> DataFrame:
+    """ngram_counts() of the contexts in wanted(ctx) only: grams of other contexts are dropped before they are shuffled."""
+    grams = F.flatten(F.array(*[F.transform(padded_ngrams(F.col("tokens"), n), _tag(n)) for n in orders]))
+    grams = sentences.where(F.size("tokens") > 0).select(F.inline(grams))
+    ctx = broadcast_if_small(stored(wanted.select(F.col("ctx").alias("c")).distinct()))
+    return grams.join(ctx, F.col("ctx") == F.col("c"), "left_semi").groupBy("n", "ctx", "next").agg(F.count("*").alias("cnt"))
+
+
 def _tag(n: int):
     return lambda g: F.struct(F.lit(n).alias("n"), g["ctx"].alias("ctx"), g["next"].alias("next"))
 
@@ -41,6 +50,11 @@ def combined_model(sentences: DataFrame, max_n: int = 5) -> DataFrame:
     return with_probability(ngram_counts(sentences, range(2, max_n + 1)))
 
 
+def context_model(sentences: DataFrame, max_n: int, wanted: DataFrame) -> DataFrame:
+    """Those rows of combined_model() whose context is in wanted(ctx), with the same probabilities."""
+    return with_probability(context_counts(sentences, range(2, max_n + 1), wanted))
+
+
 def top_next(model: DataFrame, k: int) -> DataFrame:
     """The k likeliest continuations of each context."""
     order = W.partitionBy("n", "ctx").orderBy(F.col("p").desc(), F.col("next").asc_nulls_last())

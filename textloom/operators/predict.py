@@ -15,6 +15,12 @@ def contexts(tokens: Column, max_ctx: int) -> Column:
     return F.when(size > 0, F.transform(F.sequence(size, F.lit(1), F.lit(-1)), lambda k: F.struct(k.alias("k"), F.slice(tokens, -k, k).alias("ctx"))))
 
 
+def wanted_contexts(requests: DataFrame, max_ctx: int, variants: list[str] = ("tokens",)) -> DataFrame:
+    """ctx: every context that requests may look up, for ngram.context_model()."""
+    levels = F.concat(*[F.coalesce(contexts(F.col(v), max_ctx), F.array().cast("array<struct<k:int,ctx:array<string>>>")) for v in variants])
+    return requests.select(F.explode(F.transform(levels, lambda x: x["ctx"])).alias("ctx")).distinct()
+
+
 def match_contexts(requests: DataFrame, model: DataFrame, max_ctx: int, keys: list[str] = ("request_id",)) -> DataFrame:
     """(keys, k, next, p) for every level of requests(keys, tokens) that the model holds."""
     r = requests.select(*keys, F.inline(contexts(F.col("tokens"), max_ctx)))

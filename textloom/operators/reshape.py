@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import let
+from textloom.operators.shared import stored
 
 DASH = "—"
 
@@ -32,12 +33,16 @@ def missing_keys(rows: DataFrame, required: DataFrame, entity: str, key: str) ->
 
 
 def take_quota(items: DataFrame, quotas: list[tuple[str, int]], text: str = "name", order: str = "item_id") -> DataFrame:
-    """Items taken by prefix quotas, in order. Each item counts for the first prefix it starts with, so overlapping
-    prefixes differ from a draw in turn only where an earlier quota is full."""
-    first = F.coalesce(*[F.when(F.col(text).startswith(p), F.lit(i)) for i, (p, _) in enumerate(quotas)])
-    size = F.array(*[F.lit(n) for _, n in quotas])
-    d = items.withColumn("quota", first).where("quota is not null")
-    return d.withColumn("rank", F.row_number().over(W.partitionBy("quota").orderBy(order))).where(F.col("rank") <= size[F.col("quota")])
+    """items with quota (its number) and rank: each quota in turn takes its first n items, by a unique order, that start
+    with its prefix and that no earlier quota took. Each step is a distributed top n; what was taken before is at most
+    the sum of the quotas, so it is broadcast."""
+    left, taken = items, None
+    for i, (prefix, n) in enumerate(quotas):
+        top = stored(left.where(F.col(text).startswith(prefix)).orderBy(order).limit(n))
+        now = top.withColumn("quota", F.lit(i)).withColumn("rank", F.row_number().over(W.orderBy(order)))  # n rows
+        taken = now if taken is None else taken.unionByName(now)
+        left = left.join(F.broadcast(top.select(F.col(order).alias("__taken"))), F.col(order) == F.col("__taken"), "left_anti")
+    return taken
 
 
 def pattern_spans(c: Column, patterns: list[str], bounded: bool = True) -> Column:

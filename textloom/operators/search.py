@@ -6,22 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_QUERIES = 10_000
+from textloom.operators.shared import stored
 
+#: Queries that are broadcast at once; more run in as many blocks as it takes.
+BLOCK_QUERIES = 10_000
 
-def _small(df: DataFrame, rows: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """Checked: a stated query set of at most so many rows is broadcast; a larger one is refused, to be run in blocks."""
-    if df.limit(rows + 1).count() > rows:
-        raise ValueError(f"over {rows} queries: run them in blocks")
-    return F.broadcast(df)
+
+def _holding(queries: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Pairs of sentences and queries that they hold. Of a query of three words or more an inner word must be one of the
+    sentence's words, so these pairs come by an equi-join on the longest inner word; only shorter queries are held against
+    every sentence. The queries are a block of bounded size, so they are broadcast."""
+    inner = F.filter(F.slice(F.split("query", " "), 2, F.greatest(F.size(F.split("query", " ")) - 2, F.lit(0))), lambda w: w != "")
+    q = queries.withColumn("inner", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    long, short = q.where("inner is not null"), q.where("inner is null").drop("inner")
+    words = sentences.select("*", F.explode(F.array_distinct("tokens")).alias("word"))
+    by_word = words.join(F.broadcast(long), F.col("word") == F.col("inner")).where(F.col("sentence").contains(F.col("query"))).drop("word", "inner")
+    return by_word.unionByName(sentences.join(F.broadcast(short), F.col("sentence").contains(F.col("query"))))
 
 
 def search_corpus(queries: DataFrame, sentences: DataFrame, limit: int = 8, max_sources: int = 3) -> DataFrame:
     """query_id, sentence, is_exact, rank, source_count, sources for queries(query_id, query).
 
     The whole sentence first, then sentences that hold the query anywhere, in corpus order; empty queries match nothing."""
-    q = _small(queries.where("query is not null and query <> ''"))
-    hits = sentences.join(q, F.col("sentence").contains(F.col("query"))).withColumn("is_exact", F.col("sentence") == F.col("query"))
+    q = stored(queries.where("query is not null and query <> ''").select("query_id", "query"))
+    blocks = max(1, -(-q.count() // BLOCK_QUERIES))
+    hits = None
+    for i in range(blocks):
+        part = _holding(q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), sentences)
+        hits = part if hits is None else hits.unionByName(part)
+    hits = hits.withColumn("is_exact", F.col("sentence") == F.col("query"))
     order = W.partitionBy("query_id").orderBy(F.col("is_exact").desc(), "first_rank", "sentence")
     hits = hits.withColumn("rank", F.row_number().over(order)).where(f"rank <= {int(limit)}")
     return hits.select("query_id", "sentence", "is_exact", "rank", "source_count", F.slice("sources", 1, max_sources).alias("sources"))

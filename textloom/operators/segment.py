@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.shared import broadcast_if_small, stored
 
 EN, FR, BOTH, TARGET, OTHER, PUNCT = "English", "French", "English/French", "Target", "Other", "PUNCT"
 LABELS = [EN, FR, BOTH, TARGET, OTHER]
@@ -34,7 +35,9 @@ class Settings:
     margin: float = 0.55
 
 
-#: Verb endings and the infinitive endings tried in their place.
+#: Verb endings and the infinitive endings tried in their place; endings tried for a derived word's family;
+#: the least score for a verb ending to count, and from which an undecided word is in both languages.
+FAMILY, VERB_SCORE, BOTH_SCORE = ("", "e", "er", "ir", "on", "onne"), 1.2, 5.4
 LEMMAS = [
     (["irent"], 5, ["ir"]), (["erent"], 5, ["er"]), (["aient"], 5, ["er", "ir", "re", "oir"]), (["ions"], 4, ["er", "ir", "re", "oir"]), (["iez"], 4, ["er", "ir", "re", "oir"]),
     (["erai", "eras", "erez"], 4, ["er"]), (["irai", "iras", "irez"], 4, ["ir"]), (["ait", "ais", "ant", "ent", "ons", "ez"], 3, ["er", "ir", "re", "oir"]),
@@ -66,7 +69,7 @@ def family_candidates(c: Column, derivational: list[str]) -> Column:
     parts = []
     for s in derivational:
         base = F.left(c, F.greatest(F.length(c) - len(s), F.lit(0)))
-        parts.append(F.when(c.endswith(s) & (F.length(c) > len(s)), F.array(*[F.concat(base, F.lit(e)) for e in ("", "e", "er", "ir", "on", "onne")])).otherwise(F.array().cast("array<string>")))
+        parts.append(F.when(c.endswith(s) & (F.length(c) > len(s)), F.array(*[F.concat(base, F.lit(e)) for e in FAMILY])).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.concat(F.array().cast("array<string>"), *parts))
 
 
@@ -113,7 +116,7 @@ def classify_types(types: DataFrame, lexicon: DataFrame, settings: Settings = Se
 
     def verb(col: Column, p: str, lemma: str, blocked: Column) -> Column:
         plain = ~col.contains("'") & ascii_(col) & ~col.isin(*s.protected, "")
-        by_score = _ends(col, s.verb_suffixes) & (F.col(f"{p}fz") >= 1.2) & (F.col(f"{p}fz") >= F.col(f"{p}ez"))
+        by_score = _ends(col, s.verb_suffixes) & (F.col(f"{p}fz") >= VERB_SCORE) & (F.col(f"{p}fz") >= F.col(f"{p}ez"))
         return plain & (col.isin(*s.verb_special, "\x00") | (~blocked & (F.col(lemma) | by_score)))
 
     n, ez, fz = F.col("normalized"), F.col("c_ez"), F.col("c_fz")
@@ -122,7 +125,7 @@ def classify_types(types: DataFrame, lexicon: DataFrame, settings: Settings = Se
     apostrophe = n.contains("'") & prefix.isin(*s.prefixes) & (F.col("suffix") != "") & (F.col("s_fr") | F.col("suffix").isin(*s.stop_fr, "\x00") | verb(F.col("suffix"), "s_", "s_lemma", F.lit(False)) | hint(F.col("suffix")))
     decisive = F.when(ez - fz >= s.margin, EN).when(fz - ez >= s.margin, FR)
     dictionary = F.when(F.col("c_en") & ~F.col("c_fr"), EN).when(F.col("c_fr") & ~F.col("c_en"), FR).when(F.col("c_en") & F.col("c_fr"), F.when(F.col("assumed_target"), TARGET).otherwise(F.coalesce(decisive, F.lit(BOTH))))
-    scored = F.when(F.greatest(ez, fz) >= s.score_threshold, F.coalesce(decisive, F.when(ascii_(c) & (F.greatest(ez, fz) >= 5.4), BOTH)))
+    scored = F.when(F.greatest(ez, fz) >= s.score_threshold, F.coalesce(decisive, F.when(ascii_(c) & (F.greatest(ez, fz) >= BOTH_SCORE), BOTH)))
     letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
     marked = T.unicode_form(c, "NFD").rlike(f"[{s.marks}]")
     french_hint = ~c.contains("'") & ~c.rlike(f"[{s.base_chars}]") & ~(marked & (letters <= 3)) & hint(c)
@@ -142,8 +145,10 @@ def token_rows(lines: DataFrame) -> DataFrame:
 
 
 def label_tokens(lines: DataFrame, lexicon: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """token_rows() with the columns of classify_types(). The classified types are stored and, while there are few of them,
+    broadcast, so a frequent token isn't gathered in one task."""
     rows = token_rows(lines)
-    return rows.join(classify_types(rows, lexicon, settings), "token")
+    return rows.join(broadcast_if_small(stored(classify_types(rows, lexicon, settings))), "token")
 
 
 def smooth_labels(tokens: DataFrame, threshold: float = 3.2) -> DataFrame:
@@ -190,6 +195,13 @@ def keep_language(lines: DataFrame, lexicon: DataFrame, settings: Settings = Set
     return out.select("line_id", T.detokenize(T.collapse_repeats(T.tokenize(F.col("text")))).alias("text")).where("text <> ''")
 
 
+def filter_records(records: DataFrame, lexicon: DataFrame, settings: Settings = Settings(), rules: T.Rules = (), tone_rules: T.Rules = ()) -> DataFrame:
+    """Records of a directory with their target-language text only and their provenance; records without any are left out."""
+    r = records.withColumn("line_id", F.struct("source_rank", "source_path", "source_type", "reference"))
+    kept = keep_language(r.select("line_id", "text"), lexicon, settings, rules, tone_rules)
+    return r.drop("text").join(kept, "line_id").select(*records.columns)
+
+
 def segment_report(lines: DataFrame, lexicon: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """line_id, tokens, spans, grouped texts by language and the target text only."""
     tokens = smooth_labels(label_tokens(lines, lexicon, settings), settings.score_threshold)

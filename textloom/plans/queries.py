@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import corpus, expand, generate, lexical, lookup, ngram, predict, reshape, search
+from textloom.operators.shared import stored
 from textloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +44,12 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.sentence_table(records(spark, sf_dir))
+    return corpus.distinct_sentences(records(spark, sf_dir))
+
+
+def sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sentences with their first three sources."""
+    return corpus.sentence_table(records(spark, sf_dir), max_sources=3)
 
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +69,11 @@ def model(spark: SparkSession, sf_dir: str, max_n: int = 3) -> DataFrame:
     return ngram.combined_model(sentences(spark, sf_dir), max_n)
 
 
+def asked_model(spark: SparkSession, sf_dir: str, requests: DataFrame, variants: list[str] = ("tokens",)) -> DataFrame:
+    """The model of the contexts that the requests may look up."""
+    return ngram.context_model(sentences(spark, sf_dir), 3, predict.wanted_contexts(requests, 2, variants))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.lexical_tokens(sentences(spark, sf_dir))
 
@@ -90,7 +101,7 @@ def fold_sql(c: str, rules) -> str:
 
 RECORDS = rf"""
 lines AS (SELECT doc_id, source, line, ln FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents) WHERE trim(line) <> ''),
-recs AS MATERIALIZED (SELECT source AS path, doc_id * 1000000 + ln AS unit_no, 'line ' || ln AS reference, {clean_sql(r"regexp_replace(line, '(?i)\bn\.\s*b\.', '', 'g')")} AS sentence FROM lines),
+recs AS MATERIALIZED (SELECT source AS path, doc_id * 16777216 + ln AS unit_no, 'line ' || ln AS reference, {clean_sql(r"regexp_replace(line, '(?i)\bn\.\s*b\.', '', 'g')")} AS sentence FROM lines),
 sents AS MATERIALIZED (SELECT sentence, string_split(sentence, ' ') AS toks, min((path, unit_no)) AS first FROM recs WHERE sentence <> '' GROUP BY sentence)"""
 TALK = rf"""sents AS MATERIALIZED (SELECT DISTINCT sentence, string_split(sentence, ' ') AS toks FROM (SELECT {clean_sql("line")} AS sentence
     FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations)) WHERE sentence <> '')"""
@@ -159,16 +170,22 @@ def q_sentence_dedup(spark, sf_dir):
 
 
 @query(f"""WITH {RECORDS}, u AS (SELECT sentence, path, reference, min(unit_no) AS unit FROM recs WHERE sentence <> '' GROUP BY ALL)
-SELECT sentence, count(*)::INT AS source_count, string_agg(path || ':' || reference, '|' ORDER BY path, unit, reference) AS sources FROM u GROUP BY sentence""")
+SELECT sentence, path, reference, unit FROM u""")
 def q_sentence_sources(spark, sf_dir):
-    s = sentences(spark, sf_dir)
+    return corpus.sentence_sources(records(spark, sf_dir)).select("sentence", "path", "reference", F.col("at.unit_no").alias("unit"))
+
+
+@query(f"""WITH {RECORDS}, u AS (SELECT sentence, path, reference, min(unit_no) AS unit FROM recs WHERE sentence <> '' GROUP BY ALL)
+SELECT sentence, count(*)::INT AS source_count, array_to_string(list_slice(list(path || ':' || reference ORDER BY path, unit, reference), 1, 3), '|') AS sources FROM u GROUP BY sentence""")
+def q_sentence_first_sources(spark, sf_dir):
+    s = sourced(spark, sf_dir)
     return s.select("sentence", "source_count", F.array_join(F.transform("sources", lambda x: F.concat(x["path"], F.lit(":"), x["reference"])), "|").alias("sources"))
 
 
 @query(f"""WITH {RECORDS}, u AS (SELECT DISTINCT sentence, path, reference FROM recs WHERE sentence <> '')
 SELECT CASE WHEN t THEN NULL ELSE 'txt' END AS type, sentences, files, refs FROM (SELECT unnest([true, false]) AS t, * FROM (SELECT count(DISTINCT sentence) AS sentences, count(DISTINCT path) AS files, count(DISTINCT path || chr(0) || reference) AS refs FROM u))""")
 def q_source_stats(spark, sf_dir):
-    return corpus.source_stats(sentences(spark, sf_dir)).drop("is_total")
+    return corpus.source_stats(corpus.sentence_sources(records(spark, sf_dir))).drop("is_total")
 
 
 @query(rf"""SELECT doc_id, ln::BIGINT AS line_no FROM (SELECT doc_id, line, ln, {clean_sql('line')} AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents))
@@ -223,13 +240,15 @@ def q_seed_report(spark, sf_dir):
 
 @query(f"WITH {MODEL}, {HITS}, t AS (SELECT *, max(k) OVER (PARTITION BY request_id) AS top FROM hits) SELECT request_id, k::INT AS k, coalesce(next, '<s>') AS next, round(p, 9) AS p FROM t WHERE k = top")
 def q_suggest_longest(spark, sf_dir):
-    h = predict.longest_match(requests(spark, sf_dir), model(spark, sf_dir), 2)
+    r = requests(spark, sf_dir)
+    h = predict.longest_match(r, asked_model(spark, sf_dir, r), 2)
     return h.select("request_id", "k", F.coalesce("next", F.lit("<s>")).alias("next"), F.round("p", 9).alias("p"))
 
 
 @query(f"WITH {MODEL}, {HITS}, {SCORES} SELECT request_id, word, round(score, 9) AS score, k::INT AS k FROM scores")
 def q_suggest_interpolated(spark, sf_dir):
-    return predict.interpolated(requests(spark, sf_dir), model(spark, sf_dir), 2).select("request_id", "word", F.round("score", 9).alias("score"), "k")
+    r = requests(spark, sf_dir)
+    return predict.interpolated(r, asked_model(spark, sf_dir, r), 2).select("request_id", "word", F.round("score", 9).alias("score"), "k")
 
 
 @query(
@@ -237,7 +256,8 @@ def q_suggest_interpolated(spark, sf_dir):
     "FROM scores WHERE regexp_matches(word, '[\\pL\\p{Nl}]')) SELECT request_id, word, round(score, 9) AS score, rank::INT AS rank FROM r WHERE rank <= 6"
 )
 def q_suggest_display_merge(spark, sf_dir):
-    return predict.suggest(requests(spark, sf_dir), model(spark, sf_dir), 6, 2).select("request_id", "word", F.round("score", 9).alias("score"), "rank")
+    r = requests(spark, sf_dir)
+    return predict.suggest(r, asked_model(spark, sf_dir, r), 6, 2).select("request_id", "word", F.round("score", 9).alias("score"), "rank")
 
 
 @query(
@@ -250,7 +270,8 @@ SELECT request_id, attempt, word, round(score, 9) AS score FROM scores JOIN a US
 def q_suggest_fallback(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.split("text", " ").alias("raw"), T.split_words(T.clean_text(F.col("text"))).alias("cl"))
     b = b.select("request_id", F.slice("raw", 1, 2).alias("v0"), F.slice("cl", 1, 2).alias("v1"), F.slice("cl", 3, 1).alias("v2"))
-    return predict.match_with_fallback(b, model(spark, sf_dir), 2, ["v0", "v1", "v2"]).select("request_id", "attempt", "word", F.round("score", 9).alias("score"))
+    variants = ["v0", "v1", "v2"]
+    return predict.match_with_fallback(b, asked_model(spark, sf_dir, b, variants), 2, variants).select("request_id", "attempt", "word", F.round("score", 9).alias("score"))
 
 
 @query(
@@ -262,17 +283,23 @@ g(request_id, toks, done, step, hit) AS (SELECT request_id, toks, false, 0, true
 SELECT request_id, array_to_string(toks, ' ') AS text, CASE WHEN step = 1 AND NOT hit THEN 'not_in_corpus' WHEN EXISTS (SELECT 1 FROM sents s WHERE s.sentence = array_to_string(g.toks, ' ')) THEN 'original' ELSE 'generated' END AS status FROM g WHERE done"""
 )
 def q_generate_argmax(spark, sf_dir):
-    m = generate._stored(model(spark, sf_dir))
+    m = stored(model(spark, sf_dir))
     g = generate.generate(requests(spark, sf_dir), m, max_ctx=2, max_tokens=12, temperature=0.0)
     g = g.withColumn("miss", F.col("status") == "not_in_corpus")
     g = generate.flag_known(g, sentences(spark, sf_dir))
     return g.select("request_id", "text", F.when(F.col("miss"), "not_in_corpus").otherwise(F.col("status")).alias("status"))
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE {MODEL}, ctxs AS MATERIALIZED (SELECT DISTINCT ctx FROM model), g(request_id, try, toks, done, step) AS (SELECT request_id, t, toks, false, 0 FROM reqs, range(1, 13) r(t) UNION ALL
+  SELECT request_id, try, CASE WHEN nxt IS NULL THEN toks ELSE list_append(toks, nxt) END, nxt IS NULL OR len(toks) + 1 >= 8, step + 1 FROM (
+    SELECT g.request_id, g.try, g.toks, g.step, d.next AS nxt FROM g LEFT JOIN model d ON d.ctx = CASE WHEN len(g.toks) >= 2 AND EXISTS (SELECT 1 FROM ctxs c WHERE c.ctx = list_slice(g.toks, -2, -1)) THEN list_slice(g.toks, -2, -1) ELSE list_slice(g.toks, -1, -1) END
+    WHERE NOT g.done QUALIFY row_number() OVER (PARTITION BY g.request_id, g.try ORDER BY ln(d.p) / 0.8 - ln(-ln((('0x' || left(md5('42|' || g.request_id || '|' || g.try || '|' || g.step || '|' || coalesce(d.next, '')), 12))::BIGINT + 0.5) / 281474976710656.0)) DESC NULLS LAST, encode(d.next) NULLS LAST) = 1)),
+SELECT request_id, text, try, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY try)::INT AS rank FROM (SELECT request_id, array_to_string(toks, ' ') AS text, min(try)::INT AS try FROM g WHERE done GROUP BY 1, 2)) WHERE rank <= 2"""
+)
 def q_generate_sampled(spark, sf_dir):
-    m = generate._stored(model(spark, sf_dir))
-    return generate.candidates(requests(spark, sf_dir), m, k=2, max_ctx=2, max_tokens=8, temperature=0.8)
+    m = stored(model(spark, sf_dir))
+    return generate.candidates(requests(spark, sf_dir), m, k=2, max_ctx=2, max_tokens=8, temperature=0.8).select("request_id", "text", "try", F.col("rank").cast("int").alias("rank"))
 
 
 @query(
@@ -282,7 +309,7 @@ FROM q JOIN sents ON contains(sentence, query) JOIN u USING (sentence) WHERE que
 )
 def q_corpus_search(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.split_words(T.clean_text(F.col("text"))), 1, 3), " ").alias("query"))
-    return search.search_corpus(b, sentences(spark, sf_dir)).drop("sources")
+    return search.search_corpus(b, sourced(spark, sf_dir)).drop("sources")
 
 
 @query(
@@ -291,8 +318,8 @@ SELECT request_id, word, sentence, row_number() OVER (PARTITION BY request_id, w
 FROM (SELECT request_id, word, array_to_string(toks, ' ') || ' ' || word AS query FROM r JOIN reqs USING (request_id) WHERE rk <= 3) JOIN sents ON contains(sentence, query) QUALIFY rank <= 2"""
 )
 def q_suggest_examples(spark, sf_dir):
-    s, r = sentences(spark, sf_dir), requests(spark, sf_dir)
-    return search.suggestion_examples(predict.suggest(r, model(spark, sf_dir), 3, 2), r, s)
+    r = requests(spark, sf_dir)
+    return search.suggestion_examples(predict.suggest(r, asked_model(spark, sf_dir, r), 3, 2), r, sourced(spark, sf_dir))
 
 
 CONC = f"""WITH {RECORDS}, c AS MATERIALIZED (SELECT sentence, i AS pos, CASE WHEN i > 1 THEN toks[i - 1] END AS prev, toks[i + 2] AS next, array_to_string(list_slice(toks, greatest(i - 4, 1), i - 1), ' ') AS "left",
@@ -360,7 +387,7 @@ LOW = "nfc_normalize(replace(translate({0}, 'àèìòùÀÈÌÒÙ', 'aeiouAEIOU'
 ASSETS = f"assets AS MATERIALIZED (SELECT word, md5(word) AS asset_id FROM wc WHERE length(word) % 2 = 0)"
 
 
-@query(f"WITH {RECORDS}, {LEX}, {ASSETS} SELECT w.word, coalesce(a.asset_id, c.asset_id) AS asset_id FROM wc w LEFT JOIN assets a ON a.word = w.word LEFT JOIN assets c ON c.word = {LOW.format('w.word')} AND c.word = {LOW.format('c.word')}")
+@query(f"WITH {RECORDS}, {LEX}, {ASSETS}, w0 AS MATERIALIZED (SELECT word, {LOW.format('word')} AS low FROM wc), c AS MATERIALIZED (SELECT word, asset_id FROM assets WHERE word = {LOW.format('word')}) SELECT w.word, coalesce(a.asset_id, c.asset_id) AS asset_id FROM w0 w LEFT JOIN assets a ON a.word = w.word LEFT JOIN c ON c.word = w.low")
 def q_asset_lookup(spark, sf_dir):
     return lookup.lookup_asset(lexical.word_counts(words(spark, sf_dir)).select("word"), _assets(spark, sf_dir))
 
@@ -374,7 +401,9 @@ KEYS = r"keys AS MATERIALIZED (SELECT CASE WHEN opt THEN word || '?' ELSE word E
 
 
 def keys(spark, sf_dir) -> DataFrame:
-    v = words(spark, sf_dir).select("word").distinct().where(r"word rlike '^[a-z]{1,6}$'")
+    """Shortcut keys made of the corpus's short words; stored, since most queries read them several times."""
+    v = words(spark, sf_dir).select("word").where(r"word rlike '^[a-z]{1,6}$'").distinct()
+    v = stored(v)
     return v.select(F.when(F.length("word") % 3 == 0, F.concat("word", F.lit("?"))).otherwise(F.col("word")).alias("key"), F.upper("word").alias("value"))
 
 
@@ -447,7 +476,7 @@ def q_date_expand(spark, sf_dir):
 
 
 @query(f"WITH {RECORDS}, {LEX}, {KEYS}, w AS (SELECT item_id, i, t FROM (SELECT item_id, unnest(regexp_extract_all(text, '\\s+|[^\\s]+')) AS t, generate_subscripts(regexp_extract_all(text, '\\s+|[^\\s]+'), 1) AS i FROM benchmark)) "
-       "SELECT item_id AS text_id, string_agg(coalesce(a.value, CASE WHEN regexp_matches(t, '^[\\x00-\\x7f]*$') THEN b.value END, t), '' ORDER BY i) AS text FROM w LEFT JOIN keys a ON a.key = t LEFT JOIN keys b ON b.key = lower(t) GROUP BY 1")
+       "SELECT item_id AS text_id, string_agg(coalesce(a.value, CASE WHEN regexp_matches(t, '^[\\x00-\\x7f]*$') THEN b.value END, t), '' ORDER BY i) AS text, true AS stable FROM w LEFT JOIN keys a ON a.key = t LEFT JOIN keys b ON b.key = lower(t) GROUP BY 1")
 def q_expand_tokens(spark, sf_dir):
     t = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id"), "text")
     return expand.expand_tokens(t, keys(spark, sf_dir))
@@ -459,7 +488,7 @@ def q_expand_tokens_all(spark, sf_dir):
     return expand.expand_tokens(t, keys(spark, sf_dir).unionByName(spark.createDataFrame(PARTS, "key string, value string")))
 
 
-@query(f"WITH {RECORDS}, {LEX}, {KEYS}, amb AS (SELECT DISTINCT left(key, i) AS key FROM (SELECT key, unnest(range(1, length(key))) AS i FROM keys)) SELECT t.word AS token, value FROM (SELECT DISTINCT word FROM wc) t JOIN keys ON key = word WHERE key NOT IN (SELECT key FROM amb)")
+@query(f"WITH {RECORDS}, {LEX}, {KEYS}, amb AS MATERIALIZED (SELECT DISTINCT left(key, i) AS key FROM (SELECT key, unnest(range(1, length(key))) AS i FROM keys)), free AS MATERIALIZED (SELECT key, value FROM keys ANTI JOIN amb USING (key)) SELECT t.word AS token, value FROM (SELECT DISTINCT word FROM wc) t JOIN free ON free.key = t.word")
 def q_auto_complete(spark, sf_dir):
     return expand.auto_complete(words(spark, sf_dir).select(F.col("word").alias("token")), keys(spark, sf_dir))
 
@@ -471,24 +500,50 @@ def q_expand_live(spark, sf_dir):
 
 
 FINAL = [("tion", "t1"), ("ing", "i2"), ("t1t1", "tt")]
+_LONGEST = sorted(FINAL, key=lambda r: -len(r[0]))
 
 
-@query()
+def _tail_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN suffix({c}, '{a}') THEN left({c}, length({c}) - {len(a)}) || '{b}'" for a, b in _LONGEST) + f" ELSE {c} END"
+
+
+def _compose_sql(c: str) -> str:
+    return f"CASE WHEN NOT regexp_matches({c}, '^[\\x00-\\x7f]*$') THEN {c} " + " ".join(f"WHEN contains({c}, '{a}') THEN replace({c}, '{a}', '{b}')" for a, b in _LONGEST) + f" ELSE {c} END"
+
+
+ONCE = f"(SELECT word, n, old, {_compose_sql('y')} AS s FROM (SELECT word, n, old, {_compose_sql('t')} AS y FROM (SELECT word, n, s AS old, {_tail_sql('s')} AS t FROM it)))"
+
+
+@query(f"WITH RECURSIVE {RECORDS}, {LEX}, it(word, s, old, n) AS (SELECT word, word, NULL::VARCHAR, 0 FROM wc UNION ALL SELECT word, s, old, n + 1 FROM {ONCE} WHERE n < 9) SELECT word, old AS final, s = old AS stable FROM it WHERE n = 9")
 def q_expand_finalize(spark, sf_dir):
     w = words(spark, sf_dir).select("word").distinct()
-    return w.select("word", expand.finalize(F.col("word"), sorted(FINAL, key=lambda r: -len(r[0]))).alias("final"))
+    return w.select("word", expand.finalize(F.col("word"), _LONGEST).alias("x")).select("word", F.col("x.text").alias("final"), "x.stable")
 
 
-@query()
+def _phrase_sql(c: str) -> str:
+    """One pass: the longest phrase that stands between word boundaries is replaced, twice over since neighbours share one."""
+    edge = r"[^\pL\pM\pN\p{Pc}]"
+    out = ""
+    for a, b in sorted(PHRASES, key=lambda r: (-len(r[0]), r[0])):
+        a, b = a.replace("'", "''"), b.replace("'", "''")
+        once = lambda x, a=a, b=b: f"regexp_replace({x}, '(^|{edge}){a}($|{edge})', '\\1{b}\\2', 'g')"
+        out += f" WHEN regexp_matches({c}, '(^|{edge}){a}($|{edge})') THEN {once(once(c))}"
+    return f"CASE{out} ELSE {c} END"
+
+
+@query(f"WITH RECURSIVE it(doc_id, s, old, n) AS (SELECT doc_id, lower(text), NULL::VARCHAR, 0 FROM documents UNION ALL SELECT doc_id, {_phrase_sql('s')}, s, n + 1 FROM it WHERE n < 9) SELECT doc_id, old AS text, s = old AS stable FROM it WHERE n = 9")
 def q_expand_phrases(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", expand.expand_phrases(F.lower(F.col("text")), PHRASES).alias("x")).select("doc_id", "x.*")
 
 
-@query("""SELECT quota, name, rank::INT AS rank FROM (SELECT CASE WHEN starts_with(p_name, 'a') THEN 0 WHEN starts_with(p_name, 'b') THEN 1 WHEN starts_with(p_name, 'p') THEN 2 END AS quota, p_name AS name, p_partkey,
-row_number() OVER (PARTITION BY CASE WHEN starts_with(p_name, 'a') THEN 0 WHEN starts_with(p_name, 'b') THEN 1 WHEN starts_with(p_name, 'p') THEN 2 END ORDER BY p_partkey) AS rank FROM part) WHERE quota IS NOT NULL AND rank <= [5, 3, 7][quota + 1]""")
+@query("""WITH a AS (SELECT 0 AS quota, p_partkey, p_name FROM part WHERE starts_with(p_name, 'sm') ORDER BY p_partkey LIMIT 5),
+b AS (SELECT 1 AS quota, p_partkey, p_name FROM part WHERE starts_with(p_name, 's') AND p_partkey NOT IN (SELECT p_partkey FROM a) ORDER BY p_partkey LIMIT 7),
+c AS (SELECT 2 AS quota, p_partkey, p_name FROM part WHERE starts_with(p_name, 'h') ORDER BY p_partkey LIMIT 4),
+d AS (SELECT 3 AS quota, p_partkey, p_name FROM part WHERE starts_with(p_name, 'ho') AND p_partkey NOT IN (SELECT p_partkey FROM c) ORDER BY p_partkey LIMIT 3)
+SELECT quota, p_name AS name, row_number() OVER (PARTITION BY quota ORDER BY p_partkey)::INT AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d)""")
 def q_quota(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"))
-    return reshape.take_quota(p, [("a", 5), ("b", 3), ("p", 7)]).select("quota", "name", "rank")
+    return reshape.take_quota(p, [("sm", 5), ("s", 7), ("h", 4), ("ho", 3)]).select("quota", "name", "rank")
 
 
 LISTS = "l AS (SELECT l_orderkey, list(l_shipmode ORDER BY l_linenumber, l_shipmode) AS a, list(l_linestatus ORDER BY l_linenumber, l_linestatus) FILTER (l_linenumber % 2 = 1) AS b FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem) GROUP BY 1)"
@@ -539,10 +594,20 @@ def q_number_rows(spark, sf_dir):
     return corpus.number_rows(corpus.letters_only(sentences(spark, sf_dir)).select("sentence"), "sentence")
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE {MODEL}, best AS MATERIALIZED (SELECT ctx, next FROM model QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY p DESC, encode(next) NULLS LAST) = 1),
+g(request_id, toks, done, step, hit) AS (SELECT request_id, toks, false, 0, true FROM reqs WHERE array_to_string(toks, ' ') <> '' UNION ALL
+  SELECT request_id, CASE WHEN nxt IS NULL THEN toks ELSE list_append(toks, nxt) END, nxt IS NULL OR len(toks) + 1 >= 6, step + 1, hit FROM (
+    SELECT g.request_id, g.toks, step, b2.ctx IS NOT NULL OR b1.ctx IS NOT NULL AS hit, CASE WHEN b2.ctx IS NOT NULL THEN b2.next ELSE b1.next END AS nxt
+    FROM g LEFT JOIN best b2 ON len(g.toks) >= 2 AND b2.ctx = list_slice(g.toks, -2, -1) LEFT JOIN best b1 ON b1.ctx = list_slice(g.toks, -1, -1) WHERE NOT done)),
+made AS MATERIALIZED (SELECT request_id, array_to_string(toks, ' ') AS made, step = 1 AND NOT hit AS missed FROM g WHERE done),
+found AS (SELECT request_id, least(count(*), 8)::INT AS n FROM made JOIN sents ON contains(sentence, made) GROUP BY 1)
+SELECT request_id, array_to_string(toks, ' ') AS text, made, CASE WHEN EXISTS (SELECT 1 FROM sents WHERE sentence = made) THEN 'original' WHEN missed THEN 'not_in_corpus' ELSE 'generated' END AS status, coalesce(n, 0) AS match_count
+FROM made JOIN reqs USING (request_id) LEFT JOIN found USING (request_id)"""
+)
 def q_generation_report(spark, sf_dir):
-    s = sentences(spark, sf_dir)
-    m = generate._stored(ngram.combined_model(s, 3))
+    s = sourced(spark, sf_dir)
+    m = stored(model(spark, sf_dir))
     r = generate.generation_report(requests(spark, sf_dir), m, s, k=1, max_ctx=2, max_tokens=6, temperature=0.0)
     return r.select("request_id", "text", F.col("primary.text").alias("made"), F.col("primary.status").alias("status"), "match_count")
 

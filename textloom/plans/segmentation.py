@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import lexical, segment
-from textloom.plans.queries import clean_sql, norm_sql, query, table, tokens_by_lang
+from textloom.plans.queries import clean_sql, norm_sql, query, records, table, tokens_by_lang
 
 CFG = segment.Settings(stop_en=["the", "of", "and"], stop_fr=["le", "la", "et", "de"], protected=["die"], verb_special=["est"], base_chars="ßäöü")
 
@@ -18,21 +18,26 @@ def lexicon(spark, sf_dir) -> DataFrame:
     return z.select(F.when(F.col("lang") == "de", "target").otherwise(F.col("lang")).alias("lang"), "word", F.round("zipf", 9).alias("zipf"))
 
 
-def lines(spark, sf_dir) -> DataFrame:
-    """Benchmark items and the first turn of each conversation as mixed lines."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("line_id"), "text")
-    c = table(spark, sf_dir, "conversations").where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("text"))
-    return b.unionByName(c.select((F.col("conv_id") + 1_000_000).alias("line_id"), "text"))
+def _name(kind: str, *ids: str):
+    return F.concat(F.lit(kind), *[F.concat(F.lit(":"), F.coalesce(F.col(x).cast("string"), F.lit(""))) for x in ids]).alias("line_id")
 
 
-def all_lines(spark, sf_dir) -> DataFrame:
-    """Every line of documents, every turn of conversations and every benchmark item. The ids start with the table
-    and have the number of the line, or of the row among those of one turn, so repeated rows stay apart."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+def lines(spark, sf_dir) -> DataFrame:
+    """Every benchmark item and every turn of the conversations as mixed lines; a turn's id has the number of the row
+    among those of one turn, so repeated rows stay apart."""
     c = table(spark, sf_dir, "conversations").withColumn("copy", F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("text", "role")))
     b = table(spark, sf_dir, "benchmark")
-    name = lambda kind, *ids: F.concat(F.lit(kind), *[F.concat(F.lit(":"), F.coalesce(F.col(x).cast("string"), F.lit(""))) for x in ids]).alias("line_id")
-    return d.select(name("d", "doc_id", "line_no"), "text").unionByName(c.select(name("c", "conv_id", "turn", "copy"), "text")).unionByName(b.select(name("b", "item_id"), "text"))
+    return c.select(_name("c", "conv_id", "turn", "copy"), "text").unionByName(b.select(_name("b", "item_id"), "text"))
+
+
+def document_lines(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    return d.select(_name("d", "doc_id", "line_no"), "text")
+
+
+def all_lines(spark, sf_dir) -> DataFrame:
+    """lines() and every line of documents."""
+    return document_lines(spark, sf_dir).unionByName(lines(spark, sf_dir))
 
 
 def _ends(c: str, suffixes) -> str:
@@ -52,7 +57,7 @@ def _family(c: str) -> str:
     out = "[]::VARCHAR[]"
     for s in CFG.derivational:
         base = f"left({c}, length({c}) - {len(s)})"
-        ends = ", ".join(f"{base} || {e!r}" for e in ("", "e", "er", "ir", "on", "onne"))
+        ends = ", ".join(f"{base} || {e!r}" for e in segment.FAMILY)
         out = f"list_concat({out}, CASE WHEN suffix({c}, '{s}') AND length({c}) > {len(s)} THEN [{ends}] ELSE [] END)"
     return out
 
@@ -72,7 +77,10 @@ def _verb(c: str, ez: str, fz: str, lemma: str, blocked: str) -> str:
     )
 
 
-CTE = rf"""lines AS MATERIALIZED (SELECT item_id AS line_id, text FROM benchmark UNION ALL SELECT conv_id + 1000000, min(text) FROM conversations WHERE turn = 0 GROUP BY conv_id),
+LINES = """SELECT 'b:' || item_id AS line_id, text FROM benchmark UNION ALL
+    SELECT 'c:' || conv_id || ':' || turn || ':' || row_number() OVER (PARTITION BY conv_id, turn ORDER BY text, role), text FROM conversations"""
+DOCUMENT_LINES = "SELECT 'd:' || doc_id || ':' || (i - 1) AS line_id, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"
+CTE = rf"""lines AS MATERIALIZED ({LINES}),
 rows_ AS MATERIALIZED (SELECT line_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT line_id, regexp_extract_all(text, '[\pL\pN\pM''’ʼ]+|[^\s]') AS t FROM lines)),
 zn AS (SELECT lang, word, count(*) AS cnt FROM (SELECT lang, unnest(string_split({clean_sql('text')}, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2),
 z AS (SELECT lang, word, cnt, round(log10(cnt * 1e9 / sum(cnt) OVER (PARTITION BY lang)), 9) AS zipf FROM zn),
@@ -103,34 +111,32 @@ s1 AS (SELECT *, last_value(CASE WHEN label <> '{segment.PUNCT}' THEN label END
 s2 AS (SELECT *, CASE WHEN lang IS DISTINCT FROM lag(lang) OVER (PARTITION BY line_id ORDER BY pos) THEN 1 ELSE 0 END AS ch FROM s1 WHERE lang IS NOT NULL),
 s3 AS (SELECT *, sum(ch) OVER (PARTITION BY line_id ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS span_no FROM s2),
 spans AS MATERIALIZED (SELECT line_id, span_no, first(lang) AS language, trim(list_reduce(list(token ORDER BY pos), lambda s, t: CASE WHEN t IN ('.', ',', '!', '?', ';', ':', ')', ']', '}}') OR right(s, 1) IN ('(', '[', '{{', '"') THEN s || t ELSE s || ' ' || t END)) AS text FROM s3 GROUP BY 1, 2)"""
+ALL = CTE.replace(f"lines AS MATERIALIZED ({LINES})", f"lines AS MATERIALIZED ({LINES} UNION ALL {DOCUMENT_LINES})")
 
 
-@query(f"WITH {CTE} SELECT token, normalized, label, round(en_zipf, 9)::DOUBLE AS en_zipf, round(fr_zipf, 9)::DOUBLE AS fr_zipf FROM types")
-def q_classify_tokens(spark, sf_dir):
-    return segment.classify_types(segment.token_rows(lines(spark, sf_dir)), lexicon(spark, sf_dir), CFG).drop("core")
+def _classified_sql(cte: str) -> str:
+    return f"WITH {cte} SELECT token, normalized, label, round(en_zipf, 9)::DOUBLE AS en_zipf, round(fr_zipf, 9)::DOUBLE AS fr_zipf FROM types"
 
 
-def _smoothed(spark, sf_dir, of=lines) -> DataFrame:
-    return segment.smooth_labels(segment.label_tokens(of(spark, sf_dir), lexicon(spark, sf_dir), CFG), CFG.score_threshold)
+def _smoothed_sql(cte: str) -> str:
+    return f"WITH {cte} SELECT line_id, pos::INT AS pos, token, label FROM smooth"
 
 
-@query(f"WITH {CTE} SELECT line_id, pos::INT AS pos, token, label FROM smooth")
-def q_smooth_labels(spark, sf_dir):
-    return _smoothed(spark, sf_dir).select("line_id", "pos", "token", "label")
+def _spans_sql(cte: str) -> str:
+    return f"WITH {cte} SELECT line_id, span_no, language, text FROM spans"
 
 
-@query(f"WITH {CTE} SELECT line_id, span_no, language, text FROM spans")
-def q_spans(spark, sf_dir):
-    return segment.merge_spans(_smoothed(spark, sf_dir)).drop("tokens")
+def _grouped_sql(cte: str) -> str:
+    each = ", ".join(f"coalesce(string_agg(CASE WHEN language = '{x}' THEN text END, ' | ' ORDER BY span_no), '') AS \"{x}\"" for x in segment.LABELS)
+    return f"WITH {cte} SELECT line_id, {each} FROM spans GROUP BY line_id"
 
 
-@query(
-    f"WITH {CTE} SELECT line_id, "
-    + ", ".join(f"coalesce(string_agg(CASE WHEN language = '{x}' THEN text END, ' | ' ORDER BY span_no), '') AS \"{x}\"" for x in segment.LABELS)
-    + " FROM spans GROUP BY line_id"
-)
-def q_grouped(spark, sf_dir):
-    return _grouped(_smoothed(spark, sf_dir))
+def _classified(spark, sf_dir, of) -> DataFrame:
+    return segment.classify_types(segment.token_rows(of(spark, sf_dir)), lexicon(spark, sf_dir), CFG).drop("core")
+
+
+def _smoothed(spark, sf_dir, of) -> DataFrame:
+    return segment.smooth_labels(segment.label_tokens(of(spark, sf_dir), lexicon(spark, sf_dir), CFG), CFG.score_threshold)
 
 
 def _grouped(smoothed: DataFrame) -> DataFrame:
@@ -138,36 +144,84 @@ def _grouped(smoothed: DataFrame) -> DataFrame:
     return g.select("line_id", *[F.array_join(F.col(f"`{x}`"), " | ").alias(x) for x in segment.LABELS])
 
 
-@query()
-def q_keep_lang(spark, sf_dir):
-    return segment.keep_language(all_lines(spark, sf_dir), lexicon(spark, sf_dir), CFG)
+@query(_classified_sql(CTE))
+def q_classify_tokens(spark, sf_dir):
+    return _classified(spark, sf_dir, lines)
 
 
-# The whole job of the four queries with SQL above, whose SQL covers only lines().
-@query()
+@query(_smoothed_sql(CTE))
+def q_smooth_labels(spark, sf_dir):
+    return _smoothed(spark, sf_dir, lines).select("line_id", "pos", "token", "label")
+
+
+@query(_spans_sql(CTE))
+def q_spans(spark, sf_dir):
+    return segment.merge_spans(_smoothed(spark, sf_dir, lines)).drop("tokens")
+
+
+@query(_grouped_sql(CTE))
+def q_grouped(spark, sf_dir):
+    return _grouped(_smoothed(spark, sf_dir, lines))
+
+
+# The same over the lines of documents too.
+@query(_classified_sql(ALL))
 def q_classify_tokens_all(spark, sf_dir):
-    return segment.classify_types(segment.token_rows(all_lines(spark, sf_dir)), lexicon(spark, sf_dir), CFG).drop("core")
+    return _classified(spark, sf_dir, all_lines)
 
 
-@query()
+@query(_smoothed_sql(ALL))
 def q_smooth_labels_all(spark, sf_dir):
     return _smoothed(spark, sf_dir, all_lines).select("line_id", "pos", "token", "label")
 
 
-@query()
+@query(_spans_sql(ALL))
 def q_spans_all(spark, sf_dir):
     return segment.merge_spans(_smoothed(spark, sf_dir, all_lines)).drop("tokens")
 
 
-@query()
+@query(_grouped_sql(ALL))
 def q_grouped_all(spark, sf_dir):
     return _grouped(_smoothed(spark, sf_dir, all_lines))
 
 
+_BARE = "regexp_replace(lower({0}), '^[\"“”«»]+|[\"“”«»]+$', '', 'g')"
+KEPT = rf"""kt AS (SELECT line_id, regexp_extract_all(nfc_normalize({norm_sql("string_agg(text, ' ' ORDER BY span_no)")}), '[\pL\pN\pM''’ʼ]+|[^\s]') AS t FROM spans WHERE language = '{segment.TARGET}' GROUP BY line_id),
+kc AS (SELECT line_id, list_filter(t, lambda x, i: NOT regexp_matches(x, '[\pL\p{{Nl}}]') OR i = 1 OR {_BARE.format("t[i - 1]")} <> {_BARE.format("x")}) AS t FROM kt),
+kept AS MATERIALIZED (SELECT line_id, trim(list_reduce(t, lambda s, x: CASE WHEN x IN ('.', ',', '!', '?', ';', ':', ')', ']', '}}') OR right(s, 1) IN ('(', '[', '{{', '"') THEN s || x ELSE s || ' ' || x END)) AS text FROM kc WHERE len(t) > 0)"""
+
+
+@query(f"WITH {ALL}, {KEPT} SELECT line_id, text FROM kept WHERE text <> ''")
+def q_keep_lang(spark, sf_dir):
+    return segment.keep_language(all_lines(spark, sf_dir), lexicon(spark, sf_dir), CFG)
+
+
+@query(
+    f"""WITH {CTE}, {KEPT}, tk AS (SELECT line_id, string_agg(pos || '=' || token || '/' || label, '|' ORDER BY pos) AS tokens FROM smooth GROUP BY 1), sp AS (SELECT line_id, string_agg(language || ':' || text, '|' ORDER BY span_no) AS spans FROM spans GROUP BY 1)
+SELECT line_id, md5(tokens) AS tokens_md5, spans, text AS target_only FROM tk LEFT JOIN sp USING (line_id) LEFT JOIN (SELECT * FROM kept WHERE text <> '') USING (line_id)"""
+)
+def q_segment_report(spark, sf_dir):
+    r = segment.segment_report(lines(spark, sf_dir), lexicon(spark, sf_dir), CFG)
+    tokens = F.array_join(F.transform("tokens", lambda x: F.concat(x["pos"].cast("string"), F.lit("="), x["token"], F.lit("/"), x["label"])), "|")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat(x["language"], F.lit(":"), x["text"])), "|")
+    return r.select("line_id", F.md5(tokens.cast("binary")).alias("tokens_md5"), spans.alias("spans"), "target_only")
+
+
+@query(
+    f"""WITH {CTE.replace(f"lines AS MATERIALIZED ({LINES})", f"lines AS MATERIALIZED ({DOCUMENT_LINES})")}, {KEPT}, src AS (SELECT 'd:' || doc_id || ':' || (i - 1) AS line_id, source, doc_id * 16777216 + i AS unit_no, 'line ' || i AS reference, line
+FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) SELECT source AS source_path, reference, unit_no, text FROM src JOIN kept USING (line_id) WHERE text <> '' AND trim(line) <> ''"""
+)
+def q_filter_records(spark, sf_dir):
+    """Records with their target-language text only."""
+    r = records(spark, sf_dir).withColumn("reference", F.concat("reference", F.lit("@"), "unit_no"))
+    out = segment.filter_records(r, lexicon(spark, sf_dir), CFG)
+    return out.select("source_path", F.substring_index("reference", "@", 1).alias("reference"), "unit_no", "text")
+
+
 @query()
 def q_line_filter_v1(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
-    d = d.select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("line_id"), "text")
+    d = d.select(_name("d", "doc_id", "line_no"), "text")
     return segment.keep_words_v1(d, ["der", "und"], ["the", "of", "le"], "ßäöü")
 
 

@@ -99,6 +99,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return d.toDF(*[c.lstrip("﻿") for c in d.columns])
 
 
+def _numbered(d: DataFrame, *columns: Column) -> DataFrame:
+    """The columns of a multi-line CSV's rows with file and row_no (1-based in each file). Such a file is read by one task from
+    top to bottom, so a task's running number keeps the order of a file's rows; the numbers start anew in each file."""
+    rows = d.select(*columns, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    first = rows.groupBy("file").agg(F.min("at").alias("first"))
+    return rows.join(first, "file").withColumn("row_no", F.col("at") - F.col("first") + 1).drop("at", "first")
+
+
 def read_lexicon(spark: SparkSession, path: str, columns: list[str] = ("keyword", "audio_file")) -> DataFrame:
     """word: the first of the columns that exists and isn't blank, else the third column."""
     d = read_csv(spark, path)
@@ -110,10 +118,10 @@ def read_asset_map(spark: SparkSession, path: str, key: str = "word", value: str
     """word, asset_id from CSV or from text lines "key": "value"; blank ones are left out, the last duplicate wins; raises if nothing is left."""
     if text:
         pair = r'"((?:[^"\\]|\\.)*)"\s*:\s*"((?:[^"\\]|\\.)*)"'
-        d = _whole(spark, path, "*").select(F.posexplode(F.regexp_extract_all(_utf8(F.col("content")), F.lit(pair), F.lit(0))).alias("row_no", "m"))
-        d = d.select("row_no", T.unescape(F.regexp_extract("m", pair, 1)).alias("word"), T.unescape(F.regexp_extract("m", pair, 2)).alias("asset_id"))
+        d = _whole(spark, path, "*").select("path", F.posexplode(F.regexp_extract_all(_utf8(F.col("content")), F.lit(pair), F.lit(0))).alias("i", "m"))
+        d = d.select(F.struct("path", "i").alias("row_no"), T.unescape(F.regexp_extract("m", pair, 1)).alias("word"), T.unescape(F.regexp_extract("m", pair, 2)).alias("asset_id"))
     else:
-        d = read_csv(spark, path).select(F.col(key).alias("word"), F.col(value).alias("asset_id")).withColumn("row_no", F.monotonically_increasing_id())
+        d = _numbered(read_csv(spark, path), F.col(key).alias("word"), F.col(value).alias("asset_id")).withColumn("row_no", F.struct("file", "row_no"))
     d = d.select("row_no", F.trim(T.normalize_text(F.col("word"))).alias("word"), F.trim("asset_id").alias("asset_id")).where("word <> '' and asset_id <> ''")
     out = last_wins(d, "word", "row_no").select("word", "asset_id")
     if out.isEmpty():
@@ -154,9 +162,9 @@ def read_verbs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sheet(spark: SparkSession, path: str, key: str, value: str) -> tuple[DataFrame, DataFrame]:
     """(key, value) of complete rows of an exported sheet, the last duplicate winning, and the duplicate keys with their row numbers."""
-    d = read_csv(spark, path).select(F.trim(F.col(f"`{key}`")).alias("key"), F.trim(F.col(f"`{value}`")).alias("value")).withColumn("row_no", F.monotonically_increasing_id() + 2)
-    d = d.where("key <> '' and value <> ''")
-    return last_wins(d, "key", "row_no").select("key", "value"), duplicates(d, "key")
+    d = _numbered(read_csv(spark, path), F.trim(F.col(f"`{key}`")).alias("key"), F.trim(F.col(f"`{value}`")).alias("value")).where("key <> '' and value <> ''")
+    d = d.withColumn("row_no", F.col("row_no") + 1).withColumn("order", F.struct("file", "row_no"))  # the header is row 1
+    return last_wins(d, "key", "order").select("key", "value"), duplicates(d, "key")
 
 
 def load_model(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:

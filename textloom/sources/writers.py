@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.corpus import letters_only, source_rows
 from textloom.operators.lexical import lexical_summary, top_words
+from textloom.operators.shared import stored
 
 
 def save_model(model: DataFrame, path: str) -> None:
@@ -14,21 +15,29 @@ def save_model(model: DataFrame, path: str) -> None:
 
 
 def write_lines(df: DataFrame, path: str, column: str = "value", bom: bool = False) -> None:
-    """One value per line in several parts; with bom as one part that begins with a byte-order mark (small exports only)."""
-    lines = df.select(F.col(column).cast("string").alias("value"))
+    """One value per line in several parts; with bom the first line of the first part begins with a byte-order mark. For
+    that the rows are stored with their places, since the first partitions may be empty, and written in that order."""
+    lines = df.select(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value"))
     if bom:
-        first = df.sparkSession.createDataFrame([("﻿",)], "value string")
-        joined = first.unionByName(lines).coalesce(1).agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
-        lines = joined.select(F.regexp_replace("value", "^﻿\n", "﻿").alias("value"))
+        placed = stored(lines.withColumn("at", F.monotonically_increasing_id()))
+        first = placed.agg(F.min("at")).first()[0]
+        lines = placed.orderBy("at").select(F.when(F.col("at") == first, F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value")).alias("value"))
     lines.write.mode("overwrite").text(path)
 
 
 def write_clean_tree(records: DataFrame, path: str) -> None:
-    """text by source_type and source file, as the sources were laid out."""
+    """text by source_type and source file, as the sources were laid out, in one pass; sets of docx, txt and all are
+    read back by clean_set()."""
     out = records.withColumn("source_file", F.regexp_replace(F.element_at(F.split("source_path", "/"), -1), r"\.[^.]*$", ".clean"))
     out.select("text", "source_type", "source_file").write.mode("overwrite").partitionBy("source_type", "source_file").text(path)
 
 
+def clean_set(spark: SparkSession, path: str, name: str = "all") -> DataFrame:
+    """text, source_type and source_file of a tree that write_clean_tree() wrote: 'all' or one source type, whose folders alone are read."""
+    tree = spark.read.schema("value string, source_type string, source_file string").text(path).withColumnRenamed("value", "text")
+    return tree if name == "all" else tree.where(F.col("source_type") == name)
+
+
 def write_shortcuts(shortcuts: DataFrame, path: str) -> None:
     """!key for removals, else key, tab, value."""
     line = F.when(F.col("removed"), F.concat(F.lit("!"), "key")).otherwise(F.concat_ws("\t", "key", "value"))

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from textloom.functions import text as T
 from textloom.operators import ngram, predict, segment
+from textloom.operators.shared import stored
 
 
 def _batches(source: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -18,11 +19,13 @@ def _batches(source: DataFrame, checkpoint: str, each: Callable[[DataFrame, int]
 
 
 def stream_keep_language(spark: SparkSession, src: str, dst: str, checkpoint: str, lexicon: DataFrame, settings: segment.Settings = segment.Settings()) -> StreamingQuery:
-    """Lines of text files to their target-language text; each batch overwrites its own folder, so a retried batch isn't written twice."""
+    """Lines of text files to their target-language text, equal lines each on its own; each batch overwrites its own folder,
+    so a retried batch isn't written twice."""
     lines = spark.readStream.text(src)
 
     def each(df: DataFrame, batch: int) -> None:
-        rows = df.select(F.xxhash64("value").alias("line_id"), F.col("value").alias("text")).dropDuplicates(["line_id"])
+        # Stored, so that a row's number is the same wherever the filter reads it.
+        rows = stored(df.select(F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("text")))
         segment.keep_language(rows, lexicon, settings).select("text").write.mode("overwrite").text(f"{dst}/batch={batch}")
 
     return _batches(lines, checkpoint, each)
