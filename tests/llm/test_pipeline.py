@@ -1,3 +1,6 @@
+import random
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -24,6 +27,73 @@ def test_stages_keep_columns_and_their_decisions_take_effect(spark, sf_dir):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
 
 
+def small_corpus():
+    """Rows of doc_id, text, lang, source, n_chars: near copies of several degrees, benchmark passages, mails, and the rest."""
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choice("etaoinshrd") for _ in range(rng.randrange(3, 9)))
+    base = [[word() for _ in range(rng.randrange(40, 90))] for _ in range(25)]
+    bench = [(i, " ".join(word() for _ in range(30))) for i in range(4)] + [(9, "short")]
+    rows = []
+    for i in range(120):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(5)):
+            t[rng.randrange(len(t))] = word()
+        if i % 15 == 0:
+            t[5:5] = bench[i // 15 % 4][1].upper().split()
+        if i % 7 == 0:
+            t.append(f"{word()}@{word()}.org")
+        rows.append((i, " ".join(t), "en", f"s{i % 3}", 0))
+    return [*rows, (200, None, None, None, None), (201, "", "en", "s1", 0), (202, "short", "en", "s1", 5)], bench
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    rows, bench = small_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    texts = {r[0]: r[1] or "" for r in rows}
+
+    shingles = {}
+    for i, t in texts.items():
+        w = t.split()
+        shingles[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    low = {i: i for i in texts}
+    links = [(i, j) for i in texts for j in texts if i < j and shingles[i] and shingles[j] and 100 * len(shingles[i] & shingles[j]) >= 80 * len(shingles[i] | shingles[j])]
+    for _ in texts:
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    assert ids(stage["near_duplicates"](spark, docs, str(tmp_path))) == sorted(i for i in texts if low[i] == i) and len(links) > 20
+
+    held = {i for i, t in texts.items() for _, x in bench if len(x) >= 32 and f" {x} " in f" {t.lower()} "}
+    assert len(held) == 8 and ids(stage["decontamination"](spark, docs, str(tmp_path))) == sorted(set(texts) - held)
+
+    mails = {i: re.findall(r"\S+@\S+", t) for i, t in texts.items()}
+    for r in stage["pii"](spark, docs, str(tmp_path)).collect():
+        want = texts[r.doc_id]
+        assert r.n_chars == (None if r.text is None else len(r.text))
+        if mails[r.doc_id]:
+            assert mails[r.doc_id][0] not in r.text and len(r.text) == len(want) and r.text.split()[:-1] == want.split()[:-1]
+        else:
+            assert (r.text or "") == want
+
+    out = stage["mixing"](spark, docs, str(tmp_path)).collect()
+    size = {s: sum(len(texts[r[0]].split()) for r in rows if r[3] == s) for s in {r[3] for r in rows}}
+    level, capped = sum(size.values()), {}
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(sorted(size, key=lambda s: (s is None, s)))}
+    while True:  # water filling: sources over three times their size are fixed there, the rest is shared anew
+        free = [s for s in size if s not in capped]
+        share = {s: (level - sum(capped.values())) * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s: 3.0 * size[s] for s in free if share[s] > 3 * size[s]}
+        if not over:
+            break
+        capped |= over
+    for r in out:
+        assert r.size == len(texts[r.doc_id].split()) and r.target == pytest.approx({**capped, **share}[r.source])
+    for s in size:
+        assert abs(sum(r.taken for r in out if r.source == s) - {**capped, **share}[s]) <= 3 * 32
+
+
 def test_stages_on_edge_cases(spark, sf_dir, edge_docs, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, sf_dir).count() == 0
