@@ -23,6 +23,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """A generator of the one value, for select() and withColumn(): filters on the new column aren't moved below it, where
+    they would compute the value a second time."""
+    return F.explode(F.array(value))
+
+
 def unicode_form(c: Column, form: str) -> Column:
     """NFC, NFD or NFKD of a string column, by Arrow batches; batches of plain ASCII pass unread."""
 
@@ -37,8 +43,8 @@ def unicode_form(c: Column, form: str) -> Column:
 
 def repair_mojibake(c: Column) -> Column:
     """UTF-8 that was read as Latin-1 is read again; anything else is kept."""
-    fixed = F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string"))
-    return F.when(c.rlike(f"[{SUSPICIOUS}]"), F.when(c.rlike(r"^[\x00-\xFF]*$"), F.coalesce(fixed, c)).otherwise(c)).otherwise(c)
+    fixed = lambda x: F.coalesce(F.try_validate_utf8(F.encode(x, "ISO-8859-1").cast("string")), x)
+    return let(c, lambda x: F.when(x.rlike(f"[{SUSPICIOUS}]") & x.rlike(r"^[\x00-\xFF]*$"), fixed(x)).otherwise(x))
 
 
 def normalize_text(c: Column) -> Column:

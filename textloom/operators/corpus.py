@@ -34,7 +34,7 @@ def exclude_meta(records: DataFrame, phrases: list[str], cleaned: Column, text:
 
 def cleaned_records(records: DataFrame, rules: T.Rules = (), tone_rules: T.Rules = (), phrases: list[str] = ()) -> DataFrame:
     """records with their cleaned sentence; null and empty texts and those with a phrase give none."""
-    r = records.withColumn("sentence", T.clean_text(T.strip_note_markers(F.col("text")), rules, tone_rules))
+    r = records.withColumn("sentence", T.once(T.clean_text(T.strip_note_markers(F.col("text")), rules, tone_rules)))
     return exclude_meta(r, list(phrases), F.col("sentence")).where("sentence <> ''")
 
 
@@ -46,7 +46,7 @@ def distinct_sentences(records: DataFrame, rules: T.Rules = (), tone_rules: T.Ru
     """sentence, first_rank (where it was seen first) and tokens of the distinct cleaned sentences: one shuffle, combined
     before it. What counts words or n-grams needs no more."""
     s = cleaned_records(records, rules, tone_rules, phrases).groupBy("sentence").agg(F.min(_place()).alias("first_rank"))
-    return s.withColumn("tokens", T.split_words(F.col("sentence")))
+    return s.withColumn("tokens", T.once(T.split_words(F.col("sentence"))))
 
 
 def sentence_sources(records: DataFrame, rules: T.Rules = (), tone_rules: T.Rules = (), phrases: list[str] = ()) -> DataFrame:

@@ -35,6 +35,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes up to which a table of few files is dealt out to all cores: a small file is often one row group, which one task reads.
+SMALL_TABLE = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it was read, or dealt out evenly if it is small and has fewer files than there are cores."""
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if len(files) >= cores:
+        return df
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, files))
+    return df.repartition(cores) if size <= SMALL_TABLE else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table, marked for broadcast if it has at most so many rows. It is counted, so pass one that is stored. A larger
     one is joined by shuffle, where adaptive execution splits hot keys (spark.sql.adaptive.skewJoin)."""

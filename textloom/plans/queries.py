@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import corpus, expand, generate, lexical, lookup, ngram, predict, reshape, search
-from textloom.operators.shared import stored
+from textloom.operators.shared import spread, stored
 from textloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +36,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(d) if name in ("documents", "conversations") else d
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +56,12 @@ def sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct cleaned lines of the conversations, with tokens."""
     c = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    return c.select(T.clean_text(F.col("line")).alias("sentence")).where("sentence <> ''").distinct().withColumn("tokens", T.split_words(F.col("sentence")))
+    return c.select(T.once(T.clean_text(F.col("line"))).alias("sentence")).where("sentence <> ''").distinct().withColumn("tokens", T.split_words(F.col("sentence")))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two words of every benchmark item."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), T.clean_text(F.col("text")).alias("t"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), T.once(T.clean_text(F.col("text"))).alias("t"))
     b = b.withColumn("tokens", F.slice(T.split_words(F.col("t")), 1, 2))
     return b.select("request_id", "tokens", F.array_join("tokens", " ").alias("text"))
 
@@ -79,7 +80,8 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("lang", F.explode(T.split_words(T.clean_text(F.col("text")))).alias("word"))
+    d = table(spark, sf_dir, "documents").select("lang", T.once(T.clean_text(F.col("text"))).alias("text"))
+    return d.select("lang", F.explode(T.split_words(F.col("text"))).alias("word"))
 
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
