@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import expand, lexical, segment
-from textloom.plans.queries import CAL, KEYS, LEX, RECORDS, WS, _calendar, clean_sql, keys, query, sentences, table, words
+from textloom.plans.queries import CAL, KEYS, LEX, RECORDS, _calendar, clean_sql, edges_sql, keys, query, sentences, table, words
 
 #: Small invented parameter tables.
 LOW = {"a": "à", "e": "è", "i": "ì", "o": "ò", "u": "ù"}
@@ -46,12 +46,7 @@ def q_assume_low_tone(spark, sf_dir):
     return vocabulary(spark, sf_dir).select("word", low("first").alias("first_low"), low("all").alias("all_low"))
 
 
-EDGES = rf"""list_filter(flatten(list_transform(list_filter(regexp_split_to_array(text, '{WS}'), lambda x: x <> ''), lambda x:
-    CASE WHEN regexp_matches(x, '^[\pP\pS]+$') THEN string_split(x, '') ELSE list_concat(list_concat(string_split(regexp_extract(x, '^[\pP\pS]*'), ''),
-    [regexp_extract(x, '^[\pP\pS]*(.*?)[\pP\pS]*$', 1)]), string_split(regexp_extract(x, '[\pP\pS]*$'), '')) END)), lambda y: y <> '')"""
-
-
-@query(f"SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, chr(1))) AS tokens_md5 FROM (SELECT doc_id, {EDGES} AS t FROM documents)")
+@query(f"SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, chr(1))) AS tokens_md5 FROM (SELECT doc_id, {edges_sql('text')} AS t FROM documents)")
 def q_edge_tokens(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", T.tokenize_edges(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", "\x01").cast("binary")).alias("tokens_md5"))

@@ -95,6 +95,13 @@ def clean_sql(c: str) -> str:
     return f"trim(regexp_replace(translate(lower({norm_sql(c)}), '.,;:!?\"', ''), '{WS}', ' ', 'g'))"
 
 
+def edges_sql(c: str) -> str:
+    """White-space chunks with punctuation and symbols peeled off both ends."""
+    return rf"""list_filter(flatten(list_transform(list_filter(regexp_split_to_array({c}, '{WS}'), lambda x: x <> ''), lambda x:
+    CASE WHEN regexp_matches(x, '^[\pP\pS]+$') THEN string_split(x, '') ELSE list_concat(list_concat(string_split(regexp_extract(x, '^[\pP\pS]*'), ''),
+    [regexp_extract(x, '^[\pP\pS]*(.*?)[\pP\pS]*$', 1)]), string_split(regexp_extract(x, '[\pP\pS]*$'), '')) END)), lambda y: y <> '')"""
+
+
 def fold_sql(c: str, rules) -> str:
     for a, b in T.ordered(list(rules)):
         c = f"replace({c}, '{a}', '{b}')"
@@ -146,7 +153,7 @@ def q_clean_document(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.clean_document(F.col("text"), RULES, TONE_RULES).alias("cleaned"))
 
 
-@query()
+@query(f"SELECT doc_id, nfc_normalize({fold_sql(fold_sql(norm_sql('text'), RULES), TONE_RULES)}) AS cleaned FROM documents")
 def q_clean_document_all(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_document(F.col("text"), RULES, TONE_RULES).alias("cleaned"))
 
@@ -484,7 +491,17 @@ def q_expand_tokens(spark, sf_dir):
     return expand.expand_tokens(t, keys(spark, sf_dir))
 
 
-@query()
+def _part_sql(c: str) -> str:
+    by_length = sorted(PARTS, key=lambda r: (-len(r[0]), r[0]))
+    return f"CASE WHEN NOT regexp_matches({c}, '^[\\x00-\\x7f]*$') THEN {c} " + " ".join(f"WHEN contains({c}, '{a}') THEN replace({c}, '{a}', '{b}')" for a, b in by_length) + f" ELSE {c} END"
+
+
+@query(f"WITH RECURSIVE {RECORDS}, {LEX}, {KEYS}, kk AS MATERIALIZED (SELECT key, value FROM keys UNION ALL SELECT * FROM (VALUES {', '.join(map(str, PARTS))}) v(key, value)), "
+       "w AS MATERIALIZED (SELECT doc_id, i, t FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\s+|[^\\s]+')) AS t, generate_subscripts(regexp_extract_all(text, '\\s+|[^\\s]+'), 1) AS i FROM documents)), "
+       f"it(t, s, old, n) AS (SELECT DISTINCT t, t, NULL::VARCHAR, 0 FROM w UNION ALL SELECT t, {_part_sql('s')}, s, n + 1 FROM it WHERE n < 9), c AS MATERIALIZED (SELECT t, old, s = old AS stable FROM it WHERE n = 9), "
+       "x AS MATERIALIZED (SELECT c.t, coalesce(a.value, CASE WHEN regexp_matches(c.t, '^[\\x00-\\x7f]*$') THEN b.value END, old) AS new, a.key IS NOT NULL OR (b.key IS NOT NULL AND regexp_matches(c.t, '^[\\x00-\\x7f]*$')) OR stable AS stable "
+       "FROM c LEFT JOIN kk a ON a.key = c.t LEFT JOIN kk b ON b.key = lower(c.t)), g AS (SELECT doc_id, string_agg(new, '' ORDER BY i) AS text, bool_and(stable) AS stable FROM w JOIN x USING (t) GROUP BY 1) "
+       "SELECT d.doc_id AS text_id, coalesce(g.text, '') AS text, coalesce(stable, true) AS stable FROM documents d LEFT JOIN g USING (doc_id)")
 def q_expand_tokens_all(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
     return expand.expand_tokens(t, keys(spark, sf_dir).unionByName(spark.createDataFrame(PARTS, "key string, value string")))

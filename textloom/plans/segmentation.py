@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import lexical, segment
-from textloom.plans.queries import clean_sql, norm_sql, query, records, table, tokens_by_lang
+from textloom.plans.queries import clean_sql, edges_sql, norm_sql, query, records, table, tokens_by_lang
 
 CFG = segment.Settings(stop_en=["the", "of", "and"], stop_fr=["le", "la", "et", "de"], protected=["die"], verb_special=["est"], base_chars="ßäöü")
 
@@ -218,11 +218,44 @@ def q_filter_records(spark, sf_dir):
     return out.select("source_path", F.substring_index("reference", "@", 1).alias("reference"), "unit_no", "text")
 
 
-@query()
+LEX_V1, STOP_V1, CHARS_V1 = ["der", "und"], ["the", "of", "le"], "ßäöü"
+_CORE = "regexp_replace(lower({0}), '^[\"«»]+|[\"«»]+$', '', 'g')"
+_WORD = r"(NOT regexp_matches({0}, '[\pP\pS]') AND {0} <> '')"
+
+
+def _target_v1(c: str) -> str:
+    core = _CORE.format(c)
+    return f"({core} <> '' AND ({_in(core, LEX_V1)} OR regexp_matches({core}, '[{CHARS_V1}]')))"
+
+
+def _foreign_v1(c: str) -> str:
+    core = _CORE.format(c)
+    return rf"({core} <> '' AND NOT {_in(core, LEX_V1)} AND ({_in(core, STOP_V1)} OR regexp_matches({core}, '^[\x00-\x7f]{{1,2}}$')))"
+
+
+def _dominant_v1(c: str) -> str:
+    count = lambda test: f"len(list_filter(ts, lambda x: {_WORD.format('x')} AND {test('x')}))"
+    return f"(SELECT {count(_target_v1)} > 0 AND {count(_target_v1)} >= {count(_foreign_v1)} FROM (SELECT {edges_sql(c)} AS ts))"
+
+
+_SIDE = r"trim(regexp_extract(line, '(?s)^(.*?)\s:\s(.*)$', {0}))"
+
+
+@query(
+    rf"""WITH d AS MATERIALIZED (SELECT line_id, trim(text) AS line FROM ({DOCUMENT_LINES})), s AS (SELECT line_id, line, {_SIDE.format(1)} AS l, {_SIDE.format(2)} AS r FROM d),
+sided AS (SELECT *, {_dominant_v1('l')} AS lt, {_dominant_v1('r')} AS rt FROM s WHERE l <> '' AND r <> ''),
+decided AS MATERIALIZED (SELECT * FROM (SELECT line_id, CASE WHEN lt AND NOT rt THEN l WHEN rt AND NOT lt THEN r WHEN lt AND rt THEN line END AS text FROM sided) WHERE text IS NOT NULL),
+tok AS (SELECT line_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (SELECT line_id, {edges_sql('line')} AS t FROM d ANTI JOIN decided USING (line_id))),
+m AS (SELECT *, regexp_matches(token, '^[\pP\pS]+$') AS mark, {_WORD.format('token')} AND {_target_v1('token')} AS hit FROM tok),
+c AS (SELECT *, coalesce(last_value(CASE WHEN NOT mark THEN hit WHEN token = ':' THEN false END IGNORE NULLS) OVER (PARTITION BY line_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS chain,
+    coalesce(lead(hit) OVER (PARTITION BY line_id ORDER BY pos), false) AS nxt FROM m),
+k AS (SELECT line_id, trim(regexp_replace(string_agg(token, ' ' ORDER BY pos), '\s+([,.;:!?])', '\1', 'g')) AS text FROM c WHERE CASE WHEN NOT mark THEN hit WHEN token = ':' THEN chain AND nxt ELSE chain OR nxt END GROUP BY line_id)
+SELECT line_id, text FROM (SELECT * FROM decided UNION ALL SELECT * FROM k) WHERE text <> ''"""
+)
 def q_line_filter_v1(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     d = d.select(_name("d", "doc_id", "line_no"), "text")
-    return segment.keep_words_v1(d, ["der", "und"], ["the", "of", "le"], "ßäöü")
+    return segment.keep_words_v1(d, LEX_V1, STOP_V1, CHARS_V1)
 
 
 @query(rf"WITH w AS (SELECT unnest(list_concat([w], string_split(w, ' '))) AS x FROM (SELECT trim(lower({norm_sql('text')})) AS w FROM benchmark)) SELECT DISTINCT regexp_replace(x, '^[\"“”«»]+|[\"“”«»]+$', '', 'g') AS word FROM w WHERE regexp_replace(x, '^[\"“”«»]+|[\"“”«»]+$', '', 'g') <> ''")
