@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.llm.work import WORD, let, stored
+from textloom.llm.work import WORD, let, stored, table
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -114,7 +114,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("lang", "source")
+    return quality(table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
 def _sql_quartiles(keys: str) -> str:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.work import let
+from textloom.llm.work import let, table
 
 ROUNDS, KEY = 8, "replace this key in production"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -185,5 +185,5 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, counts
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    d = pseudonymise(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "text", *[f"n_{k}" for k in KINDS])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.work import broadcast_if_small, stored
+from textloom.llm.work import broadcast_if_small, stored, table
 
 BUCKETS, HOST_WEIGHT, DOMAIN_WEIGHT = 1 << 14, 5.0, 20.0
 #: Trigrams of a text repeat each other's evidence: all are read, but their mean log-likelihood counts as that of so many at most.
@@ -137,5 +137,5 @@ def _trust(counts: dict[tuple[int, int], int], k: int) -> list[list[float]]:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, pages = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/pages.parquet")
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     return identify(page_evidence(pages).unionByName(document_evidence(docs)), TextModel(docs))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm import warc
-from textloom.llm.work import broadcast_if_small, shared_dir
+from textloom.llm.work import broadcast_if_small, shared_dir, table
 
 
 def _use(spark: SparkSession) -> None:
@@ -64,7 +64,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    write_warc(table(spark, sf_dir, "pages"), path)
     responses = read_warc(spark, path).where("record_type = 'response'").drop("payload")
     revisits = read_warc(spark, path, payload=False).where("record_type = 'revisit'")
     return responses.unionByName(revisits).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.work import BASE, components, drop_stored, mixed, shingle_set, stored
+from textloom.llm.work import BASE, components, drop_stored, mixed, shingle_set, stored, table
 
 SLOTS = 192
 #: The bands are chosen so that a pair at the threshold is missed with at most this probability.
@@ -238,7 +238,7 @@ def _grouped(more: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 ORACLE_SQL = r"""

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.work import drop_stored, prefix_hash, spans_hash, stored
+from textloom.llm.work import drop_stored, prefix_hash, spans_hash, stored, table
 
 LENGTH, GRAM = 50, 16
 #: Runs that a task gathers before it sends them, and window bytes that are refined at once.
@@ -423,4 +423,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove_repeats(table(spark, sf_dir, "documents"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.work import MIX1, MIX2, stored
+from textloom.llm.work import MIX1, MIX2, stored, table
 
 Q, PIECE, STRIDE, EDIT_SHARE = 12, 80, 40, 0.05
 #: Normalised items below this length are matched whole and exactly, between spaces or the text's ends; decontaminate()
@@ -199,4 +199,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_item: int = MIN_ITE
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row_key")
+    return matches(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row_key")

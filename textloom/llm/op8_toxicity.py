@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.work import stored
+from textloom.llm.work import stored, table
 
 #: Texts a mined term needs, and the share of them that must be toxic.
 SUPPORT, PRECISION = 3, 0.6
@@ -258,5 +258,5 @@ def is_held_out(doc_id):
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity(docs, labels, held_out=is_held_out).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

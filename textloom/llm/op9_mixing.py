@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.llm.work import WORD, stored
+from textloom.llm.work import WORD, stored, table
 
 #: The fractional part of the golden ratio in units of 2^-48, rounded to an odd number.
 GOLDEN, UNIT = 173961102589771, 1 << 48
@@ -124,7 +124,7 @@ def slot_counts(spark: SparkSession, targets: DataFrame, n_slots: int, max_repea
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE_SQL = rf"""

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators.shared import spread
+
 #: The contracts' whitespace (space, tab to carriage return); a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,6 +48,11 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables; a small one in few files is dealt out to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 #: Rows up to which a table that was counted is broadcast.
 BROADCAST_ROWS = 100_000
 
