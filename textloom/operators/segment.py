@@ -39,7 +39,7 @@ class Settings:
 #: the least score for a verb ending to count, and from which an undecided word is in both languages.
 FAMILY, VERB_SCORE, BOTH_SCORE = ("", "e", "er", "ir", "on", "onne"), 1.2, 5.4
 LEMMAS = [
-    (["irent"], 5, ["ir"]), (["erent"], 5, ["er"]), (["aient"], 5, ["er", "ir", "re", "oir"]), (["ions"], 4, ["er", "ir", "re", "oir"]), (["iez"], 4, ["er", "ir", "re", "oir"]),
+    (["irent"], 5, ["ir"]), (["erent"], 5, ["er"]), (["aient"], 5, ["er", "ir", "re", "oir"]), (["ions", "iez"], 4, ["er", "ir", "re", "oir"]),
     (["erai", "eras", "erez"], 4, ["er"]), (["irai", "iras", "irez"], 4, ["ir"]), (["ait", "ais", "ant", "ent", "ons", "ez"], 3, ["er", "ir", "re", "oir"]),
     (["it", "is"], 2, ["er", "ir", "re", "oir"]), (["a"], 1, ["er"]),
 ]
