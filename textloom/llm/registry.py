@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from textloom.llm import op1_pii, op2_language, op3_warc, op4_minhash, op5_suffix, op6_secrets, op7_decontaminate, op8_toxicity, op9_mixing, op10_quality
+from textloom.llm import op1_pii, op2_language, op3_warc, op4_minhash, op5_suffix, op6_secrets, op7_decontaminate, op8_toxicity, op9_mixing, op10_quality, op11_tokens, op12_manifest, op13_spelling
 
-MODULES = {m.__name__.rpartition(".")[2]: m for m in (op1_pii, op2_language, op3_warc, op4_minhash, op5_suffix, op6_secrets, op7_decontaminate, op8_toxicity, op9_mixing, op10_quality)}
+OPERATORS = (op1_pii, op2_language, op3_warc, op4_minhash, op5_suffix, op6_secrets, op7_decontaminate, op8_toxicity, op9_mixing, op10_quality, op11_tokens, op12_manifest, op13_spelling)
+MODULES = {m.__name__.rpartition(".")[2]: m for m in OPERATORS}
 
 
 def queries() -> dict:

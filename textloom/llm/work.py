@@ -64,6 +64,20 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: crc32 of half a byte, the polynomial reversed.
+CRC32_HALVES = [
+    0, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C,
+    0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C,
+]
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a string's UTF-8 bytes in DuckDB's SQL, which has no function for it: half bytes, lower first."""
+    half = f"strpos('0123456789ABCDEF', hex({text})[i + 2 - 2 * (i % 2)]) - 1"
+    step = f"xor(c >> 4, {CRC32_HALVES}[(xor(c, x) & 15) + 1])"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(range(strlen(hex({text}))), lambda i: ({half})::BIGINT), lambda c, x: {step}), 4294967295)"
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, even where body's lambdas read it often."""
     return F.transform(F.array(value), body)[0]
