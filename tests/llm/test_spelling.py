@@ -53,7 +53,7 @@ def test_few_letters(spark, letters, size):
     words = ["".join(rng.choice(letters) for _ in range(rng.randint(size - 1, size + 1))) for _ in range(150)]
     rows = [(i, " ".join(rng.choices(words, [2.0 ** -(j % 7) for j in range(150)], k=60))) for i in range(60)]
     want = agrees(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sum(w[1] is not None for w in want) > 10
+    assert sum(w[1] is not None for w in want) > 2
 
 
 def test_roots_follow_chains(spark):
