@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from textloom.llm.work import let, table
 
 ROUNDS, KEY = 8, "replace this key in production"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_LOCAL = "A-Za-z0-9._%+-"
+#: An address begins where its run of characters does, or where the match before has ended inside that run, so that no run is
+#: read from each of its places. A domain has 127 labels at most.
+EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{0,126}}\.[A-Za-z]{{2,}}"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\d-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
@@ -26,7 +29,7 @@ PATTERN = "|".join((EMAIL, IP, DATE, SSN, PHONE, RUN))
 #: Card formats inside a run: numbers of groups, and the digits of these.
 SHAPES = {1: r"\d{13,19}", 3: r"\d{4}[ -]\d{6}[ -]\d{4,5}", 4: r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,4}", 5: r"(?:\d{4}[ -]){4}\d{1,3}"}
 #: A run again, its cards between marks; what is left is searched for the other kinds and for cards in other groups.
-OPEN, CLOSE = "\x01", "\x02"
+OPEN, CLOSE, NEXT = "\x01", "\x02", "\x03"
 INSIDE = "|".join((f"{OPEN}[^{CLOSE}]*{CLOSE}", DATE, SSN, PHONE, CARD))
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 #: The first day of the permuted dates and the two moduli whose product is the number of days.
@@ -102,32 +105,27 @@ def kind_of(m: Column) -> Column:
 
 
 def marked(run: Column) -> Column:
-    """The run with each valid card of a known format between marks; from the left, at one place the format first that has four groups of four."""
+    """The run with each valid card of a known format between marks; from the left, at one place the format first that has four groups of four.
+
+    Each group is written down with the number of groups that are a card from it on; one replacement then takes as many
+    groups at each place, so a run of any length is read once."""
     groups = F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0))
 
     def chosen(g: Column, i: Column) -> Column:
         """How many groups from this one on are a card, 0 if none."""
-        out = F.lit(0)
+        out = F.lit("0")
         for n in (5, 3, 1, 4):  # the last one is tried first
-            text = F.array_join(F.slice(g, i + 1, F.lit(n)), "")
-            valid = (F.size(g) >= i + n) & text.rlike(f"^[ -]?{SHAPES[n]}$") & F.length(digits_of(text)).between(13, 19) & (luhn_sum(digits_of(text), 1) % 10 == 0)
-            out = F.when(valid, n).otherwise(out)
+            text = F.concat(*[F.get(g, i + k) for k in range(n)])
+            valid = text.rlike(f"^[ -]?{SHAPES[n]}$") & F.length(digits_of(text)).between(13, 19) & (luhn_sum(digits_of(text), 1) % 10 == 0)
+            out = F.when(F.coalesce(valid, F.lit(False)), str(n)).otherwise(out)
         return out
 
-    def step(s: Column, i: Column, g: Column) -> Column:
-        n = F.when(i >= s["next"], chosen(g, i)).otherwise(0)
-        sep = F.regexp_extract(g[i], "^[ -]?", 0)
-        put = lambda n: F.struct(
-            F.when(n > 0, i + n).otherwise(s["next"]).alias("next"),
-            F.array_append(s["out"], F.when(n > 0, F.concat(sep, F.lit(OPEN), F.regexp_replace(F.array_join(F.slice(g, i + 1, n), ""), "^[ -]", ""), F.lit(CLOSE))).when(i >= s["next"], g[i]).otherwise("")).alias("out"),
-        )
-        return let(n, put)
-
-    def walk(g: Column) -> Column:
-        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, lambda s, i: step(s, i, g), lambda s: F.array_join(s["out"], ""))
-
-    return let(groups, walk)
+    each = let(groups, lambda g: F.transform(g, lambda x, i: F.concat(F.lit(NEXT), chosen(g, i), x)))
+    group = f"([^{NEXT}]*+)"
+    cards = [f"{NEXT}{n}{group}" + f"{NEXT}.{group}" * (n - 1) for n in SHAPES]
+    put = OPEN + "".join(f"${i}" for i in range(1, 1 + sum(SHAPES))) + CLOSE + f"${1 + sum(SHAPES)}"
+    text = F.regexp_replace(F.array_join(each, ""), "|".join([*cards, f"{NEXT}0{group}"]), put)
+    return F.regexp_replace(F.replace(text, F.lit(OPEN + CLOSE), F.lit("")), f"{OPEN}([ -])", f"$1{OPEN}")
 
 
 def pieces(m: Column) -> Column:
