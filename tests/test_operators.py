@@ -225,3 +225,66 @@ def test_reshape(spark):
     assert sorted(r.name for r in reshape.take_quota(items, [("a", 2), ("ab", 1), ("b", 1)]).collect()) == ["a", "ab", "b"]
     n = corpus.number_rows(items, "name").orderBy("row_id").collect()
     assert [(r.name, r.row_id) for r in n] == [("a", 1), ("ab", 2), ("ac", 3), ("b", 4)]
+
+
+def test_patterns_claim_their_places_in_turn(spark):
+    def plain(text, patterns):
+        taken, out = set(), []
+        for p in sorted(set(patterns) - {""}, key=lambda p: (-len(p), p)):
+            for i in range(len(text) - len(p) + 1):
+                at = set(range(i, i + len(p)))
+                if text[i : i + len(p)] == p and not at & taken:
+                    taken |= at
+                    out.append((i, i + len(p), p))
+        return sorted(out)
+
+    rng = random.Random(5)
+    texts = ["ab cde", "", None, "aaaaa", "é😀ab", *["".join(rng.choice("ab é") for _ in range(rng.randint(0, 60))) for _ in range(80)]]
+    for patterns in (["b cde", "ab"], ["aa", "ab", "ba", "aab", "é ", ""], [], ["".join(rng.choice("ab é") for _ in range(rng.randint(1, 5))) for _ in range(200)]):
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("text", reshape.claimed_spans(F.col("text"), patterns).alias("s"))
+        for r in df.collect():
+            assert (r.s is None) if r.text is None else [(x.start, x.end, x.found) for x in r.s] == plain(r.text, patterns)
+    assert reshape.with_stripped(["mɑ̀", "ab"]) == ["mɑ̀", "ab", "mɑ"]
+
+
+def test_thousands_of_patterns(spark):
+    patterns = [f"k{i}x" for i in range(5000)]
+    text = " ".join(f"k{i % 7000}x" for i in range(100_000))
+    got = spark.createDataFrame([(text,)], "text string").select(F.size(reshape.claimed_spans(F.col("text"), patterns))).first()[0]
+    assert got == sum(i % 7000 < 5000 for i in range(100_000))
+
+
+def test_quotas_equal_taking_in_turn(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 5))) for _ in range(300)]
+    items = spark.createDataFrame(list(enumerate(names)), "item_id long, name string")
+    for quotas in ([("".join(rng.choice("ab") for _ in range(rng.randint(0, 4))), rng.randint(0, 12)) for _ in range(40)], [("zz", 3)], [("a", 0), ("", 500)]):
+        left, want = list(enumerate(names)), []
+        for q, (p, n) in enumerate(quotas):
+            took = [x for x in left if x[1].startswith(p)][:n]
+            left = [x for x in left if x not in took]
+            want += [(q, r + 1, i) for r, (i, _) in enumerate(took)]
+        assert sorted((r.quota, r["rank"], r.item_id) for r in reshape.take_quota(items, quotas).collect()) == sorted(want)
+
+
+def test_a_thousand_quotas_take_few_jobs(spark):
+    items = spark.range(20_000).selectExpr("id as item_id", "lpad(cast(id % 1000 as string), 3, '0') as name")
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quotas", "quotas")
+    got = reshape.take_quota(items, [(f"{i:03d}", 2) for i in range(1000)]).count()
+    assert got == 2000 and len(status.getJobIdsForGroup("quotas")) < 60
+
+
+def test_missing_keys_by_bits(spark):
+    rng = random.Random(2)
+    for n in (0, 1, 63, 64, 65, 200):
+        required = [f"k{i}" for i in range(n)]
+        rows = [(rng.choice(["a", "b", None]), rng.choice([*required, "other", None])) for _ in range(150)] + [("none", "other")]
+        have = {}
+        for e, k in rows:
+            have.setdefault(e, set()).add(k)
+        want = {(e, k) for e, ks in have.items() for k in required if k not in ks}
+        req = spark.createDataFrame([(k,) for k in [*required, *required[:3], None]], "k string")
+        out = reshape.missing_keys(spark.createDataFrame(rows, "e string, k string"), req, "e", "k")
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+        assert "CartesianProduct" not in out._jdf.queryExecution().toString() and "NestedLoop" not in out._jdf.queryExecution().toString()

@@ -82,5 +82,5 @@ def test_expansion(spark, on):
 
 
 def test_spans(on):
-    got = on(lambda c: reshape.pattern_spans(c, ["ab", "abc", "b"]), "abc xab b ab", "")
+    got = on(lambda c: reshape.marker_spans(c, ["ab", "abc", "b"]), "abc xab b ab", "")
     assert [(s.start, s.end, s.found) for s in got[0]] == [(0, 3, "abc"), (8, 9, "b"), (10, 12, "ab")] and got[1] == []

@@ -20,7 +20,7 @@ SQL: dict[str, str] = {}
 RULES = [("tion", "syon"), ("the", "ðe"), ("th", "þ"), ("syon", "ʃon"), ("qu", "kw"), ("ß", "ss")]
 TONE_RULES = [("é", "e"), ("è", "e"), ("ê", "e")]
 META = ["license", "all rights", "that the"]
-PATTERNS = ["of the", "the", "of", "and to", "an"]
+PATTERNS = ["of the", "e of", "the", "of", "and to", "n the", "an", "d t"]
 PARTS = [("e1", "ê"), ("1", "one"), ("20", "xx"), ("#2", "h-")]
 PHRASES = [("of the", "o'the"), ("to be", "2b"), ("o'the and", "o&")]
 
@@ -595,12 +595,24 @@ def q_missing_keys(spark, sf_dir):
     return reshape.missing_keys(x, x.select("mode").distinct(), "l_orderkey", "mode")
 
 
-@query(rf"""SELECT doc_id, len(f)::INT AS n_spans, coalesce(array_to_string(f, '|'), '') AS found FROM (SELECT doc_id, regexp_extract_all(text, '({"|".join(sorted(PATTERNS, key=lambda p: (-len(p), p)))})') AS f FROM documents)""")
+def _claims_sql() -> str:
+    """Spans by claim order: of each pattern, longest first, those places that no span taken before it overlaps. None of
+    PATTERNS overlaps itself, so splitting a text by one finds all of its places."""
+    out, taken = [], []
+    for i, p in enumerate(sorted(set(PATTERNS), key=lambda p: (-len(p), p))):
+        at = f"list_sum(list_transform(x[:j], lambda y: length(y))) + {len(p)} * (j - 1)"
+        free = " AND ".join(f"NOT EXISTS (SELECT 1 FROM s{k} t WHERE t.doc_id = o.doc_id AND t.start < o.start + {len(p)} AND t.stop > o.start)" for k in range(i)) or "true"
+        out.append(f"o{i} AS (SELECT doc_id, ({at})::INT AS start FROM (SELECT doc_id, x, unnest(range(1, len(x))) AS j FROM (SELECT doc_id, string_split(text, '{p}') AS x FROM documents)))")
+        out.append(f"s{i} AS MATERIALIZED (SELECT doc_id, start, start + {len(p)} AS stop, '{p}' AS found FROM o{i} o WHERE {free})")
+        taken.append(f"SELECT * FROM s{i}")
+    return f"WITH {', '.join(out)}, spans AS ({' UNION ALL '.join(taken)})"
+
+
+@query(f"{_claims_sql()} SELECT d.doc_id, count(s.start)::INT AS n_spans, coalesce(string_agg(s.start || ':' || found, '|' ORDER BY s.start), '') AS found FROM documents d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id")
 def q_spans_patterns(spark, sf_dir):
-    s = reshape.pattern_spans(F.col("text"), PATTERNS, bounded=False)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", s.alias("s"))
-    sliced = F.transform("s", lambda x: F.substr(F.col("text"), x["start"] + 1, x["end"] - x["start"]))
-    return d.select("doc_id", F.size("s").alias("n_spans"), F.array_join(sliced, "|").alias("found"))
+    d = table(spark, sf_dir, "documents").select("doc_id", reshape.claimed_spans(F.col("text"), PATTERNS).alias("s"))
+    each = F.transform("s", lambda x: F.concat(x["start"].cast("string"), F.lit(":"), x["found"]))
+    return d.select("doc_id", F.size("s").alias("n_spans"), F.array_join(each, "|").alias("found"))
 
 
 @query("SELECT event_id, user_id, ts FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL OR nxt >= ts + INTERVAL 10 MINUTE")
