@@ -1,8 +1,10 @@
+import random
 import zipfile
 
 from pyspark.sql import functions as F
 
 from textloom.operators import ngram, segment
+from textloom.sources import docx as docx_source
 from textloom.sources import readers, writers
 from textloom.streaming import streams
 
@@ -27,6 +29,45 @@ def test_readers(spark, tmp_path):
     assert readers.read_corpus(spark, []).count() == 0
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    """Ranges of 300 bytes over files of any line end: numbers as in the whole file, blank lines counted."""
+    rng = random.Random(4)
+    want = set()
+    for k, end in enumerate(["\n", "\r\n", "\r", "\n"]):
+        lines = [rng.choice(["", " ", "é" * rng.randint(1, 400), f"line {i}", "x" * rng.randint(1, 90)]) for i in range(200)]
+        (tmp_path / f"{k}.txt").write_bytes((("\ufeff" if k == 1 else "") + end.join(lines) + (end if k == 3 else "")).encode())
+        want |= {(f"{k}.txt", f"line {i + 1}", t) for i, t in enumerate(lines) if t.strip()}
+    (tmp_path / "empty.txt").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        rows = readers.read_lines(spark, str(tmp_path))
+        assert {(r.source_path.rpartition("/")[2], r.reference, r.text) for r in rows.collect()} == want
+        assert readers.numbered_lines(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_word_documents(spark, tmp_path):
+    rows = [("a b/c", "one\n\n two <&> \x01three\t\nend"), ("empty", ""), ("none", None), ("long", "\n".join(f"p {i}" for i in range(25_000)))]
+    out = f"{tmp_path}/out"
+    docx_source.write_documents(spark.createDataFrame(rows, "name string, text string"), out)
+    got = readers.read_docx(spark, out).collect()
+    assert {(docx_source.document_name(r.source_path), r.reference, r.text) for r in got if "long" not in r.source_path} == {("a b/c", "paragraph 1", "one"), ("a b/c", "paragraph 3", "two <&> three"), ("a b/c", "paragraph 4", "end")}
+    assert len(got) == 25_003 and {r.unit_no for r in got if "long" in r.source_path} == set(range(1, 25_001))
+    assert not [f for f in (tmp_path / "out").iterdir() if f.name.startswith("_")]
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    nested = f'<w:document xmlns:w="{w}"><w:body><w:p><w:t>a</w:t><w:txbx><w:p><w:t>b</w:t></w:p></w:txbx><w:t>c</w:t></w:p><w:p/><w:p><w:t>d</w:t></w:p></w:body></w:document>'
+    for name, xml in (("nested", nested), ("cut", nested[:-30])):
+        with zipfile.ZipFile(tmp_path / f"{name}.docx", "w") as z:
+            z.writestr("word/document.xml", xml)
+    (tmp_path / "short.docx").write_bytes((tmp_path / "nested.docx").read_bytes()[:60])
+    whole = readers._records(readers._whole(spark, str(tmp_path), "*.docx").mapInArrow(readers._from_bytes, docx_source.SCHEMA), "paragraph ", "docx", 0)
+    for rows in (readers.read_docx(spark, str(tmp_path)), whole):
+        assert {(r.reference, r.text) for r in rows.where("source_path like '%nested%'").collect()} == {("paragraph 1", "abc"), ("paragraph 2", "b"), ("paragraph 4", "d")}
+        assert rows.where("source_path like '%cut%' or source_path like '%short%'").isEmpty() and rows.count() == 25_006
+    assert docx_source.DocxReader({"path": out}).partitions()[0].names and readers.read_docx(spark, f"{tmp_path}/missing").isEmpty()
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "m.csv").write_text("﻿word,asset_id\na,1\na,2\n,3\nb,4\n")
     assert {(r.word, r.asset_id) for r in readers.read_asset_map(spark, f"{tmp_path}/m.csv").collect()} == {("a", "2"), ("b", "4")}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.operators import corpus, lexical, lookup, ngram
 from textloom.operators.shared import new_path
 from textloom.plans.queries import ASSETS, KEYS, LAYERS, LEX, LOW, PAD, RECORDS, TALK, _assets, _layers, grams_sql, keys, query, records, table, talk, words
-from textloom.sources import readers, writers
+from textloom.sources import docx, readers, writers
 
 #: Lines of a file as the readers split them, blank ones left out.
 DOC_LINES = r"lines AS MATERIALIZED (SELECT source, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS text FROM documents)"
@@ -49,6 +49,22 @@ def q_read_srt(spark, sf_dir):
     return readers.read_srt(spark, path, glob="*.txt").groupBy("text").agg(F.count("*").alias("cnt"))
 
 
+WHITE = BLANK.split("^")[1].split("*$")[0]
+
+
+@query(
+    f"""SELECT doc_id, 'paragraph ' || n AS reference, text FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n,
+regexp_replace(regexp_replace(unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))), '^{WHITE}+', ''), '{WHITE}+$', '') AS text FROM documents) WHERE text <> ''"""
+)
+def q_read_docx(spark, sf_dir):
+    """Every document as a Word file with a paragraph for each line, read back as records."""
+    path = new_path(spark, "files")
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    docx.write_documents(d.select(F.col("doc_id").cast("string").alias("name"), "text"), path)
+    r = readers.read_docx(spark, path)
+    return r.select(F.regexp_extract("source_path", r"([^/]*)\.docx$", 1).cast("long").alias("doc_id"), "reference", "text")
+
+
 @query(f"WITH {RECORDS}, {LEX} SELECT DISTINCT word FROM wc WHERE length(word) % 5 <> 0")
 def q_read_lexicon(spark, sf_dir):
     """A CSV whose keyword is blank for some words and another column stands in for it."""

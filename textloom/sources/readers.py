@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators.lookup import duplicates, last_wins, split_kinds
+from textloom.operators.shared import broadcast_if_small, stored
+from textloom.sources import docx
 
 RECORD = ["text", "source_path", "source_type", "reference", "source_rank", "unit_no"]
 
@@ -28,11 +30,51 @@ def _utf8(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each line's place in its range; a task reads a range's lines one after the other. Lines pass through unread."""
+    now, n = None, 0
+    for batch in batches:
+        paths, starts = batch.column(0), batch.column(1)
+        size = batch.num_rows
+        if not size:
+            continue
+        new = pc.or_(pc.not_equal(paths.slice(1), paths.slice(0, size - 1)), pc.not_equal(starts.slice(1), starts.slice(0, size - 1)))
+        cuts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), size]
+        places = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if (key := (paths[a].as_py(), starts[a].as_py())) != now:
+                now, n = key, 0
+            places.append(np.arange(n, n + b - a))
+            n += b - a
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(places), pa.int64())], ["path", "start", "text", "place"])
+
+
+def numbered_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path, no (1-based) and text of all lines of files below path, blank ones too.
+
+    Files are split into ranges of bytes. Each range's lines are counted and placed on their own, the counts of the
+    ranges before are added up for each file, a row a range, and added to the places: no task reads a whole file, and
+    nothing but the counts is shuffled while these are few."""
+    f = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    f = f.where(~F.element_at(F.split("_metadata.file_path", "/"), -1).startswith("~$"))
+    ranges = f.groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("s")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("p").orderBy("s").rowsBetween(W.unboundedPreceding, -1))
+    ranges = stored(ranges.withColumn("before", F.coalesce(before, F.lit(0))).drop("n"))
+    lines = f.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text"))
+    lines = lines.mapInArrow(_placed, "path string, start long, text string, place long")
+    j = lines.join(broadcast_if_small(ranges), (F.col("path") == F.col("p")) & (F.col("start") == F.col("s")))
+    return j.select("path", (F.col("before") + F.col("place") + 1).alias("no"), "text")
+
+
 def read_lines(spark: SparkSession, path: str, source_type: str = "txt", source_rank: int = 0, bom: bool = True, glob: str = "*.txt") -> DataFrame:
-    """Non-blank lines; blank ones count in 'line N'. With bom a leading byte-order mark is dropped."""
-    text = _utf8(F.col("content"))
-    text = F.regexp_replace(text, "^﻿", "") if bom else text
-    rows = _whole(spark, path, glob).select("path", F.posexplode(F.split(text, "\r\n|\r|\n", -1)).alias("i", "text"))
+    """Non-blank lines; blank ones count in 'line N', bad bytes are dropped. Files of any size are read in ranges by many
+    tasks. A leading byte-order mark is dropped; without bom it stays, and since Spark's line reader always drops it,
+    such files, of up to 2 GB, are read whole."""
+    if bom:
+        rows = numbered_lines(spark, path, glob).withColumn("text", _utf8(F.col("text")))
+        rows = rows.withColumn("text", F.when(F.col("no") == 1, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text"))).withColumn("i", F.col("no") - 1)
+    else:
+        rows = _whole(spark, path, glob).select("path", F.posexplode(F.split(_utf8(F.col("content")), "\r\n|\r|\n", -1)).alias("i", "text"))
     return _records(rows.where(T.collapse_spaces(F.col("text")) != ""), "line ", source_type, source_rank)
 
 
@@ -54,27 +96,18 @@ def read_srt(spark: SparkSession, path: str, source_rank: int = 0, glob: str = "
     return _records(_whole(spark, path, glob).select("path", F.posexplode(kept).alias("i", "text")), "subtitle ", "srt", source_rank)
 
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-
-
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _from_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            try:
-                root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                continue
-            for i, p in enumerate(root.iter(f"{_W}p")):
-                text = "".join(t.text or "" for t in p.iter(f"{_W}t")).strip()
-                if text:
-                    rows.append((path, i, text))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["path", "i", "text"])
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield from docx.whole_rows(path, pa.BufferReader(content.as_buffer()))
 
 
 def read_docx(spark: SparkSession, path: str, source_rank: int = 0, glob: str = "*.docx") -> DataFrame:
-    """Paragraphs with text, numbered over all paragraphs; files that can't be opened give no rows."""
-    return _records(_whole(spark, path, glob).mapInArrow(_paragraphs, "path string, i int, text string"), "paragraph ", "docx", source_rank)
+    """Paragraphs with text, numbered over all paragraphs; files that can't be opened give no rows. Files are opened by
+    the tasks that read them; in a store that only Spark can open they come as whole values."""
+    if docx.can_open(path):
+        return _records(docx.read_paragraphs(spark, path, glob), "paragraph ", "docx", source_rank)
+    return _records(_whole(spark, path, glob).mapInArrow(_from_bytes, docx.SCHEMA), "paragraph ", "docx", source_rank)
 
 
 def read_directory(spark: SparkSession, path: str, source_rank: int = 0) -> DataFrame:
@@ -101,8 +134,9 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def _numbered(d: DataFrame, *columns: Column) -> DataFrame:
     """The columns of a multi-line CSV's rows with file and row_no (1-based in each file). Such a file is read by one task from
-    top to bottom, so a task's running number keeps the order of a file's rows; the numbers start anew in each file."""
-    rows = d.select(*columns, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    top to bottom, so a task's running number keeps the order of a file's rows; the numbers start anew in each file. The
+    rows are stored with their running numbers, so these are drawn once."""
+    rows = stored(d.select(*columns, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")))
     first = rows.groupBy("file").agg(F.min("at").alias("first"))
     return rows.join(first, "file").withColumn("row_no", F.col("at") - F.col("first") + 1).drop("at", "first")
 
