@@ -5,8 +5,9 @@ are dealt to all tasks and pre-tokenised, each from its own start, so the first
 whole text. But where a pre-token begins, only what follows decides where it ends: once two neighbours share a boundary in
 their overlap, they agree from there on, and the seam is put at the first one they share. Only boundaries after a visible
 character count, since the pattern looks past the end of white space, and those near the end of a chunk don't, since more
-text might move them. Neighbours that share none (a run of letters longer than the overlap) are joined and
-pre-tokenised as one. A text of one chunk has no seams and is encoded where it is, without a shuffle."""
+text might move them. Between two seams a chunk's ids hold. Neighbours that share no boundary (a run of letters longer than
+the overlap) are decoded, joined and encoded as one. A text of one chunk has no seams and is encoded where it is, without
+a shuffle; of longer ones the chunks are shuffled once as text and once, to meet again, as ids."""
 
 from __future__ import annotations
 
@@ -15,15 +16,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from textloom.llm.work import stored, table
+from textloom.llm.work import table
 
 #: Characters between the starts of a text's chunks, and how far a chunk reaches into the next one.
 STEP, OVERLAP = 16_384, 512
@@ -41,6 +42,7 @@ class Coder:
         self.merges = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=rank_of, special_tokens={})
         self.find = regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in rank_of.items()}
+        self.narrow = max(self.bytes_of) < 1 << 16
         self.known: dict[str, bytes] = {}
 
     def pieces(self, words: list[str]) -> list[bytes]:
@@ -60,20 +62,45 @@ class Coder:
     def encoded(self, text: str | None) -> bytes:
         return b"".join(self.pieces(self.find(text))) if text else b""
 
+    def packed(self, ids: bytes) -> bytes:
+        """Half as many bytes, where ids of two are enough."""
+        return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.narrow else ids
+
+    def unpacked(self, ids: bytes) -> bytes:
+        return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if self.narrow else ids
+
     def decoded(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))) if ids else b""
 
     def seams(self, text: str, at: int, last: bool, step: int, overlap: int) -> tuple[bytes, list[dict], list[dict]]:
-        """The chunk's ids and, as place in the whole text and offset in the ids, its boundaries in the overlap with the
-        chunk before and in that with the one after. at: where the chunk starts."""
+        """The ids of the whole chunk and, as place in the whole text and offset in the ids, its boundaries in the overlap
+        with the chunk before and in that with the one after. at: where the chunk starts."""
         words = self.find(text)
-        ends = list(accumulate(map(len, words)))
-        while not last and ends and ends[-1] > len(text) - AHEAD:
-            ends.pop(), words.pop()
         ids = self.pieces(words)
-        places = list(zip([0, *ends], [0, *accumulate(map(len, ids))], strict=True))
-        here = [{"at": at + p, "off": o} for p, o in places if (p <= overlap or p >= step) and (not p or not text[p - 1].isspace())]
-        return b"".join(ids), [x for x in here if x["at"] - at <= overlap], [x for x in here if x["at"] - at >= step]
+        places = zip(accumulate(map(len, words), initial=0), accumulate(map(len, ids), initial=0), strict=True)
+        known = [(p, o) for p, o in places if (p <= overlap or p >= step) and (last or p <= len(text) - AHEAD) and (not p or not text[p - 1].isspace())]
+        of = lambda ps: [{"at": at + p, "off": o} for p, o in ps]
+        return b"".join(ids), of(x for x in known if x[0] <= overlap), of(x for x in known if x[0] >= step)
+
+    def stitched(self, parts: list[dict]) -> bytes:
+        """The ids of a whole text from all of its chunks, in order."""
+        out, run, begin = [], [], {"at": 0, "off": 0}
+        for x, y in zip(parts, [*parts[1:], None], strict=True):
+            head = {} if y is None else {p["at"]: p for p in y["head"]}
+            end = next((p for p in x["tail"] if p["at"] in head), None)
+            run.append(x)
+            if end or y is None:
+                if len(run) == 1:
+                    out.append(x["ids"][begin["off"] : end["off"] if end else None])
+                else:
+                    # Up to the next chunk's start each chunk's text counts, of the last one all.
+                    text = "".join(self.text(p["ids"])[: q["at"] - p["at"]] for p, q in zip(run, run[1:], strict=False)) + self.text(x["ids"])
+                    out.append(self.encoded(text[begin["at"] - run[0]["at"] : end["at"] - run[0]["at"] if end else None]))
+                run, begin = [], head[end["at"]] if end else None
+        return b"".join(out)
+
+    def text(self, ids: bytes) -> str:
+        return self.decoded(ids).decode()
 
 
 class Vocabulary:
@@ -114,64 +141,51 @@ def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
     return run(ids)
 
 
-def _joined(parts: Column) -> Column:
-    @F.arrow_udf("binary")
-    def run(x: pa.Array) -> pa.Array:
-        return pa.array([b"".join(p) for p in x.to_pylist()], pa.binary())
-
-    return run(parts)
-
-
 def chunks(texts: DataFrame, step: int, overlap: int) -> DataFrame:
-    """row, i, at, last, chunk of texts(row, text), a chunk a row."""
+    """row, i, id, at, last, chunk of texts(row, id, text), a chunk a row; the id stands in a text's first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 for lot in range(0, len(text), 64 * step):
                     at = list(range(lot, min(lot + 64 * step, len(text)), step))
+                    ids = pa.concat_arrays([batch.column(1).slice(k, 0 if lot else 1), pa.nulls(len(at) - (not lot), batch.column(1).type)])
                     yield pa.RecordBatch.from_pydict({
-                        "row": pa.array([row] * len(at), pa.int64()), "i": pa.array([a // step for a in at], pa.int64()), "at": pa.array(at, pa.int64()),
+                        "row": pa.array([row] * len(at), pa.int64()), "i": pa.array([a // step for a in at], pa.int64()), "id": ids, "at": pa.array(at, pa.int64()),
                         "last": pa.array([a + step >= len(text) for a in at]), "chunk": pa.array([text[a : a + step + overlap] for a in at], pa.string()),
                     })
 
-    return texts.mapInArrow(run, "row long, i long, at long, last boolean, chunk string")
+    return texts.mapInArrow(run, f"row long, i long, id {texts.schema['id'].dataType.simpleString()}, at long, last boolean, chunk string")
+
+
+PLACES = "array<struct<at:long,off:long>>"
 
 
 def pretokenised(cut: DataFrame, vocabulary: Vocabulary, step: int, overlap: int) -> DataFrame:
-    """chunks() with their ids and the boundaries in either overlap."""
+    """chunks() with ids (of as few bytes each as the vocabulary needs) in place of the text, and the boundaries in either overlap."""
     place = pa.list_(pa.struct([("at", pa.int64()), ("off", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary.coder()
         for batch in batches:
             got = [coder.seams(c, a, e, step, overlap) for c, a, e in zip(*(batch.column(x).to_pylist() for x in ("chunk", "at", "last")), strict=True)]
-            cols = [pa.array([g[k] for g in got], kind) for k, kind in ((0, pa.binary()), (1, place), (2, place))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "ids", "head", "tail"])
-
-    place_sql = "array<struct<at:long,off:long>>"
-    return cut.mapInArrow(run, f"row long, i long, at long, last boolean, chunk string, ids binary, head {place_sql}, tail {place_sql}")
-
-
-def stitched(parts: DataFrame, vocabulary: Vocabulary, step: int) -> DataFrame:
-    """row, ids: the chunks' ids between their seams, and those of chunks without a seam between them encoded as one."""
-    by = W.partitionBy("row").orderBy("i")
-    common = F.array_min(F.array_intersect(F.transform("tail", lambda x: x["at"]), F.transform(F.lead("head").over(by), lambda x: x["at"])))
-    p = parts.withColumn("to", F.when(F.col("last"), F.col("at") + F.length("chunk")).otherwise(common))
-    p = p.withColumn("from", F.coalesce(F.lag("to").over(by), F.when(F.col("i") == 0, F.lit(0))))
-    island = F.sum(F.when(F.col("from").isNotNull(), 1).otherwise(0)).over(by)
-    p = stored(p.withColumn("island", island))
-    off = lambda side, c: F.get(F.filter(side, lambda x: x["at"] == F.col(c)), F.lit(0))["off"]
-    begin, end = off("head", "from"), F.when(F.col("last"), F.length("ids")).otherwise(off("tail", "to"))
-    alone = p.where("from is not null and to is not null").select("row", "i", F.substring("ids", begin + 1, end - begin).alias("ids"))
-    core = F.when(F.col("to").isNull(), F.left("chunk", F.lit(step))).otherwise(F.col("chunk"))
-    runs = p.where("from is null or to is null").groupBy("row", "island").agg(
-        F.array_sort(F.collect_list(F.struct("i", core.alias("s")))).alias("x"), F.min("at").alias("at"), F.min("i").alias("i"), F.max("from").alias("from"), F.max("to").alias("to")
-    )
-    text = F.substring(F.array_join(F.transform("x", lambda x: x["s"]), ""), F.col("from") - F.col("at") + 1, F.col("to") - F.col("from"))
-    whole = runs.select("row", "i", encoded(text, vocabulary).alias("ids"))
-    g = alone.unionByName(whole).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("x"))
-    return g.select("row", _joined(F.transform("x", lambda x: x["ids"])).alias("ids"))
+            cols = [pa.array([coder.packed(g[0]) for g in got], pa.binary()), *(pa.array([g[k] for g in got], place) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], ["row", "i", "id", "at", "ids", "head", "tail"])
+
+    return cut.mapInArrow(run, f"row long, i long, id {cut.schema['id'].dataType.simpleString()}, at long, ids binary, head {PLACES}, tail {PLACES}")
+
+
+def stitched(parts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """id, ids of each text whose chunks are parts; a text's chunks meet in one row, as the text did."""
+
+    @F.arrow_udf("binary")
+    def run(x: pa.Array) -> pa.Array:
+        coder = vocabulary.coder()
+        return pa.array([coder.stitched([p | {"ids": coder.unpacked(p["ids"])} for p in parts]) for parts in x.to_pylist()], pa.binary())
+
+    g = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "at", "id", "ids", "head", "tail"))).alias("x"))
+    bare = F.transform("x", lambda p: F.struct(p["at"].alias("at"), p["ids"].alias("ids"), p["head"].alias("head"), p["tail"].alias("tail")))
+    return g.select(F.col("x")[0]["id"].alias("id"), run(bare).alias("ids"))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", step: int = STEP, overlap: int = OVERLAP) -> DataFrame:
@@ -186,11 +200,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     is_long = F.coalesce(F.length("text") > step, F.lit(False))
     short = d.where(~is_long).select("id", encoded(F.col("text"), vocabulary).alias("ids"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The numbers are taken as they are stored, so a text's chunks and its id meet again by them.
-    long = stored(d.where(is_long).withColumn("row", F.monotonically_increasing_id()))
-    cut = chunks(long.select("row", "text"), step, overlap).repartition(n, F.xxhash64("row", "i"))
-    done = stitched(stored(pretokenised(cut, vocabulary, step, overlap)), vocabulary, step)
-    return short.unionByName(long.select("row", "id").join(done, "row").select("id", "ids")).withColumnRenamed("id", id_col)
+    long = d.where(is_long).select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    cut = chunks(long, step, overlap).repartition(n, F.xxhash64("row", "i"))
+    done = stitched(pretokenised(cut, vocabulary, step, overlap), vocabulary)
+    return short.unionByName(done).withColumnRenamed("id", id_col)
 
 
 def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
