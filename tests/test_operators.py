@@ -40,12 +40,33 @@ def test_the_model_of_asked_contexts_is_a_part_of_the_whole_one(spark):
     assert rows(part) == {x for x in rows(whole) if x[1] in asked} and len(rows(part)) > 3
 
 
-def test_search_with_more_queries_than_a_block(spark, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK_QUERIES", 3)
-    s = sents(spark, "one two three four", "two three", "a two three b", "xtwo three fourx", "two")
-    queries = ["two three", "one two three", "two three four", "o three f", "two", "e", "zz", "a two three b"]
-    hits = search.search_corpus(spark.createDataFrame(list(enumerate(queries)), "query_id int, query string"), s, limit=9).collect()
-    assert {(h.query_id, h.sentence) for h in hits} == {(i, x.sentence) for i, q in enumerate(queries) for x in s.collect() if q in x.sentence}
+def test_search_finds_any_substring(spark):
+    """Queries of one character to whole sentences, over few letters and marks that patterns know, against a scan."""
+    rng = random.Random(6)
+    made = dict.fromkeys("".join(rng.choice(["a", "b", " ", "é", ".", "(", "\\", "😀"]) for _ in range(rng.randint(1, 30))) for _ in range(150))
+    texts = [*made, "x" * 5000 + "needle" + "y" * 5000]
+    s = spark.createDataFrame([(t, i, i % 7, ["p"] * (i % 5)) for i, t in enumerate(texts)], "sentence string, first_rank long, source_count int, sources array<string>")
+    asked = [t[i : i + n] for t in rng.sample(texts, 40) for i, n in [(rng.randint(0, len(t) - 1), rng.choice([1, 2, 3, 4, 9, 40]))]] + ["", None, "zzz", "a", "needle", "é", "😀", "()", texts[3]]
+    want = set()
+    for i, q in enumerate(asked):
+        found = [(t != q, k, t) for k, t in enumerate(texts) if q and q in t]
+        want |= {(i, t, not odd, r + 1, k % 7, min(k % 5, 2)) for r, (odd, k, t) in enumerate(sorted(found)[:6])}
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    small = search.BUCKET_ROWS
+    try:
+        search.BUCKET_ROWS = 500
+        many = search.SubstringIndex.build(s)
+    finally:
+        search.BUCKET_ROWS = small
+    assert many.buckets > 5
+    for out in (search.search_corpus(q, s, 6, 2), many.search(q, 6, 2)):
+        assert {(r.query_id, r.sentence, r.is_exact, r["rank"], r.source_count, len(r.sources)) for r in out.collect()} == want
+        assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+    read = many._read("postings", "sid long, gram string", search._asked(q.where("query = 'needle'")))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert read.select(F.regexp_extract(F.input_file_name(), "bucket=([0-9]+)", 1)).distinct().count() <= 4
+    assert search.search_corpus(q.limit(0), s).isEmpty() and many.search(q.limit(0)).isEmpty()
 
 
 def test_expansion_says_where_it_came_to_no_end(spark):

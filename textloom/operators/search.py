@@ -2,44 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.operators.shared import stored
+from textloom.operators.shared import broadcast_if_small, new_path, stored
 
-#: Queries that are broadcast at once; more run in as many blocks as it takes.
-BLOCK_QUERIES = 10_000
+#: Characters of a gram, and postings that a bucket of a stored index holds on average.
+GRAM, BUCKET_ROWS = 3, 2_000_000
 
 
-def _holding(queries: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Pairs of sentences and queries that they hold. Of a query of three words or more an inner word must be one of the
-    sentence's words, so these pairs come by an equi-join on the longest inner word; only shorter queries are held against
-    every sentence. The queries are a block of bounded size, so they are broadcast."""
-    inner = F.filter(F.slice(F.split("query", " "), 2, F.greatest(F.size(F.split("query", " ")) - 2, F.lit(0))), lambda w: w != "")
-    q = queries.withColumn("inner", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    long, short = q.where("inner is not null"), q.where("inner is null").drop("inner")
-    words = sentences.select("*", F.explode(F.array_distinct("tokens")).alias("word"))
-    by_word = words.join(F.broadcast(long), F.col("word") == F.col("inner")).where(F.col("sentence").contains(F.col("query"))).drop("word", "inner")
-    return by_word.unionByName(sentences.join(F.broadcast(short), F.col("sentence").contains(F.col("query"))))
+def _grams(c: Column, k: int) -> Column:
+    """The distinct grams of k characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
 
 
-def search_corpus(queries: DataFrame, sentences: DataFrame, limit: int = 8, max_sources: int = 3) -> DataFrame:
-    """query_id, sentence, is_exact, rank, source_count, sources for queries(query_id, query).
-
-    The whole sentence first, then sentences that hold the query anywhere, in corpus order; empty queries match nothing."""
-    q = stored(queries.where("query is not null and query <> ''").select("query_id", "query"))
-    blocks = max(1, -(-q.count() // BLOCK_QUERIES))
-    hits = None
-    for i in range(blocks):
-        part = _holding(q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), sentences)
-        hits = part if hits is None else hits.unionByName(part)
-    hits = hits.withColumn("is_exact", F.col("sentence") == F.col("query"))
+def _asked(queries: DataFrame) -> DataFrame:
+    """query_id, query, k, gram: the grams of each query; of one shorter than a gram, the query itself."""
+    q = queries.where("query is not null and query <> ''").select("query_id", "query", F.least(F.length("query"), F.lit(GRAM)).alias("k"))
+    grams = F.when(F.col("k") == GRAM, _grams(F.col("query"), GRAM)).otherwise(F.array("query"))
+    return q.select("*", F.explode(grams).alias("gram"))
+
+
+def _rarest(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """query_id, query, gram of each query with its gram that fewest sentences hold; a gram that none holds ends the query."""
+    known = asked.join(broadcast_if_small(counts.select(F.col("gram").alias("g"), "n")), F.col("gram") == F.col("g"), "left")
+    best = known.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("b"), F.first("query").alias("query"))
+    return best.where("b.n > 0").select("query_id", "query", F.col("b.gram").alias("gram"))
+
+
+def _hits(found: DataFrame, sentences: DataFrame, limit: int, max_sources: int) -> DataFrame:
+    """Candidates found(query_id, query, sid) with their sentences: verified, ordered and cut off."""
+    hits = sentences.join(found, "sid").where(F.col("sentence").contains(F.col("query"))).withColumn("is_exact", F.col("sentence") == F.col("query"))
     order = W.partitionBy("query_id").orderBy(F.col("is_exact").desc(), "first_rank", "sentence")
     hits = hits.withColumn("rank", F.row_number().over(order)).where(f"rank <= {int(limit)}")
     return hits.select("query_id", "sentence", "is_exact", "rank", "source_count", F.slice("sources", 1, max_sources).alias("sources"))
 
 
+def _with_ids(sentences: DataFrame) -> DataFrame:
+    return stored(sentences.select("sentence", "first_rank", "source_count", "sources").withColumn("sid", F.monotonically_increasing_id()))
+
+
+def search_corpus(queries: DataFrame, sentences: DataFrame, limit: int = 8, max_sources: int = 3) -> DataFrame:
+    """query_id, sentence, is_exact, rank, source_count, sources for queries(query_id, query); query_ids are unique.
+
+    The whole sentence first, then sentences that hold the query anywhere, in corpus order; empty queries match nothing.
+    For one search no index is built: of the sentences' grams only those that some query asks for are counted, then the
+    sentences that hold a query's rarest gram are verified. Queries of any length are found by equi-joins."""
+    s = _with_ids(sentences)
+    asked = stored(_asked(queries))
+    sizes = [r.k for r in asked.select("k").distinct().collect()]  # at most GRAM of them
+    if not sizes:
+        sizes = [GRAM]
+    grams = F.concat(*[_grams(F.col("sentence"), k) for k in sizes])
+    every = s.select("sid", F.explode(grams).alias("gram"))
+    want = broadcast_if_small(stored(asked.select("gram").distinct()))
+    counts = stored(every.join(want, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n")))
+    rare = stored(_rarest(asked, counts))
+    return _hits(every.join(broadcast_if_small(rare), "gram").select("query_id", "query", "sid"), s, limit, max_sources)
+
+
+@dataclass
+class SubstringIndex:
+    """An index of sentences for many searches, in one folder: the sentences, the postings (gram, sid) of their grams of
+    one to GRAM characters in folders by bucket, sorted by gram, and how many sentences hold each gram."""
+
+    spark: SparkSession
+    path: str
+    buckets: int
+
+    @staticmethod
+    def build(sentences: DataFrame, path: str | None = None) -> SubstringIndex:
+        """Writes the index to the path, or to a new folder in the shared one. A gram that very many sentences hold is one
+        bucket's, spread over as many files as tasks wrote it: postings are not shuffled by gram."""
+        spark = sentences.sparkSession
+        path = path or new_path(spark, "index")
+        sentences.select("sentence", "first_rank", "source_count", "sources").withColumn("sid", F.monotonically_increasing_id()).write.parquet(f"{path}/sentences")
+        s = spark.read.parquet(f"{path}/sentences")
+        post = s.select("sid", F.explode(F.concat(*[_grams(F.col("sentence"), k) for k in range(1, GRAM + 1)])).alias("gram"))
+        counts = stored(post.groupBy("gram").agg(F.count("*").alias("n")))
+        buckets = max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS))
+        counts.withColumn("bucket", _bucket(F.col("gram"), buckets)).write.partitionBy("bucket").parquet(f"{path}/counts")
+        post.withColumn("bucket", _bucket(F.col("gram"), buckets)).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/postings")
+        return SubstringIndex(spark, path, buckets)
+
+    def _read(self, part: str, schema: str, grams: DataFrame) -> DataFrame:
+        """The rows of a part for the grams: only their buckets are read, whose numbers pass through the driver."""
+        wanted = sorted(r[0] for r in grams.select(_bucket(F.col("gram"), self.buckets)).distinct().collect())
+        return self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.path}/{part}").where(F.col("bucket").isin(wanted)).drop("bucket")
+
+    def search(self, queries: DataFrame, limit: int = 8, max_sources: int = 3) -> DataFrame:
+        """What search_corpus() returns, from the buckets that the queries ask for."""
+        asked = stored(_asked(queries))
+        rare = stored(_rarest(asked, self._read("counts", "gram string, n long", asked)))
+        post = self._read("postings", "sid long, gram string", rare)
+        return _hits(post.join(broadcast_if_small(rare), "gram").select("query_id", "query", "sid"), self.spark.read.parquet(f"{self.path}/sentences"), limit, max_sources)
+
+
+def _bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
+
+
 def suggestion_examples(suggestions: DataFrame, requests: DataFrame, sentences: DataFrame, limit: int = 2) -> DataFrame:
     """Sentences that hold the request's text followed by the suggested word."""
     q = suggestions.join(requests.select("request_id", "text"), "request_id")

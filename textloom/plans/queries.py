@@ -321,6 +321,20 @@ def q_corpus_search(spark, sf_dir):
     return search.search_corpus(b, sourced(spark, sf_dir)).drop("sources")
 
 
+@query(
+    rf"""WITH {RECORDS}, u AS (SELECT sentence, count(DISTINCT (path, reference)) AS source_count FROM recs GROUP BY 1), b AS (SELECT item_id, string_split({clean_sql('text')}, ' ') AS t FROM benchmark),
+q AS (SELECT item_id * 3 + n AS query_id, CASE n WHEN 0 THEN t[1] WHEN 1 THEN array_to_string(list_slice(t, 2, 3), ' ') ELSE left(t[1], 2) END AS query FROM b, range(3) r(n))
+SELECT query_id, sentence, sentence = query AS is_exact, row_number() OVER (PARTITION BY query_id ORDER BY sentence = query DESC, first, encode(sentence))::INT AS rank, source_count::INT AS source_count
+FROM q JOIN sents ON contains(sentence, query) JOIN u USING (sentence) WHERE query <> '' QUALIFY rank <= 8"""
+)
+def q_search_index(spark, sf_dir):
+    """A stored index of grams asked for a word, two words and the first two letters of each benchmark item."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.once(T.split_words(T.clean_text(F.col("text")))).alias("t"))
+    asked = F.array(F.get("t", F.lit(0)), F.array_join(F.slice("t", 2, 2), " "), F.left(F.get("t", F.lit(0)), F.lit(2)))
+    q = b.select("item_id", F.posexplode(asked).alias("n", "query")).select((F.col("item_id") * 3 + F.col("n")).alias("query_id"), "query")
+    return search.SubstringIndex.build(sourced(spark, sf_dir)).search(q).drop("sources")
+
+
 @query(
     rf"""WITH {MODEL}, {HITS}, {SCORES}, r AS (SELECT request_id, word, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, length(regexp_replace(word, '[\x00-\x7f]', '', 'g')) DESC, encode(word)) AS rk FROM scores WHERE regexp_matches(word, '[\pL\p{{Nl}}]'))
 SELECT request_id, word, sentence, row_number() OVER (PARTITION BY request_id, word ORDER BY sentence = query DESC, first, encode(sentence))::INT AS rank
