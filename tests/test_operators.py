@@ -69,13 +69,33 @@ def test_search_finds_any_substring(spark):
     assert search.search_corpus(q.limit(0), s).isEmpty() and many.search(q.limit(0)).isEmpty()
 
 
-def test_expansion_says_where_it_came_to_no_end(spark):
-    d = spark.createDataFrame([("x1",), ("ping",), ("y",)], "token string")
+def texts_of(spark, f, *texts):
+    df = spark.createDataFrame([(t,) for t in texts], "token string")
+    return {r.token: (r.x, r.end) for r in f(df.withColumn("x", F.col("token"))).collect()}
+
+
+def test_expansions_come_to_their_end(spark):
+    long = [(f"<{i}>", f"<{i + 1}>") for i in range(40)]
+    ring = [("k1", "k2"), ("k2", "k3"), ("k3", "k1")]
+    assert texts_of(spark, lambda d: expand.compose(d, long, "x"), "a<0>b<0>", "é<0>", None) == {"a<0>b<0>": ("a<40>b<40>", "stable"), "é<0>": ("é<0>", "stable"), None: (None, "stable")}
+    got = texts_of(spark, lambda d: expand.compose(d, ring, "x"), "ak1", "y")
+    assert got["ak1"][1] == "cycle" and got["ak1"][0] in ("ak1", "ak2", "ak3") and got["y"] == ("y", "stable")
+    got = texts_of(spark, lambda d: expand.compose(d, [("a", "ba")], "x"), "a", "b")
+    assert got["a"][1] == "growing" and got["a"][0].endswith("ba") and got["b"] == ("b", "stable")
+    assert texts_of(spark, lambda d: expand.compose(d, [("aa", "b"), ("bb", "c")], "x"), "aaaa", "éaa") == {"aaaa": ("c", "stable"), "éaa": ("éaa", "stable")}
+    words = [(f"w{i}", f"w{i + 1}") for i in range(20)]
+    assert texts_of(spark, lambda d: expand.expand_phrases(d, words, "x"), "w0 and w7, w20w1") == {"w0 and w7, w20w1": ("w20 and w20, w20w1", "stable")}
+    assert texts_of(spark, lambda d: expand.expand_phrases(d, [("of the", "o'the"), ("o'the and", "o&")], "x"), "of the and of the", "oof the") == {"of the and of the": ("o& o'the", "stable"), "oof the": ("oof the", "stable")}
+    assert texts_of(spark, lambda d: expand.finalize(d, [("o3", "ō")], "x"), "ntoho3", "x") == {"ntoho3": ("ntohō", "stable"), "x": ("x", "stable")}
+    got = texts_of(spark, lambda d: expand.finalize(d, [("ing", "in"), ("in", "ing")], "x"), "ping", "y")
+    assert got["ping"][1] == "cycle" and got["y"] == ("y", "stable")
+
+
+def test_types_say_how_they_were_expanded(spark):
     keys = spark.createDataFrame([("x1", "y2"), ("p1", "q1"), ("q1", "p1")], "key string, value string")
-    types = {r.token: (r.expanded, r.how, r.stable) for r in expand.expand_types(spark.createDataFrame([("x1",), ("ap1",), ("y",)], "token string"), keys).collect()}
-    assert types == {"x1": ("y2", "exact", True), "ap1": ("ap1", "none", False), "y": ("y", "none", True)}  # eight passes lead back to ap1
-    got = {r.token: r.x for r in d.select("token", expand.finalize(F.col("token"), [("ing", "in"), ("in", "ing")]).alias("x")).collect()}
-    assert not got["ping"].stable and got["y"].stable and got["y"].text == "y"
+    types = {r.token: (r.expanded, r.how, r.stable, r.end) for r in expand.expand_types(spark.createDataFrame([("x1",), ("X1",), ("ap1",), ("y",)], "token string"), keys).collect()}
+    assert types["x1"] == ("y2", "exact", True, "stable") and types["X1"] == ("y2", "folded", True, "stable") and types["y"] == ("y", "none", True, "stable")
+    assert types["ap1"][2:] == (False, "cycle")
 
 
 def test_relative_dates(spark):

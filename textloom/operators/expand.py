@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,42 @@ from textloom.operators.lookup import ambiguous_keys
 from textloom.operators.shared import broadcast_if_small, stored
 
 DATE = r"(?<!\w)\d{1,2}-\d{1,2}-\d{4}(?!\w)|(?<!\w)\d{1,2} \d{1,2} \d{4}(?!\w)"
-MAX_RULES, MAX_PASSES = 5000, 8
+MAX_RULES = 5000
+#: Passes of settle()'s first round; each further one has twice as many. Characters, and times its length, that a text may
+#: grow by before it is called growing.
+FIRST_PASSES, GROWTH_CHARS, GROWTH_TIMES = 8, 10_000, 16
+STABLE, CYCLE, GROWING = "stable", "cycle", "growing"
+
+
+def settle(df: DataFrame, column: str, once: Callable[[Column], Column]) -> DataFrame:
+    """df with the column's text changed by once() again and again until it stays as it is, and end: how that came out.
+
+    'stable' is a text that one more pass doesn't change; 'cycle' one that came back to where it had been, and is left
+    there; 'growing' one that grew beyond 16 times its length and 10,000 characters, as by a rule whose output holds its
+    own key. A round takes some passes over the rows in one plan and ends each row by itself; the rows that no pass has
+    ended go to the next round, of twice as many passes, until there are none. Cycles are found by comparing with a text
+    remembered at every power of two of passes, so of any length, without keeping what came before."""
+    text = F.col(column)
+    limit = GROWTH_TIMES * F.coalesce(F.length(text), F.lit(0)) + GROWTH_CHARS
+    start = F.struct(text.alias("text"), text.alias("anchor"), F.lit(0).alias("n"), F.lit(1).alias("power"), limit.alias("limit"), F.lit(None).cast("string").alias("end"))
+
+    def step(s: Column, new: Column) -> Column:
+        end = F.when(new.eqNullSafe(s["text"]), STABLE).when(new == s["anchor"], CYCLE).when(F.length(new) > s["limit"], GROWING)
+        again = s["n"] + 1 == s["power"]
+        return F.struct(
+            new.alias("text"), F.when(again, new).otherwise(s["anchor"]).alias("anchor"), F.when(again, 0).otherwise(s["n"] + 1).alias("n"),
+            F.when(again, s["power"] * 2).otherwise(s["power"]).alias("power"), s["limit"].alias("limit"), end.alias("end"),
+        )
+
+    left, done, passes = df.withColumn("__state", start), None, FIRST_PASSES
+    while True:
+        one = lambda s, _: F.when(s["end"].isNotNull(), s).otherwise(let(once(s["text"]), lambda new: step(s, new)))
+        now = stored(left.withColumn("__state", F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.col("__state"), one)))
+        ended = now.where("__state.end is not null")
+        done = ended if done is None else done.unionByName(ended)
+        left, passes = now.where("__state.end is null"), passes * 2
+        if left.isEmpty():
+            return done.select(*[F.col("__state.text").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns], "__state.end")
 
 
 def _pairs(df: DataFrame, rows: int = MAX_RULES) -> list[tuple[str, str]]:
@@ -33,9 +69,10 @@ def expand_dates(texts: DataFrame, calendar: DataFrame, key: str = "text_id") ->
     return g.select(key, F.when(F.col("text").isNotNull(), F.array_join(parts, "")).alias("text"))
 
 
-def expand_phrases(c: Column, phrases: list[tuple[str, str]], passes: int = MAX_PASSES) -> Column:
-    """struct(text, stable): longest phrase first at word boundaries, again after each hit until nothing changes or the pass limit."""
-    rules = sorted(phrases, key=lambda r: (-len(r[0]), r[0]))
+def expand_phrases(df: DataFrame, phrases: list[tuple[str, str]], column: str = "text") -> DataFrame:
+    """df with the column's phrases replaced at word boundaries, the longest that occurs first, again after each hit, and end
+    (see settle())."""
+    rules = sorted((r for r in phrases if r[0] and r[0] != r[1]), key=lambda r: (-len(r[0]), r[0]))
 
     def once(s: Column) -> Column:
         out = s
@@ -44,28 +81,27 @@ def expand_phrases(c: Column, phrases: list[tuple[str, str]], passes: int = MAX_
             out = F.when(s.rlike(pattern), F.regexp_replace(s, F.lit(pattern), F.lit(b.replace("\\", r"\\").replace("$", r"\$")))).otherwise(out)
         return out
 
-    end = F.aggregate(F.array(*[F.lit(i) for i in range(passes)]), c, lambda s, _: once(s))
-    return F.struct(end.alias("text"), (once(end) == end).alias("stable"))
+    return settle(df, column, once)
 
 
-def _composed(c: Column, rules: list[tuple[str, str]], passes: int) -> Column:
+def _composed(rules: list[tuple[str, str]]) -> Callable[[Column], Column]:
+    """One replacement: of the keys in a text of ASCII only the longest."""
+    rules = [r for r in rules if r[0] and r[0] != r[1]]
     if not rules:
-        return c
+        return lambda s: s
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rules])
-    first = lambda s: F.get(F.filter(table, lambda r: s.contains(r["a"])), F.lit(0))
 
     def once(s: Column) -> Column:
-        hit = first(s)
-        return F.when(s.rlike(r"^[\x00-\x7f]*$") & hit.isNotNull(), F.replace(s, hit["a"], hit["b"])).otherwise(s)
+        hit = F.get(F.filter(table, lambda r: s.contains(r["a"])), F.lit(0))
+        return F.when(s.rlike(r"^[\x00-\x7f]*$"), let(hit, lambda h: F.when(h.isNotNull(), F.replace(s, h["a"], h["b"])).otherwise(s))).otherwise(s)
 
-    return F.aggregate(F.array(*[F.lit(i) for i in range(passes)]), c, lambda s, _: once(s))
+    return once
 
 
-def compose(c: Column, rules: list[tuple[str, str]], passes: int = MAX_PASSES) -> Column:
-    """struct(text, stable): inside tokens of ASCII only, keys are replaced, longest first, until nothing changes or the
-    pass limit; stable is false where one more pass would change the text, as rules that feed each other may."""
-    end = lambda x: F.struct(x.alias("text"), _composed(x, rules, 1).eqNullSafe(x).alias("stable"))
-    return let(_composed(c, rules, passes), end)
+def compose(df: DataFrame, rules: list[tuple[str, str]], column: str = "token") -> DataFrame:
+    """df with keys replaced inside the column's texts of ASCII only, the longest of rules (in that order) first, until none
+    is left, and end (see settle())."""
+    return settle(df, column, _composed(rules))
 
 
 def _tokens(texts: DataFrame, key: str) -> DataFrame:
@@ -85,17 +121,19 @@ def dated_shortcuts(shortcuts: DataFrame, aliases: DataFrame, calendar: DataFram
 
 
 def expand_types(types: DataFrame, shortcuts: DataFrame) -> DataFrame:
-    """token, expanded, how, stable: exact key, ASCII case-folded key, a letter with one or two digits as part key,
-    composition, or as it is. stable is false where composition hasn't come to an end."""
+    """token, expanded, how, stable, end: exact key, ASCII case-folded key, a letter with one or two digits as part key,
+    composition, or as it is. end says how composition came out (see settle()), stable whether that is to no further change."""
     s = shortcuts.select("key", "value").dropDuplicates(["key"])
     folded = s.groupBy(F.lower("key").alias("lk")).agg(F.min_by("value", "key").alias("lv"))
     t = types.select("token").distinct().join(s.select(F.col("key").alias("k"), F.col("value").alias("v")), F.col("token") == F.col("k"), "left")
     t = t.join(folded, F.lower("token") == F.col("lk"), "left")
-    t = t.withColumn("c", compose(F.col("token"), _pairs(shortcuts.where(r"key rlike '^[A-Za-z]?[^A-Za-z\\s]*[0-9]{1,2}$'"))))
     ascii_ = F.col("token").rlike(r"^[\x00-\x7f]*$")
-    out = F.coalesce("v", F.when(ascii_, F.col("lv")), F.col("c.text"))
-    how = F.when(F.col("v").isNotNull(), "exact").when(F.col("lv").isNotNull() & ascii_, "folded").when(F.col("c.text") != F.col("token"), "composed").otherwise("none")
-    return t.select("token", out.alias("expanded"), how.alias("how"), (how.isin("exact", "folded") | F.col("c.stable")).alias("stable"))
+    keyed = F.coalesce("v", F.when(ascii_, F.col("lv")))
+    how = F.when(F.col("v").isNotNull(), "exact").when(F.col("lv").isNotNull() & ascii_, "folded")
+    t = t.select("token", keyed.alias("keyed"), how.alias("how"), F.when(keyed.isNull(), F.col("token")).alias("expanded"))
+    t = compose(t, _pairs(shortcuts.where(r"key rlike '^[A-Za-z]?[^A-Za-z\\s]*[0-9]{1,2}$'")), "expanded")
+    how = F.coalesce("how", F.when(F.col("expanded") != F.col("token"), "composed").otherwise("none"))
+    return t.select("token", F.coalesce("keyed", "expanded").alias("expanded"), how.alias("how"), (F.col("end") == STABLE).alias("stable"), "end")
 
 
 def expand_tokens(texts: DataFrame, shortcuts: DataFrame, key: str = "text_id") -> DataFrame:
@@ -111,19 +149,20 @@ def expand_tokens(texts: DataFrame, shortcuts: DataFrame, key: str = "text_id")
     return texts.select(key).join(g, key, "left").select(key, text.alias("text"), F.coalesce("stable", F.lit(True)).alias("stable"))
 
 
-def finalize(c: Column, rules: list[tuple[str, str]], passes: int = MAX_PASSES) -> Column:
-    """struct(text, stable): the longest key at the end of the token is replaced, then composition, until stable or the pass limit."""
+def finalize(df: DataFrame, rules: list[tuple[str, str]], column: str = "token") -> DataFrame:
+    """df with the longest key at the end of the column's text replaced, then composition, until nothing changes, and end
+    (see settle())."""
+    if not rules:
+        return df.withColumn("end", F.lit(STABLE))
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rules])
+    inside = _composed(rules)
 
     def once(s: Column) -> Column:
         hit = F.get(F.filter(table, lambda r: s.endswith(r["a"])), F.lit(0))
-        tail = F.when(hit.isNotNull(), F.concat(F.left(s, F.length(s) - F.length(hit["a"])), hit["b"])).otherwise(s)
-        return _composed(tail, rules, 2)
+        tail = let(hit, lambda h: F.when(h.isNotNull(), F.concat(F.left(s, F.length(s) - F.length(h["a"])), h["b"])).otherwise(s))
+        return let(let(tail, inside), inside)
 
-    if not rules:
-        return F.struct(c.alias("text"), F.lit(True).alias("stable"))
-    end = F.aggregate(F.array(*[F.lit(i) for i in range(passes)]), c, lambda s, _: once(s))
-    return let(end, lambda x: F.struct(x.alias("text"), once(x).eqNullSafe(x).alias("stable")))
+    return settle(df, column, once)
 
 
 def expand_live(tokens: DataFrame, shortcuts: DataFrame) -> DataFrame:

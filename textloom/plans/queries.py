@@ -512,7 +512,7 @@ def _part_sql(c: str) -> str:
 
 @query(f"WITH RECURSIVE {RECORDS}, {LEX}, {KEYS}, kk AS MATERIALIZED (SELECT key, value FROM keys UNION ALL SELECT * FROM (VALUES {', '.join(map(str, PARTS))}) v(key, value)), "
        "w AS MATERIALIZED (SELECT doc_id, i, t FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\s+|[^\\s]+')) AS t, generate_subscripts(regexp_extract_all(text, '\\s+|[^\\s]+'), 1) AS i FROM documents)), "
-       f"it(t, s, old, n) AS (SELECT DISTINCT t, t, NULL::VARCHAR, 0 FROM w UNION ALL SELECT t, {_part_sql('s')}, s, n + 1 FROM it WHERE n < 9), c AS MATERIALIZED (SELECT t, old, s = old AS stable FROM it WHERE n = 9), "
+       f"it(t, s, old, n) AS (SELECT DISTINCT t, t, NULL::VARCHAR, 0 FROM w UNION ALL SELECT t, {_part_sql('s')}, s, n + 1 FROM it WHERE s IS DISTINCT FROM old AND n < 500), c AS MATERIALIZED (SELECT t, old, n < 500 AS stable FROM it WHERE s = old OR n = 500), "
        "x AS MATERIALIZED (SELECT c.t, coalesce(a.value, CASE WHEN regexp_matches(c.t, '^[\\x00-\\x7f]*$') THEN b.value END, old) AS new, a.key IS NOT NULL OR (b.key IS NOT NULL AND regexp_matches(c.t, '^[\\x00-\\x7f]*$')) OR stable AS stable "
        "FROM c LEFT JOIN kk a ON a.key = c.t LEFT JOIN kk b ON b.key = lower(c.t)), g AS (SELECT doc_id, string_agg(new, '' ORDER BY i) AS text, bool_and(stable) AS stable FROM w JOIN x USING (t) GROUP BY 1) "
        "SELECT d.doc_id AS text_id, coalesce(g.text, '') AS text, coalesce(stable, true) AS stable FROM documents d LEFT JOIN g USING (doc_id)")
@@ -544,13 +544,14 @@ def _compose_sql(c: str) -> str:
     return f"CASE WHEN NOT regexp_matches({c}, '^[\\x00-\\x7f]*$') THEN {c} " + " ".join(f"WHEN contains({c}, '{a}') THEN replace({c}, '{a}', '{b}')" for a, b in _LONGEST) + f" ELSE {c} END"
 
 
-ONCE = f"(SELECT word, n, old, {_compose_sql('y')} AS s FROM (SELECT word, n, old, {_compose_sql('t')} AS y FROM (SELECT word, n, s AS old, {_tail_sql('s')} AS t FROM it)))"
+ONCE = f"(SELECT word, n, old, {_compose_sql('y')} AS s FROM (SELECT word, n, old, {_compose_sql('t')} AS y FROM (SELECT word, n, s AS old, {_tail_sql('s')} AS t FROM it WHERE s IS DISTINCT FROM old)))"
 
 
-@query(f"WITH RECURSIVE {RECORDS}, {LEX}, it(word, s, old, n) AS (SELECT word, word, NULL::VARCHAR, 0 FROM wc UNION ALL SELECT word, s, old, n + 1 FROM {ONCE} WHERE n < 9) SELECT word, old AS final, s = old AS stable FROM it WHERE n = 9")
+@query(f"WITH RECURSIVE {RECORDS}, {LEX}, it(word, s, old, n) AS (SELECT word, word, NULL::VARCHAR, 0 FROM wc UNION ALL SELECT word, s, old, n + 1 FROM {ONCE} WHERE n < 500) SELECT word, old AS final, n < 500 AS stable FROM it WHERE s = old OR n = 500")
 def q_expand_finalize(spark, sf_dir):
     w = words(spark, sf_dir).select("word").distinct()
-    return w.select("word", expand.finalize(F.col("word"), _LONGEST).alias("x")).select("word", F.col("x.text").alias("final"), "x.stable")
+    out = expand.finalize(w.withColumn("final", F.col("word")), _LONGEST, "final")
+    return out.select("word", "final", (F.col("end") == expand.STABLE).alias("stable"))
 
 
 def _phrase_sql(c: str) -> str:
@@ -564,9 +565,10 @@ def _phrase_sql(c: str) -> str:
     return f"CASE{out} ELSE {c} END"
 
 
-@query(f"WITH RECURSIVE it(doc_id, s, old, n) AS (SELECT doc_id, lower(text), NULL::VARCHAR, 0 FROM documents UNION ALL SELECT doc_id, {_phrase_sql('s')}, s, n + 1 FROM it WHERE n < 9) SELECT doc_id, old AS text, s = old AS stable FROM it WHERE n = 9")
+@query(f"WITH RECURSIVE it(doc_id, s, old, n) AS (SELECT doc_id, lower(text), NULL::VARCHAR, 0 FROM documents UNION ALL SELECT doc_id, {_phrase_sql('s')}, s, n + 1 FROM it WHERE s IS DISTINCT FROM old AND n < 500) SELECT doc_id, old AS text, n < 500 AS stable FROM it WHERE s = old OR n = 500")
 def q_expand_phrases(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", expand.expand_phrases(F.lower(F.col("text")), PHRASES).alias("x")).select("doc_id", "x.*")
+    out = expand.expand_phrases(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), PHRASES)
+    return out.select("doc_id", "text", (F.col("end") == expand.STABLE).alias("stable"))
 
 
 @query("""WITH a AS (SELECT 0 AS quota, p_partkey, p_name FROM part WHERE starts_with(p_name, 'sm') ORDER BY p_partkey LIMIT 5),
