@@ -1,5 +1,7 @@
+import os
 import random
 import zipfile
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -124,6 +126,76 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/sug").where("rank = 1").first().word == "house"
 
 
+def test_counts_are_merged_in_levels(spark, tmp_path):
+    """Forty batches: few folders, equal sums; batches tried again and a merge cut off change nothing."""
+    store, want = streams.CountStore(spark, f"{tmp_path}/counts"), Counter()
+    rng = random.Random(1)
+    for batch in range(40):
+        rows = [(2, [rng.choice("abc")], rng.choice(["x", "y", None]), rng.randint(1, 9)) for _ in range(5)]
+        counts = spark.createDataFrame(rows, streams.COUNTS).groupBy("n", "ctx", "next").agg(F.sum("cnt").alias("cnt")).coalesce(1)
+        store.add(counts, batch)
+        for n, ctx, nxt, c in rows:
+            want[n, ctx[0], nxt] += c
+        if batch % 7 == 3:  # as after a failure between the write and the stream's commit
+            store.add(counts, batch)
+    read = lambda: {(r.n, r.ctx[0], r.next): r.cnt for r in store.read().collect()}
+    assert read() == want and len(store.runs()[0]) <= 9
+    spark.createDataFrame([(2, ["a"], "x", 999)], streams.COUNTS).write.parquet(f"{tmp_path}/counts/run-5-0-63")
+    (tmp_path / "counts" / "run-5-0-63" / "_SUCCESS").unlink()
+    assert read() == want
+    assert streams.CountStore(spark, f"{tmp_path}/none").read().isEmpty()
+
+
+def test_changed_sources_are_counted_anew(spark, tmp_path):
+    src, dst = tmp_path / "src", f"{tmp_path}/dst"
+    src.mkdir()
+
+    def put(name, text, time):
+        (src / name).write_text(text)
+        os.utime(src / name, (time, time))
+
+    def built():
+        whole = ngram.ngram_counts(spark.read.text(str(src)).select(F.split("value", " ").alias("tokens")), range(2, 3))
+        return {(tuple(r.ctx), r.next, r.cnt) for r in whole.collect()}
+
+    def counts(path):
+        return {(tuple(r.ctx), r.next, r.cnt) for r in streams.CountStore(spark, f"{path}/counts").read().collect()}
+
+    for i in range(6):
+        put(f"{i}.txt", f"a b {i}\na c\n", 1_700_000_000 + i)
+    assert streams.update_counts(spark, str(src), dst, 2, files_per_batch=1).endswith("gen-0") and counts(f"{dst}/gen-0") == built()
+    assert len(streams.CountStore(spark, f"{dst}/gen-0/counts").runs()[0]) == 3
+    put("new.txt", "a b\n", 1_700_000_100)
+    assert streams.update_counts(spark, str(src), dst, 2).endswith("gen-0") and counts(f"{dst}/gen-0") == built()
+    put("3.txt", "z z\n", 1_700_000_200)
+    (src / "4.txt").unlink()
+    assert {(r.file.rpartition("/")[2], r.why) for r in streams.stale_counts(spark, str(src), f"{dst}/gen-0").collect()} == {("3.txt", "changed"), ("4.txt", "gone")}
+    assert streams.update_counts(spark, str(src), dst, 2).endswith("gen-1") and counts(f"{dst}/gen-1") == built()
+
+
+def test_stale_models_are_built_again(spark, tmp_path):
+    path, src = f"{tmp_path}/model", tmp_path / "s.txt"
+    s = spark.createDataFrame([(["a", "b"],)], "tokens array<string>")
+    src.write_text("a b")
+    old = 1_600_000_000
+    os.utime(src, (old, old))
+    stale = lambda: streams.stale_model(spark, path, [str(src), f"{tmp_path}/none"])
+    assert stale() == "missing"
+    assert streams.current_model(spark, path, [str(src)], lambda: ngram.combined_model(s, 3)).count() > 0 and stale() is None
+    os.utime(src)
+    os.utime(src, (2_000_000_000, 2_000_000_000))
+    assert stale() == f"older than {src}"
+    os.utime(src, (old, old))
+    writers.save_model(ngram.ngram_model(s, 3), path)
+    assert stale() == "no short contexts"
+    writers.save_model(ngram.ngram_model(s, 2), path)
+    assert stale() is None
+    next((tmp_path / "model").glob("n=2/*.parquet")).write_bytes(b"PAR1 no")
+    for crc in (tmp_path / "model").glob("n=2/.*.crc"):
+        crc.unlink()
+    assert stale() == "broken"
+
+
 def test_debounce_stream_equals_the_batch(spark, tmp_path):
     """A late event of another key closes the watermark, so that every session is out."""
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", "ts")

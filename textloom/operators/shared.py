@@ -35,19 +35,45 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _located(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, store = _located(spark, path)
+    return store.exists(p)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of few entries; none if there is no such folder."""
+    p, store = _located(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(p)] if store.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, store = _located(spark, path)
+    store.delete(p, True)
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file was written, in milliseconds."""
+    p, store = _located(spark, path)
+    return store.getFileStatus(p).getModificationTime()
+
+
 #: Bytes up to which a table of few files is dealt out to all cores: a small file is often one row group, which one task reads.
 SMALL_TABLE = 64 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table as it was read, or dealt out evenly if it is small and has fewer files than there are cores."""
+    """A table as it was read, or dealt out evenly if it is small and has fewer files than there are cores. The files' number
+    and size are those that the session knows from planning; no name passes through the driver's Python."""
     spark = df.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
-    if len(files) >= cores:
+    cores, plan = spark.sparkContext.defaultParallelism, df._jdf.queryExecution().optimizedPlan()
+    if plan.stats().sizeInBytes().longValue() > SMALL_TABLE:
         return df
-    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
-    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, files))
-    return df.repartition(cores) if size <= SMALL_TABLE else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

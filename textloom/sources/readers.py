@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators.lookup import duplicates, last_wins, split_kinds
-from textloom.operators.shared import broadcast_if_small, stored
+from textloom.operators.shared import broadcast_if_small, exists, stored
 from textloom.sources import docx
 
 RECORD = ["text", "source_path", "source_type", "reference", "source_rank", "unit_no"]
@@ -117,10 +117,9 @@ def read_directory(spark: SparkSession, path: str, source_rank: int = 0) -> Data
 
 def read_corpus(spark: SparkSession, sources: list[str]) -> DataFrame:
     """Directories in order of priority; missing ones are empty."""
-    jvm, out = spark.sparkContext._jvm, None
+    out = None
     for rank, path in enumerate(sources):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        if exists(spark, path):
             d = read_directory(spark, path, rank)
             out = d if out is None else out.unionByName(d)
     return out if out is not None else spark.createDataFrame([], "text string, source_path string, source_type string, reference string, source_rank int, unit_no long")
