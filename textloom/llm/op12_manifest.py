@@ -123,16 +123,22 @@ SELECT doc_id, leaf, of, folded, proof FROM climb WHERE up_tree IS NULL
 """
 
 
+#: What holds while the recursive query runs. Its rows are as many as leaves times strides, beyond Spark's usual limit of a
+#: million; and what each round deals out is even as it is, so it isn't cut into pieces of the advisory size.
+LOOP = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "false"}
+
+
 def climbed(leaves_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id, leaf, of (its tree), folded and proof (the siblings' digests on end) of the leaves' rows, by the recursive
-    query. Its rows are as many as leaves times strides, so Spark's limit of a million is lifted while it runs."""
-    spark, limit = leaves_.sparkSession, "spark.sql.cteRecursionRowLimit"
-    before = spark.conf.get(limit)
-    spark.conf.set(limit, "-1")
+    """doc_id, leaf, of (its tree), folded and proof (the siblings' digests on end) of the leaves' rows, by the recursive query."""
+    spark = leaves_.sparkSession
+    before = {k: spark.conf.get(k) for k in LOOP}
     try:
+        for k, v in LOOP.items():
+            spark.conf.set(k, v)
         return stored(spark.sql(CLIMB, leaves=leaves_, nodes=broadcast_if_small(nodes)))
     finally:
-        spark.conf.set(limit, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def manifest(docs: DataFrame) -> DataFrame:
