@@ -173,6 +173,23 @@ def test_generate(spark):
     assert abs(drawn.where("text = 'a d'").count() / 300 - 1 / 3) < 0.1
 
 
+def test_steps_read_the_buckets_asked_for(spark, monkeypatch):
+    """The model is ten times as large, a step's buckets hold as many rows."""
+    read = []
+    for size in (2_000, 20_000):
+        monkeypatch.setattr(generate, "BUCKET_ROWS", 100)
+        words = spark.range(size).selectExpr("2 as n", "array(concat('w', id)) as ctx", "concat('w', id + 1) as next", "1 as cnt", "1.0D as p")
+        m = generate.BucketedModel.build(words)
+        assert m.buckets == size // 100
+        asked = m.asked(spark.createDataFrame([(["w5"],), (["w77"],)], "ctx array<string>"))
+        plan = asked._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+        read.append(asked.count())
+        g = generate.generate(reqs(spark, "w5", "w77 w78", "none"), m, max_ctx=2, max_tokens=6, temperature=0.0)
+        assert {(r.text, r.status) for r in g.collect()} == {("w5 w6 w7 w8 w9 w10", "generated"), ("w77 w78 w79 w80 w81 w82", "generated"), ("none", "not_in_corpus")}
+    assert read[1] < 2 * read[0] < 1000
+
+
 def test_search_and_concordance(spark):
     s = sents(spark, "of the sea", "sea", "the sea of", "x the sea of the sea")
     q = spark.createDataFrame([(1, "sea"), (2, ""), (3, None)], "query_id long, query string")

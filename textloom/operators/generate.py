@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.operators.predict import longest_match
+from textloom.operators.predict import longest_match, wanted_contexts
 from textloom.operators.search import search_corpus
-from textloom.operators.shared import stored
+from textloom.operators.shared import new_path, stored
 
 
 def uniform(*parts: Column) -> Column:
@@ -17,26 +19,63 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.left(digest, F.lit(12)), 16, 10).cast("long") + 0.5) / float(1 << 48)
 
 
-def generate(requests: DataFrame, model: DataFrame, max_ctx: int = 4, max_tokens: int = 40, temperature: float = 1.0, tries: int = 1, seed: int = 42) -> DataFrame:
+#: Rows of the model that a bucket holds on average, most buckets, and files that a bucket's rows are dealt to.
+BUCKET_ROWS, MAX_BUCKETS, FILES = 500_000, 100_000, 8
+
+
+@dataclass
+class BucketedModel:
+    """A model stored in folders by a hash of the context, as many as its size asks for, so that what a lookup reads follows
+    the contexts asked for and not the model. A context of very many continuations is dealt to several files."""
+
+    spark: SparkSession
+    path: str
+    buckets: int
+
+    @staticmethod
+    def build(model: DataFrame, path: str | None = None) -> BucketedModel:
+        """Writes ngram(n, ctx, next, cnt, p) to the path, or to a new folder in the shared one."""
+        spark = model.sparkSession
+        path, rows = path or new_path(spark, "model"), stored(model.select("ctx", "next", "p"))
+        buckets = min(MAX_BUCKETS, max(1, -(-rows.count() // BUCKET_ROWS)))
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.withColumn("bucket", _bucket(F.col("ctx"), buckets)).repartition(n, "bucket", F.pmod(F.xxhash64("next"), F.lit(FILES)))
+        dealt.sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(path)
+        return BucketedModel(spark, path, buckets)
+
+    def asked(self, contexts: DataFrame) -> DataFrame:
+        """The rows of the buckets that contexts(ctx) fall into; only their numbers, of which there are few, pass through the driver."""
+        wanted = sorted(r[0] for r in contexts.select(_bucket(F.col("ctx"), self.buckets)).distinct().collect())
+        return self.spark.read.schema("ctx array<string>, next string, p double, bucket int").parquet(self.path).where(F.col("bucket").isin(wanted)).drop("bucket")
+
+
+def _bucket(ctx: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(ctx), F.lit(buckets)).cast("int")
+
+
+def generate(requests: DataFrame, model: DataFrame | BucketedModel, max_ctx: int = 4, max_tokens: int = 40, temperature: float = 1.0, tries: int = 1, seed: int = 42) -> DataFrame:
     """request_id, try, tokens, text, status for requests(request_id, tokens).
 
     Each step draws from the longest matched context: the likeliest at temperature 0, else by Gumbel's trick with the
     md5 of seed, request, try, step and word, so equal calls agree. A draw of the end, no match, or max_tokens tokens
     ends a text; 'not_in_corpus' is a text whose seed matches nothing. Ties go to the first word, the end last.
-    Rounds end when no request is active; each is stored in the shared folder."""
+    Rounds end when no request is active; each is stored in the shared folder. A step reads the buckets of the model that
+    its contexts ask for; a model that isn't bucketed yet is, once."""
     keys = ["request_id", "try"]
-    active = requests.select("request_id", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("try"), "tokens")
+    model = model if isinstance(model, BucketedModel) else BucketedModel.build(model)
+    active = stored(requests.select("request_id", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("try"), "tokens"))
     done = None
     for step in range(max_tokens + 1):
         full = active.where(F.size("tokens") >= max_tokens).withColumn("status", F.lit("generated" if step else "full"))
         active = active.where(F.size("tokens") < max_tokens)
-        hits = longest_match(active, model, max_ctx, keys)
+        hits = longest_match(active, model.asked(wanted_contexts(active, max_ctx)), max_ctx, keys)
         if temperature <= 0:
             weight = F.col("p")
         else:
             weight = F.log("p") / temperature - F.log(-F.log(uniform(F.lit(seed), *[F.col(k) for k in keys], F.lit(step), F.coalesce("next", F.lit("")))))
-        best = W.partitionBy(*keys).orderBy(weight.desc(), F.col("next").asc_nulls_last())
-        drawn = hits.withColumn("r", F.row_number().over(best)).where("r = 1").select(*keys, "next", F.lit(True).alias("hit"))
+        # The best continuation by an aggregation, least struct first: a context of very many costs a row a request and task.
+        best = F.min(F.struct((-weight).alias("less"), F.col("next").isNull().alias("end"), "next"))
+        drawn = hits.groupBy(*keys).agg(best.alias("x")).select(*keys, "x.next", F.lit(True).alias("hit"))
         stepped = stored(active.join(drawn, keys, "left"))
         ended = stepped.where("next is null").select(*keys, "tokens", F.when(F.col("hit").isNull() & F.lit(step == 0), "not_in_corpus").otherwise("generated").alias("status"))
         ended = ended.unionByName(full)

@@ -71,7 +71,7 @@ def spread(df: DataFrame) -> DataFrame:
     and size are those that the session knows from planning; no name passes through the driver's Python."""
     spark = df.sparkSession
     cores, plan = spark.sparkContext.defaultParallelism, df._jdf.queryExecution().optimizedPlan()
-    if plan.stats().sizeInBytes().longValue() > SMALL_TABLE:
+    if int(plan.stats().sizeInBytes()) > SMALL_TABLE:
         return df
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 

@@ -292,7 +292,7 @@ g(request_id, toks, done, step, hit) AS (SELECT request_id, toks, false, 0, true
 SELECT request_id, array_to_string(toks, ' ') AS text, CASE WHEN step = 1 AND NOT hit THEN 'not_in_corpus' WHEN EXISTS (SELECT 1 FROM sents s WHERE s.sentence = array_to_string(g.toks, ' ')) THEN 'original' ELSE 'generated' END AS status FROM g WHERE done"""
 )
 def q_generate_argmax(spark, sf_dir):
-    m = stored(model(spark, sf_dir))
+    m = model(spark, sf_dir)
     g = generate.generate(requests(spark, sf_dir), m, max_ctx=2, max_tokens=12, temperature=0.0)
     g = g.withColumn("miss", F.col("status") == "not_in_corpus")
     g = generate.flag_known(g, sentences(spark, sf_dir))
@@ -307,7 +307,7 @@ def q_generate_argmax(spark, sf_dir):
 SELECT request_id, text, try, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY try)::INT AS rank FROM (SELECT request_id, array_to_string(toks, ' ') AS text, min(try)::INT AS try FROM g WHERE done GROUP BY 1, 2)) WHERE rank <= 2"""
 )
 def q_generate_sampled(spark, sf_dir):
-    m = stored(model(spark, sf_dir))
+    m = model(spark, sf_dir)
     return generate.candidates(requests(spark, sf_dir), m, k=2, max_ctx=2, max_tokens=8, temperature=0.8).select("request_id", "text", "try", F.col("rank").cast("int").alias("rank"))
 
 
@@ -654,7 +654,7 @@ FROM made JOIN reqs USING (request_id) LEFT JOIN found USING (request_id)"""
 )
 def q_generation_report(spark, sf_dir):
     s = sourced(spark, sf_dir)
-    m = stored(model(spark, sf_dir))
+    m = model(spark, sf_dir)
     r = generate.generation_report(requests(spark, sf_dir), m, s, k=1, max_ctx=2, max_tokens=6, temperature=0.0)
     return r.select("request_id", "text", F.col("primary.text").alias("made"), F.col("primary.status").alias("status"), "match_count")
 
