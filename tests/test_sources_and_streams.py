@@ -196,23 +196,31 @@ def test_stale_models_are_built_again(spark, tmp_path):
     assert stale() == "broken"
 
 
+def debounced(spark, tmp_path, batches, late):
+    """What the stream puts out over the batches of (event_id, user_id, seconds), a new start of the query for each."""
+    src, schema = str(tmp_path / "events"), "event_id long, user_id long, s long"
+    for i in range(1, len(batches) + 1):
+        rows = spark.createDataFrame(batches[i - 1], schema).select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+        rows.coalesce(1).write.mode("append").parquet(src)
+        events = spark.readStream.schema("event_id long, user_id long, ts timestamp").parquet(src)
+        out = streams.debounce_stream(events, "user_id", "ts", "event_id", "100 seconds", late)
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(180)
+    return sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").where("user_id >= 0").select("event_id", "user_id", F.unix_seconds("ts")).collect())
+
+
 def test_debounce_stream_equals_the_batch(spark, tmp_path):
-    """A late event of another key closes the watermark, so that every session is out."""
-    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", "ts")
-    end = e.agg((F.max("ts") + F.expr("interval 2 days")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), "ts")
-    src = str(tmp_path / "events")
-    e.coalesce(1).write.parquet(src)
-    out = streams.debounce_stream(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src), "user_id", "ts", "event_id")
-
-    def run():
-        out.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(180)
-
-    run()
-    for _ in range(2):  # the first raises the watermark, the second emits what it closed
-        end.write.mode("append").parquet(src)
-        run()
-    got = {(r.user_id, r.event_id, r.ts) for r in spark.read.parquet(f"{tmp_path}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect() if r.user_id >= 0}
-    assert got == {(r.user_id, r.event_id, r.ts) for r in streams.debounce(e, "user_id", "ts").collect()}
+    """Shuffled events with ties, over restarts; a far event of another key then closes the watermark."""
+    rng = random.Random(9)
+    rows = [(i, rng.randint(0, 3), 1_000_000 + rng.randint(0, 60) * rng.choice([7, 50])) for i in range(200)]
+    batch = spark.createDataFrame(rows, "event_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want = sorted((r.event_id, r.user_id, r.s) for r in streams.debounce(batch, "user_id", "ts", "100 seconds").collect())
+    cut = [rows[:70], rows[70:110], rows[110:], [(-1, -1, 9_000_000)], [(-2, -1, 9_000_001)]]
+    assert debounced(spark, tmp_path, cut, "1 hour") == want and len(want) > 4
+
+
+def test_events_behind_the_watermark_are_left_out(spark, tmp_path):
+    cut = [[(1, 0, 1000), (2, 0, 5000)], [(3, 0, 4950)], [(4, 0, 1050), (5, 0, 4910)], [(6, -1, 90_000)], [(7, -1, 90_001)]]
+    assert debounced(spark, tmp_path, cut, "10 minutes") == [(1, 0, 1000), (2, 0, 5000)]
 
 
 def test_sheets_of_several_files_keep_their_order(spark, tmp_path):

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import LongType, StructField, StructType
 
 from textloom.functions import text as T
 from textloom.operators import ngram, predict, segment
@@ -168,10 +170,58 @@ def debounce(events: DataFrame, key: str, ts: str, gap: str = "10 minutes") -> D
     return events.withColumn("next_ts", follows).where(F.col("next_ts").isNull() | (F.col("next_ts") >= F.col(ts) + F.expr(f"interval {gap}"))).drop("next_ts")
 
 
+class _LastOfGap(StatefulProcessor):
+    """Holds a key's events, by time, until no event that could follow within the gap can come any more: a timer for each one
+    at its time and the gap, which fires once the watermark is past it."""
+
+    def __init__(self, gap_us: int, schema: StructType):
+        self.gap, self.schema = gap_us, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", StructType([StructField("at", LongType())]), StructType([self.schema["value"]]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        for r in rows:
+            at = (r.at,)
+            # Of events at one time the one with the largest value is the last.
+            if not self.held.containsKey(at) or self.held.getValue(at)[0] < r.value:
+                self.held.updateValue(at, (r.value,))
+            self.handle.registerTimer(-(-(r.at + self.gap) // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 - self.gap
+        held = sorted((k[0], v[0]) for k, v in self.held.iterator())
+        for i, (at, value) in enumerate(held):
+            if at > passed:
+                break
+            if i + 1 == len(held) or held[i + 1][0] >= at + self.gap:
+                yield Row(key=key[0], at=at, value=value)
+            self.held.removeKey((at,))
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def debounce_stream(events: DataFrame, key: str, ts: str, value: str, gap: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Stream: the last value of each session, once the watermark has closed it."""
-    s = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    return s.groupBy(F.session_window(ts, gap), key).agg(F.max_by(value, ts).alias(value), F.max(ts).alias(ts)).drop("session_window")
+    """Stream: (key, value, ts) of each event that no other of its key follows within the gap, as debounce() finds them, once
+    the watermark says that none can; of events at one time the one with the largest value. Events up to late behind the
+    newest one may come in any order; later ones are left out. A key's state is its events of the last gap and that time.
+
+    State is kept by the RocksDB provider, which is set for the session, as keyed timers need it."""
+    spark = events.sparkSession
+    spark.conf.set(*STATE_STORE)
+    gap_us = spark.range(1).select(F.expr(f"unix_micros(timestamp_seconds(0) + interval {gap})")).first()[0]
+    e = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("t"), F.col(value).alias("value")).where("t is not null and value is not null")
+    e = e.withWatermark("t", late).withColumn("at", F.unix_micros("t"))
+    kinds = {f.name: f for f in e.schema.fields}
+    out = StructType([kinds["key"], StructField("at", LongType()), kinds["value"]])
+    done = e.groupBy("key").transformWithState(_LastOfGap(gap_us, e.schema), out, "Append", "EventTime")
+    return done.select(F.col("key").alias(key), F.col("value").alias(value), F.timestamp_micros("at").alias(ts))
 
 
 def stream_suggest(requests: DataFrame, model: DataFrame, dst: str, checkpoint: str, limit: int = 6) -> StreamingQuery:
