@@ -257,10 +257,23 @@ def test_segmentation(spark):
 def test_line_filter(spark):
     lines = ["the house : mba ŋga", "mba : ŋga", "the mba, le ŋ.", "the house", None, "mba ?! : the", "mba:, ŋ", "x ( mba"]
     df = spark.createDataFrame(list(enumerate(lines)), "line_id int, text string")
-    got = {r.line_id: r.text for r in segment.keep_words_v1(df, ["mba"], ["the", "le"], "ŋga").collect()}
+    words = lambda *ws: spark.createDataFrame([(w,) for w in ws], "word string")
+    got = {r.line_id: r.text for r in segment.keep_words_v1(df, words("mba", "", None, "mba"), words("the", "le"), "ŋga").collect()}
     assert got == {0: "mba ŋga", 1: "mba : ŋga", 2: "mba, ŋ.", 5: "mba ?!", 6: "mba, ŋ", 7: "( mba"} or got == {0: "mba ŋga", 1: "mba : ŋga", 2: "mba, ŋ.", 5: "mba ?!", 6: "mba, ŋ", 7: "( mba", 3: "x"}
 
 
+def test_line_filter_with_a_large_lexicon(spark):
+    """500,000 words, beyond what is broadcast: the same lines stay as with the words that occur."""
+    rng = random.Random(3)
+    lines = [" ".join(rng.choice(["w17", "W400001", "foo,", "the", "9", "w999999", ":", "x!"]) for _ in range(8)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id int, text string")
+    stop = spark.createDataFrame([("the",)], "word string")
+    big = spark.range(500_000).selectExpr("concat('w', id) as word")
+    few = spark.createDataFrame([("w17",), ("w400001",)], "word string")
+    run = lambda lex: {(r.line_id, r.text) for r in segment.keep_words_v1(df, lex, stop, "").collect()}
+    assert run(big) == run(few) and len(run(few)) > 20
+
+
 def test_lookups(spark):
     a = spark.createDataFrame([("ba", "1"), ("bá", "2"), ("bà", "3")], "word string, asset_id string")
     w = spark.createDataFrame([("bà",), ("bá",), ("bâ",), ("kò",)], "word string")

@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from textloom.operators import ngram, segment
+from textloom.operators import corpus, ngram, segment
 from textloom.sources import docx as docx_source
 from textloom.sources import readers, writers
 from textloom.streaming import streams
@@ -99,8 +99,8 @@ def test_model_round_trip_and_exports(spark, tmp_path):
     assert readers.load_model(spark, f"{tmp_path}/m", 2).count() == m.where("n = 2").count()
     source = F.array(F.struct(F.lit("f").alias("path"), F.lit("txt").alias("type"), F.lit("line 1").alias("reference")))
     s = s.withColumn("sources", source).withColumn("source_count", F.lit(1))
-    for f in (writers.export_sources, writers.export_unique, writers.export_document):
-        f(s, f"{tmp_path}/{f.__name__}")
+    for f, rows in ((writers.export_sources, corpus.source_rows(s)), (writers.export_unique, s), (writers.export_document, corpus.source_rows(s))):
+        f(rows, f"{tmp_path}/{f.__name__}")
         assert spark.read.text(f"{tmp_path}/{f.__name__}").count() >= 1
     writers.write_lines(s.select(F.col("sentence").alias("value")), f"{tmp_path}/bom", bom=True)
     part = next((tmp_path / "bom").glob("part-*"))
@@ -234,11 +234,11 @@ def test_sheets_of_several_files_keep_their_order(spark, tmp_path):
 def test_exports_line_by_line(spark, tmp_path):
     source = "array<struct<path:string,type:string,reference:string>>"
     s = spark.createDataFrame([("b a", ["b", "a"], [("f", "txt", "line 1"), ("g", "txt", "line 2")], 2), ("c, d", ["c,", "d"], [], 0), ("12", ["12"], [], 0)], f"sentence string, tokens array<string>, sources {source}, source_count int")
-    writers.export_sources(s, f"{tmp_path}/1")
+    writers.export_sources(corpus.source_rows(s), f"{tmp_path}/1")
     assert sorted(map(tuple, spark.read.csv(f"{tmp_path}/1", header=True).collect()), key=str) == [("b a", "2", "f", "txt", "line 1"), ("b a", "2", "g", "txt", "line 2"), ("c, d", "0", None, None, None)]
     writers.export_unique(s, f"{tmp_path}/2")
     assert sorted(map(tuple, spark.read.csv(f"{tmp_path}/2", header=True).collect())) == [("b a", "2"), ("c, d", "0")]
-    writers.export_document(s, f"{tmp_path}/3")
+    writers.export_document(corpus.source_rows(s), f"{tmp_path}/3")
     assert [r.value for r in spark.read.text(f"{tmp_path}/3").collect()] == ["b a", "  - f, line 1", "  - g, line 2", "c, d"]
     writers.write_clean_tree(spark.createDataFrame([("x", "p/a.txt", "txt"), ("y", "p/b.docx", "docx")], "text string, source_path string, source_type string"), f"{tmp_path}/4")
     assert {(r.text, r.source_file) for r in writers.clean_set(spark, f"{tmp_path}/4", "docx").collect()} == {("y", "b.clean")} and writers.clean_set(spark, f"{tmp_path}/4").count() == 2

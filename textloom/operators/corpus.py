@@ -57,31 +57,33 @@ def sentence_sources(records: DataFrame, rules: T.Rules = (), tone_rules: T.Rule
     return each.agg(F.min(_place()).alias("at"))
 
 
-def sentence_table(records: DataFrame, rules: T.Rules = (), tone_rules: T.Rules = (), phrases: list[str] = (), max_sources: int | None = None) -> DataFrame:
+def sentence_table(records: DataFrame, rules: T.Rules = (), tone_rules: T.Rules = (), phrases: list[str] = (), max_sources: int = 3) -> DataFrame:
     """sentence, first_rank, tokens, sources, source_count of the distinct cleaned sentences.
 
-    sources are the first max_sources distinct (path, reference, type) by arrival, all if it is None, which suits
-    corpora whose commonest line fits one row; source_count counts all. With a limit, tasks hand on no more than so
-    many sources of a sentence each."""
+    sources are the first max_sources distinct (path, reference, type) by arrival; source_count counts all, which
+    source_records() lists. Tasks hand on no more than so many sources of a sentence each."""
     each = sentence_sources(records, rules, tone_rules, phrases)
-    source = F.struct("at", "path", "reference", "type")
-    if max_sources is None:
-        s = each.groupBy("sentence").agg(F.min("at").alias("first_rank"), F.array_sort(F.collect_list(source)).alias("sources"), F.count("*").cast("int").alias("source_count"))
-    else:
-        first = W.partitionBy("sentence").orderBy("at", "path", "reference", "type")
-        top = each.withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_sources)
-        top = top.groupBy("sentence").agg(F.min("at").alias("first_rank"), F.array_sort(F.collect_list(source)).alias("sources"))
-        s = top.join(each.groupBy("sentence").agg(F.count("*").cast("int").alias("source_count")), "sentence")
+    first = W.partitionBy("sentence").orderBy("at", "path", "reference", "type")
+    top = each.withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_sources)
+    top = top.groupBy("sentence").agg(F.min("at").alias("first_rank"), F.array_sort(F.collect_list(F.struct("at", "path", "reference", "type"))).alias("sources"))
+    s = top.join(each.groupBy("sentence").agg(F.count("*").cast("int").alias("source_count")), "sentence")
     bare = F.transform("sources", lambda x: F.struct(x["path"].alias("path"), x["type"].alias("type"), x["reference"].alias("reference")))
     return s.select("sentence", "first_rank", T.split_words(F.col("sentence")).alias("tokens"), bare.alias("sources"), "source_count")
 
 
+def source_records(records: DataFrame, rules: T.Rules = (), tone_rules: T.Rules = (), phrases: list[str] = ()) -> DataFrame:
+    """sentence, source_count, path, type, reference: all sources of the sentences, a row each, none gathered into one row."""
+    each = stored(sentence_sources(records, rules, tone_rules, phrases))
+    counts = each.groupBy(F.col("sentence").alias("s")).agg(F.count("*").cast("int").alias("source_count"))
+    return each.join(counts, F.col("sentence") == F.col("s")).select("sentence", "source_count", "path", "type", "reference")
+
+
 def letters_only(sentences: DataFrame) -> DataFrame:
     return sentences.where(T.has_letter(F.col("sentence")))
 
 
 def source_rows(sentences: DataFrame) -> DataFrame:
-    """One row per sentence and source, source columns null where there is none."""
+    """The sources that a sentence table lists, a row each, source columns null where there is none."""
     s = sentences.select("sentence", "source_count", F.explode_outer("sources").alias("s"))
     return s.select("sentence", "source_count", F.col("s.path").alias("path"), F.col("s.type").alias("type"), F.col("s.reference").alias("reference"))
 

@@ -186,15 +186,18 @@ def group_by_language(spans: DataFrame) -> DataFrame:
     return p.select("line_id", *[texts(c).alias(c) for c in LABELS])
 
 
-def keep_language(lines: DataFrame, lexicon: DataFrame, settings: Settings = Settings(), rules: T.Rules = (), tone_rules: T.Rules = (), language: str = TARGET) -> DataFrame:
-    """line_id, text: the spans of one language joined, normalised, repeats collapsed; lines without any are left out."""
-    spans = merge_spans(smooth_labels(label_tokens(lines, lexicon, settings), settings.score_threshold)).where(F.col("language") == language)
-    joined = spans.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("span_no", "text"))).alias("x"))
+def _kept(spans: DataFrame, rules: T.Rules, tone_rules: T.Rules, language: str) -> DataFrame:
+    joined = spans.where(F.col("language") == language).groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("span_no", "text"))).alias("x"))
     text = T.clean_document(F.array_join(F.transform("x", lambda x: x["text"]), " "), rules, tone_rules)
     out = joined.select("line_id", text.alias("text"))
     return out.select("line_id", T.detokenize(T.collapse_repeats(T.tokenize(F.col("text")))).alias("text")).where("text <> ''")
 
 
+def keep_language(lines: DataFrame, lexicon: DataFrame, settings: Settings = Settings(), rules: T.Rules = (), tone_rules: T.Rules = (), language: str = TARGET) -> DataFrame:
+    """line_id, text: the spans of one language joined, normalised, repeats collapsed; lines without any are left out."""
+    return _kept(merge_spans(smooth_labels(label_tokens(lines, lexicon, settings), settings.score_threshold)), rules, tone_rules, language)
+
+
 def filter_records(records: DataFrame, lexicon: DataFrame, settings: Settings = Settings(), rules: T.Rules = (), tone_rules: T.Rules = ()) -> DataFrame:
     """Records of a directory with their target-language text only and their provenance; records without any are left out."""
     r = records.withColumn("line_id", F.struct("source_rank", "source_path", "source_type", "reference"))
@@ -202,13 +205,14 @@ def filter_records(records: DataFrame, lexicon: DataFrame, settings: Settings =
     return r.drop("text").join(kept, "line_id").select(*records.columns)
 
 
-def segment_report(lines: DataFrame, lexicon: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """line_id, tokens, spans, grouped texts by language and the target text only."""
-    tokens = smooth_labels(label_tokens(lines, lexicon, settings), settings.score_threshold)
-    spans = merge_spans(tokens)
+def segment_report(lines: DataFrame, lexicon: DataFrame, settings: Settings = Settings(), rules: T.Rules = (), tone_rules: T.Rules = ()) -> DataFrame:
+    """line_id, tokens, spans, grouped texts by language and the target text only. Lines are classified once; their labelled
+    tokens and spans are stored, and the parts of the report are read from these."""
+    tokens = stored(smooth_labels(label_tokens(lines, lexicon, settings), settings.score_threshold))
+    spans = stored(merge_spans(tokens))
     t = tokens.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "label"))).alias("tokens"))
     s = spans.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("span_no", "language", "text"))).alias("spans"))
-    kept = keep_language(lines, lexicon, settings).withColumnRenamed("text", "target_only")
+    kept = _kept(spans, rules, tone_rules, TARGET).withColumnRenamed("text", "target_only")
     return t.join(s, "line_id", "left").join(group_by_language(spans), "line_id", "left").join(kept, "line_id", "left")
 
 
@@ -223,26 +227,43 @@ def union_lexicons(frequent: DataFrame, strict: DataFrame) -> DataFrame:
     return both.groupBy("word").agg(F.max("s").alias("is_strict"))
 
 
-def keep_words_v1(lines: DataFrame, lexicon: list[str], stopwords: list[str], base_chars: str) -> DataFrame:
-    """The earlier line filter over lines(line_id, text): line_id, text.
+def word_types_v1(tokens: DataFrame, lexicon: DataFrame, stopwords: DataFrame, base_chars: str) -> DataFrame:
+    """token, hit and foreign of tokens(token): each distinct one is looked up once, by joins with lexicon(word) and
+    stopwords(word) of any size. A token in the lexicon or with one of base_chars is a hit; one that isn't in the lexicon is
+    foreign if it is a stopword or has one or two characters, all ASCII. Tokens with punctuation or symbols are neither."""
+    t = tokens.select("token").distinct().withColumn("core", F.regexp_replace(F.lower("token"), '^["«»]+|["«»]+$', ""))
+    listed = lambda words, name: broadcast_if_small(stored(words.select(F.col("word").alias("core")).where("core <> ''").distinct())).withColumn(name, F.lit(True))
+    t = t.join(listed(lexicon, "known"), "core", "left").join(listed(stopwords, "stop"), "core", "left")
+    is_word = ~F.col("token").rlike(f"[{T.P_OR_S}]") & (F.col("core") != "")
+    known, stop = F.coalesce("known", F.lit(False)), F.coalesce("stop", F.lit(False))
+    hit = known | (F.col("core").rlike(f"[{base_chars}]") if base_chars else F.lit(False))
+    return t.select("token", (is_word & hit).alias("hit"), (is_word & ~known & (stop | F.col("core").rlike(r"^[\x00-\x7f]{1,2}$"))).alias("foreign"))
+
+
+def keep_words_v1(lines: DataFrame, lexicon: DataFrame, stopwords: DataFrame, base_chars: str) -> DataFrame:
+    """The earlier line filter over lines(line_id, text): line_id, text; lexicon(word) and stopwords(word) are tables.
 
     With ' : ' the side where the target dominates (both: the line); else target words and the punctuation next to
     them. A mark is kept after a kept token or before a kept word, a colon only between both; marks already kept count
-    as kept tokens for the next one. Lines that keep nothing are left out."""
-    core = lambda t: F.regexp_replace(F.lower(t), '^["«»]+|["«»]+$', "")
-    word = lambda t: ~t.rlike(f"[{T.P_OR_S}]") & (t != "")
-    target = lambda t: (core(t) != "") & (core(t).isin(*lexicon, "\x00") | core(t).rlike(f"[{base_chars}]"))
-    foreign = lambda t: (core(t) != "") & ~core(t).isin(*lexicon, "\x00") & (core(t).isin(*stopwords, "\x00") | core(t).rlike(r"^[\x00-\x7f]{1,2}$"))
-    count = lambda ts, test: F.size(F.filter(ts, lambda t: word(t) & test(t)))
-    dominant = lambda s: T.let(T.tokenize_edges(s), lambda ts: (count(ts, target) > 0) & (count(ts, target) >= count(ts, foreign)))
+    as kept tokens for the next one. Lines that keep nothing are left out. line_ids are unique; lines are stored with
+    their tokens, whose distinct types are classified once and broadcast while they are few."""
     d = lines.select("line_id", F.trim(F.coalesce("text", F.lit(""))).alias("line"))
-    d = d.withColumn("l", F.trim(F.regexp_extract("line", r"(?s)^(.*?)\s:\s(.*)$", 1))).withColumn("r", F.trim(F.regexp_extract("line", r"(?s)^(.*?)\s:\s(.*)$", 2)))
-    sided = d.where("l <> '' and r <> ''").withColumn("lt", dominant(F.col("l"))).withColumn("rt", dominant(F.col("r")))
-    side = F.when(F.col("lt") & ~F.col("rt"), F.col("l")).when(F.col("rt") & ~F.col("lt"), F.col("r")).when(F.col("lt") & F.col("rt"), F.col("line"))
-    decided = sided.select("line_id", side.alias("text")).where("text is not null")
-    rest = d.join(decided.select("line_id"), "line_id", "left_anti").select("line_id", F.posexplode(T.tokenize_edges(F.col("line"))).alias("pos", "token"))
+    side = lambda i: F.trim(F.regexp_extract("line", r"(?s)^(.*?)\s:\s(.*)$", i))
+    d = stored(d.withColumn("l", side(1)).withColumn("r", side(2)).withColumn("tokens", T.tokenize_edges(F.col("line"))))
+    both = "l <> '' and r <> ''"
+    types = d.select(F.explode("tokens").alias("token"))
+    types = types.unionByName(d.where(both).select(F.explode(F.concat(T.tokenize_edges(F.col("l")), T.tokenize_edges(F.col("r")))).alias("token")))
+    types = broadcast_if_small(stored(word_types_v1(types, lexicon, stopwords, base_chars)))
+    tagged = lambda c: F.transform(T.tokenize_edges(F.col(c)), lambda t: F.struct(F.lit(c).alias("side"), t.alias("token")))
+    sided = d.where(both).select("line_id", F.inline(F.concat(tagged("l"), tagged("r")))).join(types, "token")
+    count = lambda c, kind: F.count_if((F.col("side") == c) & F.col(kind))
+    sums = sided.groupBy("line_id").agg(*[count(c, k).alias(f"{c}_{k}") for c in "lr" for k in ("hit", "foreign")])
+    wins = lambda c: (F.col(f"{c}_hit") > 0) & (F.col(f"{c}_hit") >= F.col(f"{c}_foreign"))
+    sums = sums.select("line_id", wins("l").alias("lt"), wins("r").alias("rt")).where("lt or rt")
+    decided = stored(d.join(sums, "line_id").select("line_id", F.when(~F.col("rt"), F.col("l")).when(~F.col("lt"), F.col("r")).otherwise(F.col("line")).alias("text")))
+    rest = d.join(decided.select("line_id"), "line_id", "left_anti").select("line_id", F.posexplode("tokens").alias("pos", "token")).join(types.select("token", "hit"), "token")
     t = F.col("token")
-    rest = rest.withColumn("mark", t.rlike(f"^[{T.P_OR_S}]+$")).withColumn("hit", F.coalesce(word(t) & target(t), F.lit(False)))
+    rest = rest.withColumn("mark", t.rlike(f"^[{T.P_OR_S}]+$"))
     by = W.partitionBy("line_id").orderBy("pos")
     before = by.rowsBetween(W.unboundedPreceding, -1)
     # Marks follow a kept token while no colon has come between; a colon is kept only just before a word.

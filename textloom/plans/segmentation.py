@@ -255,7 +255,8 @@ SELECT line_id, text FROM (SELECT * FROM decided UNION ALL SELECT * FROM k) WHER
 def q_line_filter_v1(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     d = d.select(_name("d", "doc_id", "line_no"), "text")
-    return segment.keep_words_v1(d, LEX_V1, STOP_V1, CHARS_V1)
+    words = lambda ws: spark.createDataFrame([(w,) for w in ws], "word string")
+    return segment.keep_words_v1(d, words(LEX_V1), words(STOP_V1), CHARS_V1)
 
 
 @query(rf"WITH w AS (SELECT unnest(list_concat([w], string_split(w, ' '))) AS x FROM (SELECT trim(lower({norm_sql('text')})) AS w FROM benchmark)) SELECT DISTINCT regexp_replace(x, '^[\"“”«»]+|[\"“”«»]+$', '', 'g') AS word FROM w WHERE regexp_replace(x, '^[\"“”«»]+|[\"“”«»]+$', '', 'g') <> ''")

@@ -169,7 +169,7 @@ LETTERS = r"regexp_matches(sentence, '\pL')"
 @query(f"WITH {RECORDS}, u AS (SELECT sentence, path, reference FROM recs WHERE sentence <> '' GROUP BY ALL) SELECT sentence, count(*) OVER (PARTITION BY sentence)::INT AS source_count, path, reference FROM u WHERE {LETTERS}")
 def q_export_sources(spark, sf_dir):
     path = new_path(spark, "files")
-    writers.export_sources(corpus.sentence_table(records(spark, sf_dir)), path)
+    writers.export_sources(corpus.source_records(records(spark, sf_dir)), path)
     return spark.read.csv(path, header=True, schema="sentence string, source_count int, path string, type string, reference string").drop("type")
 
 
@@ -186,7 +186,7 @@ SELECT value, count(*) AS cnt FROM (SELECT '  - ' || path || ', ' || reference A
 )
 def q_export_document(spark, sf_dir):
     path = new_path(spark, "files")
-    writers.export_document(corpus.sentence_table(records(spark, sf_dir)), path)
+    writers.export_document(corpus.source_records(records(spark, sf_dir)), path)
     return spark.read.text(path).groupBy("value").agg(F.count("*").alias("cnt"))
 
 

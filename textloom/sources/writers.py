@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators.corpus import letters_only, source_rows
+from textloom.operators.corpus import letters_only
 from textloom.operators.lexical import lexical_summary, top_words
 from textloom.operators.shared import stored
 
@@ -44,18 +44,23 @@ def write_shortcuts(shortcuts: DataFrame, path: str) -> None:
     shortcuts.orderBy("row_no").select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def export_sources(sentences: DataFrame, path: str) -> None:
-    source_rows(letters_only(sentences)).orderBy("sentence", "path", "reference").write.mode("overwrite").csv(path, header=True)
+def export_sources(rows: DataFrame, path: str) -> None:
+    """rows(sentence, source_count, path, type, reference) in order, as corpus.source_records() or source_rows() give them."""
+    letters_only(rows).orderBy("sentence", "path", "reference").write.mode("overwrite").csv(path, header=True)
 
 
 def export_unique(sentences: DataFrame, path: str) -> None:
     letters_only(sentences).select("sentence", "source_count").orderBy("sentence").write.mode("overwrite").csv(path, header=True)
 
 
-def export_document(sentences: DataFrame, path: str) -> None:
-    """Each sentence, then its sources indented."""
-    s = letters_only(sentences).select("sentence", F.transform("sources", lambda x: F.concat(F.lit("  - "), x["path"], F.lit(", "), x["reference"])).alias("s")).orderBy("sentence")
-    s.select(F.concat_ws("\n", F.array("sentence"), "s").alias("value")).write.mode("overwrite").text(path)
+def export_document(rows: DataFrame, path: str) -> None:
+    """Each sentence, then its sources indented, from rows as export_sources() takes them. Lines are sorted as rows, so a
+    sentence of very many sources may fill any number of tasks."""
+    r = letters_only(rows)
+    heads = r.select("sentence").distinct().select("sentence", F.lit(0).alias("part"), F.lit("").alias("path"), F.lit("").alias("reference"), F.col("sentence").alias("value"))
+    line = F.concat(F.lit("  - "), "path", F.lit(", "), "reference")
+    below = r.where("path is not null").select("sentence", F.lit(1).alias("part"), "path", "reference", line.alias("value"))
+    heads.unionByName(below).orderBy("sentence", "part", "path", "reference").select("value").write.mode("overwrite").text(path)
 
 
 def export_lexical(counts: DataFrame, path: str, k: int = 100) -> None:
