@@ -52,7 +52,7 @@ def agrees(df):
     return want
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 255, 257])
+@pytest.mark.parametrize("n", [1, 2, 3, 1023, 1025])
 def test_sizes_around_a_stride(spark, n):
     agrees(spark.createDataFrame([(i, "x" * (i % 5), "en", "a", i) for i in range(n)], SCHEMA))
 
@@ -68,9 +68,11 @@ def test_edge_documents(spark, edge_docs, no_docs):
     assert op12_manifest.manifest(no_docs).count() == 0
 
 
-def test_three_strides(spark):
-    """70,000 leaves: three strides below the top, so the query climbs stored rows of upper levels twice."""
-    df = spark.range(70_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.col("id").alias("n_chars"))
+@pytest.mark.parametrize("n", [63, 64, 65, 3000])
+def test_several_strides(spark, monkeypatch, n):
+    """Up to six strides of two levels: the query climbs stored rows of upper levels again and again."""
+    monkeypatch.setattr(op12_manifest, "STRIDE", 2)
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.col("id").alias("n_chars"))
     agrees(df)
     assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "1000000"
 

@@ -1,8 +1,8 @@
 """Merkle manifest of documents: levels built block by block and stored as parent-linked rows, climbed by a recursive query.
 
 Leaves are sorted by tree (one for each language) and doc_id over all tasks and numbered by partition. The tree is built
-eight levels at a time: the up to 256 nodes under one ancestor are one row of a shuffle, whose hashes fold in place. What is
-stored is a row for each node of every eighth level: its hash, the ancestor it is linked to, and the siblings on the way
+ten levels at a time: the up to 1,024 nodes under one ancestor are one row of a shuffle, whose hashes fold in place. What is
+stored is a row for each node of every tenth level: its hash, the ancestor it is linked to, and the siblings on the way
 there. The top of each language's tree is linked to its leaf in a last tree of the languages, so the recursive query needs
 one rule: join a row to its ancestor's, append that one's siblings, fold the hash over them, until there is no ancestor."""
 
@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from textloom.llm.work import broadcast_if_small, crc32_sql, stored, table
 
 #: Levels from a stored row to the ancestor it is linked to.
-STRIDE = 8
+STRIDE = 10
 #: The number of the tree of the languages; theirs are counted from 1.
 TOP = 0
 
@@ -94,7 +94,7 @@ def blocks(level: DataFrame, sizes: DataFrame, depth: int, top: Column, payload:
 def build(rows: DataFrame, trees: DataFrame, top: Column, payload: list[str] = ()) -> tuple[list[DataFrame], DataFrame]:
     """The stored NODE rows over leaves rows(tree, pos, hash, *payload), a table for every STRIDE levels, the first one with
     the payload, and the tops (tree, hash). trees(tree, n): numbers of leaves. A level is folded from the stored rows below,
-    so a round is one shuffle of a 256th of the nodes of the round before."""
+    so a round is one shuffle of a 1,024th of the nodes of the round before."""
     # Halvings of n, rounded up, until one is left: the binary digits of n - 1.
     sizes = broadcast_if_small(trees.select("tree", F.when(F.col("n") > 1, F.length(F.bin(F.col("n") - 1))).otherwise(0).alias("steps")))
     most = sizes.agg(F.max("steps")).first()[0] or 0
