@@ -2,7 +2,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from textloom.plans import functions, segmentation, sources  # noqa: F401
+from textloom.plans import functions, segmentation, sources, streams  # noqa: F401
 from textloom.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"

@@ -65,10 +65,10 @@ def q_read_docx(spark, sf_dir):
     return r.select(F.regexp_extract("source_path", r"([^/]*)\.docx$", 1).cast("long").alias("doc_id"), "reference", "text")
 
 
-@query(f"WITH {RECORDS}, {LEX} SELECT DISTINCT word FROM wc WHERE length(word) % 5 <> 0")
+@query(f"WITH {RECORDS}, {LEX} SELECT DISTINCT word FROM wc")
 def q_read_lexicon(spark, sf_dir):
     """A CSV whose keyword is blank for some words and another column stands in for it."""
-    w = words(spark, sf_dir).select("word").distinct().where(F.length("word") % 5 != 0)
+    w = words(spark, sf_dir).select("word").distinct()
     path = new_path(spark, "files")
     w.select(F.when(F.length("word") % 2 == 0, F.col("word")).alias("keyword"), F.lit("x").alias("note"), F.when(F.length("word") % 2 == 1, F.col("word")).alias("audio_file")).write.csv(path, header=True)
     return readers.read_lexicon(spark, path)
@@ -116,6 +116,16 @@ def q_shortcut_files(spark, sf_dir):
     return good.select("key", "value", "removed")
 
 
+@query(f"WITH {RECORDS}, {LEX}, {KEYS} SELECT key AS line, count(*) AS cnt FROM keys WHERE length(key) % 2 = 1 GROUP BY 1 UNION ALL SELECT key || ' =', count(*) FROM keys WHERE length(key) = 4 GROUP BY 1")
+def q_shortcut_errors(spark, sf_dir):
+    """Shortcut files in which some lines have no separator and some no value: these are reported, comments aren't."""
+    k = keys(spark, sf_dir)
+    bad = k.where(F.length("key") % 2 == 1).select(F.col("key").alias("value")).unionByName(k.where(F.length("key") == 4).select(F.concat("key", F.lit(" =")).alias("value")))
+    good = k.where(F.length("key") == 6).select(F.concat("key", F.lit("=>"), "value").alias("value")).unionByName(k.select(F.concat(F.lit("# "), "key").alias("value")))
+    _, wrong = readers.read_shortcuts(spark, _written(bad.unionByName(good)))
+    return wrong.groupBy("line").agg(F.count("*").alias("cnt"))
+
+
 @query("SELECT o_custkey || '-' || o_orderkey AS verb, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority WHEN o_orderstatus = 'O' THEN o_orderpriority || ', ' || o_orderstatus ELSE '—' END AS gloss FROM orders")
 def q_read_verbs(spark, sf_dir):
     """Orders as a JSON list per file: a translation, a list of glosses, or neither."""

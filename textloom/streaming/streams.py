@@ -25,10 +25,10 @@ def _batches(source: DataFrame, checkpoint: str, each: Callable[[DataFrame, int]
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_keep_language(spark: SparkSession, src: str, dst: str, checkpoint: str, lexicon: DataFrame, settings: segment.Settings = segment.Settings()) -> StreamingQuery:
+def stream_keep_language(spark: SparkSession, src: str, dst: str, checkpoint: str, lexicon: DataFrame, settings: segment.Settings = segment.Settings(), files_per_batch: int = 1000) -> StreamingQuery:
     """Lines of text files to their target-language text, equal lines each on its own; each batch overwrites its own folder,
     so a retried batch isn't written twice."""
-    lines = spark.readStream.text(src)
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(src)
 
     def each(df: DataFrame, batch: int) -> None:
         # Stored, so that a row's number is the same wherever the filter reads it.
