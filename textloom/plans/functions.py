@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import expand, lexical, segment
+from textloom.operators import expand, lexical, lookup, segment
 from textloom.plans.queries import CAL, KEYS, LEX, RECORDS, _calendar, clean_sql, edges_sql, keys, query, sentences, table, words
 
 #: Small invented parameter tables.
@@ -92,6 +92,18 @@ def q_asset_urls(spark, sf_dir):
     return w.select("word", T.asset_url(key, "https://x.test/a/").alias("url"), T.safe_name(F.col("word")).alias("name"))
 
 
+_ENCODED = "replace(replace(url_encode(word), '%2A', '*'), '~', '%7E')"
+
+
+@query(
+    f"""WITH {RECORDS}, {LEX} SELECT word, 'https://x.test/api/' || {_ENCODED} || ' https://x.test/s/' || replace({_ENCODED}, '%2F', '/') || '.mp3 https://x.test/s/' || md5(word) || '.mp3' AS urls FROM wc"""
+)
+def q_candidate_urls(spark, sf_dir):
+    """Where the asset of each word may be, best first."""
+    urls = lookup.candidate_urls(F.col("word"), F.md5(F.col("word").cast("binary")), "https://x.test/api", "https://x.test/s/")
+    return vocabulary(spark, sf_dir).select("word", F.array_join(urls, " ").alias("urls"))
+
+
 @query("SELECT doc_id, right(text, 240) AS context FROM documents")
 def q_trim_context(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.trim_context(F.col("text"), 240).alias("context"))
@@ -116,11 +128,12 @@ def q_unescape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.unescape(c).alias("unescaped"))
 
 
-@query(r"SELECT doc_id, text AS decoded FROM documents WHERE regexp_matches(text, '^[\x00-\x{ff}]*$')")
+@query("SELECT doc_id, text AS decoded FROM documents")
 def q_decode_bytes(spark, sf_dir):
-    """Even documents come as UTF-8 with a byte-order mark, odd ones as Latin-1."""
-    d = table(spark, sf_dir, "documents").where(r"text rlike '^[\\x00-\\xff]*$'")
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode(F.concat(F.lit("﻿"), "text"), "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
+    """Even documents, and those that Latin-1 can't hold, come as UTF-8 with a byte-order mark, the others as Latin-1."""
+    d = table(spark, sf_dir, "documents")
+    narrow = F.col("text").rlike(r"^[\x00-\xff]*$")
+    raw = F.when((F.col("doc_id") % 2 == 0) | ~narrow, F.encode(F.concat(F.lit("﻿"), "text"), "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
     return d.select("doc_id", T.decode_bytes(raw).alias("decoded"))
 
 
