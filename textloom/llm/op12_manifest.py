@@ -152,7 +152,8 @@ def manifest(docs: DataFrame) -> DataFrame:
     rows = rows.select("tree", "pos", F.unhex("leaf").alias("hash"), "doc_id", F.unhex("tampered").alias("tampered"))
     of_languages = F.struct(F.lit(TOP).cast("long").alias("tree"), (F.col("tree") - 1).alias("pos"))
     nodes, subroots = build(rows, trees, of_languages, ["doc_id", "tampered"])
-    above = subroots.select(F.lit(TOP).cast("long").alias("tree"), (F.col("tree") - 1).alias("pos"), "hash")
+    # Stored, so that the join with the one tree's size is an equi-join and not one with a constant.
+    above = stored(subroots.select(F.lit(TOP).cast("long").alias("tree"), (F.col("tree") - 1).alias("pos"), "hash"))
     none = F.lit(None).cast("long")
     last, roots = build(above, above.groupBy("tree").agg(F.count("*").alias("n")), F.struct(none.alias("tree"), none.alias("pos")))
     upper = last[0]
