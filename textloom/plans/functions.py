@@ -25,11 +25,13 @@ def vocabulary(spark, sf_dir) -> DataFrame:
     return words(spark, sf_dir).select("word").distinct()
 
 
-@query("SELECT doc_id, text AS repaired FROM documents")
+@query("SELECT doc_id, text AS repaired, text AS plain, true AS kept FROM documents")
 def q_repair_text(spark, sf_dir):
-    """Every text is damaged (UTF-8 read as Latin-1) and must come back as it was."""
+    """Every damaged text (UTF-8 read as Latin-1) must come back as it was; undamaged ones, and damaged ones with a letter that no Latin-1 text holds, are kept."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.repair_mojibake(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).alias("repaired"))
+    damaged = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    mixed = F.concat(damaged, F.lit("\u2126"))
+    return d.select("doc_id", T.repair_mojibake(damaged).alias("repaired"), T.repair_mojibake(F.col("text")).alias("plain"), (T.repair_mojibake(mixed) == mixed).alias("kept"))
 
 
 _FIRST = "regexp_replace(word, '[aeiou]', CASE regexp_extract(word, '[aeiou]') " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LOW.items()) + " ELSE '' END)"
@@ -80,21 +82,20 @@ def q_spelling_category(spark, sf_dir):
     return vocabulary(spark, sf_dir).select("word", T.spelling_category(F.col("word"), SPELLINGS).alias("x")).select("word", "x.*")
 
 
+_ENCODED = "replace(replace(url_encode(word), '%2A', '*'), '~', '%7E')"
+
+
 @query(
-    rf"""WITH {RECORDS}, {LEX}, a AS (SELECT word, strip_accents(word) AS flat FROM wc WHERE regexp_matches(word, '^[\pL\pN]+$')) SELECT word, 'https://x.test/a/' || md5(word) || '/' || url_encode(word) AS url, flat AS name
-FROM a WHERE regexp_matches(flat, '^[\x00-\x7f]*$')"""
+    rf"""WITH {RECORDS}, {LEX}, a AS (SELECT word, regexp_replace(regexp_replace(regexp_replace(strip_accents(word), '[^\x00-\x7f]', '', 'g'), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS flat FROM wc)
+SELECT word, 'https://x.test/a/' || md5(word) || '/' || replace({_ENCODED}, '%2F', '/') AS url, coalesce(nullif(flat, ''), 'file') AS name FROM a"""
 )
 def q_asset_urls(spark, sf_dir):
-    """Where an asset of each plain word would be stored; words with letters that have no ASCII base are left to the tests."""
-    w = vocabulary(spark, sf_dir).where(r"word rlike '^[\\p{L}\\p{N}]+$'")
-    w = w.withColumn("flat", F.translate(T.unicode_form(F.col("word"), "NFD"), "".join(map(chr, range(0x300, 0x370))), "")).where(r"flat rlike '^[\\x00-\\x7f]*$'")
+    """Where an asset of each word would be stored."""
+    w = vocabulary(spark, sf_dir)
     key = F.concat(F.md5(F.col("word").cast("binary")), F.lit("/"), "word")
     return w.select("word", T.asset_url(key, "https://x.test/a/").alias("url"), T.safe_name(F.col("word")).alias("name"))
 
 
-_ENCODED = "replace(replace(url_encode(word), '%2A', '*'), '~', '%7E')"
-
-
 @query(
     f"""WITH {RECORDS}, {LEX} SELECT word, 'https://x.test/api/' || {_ENCODED} || ' https://x.test/s/' || replace({_ENCODED}, '%2F', '/') || '.mp3 https://x.test/s/' || md5(word) || '.mp3' AS urls FROM wc"""
 )
@@ -119,13 +120,21 @@ def q_normalize_key(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.normalize_key(raw, FIXES).alias("key"))
 
 
-@query("SELECT doc_id, text AS unescaped FROM documents")
+def _read_escapes_sql(c: str) -> str:
+    for a, b in ((r"'\\'", "chr(0)"), (r"""'\"'""", """'"'"""), (r"'\n'", "chr(10)"), (r"'\r'", "chr(13)"), (r"'\t'", "chr(9)"), ("chr(0)", r"'\'")):
+        c = f"replace({c}, {a}, {b})"
+    return c
+
+
+@query(rf"""SELECT doc_id, text AS unescaped, {_read_escapes_sql(r"replace(replace(replace(text, 'n', '\n'), 'e', '\e'), 't', '\\t')")} AS mixed, {_read_escapes_sql("text")} AS plain FROM documents""")
 def q_unescape(spark, sf_dir):
-    """Texts with their backslashes, quotes and line ends escaped, read again."""
-    c = F.col("text")
+    """Texts whose backslashes, quotes and line ends are escaped, texts with known, unknown and doubled escapes, and texts as they are."""
+    escaped, mixed = F.col("text"), F.col("text")
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return table(spark, sf_dir, "documents").select("doc_id", T.unescape(c).alias("unescaped"))
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
+    for a, b in (("n", "\\n"), ("e", "\\e"), ("t", "\\\\t")):
+        mixed = F.replace(mixed, F.lit(a), F.lit(b))
+    return table(spark, sf_dir, "documents").select("doc_id", T.unescape(escaped).alias("unescaped"), T.unescape(mixed).alias("mixed"), T.unescape(F.col("text")).alias("plain"))
 
 
 @query("SELECT doc_id, text AS decoded FROM documents")

@@ -476,9 +476,9 @@ def q_key_overlap(spark, sf_dir):
     return lookup.key_overlap(k.where(F.col("key").startswith("a")), k.where(F.length("key") == 4))
 
 
-@query(f"WITH {RECORDS}, {LEX} SELECT value FROM (SELECT DISTINCT word AS value FROM wc WHERE regexp_matches(word, '^[a-z]{{1,4}}$')) ORDER BY length(value), encode(value) LIMIT 96")
+@query(f"WITH {RECORDS}, {LEX} SELECT value FROM (SELECT DISTINCT word AS value FROM wc WHERE length(word) <= 4) ORDER BY length(value), icu_sort_key(value, 'root'), encode(value) LIMIT 96")
 def q_insert_palette(spark, sf_dir):
-    return lexical.insert_palette(words(spark, sf_dir).where(r"word rlike '^[a-z]{1,4}$'").select(F.col("word").alias("value")))
+    return lexical.insert_palette(words(spark, sf_dir).select(F.col("word").alias("value")))
 
 
 CAL = "cal AS (SELECT o_orderdate::DATE AS day, 'market day, ' || count(*) AS text FROM orders GROUP BY 1)"
