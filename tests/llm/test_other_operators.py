@@ -33,6 +33,15 @@ def test_language_of_held_out_documents(spark):
     assert len(out) > 200 and sum(r.lang == r.want for r in out) >= 0.97 * len(out)
 
 
+def test_language_column_with_many_values(spark):
+    rows = [(i, f"die und der {i}", "de") for i in range(6)] + [(10 + i, f"the and of {i}", "en") for i in range(5)] + [(20 + i, f"zzq qxx {i}", f"x{i}") for i in range(9)]
+    docs = spark.createDataFrame([*rows, (40, None, "x0"), (41, "the", None)], "doc_id long, text string, lang string")
+    few, all_ = op2_language.TextModel(docs, languages=2), op2_language.TextModel(docs, languages=11)
+    assert few.langs == ["de", "en", "other"] and len(all_.langs) == 11 and op2_language.TextModel(docs).langs == all_.langs
+    out = op2_language.identify(op2_language.document_evidence(docs.withColumn("source", F.lit(None).cast("string"))), few).collect()
+    assert len(out) == 22 and {r.text_lang for r in out if 20 <= r.doc_id < 40} == {"other"}
+
+
 def plain_fusion(rows, model):
     """rows of (id, text, declared, suffix, host, domain): the same fusion in plain Python."""
     import numpy as np

@@ -21,6 +21,8 @@ from textloom.llm.work import broadcast_if_small, stored, table
 BUCKETS, HOST_WEIGHT, DOMAIN_WEIGHT = 1 << 14, 5.0, 20.0
 #: Trigrams of a text repeat each other's evidence: all are read, but their mean log-likelihood counts as that of so many at most.
 EVIDENCE = 60
+#: Languages with counts of their own; where the column holds more values, those of fewer documents are counted together as OTHER.
+LANGUAGES, OTHER = 500, "other"
 #: Fixed: country domains that suggest a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 MARKUP = r"(?is)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})"
@@ -41,15 +43,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(counts[at])], ["lang", "bucket", "n"])
 
 
+def pooled(docs: DataFrame, n: int) -> DataFrame:
+    """docs(lang, text) with at most n languages and OTHER: those of the most documents (ties: the first by name) keep their names."""
+    most = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(n + 1).collect()  # n + 1 names
+    return docs if len(most) <= n else docs.withColumn("lang", F.when(F.col("lang").isin([r.lang for r in most[:n]]), F.col("lang")).otherwise(OTHER))
+
+
 class TextModel:
-    """log P(trigram | language); one row of BUCKETS floats per language."""
+    """log P(trigram | language); one row of BUCKETS floats per language, of which pooled() leaves a bounded number."""
 
-    def __init__(self, docs: DataFrame, lang_col: str = "lang", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, lang_col: str = "lang", text_col: str = "text", languages: int = LANGUAGES):
         d = docs.select(F.lower(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-        rows = d.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+        rows = pooled(d, languages).mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
         self.langs = sorted({r.lang for r in rows}) or ["und"]
         counts = np.full((len(self.langs), BUCKETS), 0.5)
-        for r in rows:  # languages x BUCKETS at most
+        for r in rows:  # (LANGUAGES + 1) x BUCKETS at most
             counts[self.langs.index(r.lang), r.bucket] += r.n
         self.log_p = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
