@@ -275,6 +275,19 @@ def q_suggest_display_merge(spark, sf_dir):
     return predict.suggest(r, asked_model(spark, sf_dir, r), 6, 2).select("request_id", "word", F.round("score", 9).alias("score"), "rank")
 
 
+@query(
+    rf"""WITH {RECORDS}, {grams_sql(2, 2)}, s AS (SELECT ctx[1] AS request_id, next AS word, cnt AS score FROM counts WHERE ctx[1] IS NOT NULL AND regexp_matches(next, '[\pL\p{{Nl}}]')),
+pick AS (SELECT request_id, min(word) AS word FROM s GROUP BY 1 HAVING count(*) = 1 ORDER BY encode(request_id) LIMIT 1) SELECT * FROM s ANTI JOIN pick USING (request_id, word)"""
+)
+def q_suggest_hygiene(spark, sf_dir):
+    """The words after every word of the documents; the lone pair is the first word with a single successor, and that one."""
+    counts = ngram.ngram_counts(sentences(spark, sf_dir), range(2, 3))
+    s = stored(counts.where("ctx[0] is not null and next is not null").select(F.col("ctx")[0].alias("request_id"), F.col("next").alias("word"), F.col("cnt").alias("score")))
+    lone = s.where(~T.is_punct(F.col("word"))).groupBy("request_id").agg(F.count("*").alias("n"), F.min("word").alias("word")).where("n = 1").orderBy("request_id").first()
+    r = s.select("request_id").distinct().withColumn("tokens", F.array("request_id"))
+    return predict.hygiene(s, r, (lone.request_id, lone.word) if lone else ("", ""))
+
+
 @query(
     rf"""WITH {RECORDS}, {grams_sql(2, 3)}, base AS (SELECT item_id AS request_id, string_split(text, ' ') AS raw, string_split({clean_sql('text')}, ' ') AS cl FROM benchmark),
 v AS (SELECT request_id, 0 AS attempt, list_slice(raw, 1, 2) AS toks FROM base UNION ALL SELECT request_id, 1, list_slice(cl, 1, 2) FROM base UNION ALL SELECT request_id, 2, list_slice(cl, 3, 3) FROM base),
