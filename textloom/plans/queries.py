@@ -237,14 +237,14 @@ def q_top_next(spark, sf_dir):
     return ngram.top_next(ngram.ngram_model(sentences(spark, sf_dir), 2), 5).select(F.array_join("ctx", " ", "<s>").alias("ctx"), F.coalesce("next", F.lit("<s>")).alias("next"), "cnt", "rank")
 
 
-@query(f"WITH {TALK}, {grams_sql(2, 4)} SELECT n, count(DISTINCT {PAD}) AS contexts, count(*) AS rows FROM model GROUP BY n")
+@query(f"WITH {RECORDS}, {grams_sql(2, 4)} SELECT n, count(DISTINCT {PAD}) AS contexts, count(*) AS rows FROM model GROUP BY n")
 def q_model_coverage(spark, sf_dir):
-    return ngram.model_coverage(ngram.combined_model(talk(spark, sf_dir), 4))
+    return ngram.model_coverage(ngram.combined_model(sentences(spark, sf_dir), 4))
 
 
-@query(f"WITH {TALK}, {grams_sql(2, 4)} SELECT coalesce((SELECT min(n) FROM model WHERE ctx IN (['of', 'the'], ['the'])), (SELECT n FROM model GROUP BY n ORDER BY count(DISTINCT {PAD}) DESC, n LIMIT 1)) AS n")
+@query(f"WITH {RECORDS}, {grams_sql(2, 4)} SELECT coalesce((SELECT min(n) FROM model WHERE ctx IN (['of', 'the'], ['the'])), (SELECT n FROM model GROUP BY n ORDER BY count(DISTINCT {PAD}) DESC, n LIMIT 1)) AS n")
 def q_choose_order(spark, sf_dir):
-    return ngram.choose_order(ngram.combined_model(talk(spark, sf_dir), 4), ["of", "the"])
+    return ngram.choose_order(stored(ngram.combined_model(sentences(spark, sf_dir), 4)), ["of", "the"])
 
 
 @query(f"WITH {RECORDS}, {grams_sql(3, 3)} SELECT 'next' AS kind, coalesce(next, '') AS text, round(p, 5) AS p FROM model WHERE ctx = ['of', 'the'] UNION ALL SELECT 'sentence', sentence, NULL FROM sents WHERE contains(sentence, 'of the')")

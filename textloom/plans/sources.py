@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import corpus, lexical, lookup, ngram
 from textloom.operators.shared import new_path
-from textloom.plans.queries import ASSETS, KEYS, LAYERS, LEX, LOW, PAD, RECORDS, TALK, _assets, _layers, grams_sql, keys, query, records, table, talk, words
+from textloom.plans.queries import ASSETS, KEYS, LAYERS, LEX, LOW, PAD, RECORDS, _assets, _layers, grams_sql, keys, query, records, sentences, table, words
 from textloom.sources import docx, readers, writers
 
 #: Lines of a file as the readers split them, blank ones left out.
@@ -135,10 +135,10 @@ def q_read_verbs(spark, sf_dir):
     return readers.read_verbs(spark, _written(o, "file"))
 
 
-@query(f"WITH {TALK}, {grams_sql(2, 3)} SELECT n, {PAD} AS ctx, coalesce(next, '<s>') AS next, cnt FROM model WHERE n = 3")
+@query(f"WITH {RECORDS}, {grams_sql(2, 3)} SELECT n, {PAD} AS ctx, coalesce(next, '<s>') AS next, cnt FROM model WHERE n = 3")
 def q_model_files(spark, sf_dir):
     path = new_path(spark, "files")
-    writers.save_model(ngram.combined_model(talk(spark, sf_dir), 3), path)
+    writers.save_model(ngram.combined_model(sentences(spark, sf_dir), 3), path)
     return readers.load_model(spark, path, 3).select("n", F.array_join("ctx", " ", "<s>").alias("ctx"), F.coalesce("next", F.lit("<s>")).alias("next"), "cnt")
 
 
