@@ -101,7 +101,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows. Otherwise kept
     unless a metric lies outside its fence. Null and empty texts have no words and fail; null languages
-    and sources are groups of their own; repeated rows count each; an empty table gives no rows."""
+    and sources are groups of their own; repeated rows count each; an empty table gives no rows.
+    A value on its fence passes; texts of any length are read whole; further columns are not read."""
     d = stored(text_metrics(docs, id_col, text_col, lang_col, source_col))
     t = stored(thresholds(d))
     ok = F.lit(True)

@@ -221,9 +221,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, score, predicted for every row; also stores nothing of labels but what the lexicons learnt.
 
     labels(doc_id, toxic): rows for which held_out (a Column of doc_id) is true are not read; null labels are
-    skipped, documents without a label are scored alike. Null and empty texts are scored as empty. Repeated rows
-    are scored each; an empty table gives no rows. Without any toxic label only the fixed lexicon and the
-    patterns vote, with an assumed share of a tenth."""
+    skipped, documents without a label are scored alike; of several labels of one id the toxic one counts. Null and
+    empty texts are scored as empty, very long ones are read whole. Repeated rows are scored each, equal texts alike;
+    further columns are not read; an empty table gives no rows. Terms of equal strength go by name. Without any toxic
+    label only the fixed lexicon and the patterns vote, with an assumed share of a tenth."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic is not null and doc_id is not null")
     if held_out is not None:

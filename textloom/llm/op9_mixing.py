@@ -52,7 +52,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Adds size, source_size, target and taken to (id, source) of every row.
 
     Null and blank texts have size 0 and are never taken; a null source is a source of its own, the last.
-    Repeated rows count as documents of their own. An empty table gives no rows. No document is taken
+    Repeated rows count as documents of their own; rows of one id go by size, those of one size are alike. Further
+    columns are not read, texts of any length are counted whole. An empty table gives no rows. No document is taken
     more than max_repeats times: a source whose target is
     max_repeats times its size gets it to the word, any other one up to the schedule's discrepancy and
     what its last block lacks, under one block for each repetition."""
