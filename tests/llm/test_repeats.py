@@ -45,6 +45,15 @@ def test_against_brute_force(spark):
         assert sorted([tuple(r) for r in got], key=str) == brute(rows)
 
 
+def test_long_periodic_passages(spark):
+    """Runs of one gram beyond what a key holds: rules of dashes, repeated syllables, at other phases and lengths."""
+    rng = random.Random(7)
+    parts = [lambda: "=" * rng.randrange(200, 1500), lambda: "ab" * rng.randrange(100, 900), lambda: "héé" * rng.randrange(60, 300), lambda: "0123456789" * rng.randrange(20, 99)]
+    rows = [(i, "".join(rng.choice(parts)() for _ in range(3))) for i in range(30)] + [(40, "ab" * 1500), (41, "x" + "ab" * 1500 + "y"), (42, "ba" * 700)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows)
+
+
 def test_runs_cover_all_suffixes_and_their_quarters():
     for text in ("".join(random.Random(5).choice("abcd") for _ in range(3000)), "ab" * 1500):
         r = Runs(as_bytes(text))

@@ -33,6 +33,8 @@ LENGTH, GRAM = 50, 16
 FLUSH, WINDOW_BYTES = 500_000, 1_000_000
 #: Buckets for each shuffle partition: a task holds one of them at a time.
 SPLIT = 8
+#: Suffixes of a run: its length is kept in 8 bits.
+LONGEST = 256
 #: The 8-bit code of a quarter that may equal any other's.
 WILD = 255
 _48, _32, _24, _8 = (np.uint64((1 << b) - 1) for b in (48, 32, 24, 8))
@@ -72,6 +74,9 @@ class Runs:
         if width > span:
             low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        # A gram that comes back within every window would make one run of a whole periodic passage: cut to what a key can hold.
+        pieces = -(-np.diff(np.r_[first, n]) // LONGEST)
+        first = np.repeat(first, pieces) + LONGEST * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         self.first, self.last = first, np.r_[first[1:], n] - 1
         self.bucket = low[first]
         self.region = spans_hash(prefix, first, self.last + length)
@@ -86,7 +91,7 @@ class Runs:
             self.sides |= np.where(wild, np.uint64(WILD), code) << np.uint64(8 * i)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """The two keys of an entry; places are relative to the run's first suffix and below 64."""
+        """The two keys of an entry; a run's length and its gram's place are relative to its first suffix and below 256."""
         span, gram = (self.last - self.first).astype(np.uint64), (self.gram - self.first).astype(np.uint64)
         return (self.bucket & _24) << np.uint64(32) | self.sides, self.region & _48 | span << np.uint64(48) | gram << np.uint64(56)
 
