@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import corpus, expand, generate, lexical, lookup, ngram, predict, reshape, search, segment
-from textloom.operators.shared import stored
+from textloom.operators.shared import children, shared_dir, stored
 
 
 def sents(spark, *texts):
@@ -359,3 +360,35 @@ def test_missing_keys_by_bits(spark):
         out = reshape.missing_keys(spark.createDataFrame(rows, "e string, k string"), req, "e", "k")
         assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
         assert "CartesianProduct" not in out._jdf.queryExecution().toString() and "NestedLoop" not in out._jdf.queryExecution().toString()
+
+
+def test_models_shuffle_a_row_a_place_and_store_no_copy(spark):
+    """Orders 2 to 5 equal plain counts, for sentences of any length; grams beyond the first words are shuffled once; no
+    model is stored to count or to choose from."""
+    rng = random.Random(3)
+    said = [[rng.choice("abc") for _ in range(rng.randrange(0, 7))] for _ in range(80)]
+    s = spark.createDataFrame([(" ".join(t), t) for t in said], "sentence string, tokens array<string>").repartition(3)
+    for low, high in [(2, 5), (2, 4), (2, 2), (3, 3), (5, 5)]:
+        grams = Counter()
+        for t in said:
+            for n in range(low, high + 1) if t else ():
+                p = [None] * (n - 1) + t + [None] * (n - 1)
+                grams.update((n, tuple(p[i : i + n - 1]), p[i + n - 1]) for i in range(len(t) + n - 1))
+        total = Counter()
+        for (n, ctx, _), c in grams.items():
+            total[n, ctx] += c
+        m = ngram.combined_model(s, high) if low == 2 else ngram.ngram_model(s, low)
+        assert {(r.n, tuple(r.ctx), r.next): (r.cnt, r.p) for r in m.collect()} == {g: (c, c / total[g[:2]]) for g, c in grams.items()}
+        assert m.count() == len(grams) and (low > 2 or sum(grams.values()) == ngram.gram_number(s, high))
+    counts = ngram._keyed_counts(s, range(2, 6))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan(counts).count("Exchange hashpartitioning(") == plan(counts.groupBy("k", "n", "ctx").count()).count("Exchange hashpartitioning(") == 1
+    folder = shared_dir(spark)
+    before = set(children(spark, folder))
+    m = ngram.combined_model(s, 4)
+    assert sorted(ngram.coverage(s, 4).collect()) == sorted(ngram.model_coverage(m).collect())
+    for seed in (["a", "b"], ["zz"], ["zz", "c"]):
+        assert ngram.order_for(s, seed, 4).collect() == ngram.choose_order(m, seed).collect()
+    b = generate.BucketedModel.build(ngram.combined_model(s, 3), most=ngram.gram_number(s, 3))
+    assert not [x for x in set(children(spark, folder)) - before if x.startswith("stored-")]
+    assert ("a",) in {tuple(r.ctx) for r in b.asked(spark.createDataFrame([(["a"],), (["zz"],)], "ctx array<string>")).collect()}

@@ -33,11 +33,13 @@ class BucketedModel:
     buckets: int
 
     @staticmethod
-    def build(model: DataFrame, path: str | None = None) -> BucketedModel:
-        """Writes ngram(n, ctx, next, cnt, p) to the path, or to a new folder in the shared one."""
+    def build(model: DataFrame, path: str | None = None, most: int | None = None) -> BucketedModel:
+        """Writes ngram(n, ctx, next, cnt, p) to the path, or to a new folder in the shared one. most, a number of rows that
+        the model doesn't exceed, sets its buckets; without it the model is stored once more to be counted."""
         spark = model.sparkSession
-        path, rows = path or new_path(spark, "model"), stored(model.select("ctx", "next", "p"))
-        buckets = min(MAX_BUCKETS, max(1, -(-rows.count() // BUCKET_ROWS)))
+        path, rows = path or new_path(spark, "model"), model.select("ctx", "next", "p")
+        rows = rows if most is not None else stored(rows)
+        buckets = min(MAX_BUCKETS, max(1, -(-(rows.count() if most is None else most) // BUCKET_ROWS)))
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.withColumn("bucket", _bucket(F.col("ctx"), buckets)).repartition(n, "bucket", F.pmod(F.xxhash64("next"), F.lit(FILES)))
         dealt.sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(path)
@@ -88,7 +90,7 @@ def generate(requests: DataFrame, model: DataFrame | BucketedModel, max_ctx: int
     return done.withColumn("text", F.array_join("tokens", " "))
 
 
-def candidates(requests: DataFrame, model: DataFrame, k: int = 5, **settings) -> DataFrame:
+def candidates(requests: DataFrame, model: DataFrame | BucketedModel, k: int = 5, **settings) -> DataFrame:
     """The first k distinct texts of max(6k, 10) tries per request, in order of their first try."""
     made = generate(requests, model, tries=max(6 * k, 10), **settings)
     first = made.groupBy("request_id", "text").agg(F.min("try").alias("try"), F.first("status").alias("status"))
@@ -101,7 +103,7 @@ def flag_known(texts: DataFrame, sentences: DataFrame) -> DataFrame:
     return texts.join(known, F.col("text") == F.col("s"), "left").withColumn("status", F.when(F.col("known"), "original").otherwise(F.col("status"))).drop("s", "known")
 
 
-def generation_report(requests: DataFrame, model: DataFrame, sentences: DataFrame, k: int = 5, match_limit: int = 8, max_sources: int = 3, **settings) -> DataFrame:
+def generation_report(requests: DataFrame, model: DataFrame | BucketedModel, sentences: DataFrame, k: int = 5, match_limit: int = 8, max_sources: int = 3, **settings) -> DataFrame:
     """request_id, text, settings, primary, candidates, matches, match_count: the candidates of each request, the first one's
     status against the corpus, and the sentences found for the first one. Requests without text are left out."""
     made = flag_known(candidates(requests.where("text <> ''"), model, k, **settings), sentences)
