@@ -366,7 +366,7 @@ def test_models_shuffle_a_row_a_place_and_store_no_copy(spark):
     """Orders 2 to 5 equal plain counts, for sentences of any length; grams beyond the first words are shuffled once; no
     model is stored to count or to choose from."""
     rng = random.Random(3)
-    said = [[rng.choice("abc") for _ in range(rng.randrange(0, 7))] for _ in range(80)]
+    said = [[rng.choice("abc") for _ in range(rng.randrange(0, 7))] for _ in range(80)] + [["a", "x\ny", "a", "", "b"], ["", ""], ["\n"], ["a", "b", "", "c"]]
     s = spark.createDataFrame([(" ".join(t), t) for t in said], "sentence string, tokens array<string>").repartition(3)
     for low, high in [(2, 5), (2, 4), (2, 2), (3, 3), (5, 5)]:
         grams = Counter()
