@@ -392,3 +392,14 @@ def test_models_shuffle_a_row_a_place_and_store_no_copy(spark):
     b = generate.BucketedModel.build(ngram.combined_model(s, 3), most=ngram.gram_number(s, 3))
     assert not [x for x in set(children(spark, folder)) - before if x.startswith("stored-")]
     assert ("a",) in {tuple(r.ctx) for r in b.asked(spark.createDataFrame([(["a"],), (["zz"],)], "ctx array<string>")).collect()}
+
+
+def test_an_index_holds_grams_of_distinct_words_only(spark):
+    """Two hundred sentences of two words have no more postings than those words have grams."""
+    s = spark.createDataFrame([(f"alpha beta {'gamma ' * i}end", i, 1, ["p"]) for i in range(200)], "sentence string, first_rank long, source_count int, sources array<string>")
+    index = search.SubstringIndex.build(s)
+    words = ["alpha", "beta", "gamma", "end", " "]
+    assert spark.read.parquet(f"{index.path}/postings").count() == sum(len({w[i : i + k] for i in range(len(w) - k + 1)}) for w in words for k in (1, 2, 3))
+    q = spark.createDataFrame([(1, "a"), (2, "ta ga"), (3, " "), (4, "beta end"), (5, "a"), (6, "gamma gamma en")], "query_id long, query string")
+    got = {(r.query_id, r["rank"]): r.sentence.count("gamma") for r in index.search(q, 2).collect()}
+    assert got == {(1, 1): 0, (1, 2): 1, (2, 1): 1, (2, 2): 2, (3, 1): 0, (3, 2): 1, (4, 1): 0, (5, 1): 0, (5, 2): 1, (6, 1): 2, (6, 2): 3}
