@@ -42,3 +42,20 @@ def test_more_than_ten_thousand_keys(spark):
     assert reshape.missing_keys(spark.createDataFrame([("a", "7"), (None, "8")], "e string, k string"), required, "e", "k").count() == 2 * 10_499
     rows = spark.range(10_500).selectExpr("'v' as verb", "cast(id as string) as tense", "id as row_no", "'x' as value")
     assert reshape.group_tenses(rows, spark.range(10_500).selectExpr("cast(id as string) as tense", "'g' as grp", "'h' as header"), ["h"]).count() == 10_500
+
+
+def test_the_lexicon_is_read_once(spark):
+    """Rows of the lexicon are counted as they are made: a lexicon that is derived anew for each join costs that many passes."""
+    made = spark.sparkContext.accumulator(0)
+
+    def lexicon(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    words = [("fr", "marcher", 4.0), ("en", "dog", 4.0), ("target", "hund", 4.0)]
+    lex = spark.createDataFrame(words, "lang string, word string, zipf double").coalesce(1).mapInArrow(lexicon, "lang string, word string, zipf double")
+    lines = spark.createDataFrame([("1", "der hund marchait , (dog) l'hund"), ("2", "hund, dog")], "line_id string, text string")
+    spans = segmentation.segment.merge_spans(segmentation.segment.smooth_labels(segmentation.segment.label_tokens(lines, lex, segmentation.CFG)))
+    assert spans._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(line_id") == 1
+    assert {r.language for r in spans.collect()} >= {"Target", "English"} and made.value == len(words)

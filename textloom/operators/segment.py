@@ -82,12 +82,14 @@ def classify_types(types: DataFrame, lexicon: DataFrame, settings: Settings = Se
     """types(token) with normalized, core, label and the Zipf scores; lexicon(lang in en, fr, target; word; zipf).
 
     Distinct token types are classified once; lexicon columns come by joins on the word, its suffix after an
-    apostrophe, its low-tone form and exploded candidate lemmas. The first matching rule decides."""
+    apostrophe, its low-tone form and exploded candidate lemmas. The first matching rule decides. The lexicon, the types
+    and these with their columns are stored, as each is read several times."""
     s, c = settings, F.col("core")
     lex = lexicon.groupBy("word").agg(
         F.max(F.when(F.col("lang") == "en", 1)).isNotNull().alias("en"), F.max(F.when(F.col("lang") == "fr", 1)).isNotNull().alias("fr"), F.max(F.when(F.col("lang") == "target", 1)).isNotNull().alias("tg"),
         F.coalesce(F.max(F.when(F.col("lang") == "en", F.col("zipf"))), F.lit(0.0)).alias("ez"), F.coalesce(F.max(F.when(F.col("lang") == "fr", F.col("zipf"))), F.lit(0.0)).alias("fz"),
     )
+    lex = stored(lex)
     t = types.select("token").distinct().withColumn("normalized", F.lower(T.normalize_text(F.col("token"))))
     t = t.withColumn("core", T.strip_quotes(F.col("normalized")))
     t = t.withColumn("assumed", T.assume_low_tone(c, s.low, s.marks) if s.low else c).withColumn("suffix", F.regexp_extract("normalized", "(?s)^[^']*'(.*)$", 1))
@@ -99,11 +101,11 @@ def classify_types(types: DataFrame, lexicon: DataFrame, settings: Settings = Se
             df = df.withColumn(f"{prefix}{x}", F.coalesce(f"{prefix}{x}", F.lit(default)))
         return df
 
-    t = joined(joined(joined(t, "core", "c_"), "assumed", "a_"), "suffix", "s_")
+    typed = t = stored(joined(joined(joined(stored(t), "core", "c_"), "assumed", "a_"), "suffix", "s_"))
     fr_words = lex.where("fr").select(F.col("word").alias("cand"))
 
     def any_french(df: DataFrame, cands: Column, name: str) -> DataFrame:
-        hit = df.select("token", F.explode(cands).alias("cand")).join(fr_words, "cand", "left_semi").select("token", F.lit(True).alias(name)).distinct()
+        hit = typed.select("token", F.explode(cands).alias("cand")).join(fr_words, "cand", "left_semi").select("token", F.lit(True).alias(name)).distinct()
         return df.join(hit, "token", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
     t = any_french(t, lemma_candidates(c), "lemma")
@@ -146,25 +148,24 @@ def token_rows(lines: DataFrame) -> DataFrame:
 
 def label_tokens(lines: DataFrame, lexicon: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """token_rows() with the columns of classify_types(). The classified types are stored and, while there are few of them,
-    broadcast, so a frequent token isn't gathered in one task."""
+    broadcast, so a frequent token isn't gathered in one task; more are dealt out and hashed, which sorts no tokens."""
     rows = token_rows(lines)
-    return rows.join(broadcast_if_small(stored(classify_types(rows, lexicon, settings))), "token")
+    return rows.join(broadcast_if_small(stored(classify_types(rows, lexicon, settings)), otherwise="shuffle_hash"), "token")
 
 
 def smooth_labels(tokens: DataFrame, threshold: float = 3.2) -> DataFrame:
     """Promotes Other tokens next to target ones, as one pass from the left would.
 
     In a run of promotable tokens (punctuation passed over) all are promoted if the token before the run is
-    target, else only the last if the token after it is."""
+    target, else only the last if the token after it is. Tokens are dealt out by line once, and stay so for merge_spans()."""
     can = (F.col("label") == OTHER) & (F.col("core") != "") & (F.greatest("en_zipf", "fr_zipf") < threshold) & (F.col("core").rlike(r"[^\x00-\x7f]") | F.col("core").contains("'"))
-    words = tokens.where(F.col("label") != PUNCT).withColumn("can", can)
-    line = W.partitionBy("line_id").orderBy("pos")
-    before = line.rowsBetween(W.unboundedPreceding, -1)
-    words = words.withColumn("left", F.last(F.when(~F.col("can"), F.col("label")), ignorenulls=True).over(before))
-    words = words.withColumn("right", F.first(F.struct(F.col("can").alias("can"), F.col("label").alias("label"))).over(line.rowsBetween(1, 1)))
+    word, line = F.col("label") != PUNCT, W.partitionBy("line_id")
+    before = lambda *order: line.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    t = tokens.withColumn("can", can)
+    t = t.withColumn("right", F.last(F.when(word, F.struct("can", "label")), ignorenulls=True).over(before(F.desc("pos"))))
+    t = t.withColumn("left", F.last(F.when(word & ~F.col("can"), F.col("label")), ignorenulls=True).over(before("pos")))
     promote = F.col("can") & ((F.col("left") == TARGET) | (F.coalesce(~F.col("right.can"), F.lit(False)) & (F.col("right.label") == TARGET)))
-    words = words.withColumn("label", F.when(F.coalesce(promote, F.lit(False)), TARGET).otherwise(F.col("label"))).drop("can", "left", "right")
-    return words.unionByName(tokens.where(F.col("label") == PUNCT))
+    return t.withColumn("label", F.when(F.coalesce(promote, F.lit(False)), TARGET).otherwise(F.col("label"))).drop("can", "left", "right")
 
 
 def merge_spans(tokens: DataFrame) -> DataFrame:
@@ -200,7 +201,8 @@ def keep_language(lines: DataFrame, lexicon: DataFrame, settings: Settings = Set
 
 def filter_records(records: DataFrame, lexicon: DataFrame, settings: Settings = Settings(), rules: T.Rules = (), tone_rules: T.Rules = ()) -> DataFrame:
     """Records of a directory with their target-language text only and their provenance; records without any are left out."""
-    r = records.withColumn("line_id", F.struct("source_rank", "source_path", "source_type", "reference"))
+    # Stored, so that a row's number, a short key for its tokens, is the same wherever it is read.
+    r = stored(records.withColumn("line_id", F.monotonically_increasing_id()))
     kept = keep_language(r.select("line_id", "text"), lexicon, settings, rules, tone_rules)
     return r.drop("text").join(kept, "line_id").select(*records.columns)
 
