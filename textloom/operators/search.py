@@ -104,6 +104,7 @@ def search_corpus(queries: DataFrame, sentences: DataFrame, limit: int = 8, max_
     For one search no index is built: the sentences' distinct words are counted, those that fit a piece of a query are found
     by a gram of it, and the sentences with words for a query's rarest piece are verified. All joins are equi-joins."""
     s = stored(_with_ids(sentences))
+    queries = stored(queries.select("query_id", "query"))
     asked = stored(_asked(queries))
     sizes = [r[0] for r in asked.select(F.length("gram")).distinct().collect()]  # at most GRAM of them
     places = _places(s)
@@ -146,6 +147,7 @@ class SubstringIndex:
 
     def search(self, queries: DataFrame, limit: int = 8, max_sources: int = 3) -> DataFrame:
         """What search_corpus() returns, from the buckets that the queries ask for."""
+        queries = stored(queries.select("query_id", "query"))
         asked = stored(_asked(queries))
         chosen = _chosen(asked, self._read("postings", "gram string, word string, n long, first long", asked), limit)
         s = self.spark.read.parquet(f"{self.path}/sentences")
