@@ -2,9 +2,10 @@
 
 import pytest
 
-from textloom.operators import reshape
+from textloom.operators import expand, lookup, ngram, reshape
 from textloom.plans import queries as plans
 from textloom.plans import segmentation
+from textloom.sources import writers
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +60,46 @@ def test_the_lexicon_is_read_once(spark):
     spans = segmentation.segment.merge_spans(segmentation.segment.smooth_labels(segmentation.segment.label_tokens(lines, lex, segmentation.CFG)))
     assert spans._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(line_id") == 1
     assert {r.language for r in spans.collect()} >= {"Target", "English"} and made.value == len(words)
+
+
+@pytest.fixture
+def passes(spark):
+    """A DataFrame of rows that counts how often each of them is made."""
+
+    def of(rows, schema):
+        made = spark.sparkContext.accumulator(0)
+
+        def run(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+
+        return spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(run, schema), lambda: made.value / len(rows)
+
+    return of
+
+
+def test_model_reads_its_sentences_once(passes, tmp_path):
+    s, times = passes([(["a", "b", "c"],), (["a", "b"],)], "tokens array<string>")
+    model = ngram.combined_model(s, 3)
+    writers.save_model(model, f"{tmp_path}/m")
+    assert times() == 1 and model.sparkSession.conf.get(writers.ORDERS[0]) == "0"
+    assert {(r.next, r.cnt) for r in model.sparkSession.read.parquet(f"{tmp_path}/m/n=2").where("ctx[0] = 'a'").collect()} == {("b", 2)}
+
+
+def test_word_counts_are_read_once(passes, tmp_path):
+    c, times = passes([("aa", 3, True), ("bb", 1, True)], "word string, cnt long, is_alpha boolean")
+    writers.export_lexical(c, f"{tmp_path}/lex")
+    assert times() == 1
+    e, times = passes([("aa",)], "word string")
+    assert {r.word for r in lookup.exclude_assets(c.select("word"), e).collect()} == {"bb"} and times() == 1
+
+
+def test_unchanged_tokens_are_not_joined(spark, passes):
+    words = [(i, f"word{i:05d}x e1 zz") for i in range(60)]
+    texts, keys = spark.createDataFrame(words, "text_id long, text string"), spark.createDataFrame([("e1", "ê")], "key string, value string")
+    out = expand.expand_tokens(texts, keys)
+    tables = [spark.read.parquet(f).count() for f in out.inputFiles() if "stored-" in f]
+    assert sum(tables) == 1 and {r.text for r in out.collect()} == {t.replace("e1", "ê") for _, t in words}
+    t, times = passes([("e1",), ("zz",)], "token string")
+    assert {r.token: r.shown for r in expand.expand_live(t, keys).collect()} == {"e1": "ê", "zz": "zz"} and times() == 1

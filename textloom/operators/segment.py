@@ -248,14 +248,14 @@ def keep_words_v1(lines: DataFrame, lexicon: DataFrame, stopwords: DataFrame, ba
     With ' : ' the side where the target dominates (both: the line); else target words and the punctuation next to
     them. A mark is kept after a kept token or before a kept word, a colon only between both; marks already kept count
     as kept tokens for the next one. Lines that keep nothing are left out. line_ids are unique; lines are stored with
-    their tokens, whose distinct types are classified once and broadcast while they are few."""
+    their tokens, whose distinct types are classified once; hits and foreign ones are broadcast while they are few."""
     d = lines.select("line_id", F.trim(F.coalesce("text", F.lit(""))).alias("line"))
     side = lambda i: F.trim(F.regexp_extract("line", r"(?s)^(.*?)\s:\s(.*)$", i))
     d = stored(d.withColumn("l", side(1)).withColumn("r", side(2)).withColumn("tokens", T.tokenize_edges(F.col("line"))))
     both = "l <> '' and r <> ''"
     types = d.select(F.explode("tokens").alias("token"))
     types = types.unionByName(d.where(both).select(F.explode(F.concat(T.tokenize_edges(F.col("l")), T.tokenize_edges(F.col("r")))).alias("token")))
-    types = broadcast_if_small(stored(word_types_v1(types, lexicon, stopwords, base_chars)))
+    types = broadcast_if_small(stored(word_types_v1(types, lexicon, stopwords, base_chars).where("hit or foreign")))
     tagged = lambda c: F.transform(T.tokenize_edges(F.col(c)), lambda t: F.struct(F.lit(c).alias("side"), t.alias("token")))
     sided = d.where(both).select("line_id", F.inline(F.concat(tagged("l"), tagged("r")))).join(types, "token")
     count = lambda c, kind: F.count_if((F.col("side") == c) & F.col(kind))
@@ -263,7 +263,8 @@ def keep_words_v1(lines: DataFrame, lexicon: DataFrame, stopwords: DataFrame, ba
     wins = lambda c: (F.col(f"{c}_hit") > 0) & (F.col(f"{c}_hit") >= F.col(f"{c}_foreign"))
     sums = sums.select("line_id", wins("l").alias("lt"), wins("r").alias("rt")).where("lt or rt")
     decided = stored(d.join(sums, "line_id").select("line_id", F.when(~F.col("rt"), F.col("l")).when(~F.col("lt"), F.col("r")).otherwise(F.col("line")).alias("text")))
-    rest = d.join(decided.select("line_id"), "line_id", "left_anti").select("line_id", F.posexplode("tokens").alias("pos", "token")).join(types.select("token", "hit"), "token")
+    rest = d.join(decided.select("line_id"), "line_id", "left_anti").select("line_id", F.posexplode("tokens").alias("pos", "token")).join(types.select("token", "hit"), "token", "left")
+    rest = rest.withColumn("hit", F.coalesce("hit", F.lit(False)))
     t = F.col("token")
     rest = rest.withColumn("mark", t.rlike(f"^[{T.P_OR_S}]+$"))
     by = W.partitionBy("line_id").orderBy("pos")
