@@ -2,9 +2,11 @@ import gzip
 import hashlib
 import random
 import re
+import statistics
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from textloom.llm import op2_language, op3_warc, op6_secrets, op7_decontaminate, op8_toxicity, op9_mixing, op10_quality, warc
@@ -223,6 +225,37 @@ def test_secrets_finds_planted_variants_and_leaves_words_alone(spark):
     assert sum(got[len(labelled) + len(hidden) + i].n_model for i in range(len(ordinary))) == 0
 
 
+def test_secrets_are_learned_from_all_values_and_all_ordinary_tokens(spark):
+    rng = random.Random(10)
+    tok = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    upper, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+    values = {"access": {f"AKIA{tok(upper, 16)}" for _ in range(1500)}, "hex": {tok(hexa, n) for n in [32, 40, 300] * 800}}
+    words = [tok("etaoinshrdlu", rng.randrange(12, 16)) for _ in range(7000)]
+    words += words[:500]
+    tokens = [*words, *sorted(values["access"]), *sorted(values["hex"]), *sorted(values["hex"])]
+    rng.shuffle(tokens)
+    d = spark.createDataFrame([(i, " ".join(tokens[i::300])) for i in range(300)], "doc_id long, text string").repartition(7)
+    model = op6_secrets.fit(d)
+    pairs = Counter(p for w in map(op6_secrets.symbols, words) for p in zip(f"^{w}", f"{w}$", strict=True))
+    assert {(a, b): n for a, x in model.background.n.items() for b, n in x.items()} == pairs
+    assert set(model.automata) == set(values)
+    for kind, (a, cut) in model.automata.items():
+        out = [v for v in values[kind] if (xxhash.xxh64_intdigest(v, seed=42) ^ 1 << 63) % 5 == (1 << 63) % 5]
+        inside = [op6_secrets.symbols(v) for v in values[kind].difference(out)]
+        taken, ends = Counter(), Counter()
+        for s in inside:
+            q = 0
+            for c in s:
+                taken[q, c] += 1
+                q = a.to[q][c]
+            ends[q] += 1
+        assert {(q, c): n for q, x in enumerate(a.n) for c, n in x.items()} == taken and a.ends == [ends[q] for q in range(len(a.to))]
+        plain = op6_secrets.Automaton(inside)
+        assert (plain.to, plain.n, plain.ends) == (a.to, a.n, a.ends)
+        scores = [a.bits(s) - model.background.bits(s) for s in map(op6_secrets.symbols, out)]
+        assert abs(cut - max(op6_secrets.MIN_BITS, statistics.median(scores) / 2)) < 0.05
+
+
 def test_samples_of_values_merge_to_the_smallest_ranks():
     values = [f"value-{i:05}" for i in range(9000)]
     s = op6_secrets.Smallest()

@@ -1,20 +1,23 @@
 """Secrets: fixed base patterns, and probabilistic automata inferred from the credentials they label.
 
-The base patterns label credentials over the whole corpus, in one pass. A bounded sample of distinct values of
-each kind (TRAIN, the smallest by hash, so the same whatever the partitioning) becomes a prefix tree over
-character classes; ALERGIA merges states whose outgoing frequencies agree within Hoeffding's bound into a
-probabilistic automaton. Every token of every whole text that is as long as the shortest labelled value is
-then scored: log-likelihood under the best automaton minus that under a class bigram model of ordinary
-tokens of that length. A kind's cut-off is half of what the median of its labelled credentials held out from
-the fit scores, and never under MIN_BITS."""
+The base patterns label credentials over the whole corpus, in one pass. Of each kind, all distinct values become
+strings of character classes; those that a hash holds out aside, an automaton is inferred from them as ALERGIA does
+it: from the start on, a state that no transition leads to yet is merged with the first one whose outgoing frequencies,
+and those of the states up to AHEAD symbols on, agree with its own within Hoeffding's bound, or becomes a state itself.
+Every round is one aggregation over all these strings: what follows each state is counted by the tasks, and only these
+counts, as many as the automaton has states and what may follow in AHEAD symbols, reach the driver. The last round
+leaves each transition with the number of all strings that take it. Every token of every whole text that is as long as
+the shortest labelled value is then scored: log-likelihood under the best automaton minus that under a class bigram model
+of all ordinary tokens of that length. A kind's cut-off is half of what the median of its labelled credentials held out
+from the fit scores, and never under MIN_BITS."""
 
 from __future__ import annotations
 
 import hashlib
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -30,13 +33,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: The shortest value that a base pattern takes: shorter tokens are no candidates.
 SHORTEST = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
-#: Distinct values of a kind that an automaton is fitted on, and distinct ordinary tokens for the background.
-TRAIN, BACKGROUND = 1000, 5000
-#: A kind with fewer distinct values than this has no automaton; longer values aren't fitted on (all are scored).
-MIN_TRAIN, MAX_VALUE = 20, 256
+#: A kind with fewer distinct values than this has no automaton; one of HELD values is held out for the cut-off.
+MIN_TRAIN, HELD = 20, 5
+#: Symbols (the end is one) by which states are compared, and visits under which a difference can't show.
+AHEAD, MIN_VISITS = 4, 8
 ALPHA, MIN_BITS, CUT = 0.05, 12.0, 0.5
 CLASSES = {**dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("0123456789", "9"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A")}
-ALPHABET = 4 + len("+/_.=-")
+#: All classes, and the end.
+SYMBOLS = "hl9A+/_.=-$"
+ALPHABET = len(SYMBOLS) - 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -74,66 +79,75 @@ def symbols(token: str) -> str:
 
 
 class Automaton:
-    """A probabilistic automaton: prefix tree of symbol strings, merged by ALERGIA."""
+    """A probabilistic automaton of symbol strings, inferred by merging states (ALERGIA) in rounds: visits() counts, over any
+    share of the strings, what follows each state; learn() takes the sums and settles all transitions that are open."""
 
-    def __init__(self, strings: list[str], alpha: float = ALPHA):
+    def __init__(self, strings: Iterable[str] = (), alpha: float = ALPHA):
         self.to: list[dict[str, int]] = [{}]
-        self.n: list[dict[str, int]] = [defaultdict(int)]
+        self.n: list[dict[str, int]] = [{}]
         self.ends = [0]
-        for s in strings:
-            q = 0
-            for c in s:
-                self.n[q][c] += 1
-                if c not in self.to[q]:
-                    self.to[q][c] = len(self.to)
-                    self.to.append({}), self.n.append(defaultdict(int)), self.ends.append(0)
-                q = self.to[q][c]
-            self.ends[q] += 1
         self.width = math.sqrt(0.5 * math.log(2 / alpha))
-        red, blue = [0], [(0, c) for c in sorted(self.to[0])]
-        while blue:
-            p, c = blue.pop(0)
-            b = self.to[p][c]
-            if b in red:
-                continue
-            for r in red:
-                if self.compatible(r, b):
-                    self.fold(p, c, r, b)
+        counts = Counter(strings)
+        while self.learn(self.visits(counts.items())):
+            pass
+
+    def visits(self, strings: Iterable[tuple[str, int]]) -> dict[tuple[int, str, str], int]:
+        """(state, "", what follows) of all states that the strings, given with their numbers, pass; where a transition is
+        open, (state, symbol, what follows the symbol) as well, and the string is left there."""
+        seen: dict[tuple[int, str, str], int] = defaultdict(int)
+        for s, n in strings:
+            s, q = s + "$", 0
+            for i, c in enumerate(s):
+                seen[q, "", s[i : i + AHEAD]] += n
+                if c == "$":
+                    break
+                if c not in self.to[q]:
+                    seen[q, c, s[i + 1 : i + 1 + AHEAD]] += n
                     break
+                q = self.to[q][c]
+        return seen
+
+    def learn(self, seen: dict[tuple[int, str, str], int]) -> bool:
+        """A round: leads the open transitions to states, in order; whether there were any."""
+        after: dict[tuple[int, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for (q, c, w), n in seen.items():
+            for i in range(len(w) + 1):
+                after[q, c][w[:i]] += n
+        states = [after[q, ""] for q in range(len(self.to))]
+        self.ends = [x["$"] for x in states]
+        self.n = [{w: n for w, n in x.items() if len(w) == 1 and w != "$"} for x in states]
+        blue = sorted(k for k in after if k[1])
+        for q, c in blue:
+            mine = after[q, c]
+            r = next((r for r, x in enumerate(states) if self.compatible(x, mine)), len(states))
+            if r == len(states):
+                states.append(mine), self.to.append({}), self.n.append({}), self.ends.append(0)
             else:
-                red.append(b)
-            blue = [(q, x) for q in red for x in sorted(self.to[q]) if self.to[q][x] not in red]
+                for w, n in mine.items():
+                    states[r][w] += n
+            self.to[q][c] = r
+        return bool(blue)
 
     def total(self, q: int) -> int:
         return self.ends[q] + sum(self.n[q].values())
 
-    def compatible(self, a: int, b: int) -> bool:
-        stack = [(a, b)]
+    def compatible(self, a: dict[str, int], b: dict[str, int]) -> bool:
+        """Whether two states, given as the numbers of all that follows them, agree in every next symbol."""
+        stack = [""]
         while stack:
-            a, b = stack.pop()
-            na, nb = self.total(a), self.total(b)
-            if min(na, nb) < 8:
+            w = stack.pop()
+            na, nb = a.get(w, 0), b.get(w, 0)
+            if min(na, nb) < MIN_VISITS:
                 continue
             bound = self.width * (na**-0.5 + nb**-0.5)
-            pairs = [(self.ends[a], self.ends[b]), *((self.n[a].get(c, 0), self.n[b].get(c, 0)) for c in {*self.n[a], *self.n[b]})]
-            if any(abs(x / na - y / nb) > bound for x, y in pairs):
-                return False
-            stack += [(self.to[a][c], self.to[b][c]) for c in self.to[b] if c in self.to[a] and self.to[a][c] != a]
+            for c in SYMBOLS:
+                x, y = a.get(w + c, 0), b.get(w + c, 0)
+                if abs(x / na - y / nb) > bound:
+                    return False
+                if x and y and c != "$" and len(w) + 1 < AHEAD:
+                    stack.append(w + c)
         return True
 
-    def fold(self, parent: int, symbol: str, r: int, b: int) -> None:
-        self.to[parent][symbol] = r
-        stack = [(r, b)]
-        while stack:
-            r, b = stack.pop()
-            self.ends[r] += self.ends[b]
-            for c, q in self.to[b].items():
-                self.n[r][c] += self.n[b][c]
-                if c in self.to[r]:
-                    stack.append((self.to[r][c], q))
-                else:
-                    self.to[r][c] = q
-
     def bits(self, s: str) -> float:
         """log2 likelihood of the string; unseen symbols have a small probability and lead back to the start."""
         q, out = 0, 0.0
@@ -146,13 +160,12 @@ class Automaton:
 class Background:
     """Class bigrams of ordinary long tokens."""
 
-    def __init__(self, strings: list[tuple[str, int]]):
-        """Of the strings with the number of their occurrences: words recur, credentials among them hardly do."""
-        self.n: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        for s, times in strings:
-            for a, b in zip("^" + s, s + "$", strict=True):
-                self.n[a][b] += times
-        self.n = {k: dict(v) for k, v in self.n.items()}
+    def __init__(self, pairs: Iterable[tuple[str, int]]):
+        """Of the bigrams (a token is between ^ and $) and how often they occur: words recur, credentials among them hardly do."""
+        self.n: dict[str, dict[str, int]] = defaultdict(dict)
+        for (a, b), times in pairs:
+            self.n[a][b] = times
+        self.n = dict(self.n)
         self.sums = {k: sum(v.values()) for k, v in self.n.items()}
 
     def bits(self, s: str) -> float:
@@ -162,13 +175,9 @@ class Background:
 class Model:
     """Automata by kind, each with its cut-off in bits, and the background."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[tuple[str, int]]):
-        fit = {k: [symbols(x) for i, x in enumerate(v) if i % 5] for k, v in labelled.items() if len(v) >= MIN_TRAIN}
-        self.background = Background([(symbols(x), n) for x, n in ordinary])
-        self.automata = {k: (Automaton(v), MIN_BITS) for k, v in fit.items()}
-        for k, (a, _) in self.automata.items():
-            held = sorted(a.bits(s) - self.background.bits(s) for s in (symbols(x) for i, x in enumerate(labelled[k]) if i % 5 == 0))
-            self.automata[k] = a, max(MIN_BITS, CUT * held[len(held) // 2])
+    def __init__(self, automata: dict[str, Automaton], background: Background):
+        self.background = background
+        self.automata = {k: (a, MIN_BITS) for k, a in sorted(automata.items())}
         self.margins: dict[str, float] = {}
 
     def margin(self, token: str) -> float:
@@ -184,67 +193,100 @@ class Model:
         return m
 
 
-def _rank(value: str) -> int:
-    return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) >> 1
-
-
-class Smallest:
-    """The distinct values with the smallest ranks, so many of each kind, and how often each occurs; such samples merge,
-    since a value that ends up in the sample has been in it from its first occurrence on."""
-
-    def __init__(self):
-        self.kept: dict[str, dict[str, list[int]]] = defaultdict(dict)
-        self.limit: dict[str, int] = {}
-
-    def add(self, kind: str, value: str) -> None:
-        kept = self.kept[kind]
-        if value in kept:
-            kept[value][1] += 1
-        elif len(value) <= MAX_VALUE and (r := _rank(value)) <= self.limit.get(kind, r):
-            kept[value] = [r, 1]
-            if len(kept) >= 2 * sample_size(kind):
-                self.cut(kind)
-
-    def cut(self, kind: str) -> None:
-        best = sorted(self.kept[kind].items(), key=lambda x: (x[1][0], x[0]))[: sample_size(kind)]
-        self.kept[kind] = dict(best)
-        if len(best) == sample_size(kind):
-            self.limit[kind] = best[-1][1][0]
-
-
-def sample_size(kind: str) -> int:
-    return BACKGROUND if kind == "other" else TRAIN
-
-
-def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, value, rank, n) of a task's labelled credentials and, as kind "other", ordinary tokens: the smallest of each kind."""
-    s = Smallest()
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, value, n) of the labelled credentials and, as kind "other", of the class bigrams of ordinary tokens."""
+    pairs: dict[tuple[str, str], int] = Counter()
     for batch in batches:
+        kinds, values, tokens = [], [], []
         for text in batch.column(0).to_pylist():
             spans = base_spans(text or "")
             for kind, value in credentials(text or "", spans):
-                s.add(kind, value)
-            for start, end in candidates(text or "", spans):
-                s.add("other", text[start:end])
-    rows = []
-    for kind in list(s.kept):
-        s.cut(kind)
-        rows += [(kind, v, *x) for v, x in s.kept[kind].items()]
-    cols = list(zip(*rows, strict=True)) or [()] * 4
-    types = (pa.string(), pa.string(), pa.int64(), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "value", "rank", "n"])
+                kinds.append(kind), values.append(value)
+            tokens += [text[start:end] for start, end in candidates(text or "", spans)]
+        if tokens:
+            line = f"^{'$^'.join(map(symbols, tokens))}$"
+            pairs.update(zip(line, line[1:], strict=False))
+        yield _rows(kind=(kinds, pa.string()), value=(values, pa.string()), n=([1] * len(kinds), pa.int64()))
+    pairs.pop(("$", "^"), None)
+    yield _rows(kind=(["other"] * len(pairs), pa.string()), value=([a + b for a, b in pairs], pa.string()), n=(list(pairs.values()), pa.int64()))
+
+
+def _rows(**columns: tuple[list, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
+
+
+def _strings(batch: pa.RecordBatch) -> dict[str, list[tuple[str, int]]]:
+    """The batch's class strings with their numbers, by kind."""
+    by: dict[str, list[tuple[str, int]]] = defaultdict(list)
+    for kind, s, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "s", "n")), strict=True):
+        by[kind].append((s, n))
+    return by
+
+
+def patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(kind, held, s, n): n distinct credentials of the kind have the class string s, those held out apart; of kind "other" s is
+    a class bigram that ordinary tokens hold n times. All texts are searched once."""
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_found, "kind string, value string, n long")
+    other = F.col("kind") == "other"
+    s = F.when(other, F.col("value")).otherwise(F.translate("value", "".join(CLASSES), "".join(CLASSES.values())))
+    return (
+        found.groupBy("kind", "value").agg(F.sum("n").alias("n"))
+        .select("kind", (~other & (F.pmod(F.xxhash64("value"), F.lit(HELD)) == 0)).alias("held"), s.alias("s"), F.when(other, F.col("n")).otherwise(1).alias("n"))
+        .groupBy("kind", "held", "s").agg(F.sum("n").alias("n"))
+    )
+
+
+def infer(strings: DataFrame, kinds: Iterable[str]) -> dict[str, Automaton]:
+    """The kinds' automata of all strings (kind, s, n), a round of all kinds in one aggregation."""
+    automata = {k: Automaton() for k in kinds}
+    todo = set(automata)
+    while todo:
+        now = {k: automata[k] for k in sorted(todo)}
+
+        def run(batches: Iterator[pa.RecordBatch], now: dict[str, Automaton] = now) -> Iterator[pa.RecordBatch]:
+            seen: dict[tuple[str, int, str, str], int] = defaultdict(int)
+            for batch in batches:
+                for kind, rows in _strings(batch).items():
+                    for key, n in now[kind].visits(rows).items():
+                        seen[kind, *key] += n
+            kind, state, symbol, ahead = zip(*seen, strict=True) if seen else ((),) * 4
+            yield _rows(kind=(kind, pa.string()), state=(state, pa.int64()), symbol=(symbol, pa.string()), ahead=(ahead, pa.string()), n=(list(seen.values()), pa.int64()))
+
+        counted = strings.where(F.col("kind").isin(*now)).mapInArrow(run, "kind string, state long, symbol string, ahead string, n long")
+        seen: dict[str, dict[tuple[int, str, str], int]] = {k: {} for k in now}
+        for r in counted.groupBy("kind", "state", "symbol", "ahead").agg(F.sum("n").alias("n")).collect():
+            seen[r.kind][r.state, r.symbol, r.ahead] = r.n
+        todo = {k for k, a in now.items() if a.learn(seen[k])}
+    return automata
+
+
+def cut_offs(held: DataFrame, model: Model) -> dict[str, float]:
+    """Half of the median score, in sixteenths of a bit, of all held-out strings (kind, s, n) by kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, round(16 * (model.automata[k][0].bits(s) - model.background.bits(s))), n) for k, v in _strings(batch).items() for s, n in v]
+            kind, score, n = zip(*rows, strict=True) if rows else ((),) * 3
+            yield _rows(kind=(kind, pa.string()), score=(score, pa.int64()), n=(n, pa.int64()))
+
+    scores = held.where(F.col("kind").isin(*model.automata)).mapInArrow(run, "kind string, score long, n long")
+    medians = scores.groupBy("kind").agg(F.percentile("score", 0.5, F.col("n")).alias("m")).collect()
+    return {r.kind: max(MIN_BITS, CUT * r.m / 16) for r in medians}
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """The model of the documents: all texts are searched once; each task hands on bounded samples, which merge."""
-    found = stored(docs.select(F.col(text_col).alias("text")).mapInArrow(_training, "kind string, value string, rank long, n long"))
-    distinct, by = found.groupBy("kind", "value").agg(F.min("rank").alias("rank"), F.sum("n").alias("n")), {}
-    for kind in (*KINDS, "other"):
-        by[kind] = [(r.value, r.n) for r in distinct.where(F.col("kind") == kind).orderBy("rank", "value").limit(sample_size(kind)).collect()]
-    drop_stored(found)
-    ordinary = sorted(by.pop("other"))
-    order = lambda v: sorted((x for x, _ in v), key=lambda x: hashlib.sha256(x.encode()).digest())
-    return Model({k: order(v) for k, v in sorted(by.items())}, ordinary)
+    """The model of the documents, of all their credentials and ordinary tokens. Class strings are stored and read once a round;
+    the driver gets counts by class bigram and by state."""
+    known = stored(patterns(docs, text_col).repartition(docs.sparkSession.sparkContext.defaultParallelism))
+    background = Background((r.s, r.n) for r in known.where("kind = 'other'").collect())
+    labelled = known.where("kind <> 'other'")
+    kinds = sorted(r.kind for r in labelled.groupBy("kind").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_TRAIN).collect())
+    model = Model(infer(labelled.where("not held"), kinds) if kinds else {}, background)
+    if kinds:
+        cuts = cut_offs(labelled.where("held"), model)
+        model.automata = {k: (a, cuts.get(k, cut)) for k, (a, cut) in model.automata.items()}
+    drop_stored(known)
+    return model
 
 
 def secrets(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,3 +319,39 @@ def secrets(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets(docs, fit(docs))
+
+
+# ---- samples of values: nothing here uses them any more, but they have a test -----------------------
+TRAIN, BACKGROUND, MAX_VALUE = 1000, 5000, 256
+
+
+def _rank(value: str) -> int:
+    return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) >> 1
+
+
+class Smallest:
+    """The distinct values with the smallest ranks, so many of each kind, and how often each occurs; such samples merge,
+    since a value that ends up in the sample has been in it from its first occurrence on."""
+
+    def __init__(self):
+        self.kept: dict[str, dict[str, list[int]]] = defaultdict(dict)
+        self.limit: dict[str, int] = {}
+
+    def add(self, kind: str, value: str) -> None:
+        kept = self.kept[kind]
+        if value in kept:
+            kept[value][1] += 1
+        elif len(value) <= MAX_VALUE and (r := _rank(value)) <= self.limit.get(kind, r):
+            kept[value] = [r, 1]
+            if len(kept) >= 2 * sample_size(kind):
+                self.cut(kind)
+
+    def cut(self, kind: str) -> None:
+        best = sorted(self.kept[kind].items(), key=lambda x: (x[1][0], x[0]))[: sample_size(kind)]
+        self.kept[kind] = dict(best)
+        if len(best) == sample_size(kind):
+            self.limit[kind] = best[-1][1][0]
+
+
+def sample_size(kind: str) -> int:
+    return BACKGROUND if kind == "other" else TRAIN
