@@ -278,6 +278,15 @@ def test_automaton_merges_states_and_prefers_its_format():
     assert len(reachable) < 200 and a.bits(words[0]) > a.bits("h" * 20)
 
 
+def test_an_unseen_symbol_costs_the_same_however_many_values_were_seen():
+    rng = random.Random(12)
+    costs = []
+    for n in (200, 20_000):
+        a = op6_secrets.Automaton("".join(rng.choice("h9") for _ in range(16)) for _ in range(n))
+        costs.append(a.bits("h9" * 8) - a.bits("h9h9h9-h9h9h9h9h9"))
+    assert abs(costs[0] - costs[1]) < 1
+
+
 # ---- benchmark ------------------------------------------------------------------------------------
 def test_decontamination(spark, edge_docs, no_docs):
     rng = random.Random(8)

@@ -37,6 +37,8 @@ CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 MIN_TRAIN, HELD = 20, 5
 #: Symbols (the end is one) by which states are compared, and visits under which a difference can't show.
 AHEAD, MIN_VISITS = 4, 8
+#: What every symbol, seen or not, shares of a state's probability.
+ESCAPE = 0.001
 ALPHA, MIN_BITS, CUT = 0.05, 12.0, 0.5
 CLASSES = {**dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("0123456789", "9"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A")}
 #: All classes, and the end.
@@ -149,12 +151,16 @@ class Automaton:
         return True
 
     def bits(self, s: str) -> float:
-        """log2 likelihood of the string; unseen symbols have a small probability and lead back to the start."""
+        """log2 likelihood of the string; unseen symbols have a small probability and lead back to the start. It is bounded below
+        by ESCAPE, so a variant of a format doesn't become unlikelier the more values of the format were seen."""
         q, out = 0, 0.0
         for c in s:
-            out += math.log2((self.n[q].get(c, 0) + 0.1) / (self.total(q) + 0.1 * (ALPHABET + 1)))
+            out += self.symbol_bits(self.n[q].get(c, 0), q)
             q = self.to[q].get(c, 0)
-        return out + math.log2((self.ends[q] + 0.1) / (self.total(q) + 0.1 * (ALPHABET + 1)))
+        return out + self.symbol_bits(self.ends[q], q)
+
+    def symbol_bits(self, n: int, q: int) -> float:
+        return math.log2((1 - ESCAPE) * (n + 0.1) / (self.total(q) + 0.1 * len(SYMBOLS)) + ESCAPE / len(SYMBOLS))
 
 
 class Background:
