@@ -38,6 +38,12 @@ def test_all_documents_are_cleaned_and_expanded(spark, small):
     assert set(got) == {1, 2} and got[2] == "abcone ê Hund4xx"
 
 
+def test_assets_of_all_words_are_excluded_or_kept(spark, small):
+    """Words of odd length have an asset as those of even length have; none of them is as frequent as the excluded ones."""
+    kept = {r.word for r in plans.QUERIES["q_exclude_assets"](spark, small).collect()}
+    assert kept == {"der", "alte", "hund", "und", "the", "old", "dog", "and", "zettel", "am", "ende", "abc1", "e1", "hund420"}
+
+
 def test_more_than_ten_thousand_keys(spark):
     required = spark.range(10_500).selectExpr("cast(id as string) as k")
     assert reshape.missing_keys(spark.createDataFrame([("a", "7"), (None, "8")], "e string, k string"), required, "e", "k").count() == 2 * 10_499
