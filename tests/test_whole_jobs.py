@@ -1,8 +1,11 @@
 """The queries that segment, clean and expand cover every line, turn and document."""
 
+import random
+
 import pytest
 
-from textloom.operators import expand, lookup, ngram, reshape
+from textloom.operators import expand, generate, lookup, ngram, reshape
+from textloom.operators.shared import children, shared_dir
 from textloom.plans import queries as plans
 from textloom.plans import segmentation
 from textloom.sources import writers
@@ -109,3 +112,19 @@ def test_unchanged_tokens_are_not_joined(spark, passes):
     assert sum(tables) == 1 and {r.text for r in out.collect()} == {t.replace("e1", "ê") for _, t in words}
     t, times = passes([("e1",), ("zz",)], "token string")
     assert {r.token: r.shown for r in expand.expand_live(t, keys).collect()} == {"e1": "ê", "zz": "zz"} and times() == 1
+
+
+def test_generation_stores_no_model(spark, small):
+    """Texts are those that a stored model gives, for contexts of any length, and the queries write no model to disk."""
+    rng = random.Random(5)
+    said = [([rng.choice("abcd") for _ in range(rng.randrange(0, 6))],) for _ in range(60)]
+    s = spark.createDataFrame(said, "tokens array<string>")
+    r = spark.createDataFrame([(1, ["a"]), (2, ["b", "zz"]), (3, ["zz", "c"]), (4, ["a", "b", "c"]), (5, []), (6, ["d", "d"])], "request_id long, tokens array<string>")
+    for max_ctx, max_n, heat in [(2, 3, 0.0), (2, 3, 0.8), (3, 3, 0.8), (1, 4, 0.0), (3, 4, 1.0)]:
+        each = [generate.generate(r, m, max_ctx=max_ctx, max_tokens=5, temperature=heat, tries=3) for m in (ngram.combined_model(s, max_n), generate.CorpusModel(s, max_n))]
+        a, b = (sorted((x.request_id, x["try"], x.text, x.status) for x in d.collect()) for d in each)
+        assert a == b and len(a) == 18
+    before = set(children(spark, shared_dir(spark)))
+    for name in ("q_generate_argmax", "q_generate_sampled", "q_generation_report"):
+        assert plans.QUERIES[name](spark, small).count() > 0
+    assert not [x for x in set(children(spark, shared_dir(spark))) - before if x.startswith("model-")]

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.operators.predict import longest_match, wanted_contexts
+from textloom.operators.ngram import context_model
+from textloom.operators.predict import contexts, longest_match, wanted_contexts
 from textloom.operators.search import search_corpus
 from textloom.operators.shared import new_path, stored
 
@@ -51,46 +52,69 @@ class BucketedModel:
         return self.spark.read.schema("ctx array<string>, next string, p double, bucket int").parquet(self.path).where(F.col("bucket").isin(wanted)).drop("bucket")
 
 
+@dataclass
+class CorpusModel:
+    """combined_model() of stored sentences(tokens), counted for the contexts asked for only: each lookup reads all sentences
+    and nothing is stored but what it finds. For batches of few rounds that is less work, and far less disk, than a model of
+    which they read little.
+
+    A word that was drawn after a matched context of k tokens stands after these somewhere, so the next round's longest match
+    has a token more, up to the longest context: shorter ones are no longer asked for."""
+
+    sentences: DataFrame
+    max_n: int
+
+    def asked(self, contexts: DataFrame) -> DataFrame:
+        return context_model(self.sentences, self.max_n, contexts).select("ctx", "next", "p")
+
+
 def _bucket(ctx: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(ctx), F.lit(buckets)).cast("int")
 
 
-def generate(requests: DataFrame, model: DataFrame | BucketedModel, max_ctx: int = 4, max_tokens: int = 40, temperature: float = 1.0, tries: int = 1, seed: int = 42) -> DataFrame:
+def generate(requests: DataFrame, model: DataFrame | BucketedModel | CorpusModel, max_ctx: int = 4, max_tokens: int = 40, temperature: float = 1.0, tries: int = 1, seed: int = 42) -> DataFrame:
     """request_id, try, tokens, text, status for requests(request_id, tokens).
 
     Each step draws from the longest matched context: the likeliest at temperature 0, else by Gumbel's trick with the
     md5 of seed, request, try, step and word, so equal calls agree. A draw of the end, no match, or max_tokens tokens
     ends a text; 'not_in_corpus' is a text whose seed matches nothing. Ties go to the first word, the end last.
     Rounds end when no request is active; each is stored in the shared folder. A step reads the buckets of the model that
-    its contexts ask for; a model that isn't bucketed yet is, once."""
+    its contexts ask for; a model that isn't bucketed yet is, once. A
+    CorpusModel reads the sentences instead."""
     keys = ["request_id", "try"]
-    model = model if isinstance(model, BucketedModel) else BucketedModel.build(model)
+    model = model if isinstance(model, (BucketedModel, CorpusModel)) else BucketedModel.build(model)
     active = stored(requests.select("request_id", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("try"), "tokens"))
     done = None
     for step in range(max_tokens + 1):
-        full = active.where(F.size("tokens") >= max_tokens).withColumn("status", F.lit("generated" if step else "full"))
+        full = active.where(F.size("tokens") >= max_tokens).select(*keys, "tokens").withColumn("status", F.lit("generated" if step else "full"))
         active = active.where(F.size("tokens") < max_tokens)
-        hits = longest_match(active, model.asked(wanted_contexts(active, max_ctx)), max_ctx, keys)
+        wanted = wanted_contexts(active, max_ctx)
+        if step and isinstance(model, CorpusModel):
+            # The least context that is sure to match; one of the texts' may be longer, and is asked for as well.
+            sure = F.least(F.col("k") + 1, F.lit(min(max_ctx, model.max_n - 1)))
+            longer = F.filter(contexts(F.col("tokens"), max_ctx), lambda x: x["k"] >= sure)
+            wanted = active.select(F.explode(longer).alias("x")).select("x.ctx").distinct()
+        hits = longest_match(active, model.asked(wanted), max_ctx, keys)
         if temperature <= 0:
             weight = F.col("p")
         else:
             weight = F.log("p") / temperature - F.log(-F.log(uniform(F.lit(seed), *[F.col(k) for k in keys], F.lit(step), F.coalesce("next", F.lit("")))))
         # The best continuation by an aggregation, least struct first: a context of very many costs a row a request and task.
         best = F.min(F.struct((-weight).alias("less"), F.col("next").isNull().alias("end"), "next"))
-        drawn = hits.groupBy(*keys).agg(best.alias("x")).select(*keys, "x.next", F.lit(True).alias("hit"))
-        stepped = stored(active.join(drawn, keys, "left"))
+        drawn = hits.groupBy(*keys).agg(best.alias("x"), F.first("k").alias("k")).select(*keys, "x.next", "k", F.lit(True).alias("hit"))
+        stepped = stored(active.select(*keys, "tokens").join(drawn, keys, "left"))
         ended = stepped.where("next is null").select(*keys, "tokens", F.when(F.col("hit").isNull() & F.lit(step == 0), "not_in_corpus").otherwise("generated").alias("status"))
         ended = ended.unionByName(full)
         done = ended if done is None else done.unionByName(ended)
-        active = stepped.where("next is not null").select(*keys, F.array_append("tokens", F.col("next")).alias("tokens"))
+        active = stepped.where("next is not null").select(*keys, F.array_append("tokens", F.col("next")).alias("tokens"), "k")
         if active.isEmpty():
             break
     else:
-        done = done.unionByName(active.withColumn("status", F.lit("generated")))
+        done = done.unionByName(active.select(*keys, "tokens").withColumn("status", F.lit("generated")))
     return done.withColumn("text", F.array_join("tokens", " "))
 
 
-def candidates(requests: DataFrame, model: DataFrame | BucketedModel, k: int = 5, **settings) -> DataFrame:
+def candidates(requests: DataFrame, model: DataFrame | BucketedModel | CorpusModel, k: int = 5, **settings) -> DataFrame:
     """The first k distinct texts of max(6k, 10) tries per request, in order of their first try."""
     made = generate(requests, model, tries=max(6 * k, 10), **settings)
     first = made.groupBy("request_id", "text").agg(F.min("try").alias("try"), F.first("status").alias("status"))
@@ -103,7 +127,7 @@ def flag_known(texts: DataFrame, sentences: DataFrame) -> DataFrame:
     return texts.join(known, F.col("text") == F.col("s"), "left").withColumn("status", F.when(F.col("known"), "original").otherwise(F.col("status"))).drop("s", "known")
 
 
-def generation_report(requests: DataFrame, model: DataFrame | BucketedModel, sentences: DataFrame, k: int = 5, match_limit: int = 8, max_sources: int = 3, **settings) -> DataFrame:
+def generation_report(requests: DataFrame, model: DataFrame | BucketedModel | CorpusModel, sentences: DataFrame, k: int = 5, match_limit: int = 8, max_sources: int = 3, **settings) -> DataFrame:
     """request_id, text, settings, primary, candidates, matches, match_count: the candidates of each request, the first one's
     status against the corpus, and the sentences found for the first one. Requests without text are left out."""
     made = flag_known(candidates(requests.where("text <> ''"), model, k, **settings), sentences)
