@@ -128,3 +128,18 @@ def test_generation_stores_no_model(spark, small):
     for name in ("q_generate_argmax", "q_generate_sampled", "q_generation_report"):
         assert plans.QUERIES[name](spark, small).count() > 0
     assert not [x for x in set(children(spark, shared_dir(spark))) - before if x.startswith("model-")]
+
+
+def test_coverage_counts_distinct_grams_in_parts(spark, monkeypatch):
+    """Any tokens, and parts of the keys one after the other, give what the model's rows give; nothing of no sentences."""
+    rng = random.Random(6)
+    said = [([rng.choice(["a", "b", "", "x\ny", "\\", "\\n", "n"]) for _ in range(rng.randrange(0, 6))],) for _ in range(60)]
+    s = spark.createDataFrame(said, "tokens array<string>")
+    for max_n in (2, 3, 5):
+        want = sorted(ngram.model_coverage(ngram.with_probability(ngram.ngram_counts(s, range(2, max_n + 1)))).collect())
+        for places in (10**9, 60):
+            monkeypatch.setattr(ngram, "PASS_PLACES", places)
+            assert sorted(ngram.coverage(s, max_n).collect()) == want and len(want) == max_n - 1
+    assert ngram.coverage(s.limit(0), 3).count() == 0
+    words = ngram.coverage(s, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "ctx" not in words
