@@ -1,6 +1,7 @@
 """The queries that segment, clean and expand cover every line, turn and document."""
 
 import random
+import re
 
 import pytest
 
@@ -143,3 +144,17 @@ def test_coverage_counts_distinct_grams_in_parts(spark, monkeypatch):
     assert ngram.coverage(s.limit(0), 3).count() == 0
     words = ngram.coverage(s, 4)._jdf.queryExecution().executedPlan().toString()
     assert "ctx" not in words
+
+
+def test_model_shuffles_one_string_a_place_and_stores_sentences_only(spark, tmp_path):
+    """Windows are shuffled once for all orders, as one string each; saving a model stores no counts beside it."""
+    s = spark.createDataFrame([(["a", "b", "c", "d", "e", "f"],), (["a", "b\n", "\\c"],)], "tokens array<string>")
+    before = set(children(spark, shared_dir(spark)))
+    m = ngram.combined_model(s, 5)
+    plan = m._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = re.findall(r"REPARTITION_BY_NUM.*?Project \[(.*?)\]\s*\n", plan, re.S)
+    assert dealt and all(x.startswith("concat_ws(") and x.count(" AS ") == 1 for x in dealt)
+    writers.save_model(m, f"{tmp_path}/m")
+    assert {x.split("-")[0] for x in set(children(spark, shared_dir(spark))) - before} == {"sentences"}
+    want = ngram.with_probability(ngram.ngram_counts(s, range(2, 6)))
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/m").select(*want.columns).collect())) == sorted(map(str, want.collect()))
